@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from .common import table
+from .common import shared_dir, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -43,3 +45,51 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .best_fit_packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
+
+
+@query
+def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .media_columns import read_wav, store_wav
+
+    read = read_wav(store_wav(table(spark, sf_dir, "documents")))
+    pairs = F.concat_ws(":", F.size("peaks"), F.md5(F.concat_ws(",", F.col("peaks").cast("array<string>"))))
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", pairs.alias("feature"))
+
+
+@query
+def op10_warc_archive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc_archive import record_digests, write_archive
+
+    path = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    write_archive(table(spark, sf_dir, "pages"), path)
+    return record_digests(spark, path)
+
+
+_LETTERS = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'"
+_NIBBLE = "(instr('0123456789abcdef', substr(d, {}, 1)) - 1)"
+_BASE32 = " || ".join(
+    f"substr({_LETTERS}, 1 + CAST((({' + '.join(f'{_NIBBLE.format(first + j)} * {16 ** (4 - j)}' for j in range(5))}) // {32**k}) % 32 AS INT), 1)" for first in range(1, 41, 5) for k in (3, 2, 1, 0)
+)
+ORACLES["op10_warc_archive"] = f"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+     g AS (SELECT page_id, h, sha1(h) AS d, max(page_id) OVER (PARTITION BY h) AS top FROM p)
+SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, {_BASE32} AS payload_digest,
+       CASE WHEN page_id = top THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id = top THEN NULL ELSE top END AS refers_to
+FROM g
+"""
+
+
+@query
+def op7_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash_near_dedup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
+@query
+def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .ppm_language_id import predict, train
+
+    docs = table(spark, sf_dir, "documents")
+    return predict(docs, train(docs))
