@@ -29,8 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Stretches and pairs of pieces that a worker remembers; a cache starts anew when it is full.
-CACHE_STRETCHES = 400_000
-CACHE_PAIRS = 400_000
+CACHE_STRETCHES = 1_000_000
+CACHE_PAIRS = 1_000_000
 SPACE = "▁"
 #: What a character outside the vocabulary costs in a unigram path, below the worst piece.
 UNKNOWN_PENALTY = 10.0
@@ -73,7 +73,8 @@ class StreamingViterbi:
         self.pieces, self.scores, self.kind = pieces, scores, kind
         self.longest = max(map(len, pieces), default=1)
         self.unknown_score = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
-        self.pairs: dict[tuple[str, str], bool] = {}
+        self.alphabet = set().union(*pieces) if pieces else set()
+        self.pairs: dict[int, bool] = {}
         self.most_pending = 0
 
     def merged(self, text: str) -> list[str]:
@@ -91,42 +92,54 @@ class StreamingViterbi:
         return parts
 
     def fits(self, left: str, right: str) -> bool:
-        key = left, right
-        if (known := self.pairs.get(key)) is None:
-            if len(self.pairs) > CACHE_PAIRS:
-                self.pairs.clear()
-            known = self.pairs[key] = self.merged(left + right) == [left, right]
-        return known
+        """Whether merging ``left + right`` gives these two pieces."""
+        return self.merged(left + right) == [left, right]
+
+    def last_by_sum(self, text: str, i: int, base: int, back: list[int], value: list[float]) -> tuple[int, float]:
+        """Where the best piece that ends at ``i`` begins, and the value of the path with it."""
+        start, best = i - 1, value[i - 1 - base] + self.scores.get(text[i - 1], self.unknown_score)
+        for j in range(max(base, i - self.longest), i - 1):
+            score = self.scores.get(text[j:i])
+            if score is not None and value[j - base] + score > best:
+                start, best = j, value[j - base] + score
+        return start, best
+
+    def last_by_pairs(self, text: str, i: int, base: int, back: list[int], ids: list[int]) -> tuple[int, int]:
+        """Where the one valid piece that ends at ``i`` begins, and its id (-1 for a character that no piece has)."""
+        get, pairs = self.pieces.get, self.pairs
+        for j in range(i - 1, max(base, i - self.longest) - 1, -1):
+            own = get(text[j:i])
+            if own is None:
+                if j == i - 1 and text[j] not in self.alphabet:
+                    return j, -1
+                continue
+            if j == 0 or (before := ids[j - base]) < 0:
+                return j, own
+            key = before << 32 | own
+            if (fits := pairs.get(key)) is None:
+                if len(pairs) > CACHE_PAIRS:
+                    pairs.clear()
+                fits = pairs[key] = self.fits(text[back[j - base] : j], text[j:i])
+            if fits:
+                return j, own
+        return i - 1, -1
 
     def segment(self, text: str) -> Iterator[str]:
         """The pieces of ``text`` in order, each as soon as it is certain."""
-        pieces, longest, bpe = self.pieces, self.longest, self.kind == "bpe"
+        last = self.last_by_pairs if self.kind == "bpe" else self.last_by_sum
         base = 0  # all before it is committed
         back = [0]  # back[i - base]: where the piece that ends at i begins
-        value = [0.0]  # of the best path to i
+        value = [0]  # value[i - base]: of the best path to i, or the id of its last piece
         for i in range(1, len(text) + 1):
-            start, score = i - 1, None
-            for j in range(max(base, i - longest), i):
-                piece = text[j:i]
-                if piece in pieces or j == i - 1:
-                    if bpe:
-                        if j == 0 or self.fits(text[back[j - base] : j], piece):
-                            start, score = j, 0.0
-                            break
-                    else:
-                        total = value[j - base] + self.scores.get(piece, self.unknown_score)
-                        if score is None or total > score:
-                            start, score = j, total
+            start, own = last(text, i, base, back, value)
             back.append(start)
-            value.append(score or 0.0)
-            if i - base >= 4 * longest and (i - base) % longest == 0:
+            value.append(own)
+            if i - base >= 4 * self.longest and (i - base) % self.longest == 0:
                 boundary = self.meeting(back, base, i)
                 self.most_pending = max(self.most_pending, i - base)
                 if boundary > base:
                     yield from self.path(text, back, base, boundary)
-                    keep = back[boundary - base]
                     back, value, base = back[boundary - base :], value[boundary - base :], boundary
-                    back[0] = keep
         yield from self.path(text, back, base, len(text))
 
     def meeting(self, back: list[int], base: int, i: int) -> int:
