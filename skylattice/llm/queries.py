@@ -93,3 +93,54 @@ def op3_ppm_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     return predict(docs, train(docs))
+
+
+def personal_data(docs: DataFrame, model) -> DataFrame:
+    """The columns of op4 for any table with ``doc_id`` and ``text``."""
+    from .pii_weak_supervision import BASE, KINDS, detect, joined
+
+    found = detect(docs.select("doc_id", "text"), model)
+    base = F.filter("found", lambda s: s["kind"].isin(*KINDS[:BASE]))
+
+    def count(kind: str) -> F.Column:
+        return F.size(F.filter("found", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    return found.select("doc_id", *map(count, KINDS[:BASE]), F.sha2(joined(base), 256).alias("base_sha256"), joined(F.col("found")).alias("spans"), *map(count, KINDS[BASE:]))
+
+
+@query
+def op4_pii_weak_supervision(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii_weak_supervision import train
+
+    docs = table(spark, sf_dir, "documents")
+    return personal_data(docs, train(docs))
+
+
+@query
+def op8_html_page_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_page_difference import extract_main_text
+
+    return extract_main_text(table(spark, sf_dir, "pages"))
+
+
+@query
+def op6_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .suffix_array_dedup import repeated_passages
+
+    found = repeated_passages(table(spark, sf_dir, "documents"))
+    cut = F.aggregate("cut", F.lit(0), lambda n, c: n + c["end"] - c["start"])
+    return found.select("doc_id", F.col("start").alias("start_word"), F.col("end").alias("end_word"), (F.col("end") - F.col("start")).alias("n_words"), cut.alias("n_later_words"))
+
+
+ORACLES["op6_suffix_array_dedup"] = r"""
+WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words FROM documents),
+     s AS (SELECT doc_id, words, CAST(unnest(range(0, greatest(len(words) - 49, 0))) AS INT) AS i FROM w),
+     h AS (SELECT doc_id, i, array_to_string(words[i + 1 : i + 50], ' ') AS x FROM s),
+     r AS (SELECT doc_id, i, row_number() OVER (PARTITION BY x ORDER BY doc_id, i) > 1 AS later, count(*) OVER (PARTITION BY x) AS n FROM h),
+     a AS (SELECT *, CASE WHEN i <= lag(i) OVER (PARTITION BY doc_id ORDER BY i) + 50 THEN 0 ELSE 1 END AS new FROM r WHERE n > 1),
+     b AS (SELECT *, sum(new) OVER (PARTITION BY doc_id ORDER BY i) AS island FROM a),
+     l AS (SELECT doc_id, island, i, lead(i) OVER (PARTITION BY doc_id ORDER BY i) AS next FROM b WHERE later),
+     c AS (SELECT doc_id, island, sum(least(50, coalesce(next - i, 50))) AS n FROM l GROUP BY doc_id, island)
+SELECT b.doc_id, min(b.i) AS start_word, CAST(max(b.i) + 50 AS INT) AS end_word, CAST(max(b.i) + 50 - min(b.i) AS INT) AS n_words, CAST(coalesce(any_value(c.n), 0) AS INT) AS n_later_words
+FROM b LEFT JOIN c USING (doc_id, island) GROUP BY b.doc_id, b.island
+"""
