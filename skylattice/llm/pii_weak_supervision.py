@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -78,38 +79,45 @@ def _valid(kind: str, body: Column) -> Column:
     return n <= 15
 
 
-def _proposals(text: Column, kind: str) -> Column:
-    """Matches of one kind as structs, from the text cut at them; null where the text cannot have any."""
+def _parts(text: Column, kind: str) -> Column:
+    """The text cut at the matches of one kind, which are every second part; null where it cannot have any."""
     possible = F.contains(text, F.lit("@")) if kind == "email" else text.rlike("[0-9]")
     return F.when(possible, F.split(F.regexp_replace(text, PATTERNS[kind], f"{MARK}$0{MARK}"), MARK, -1))
 
 
-def _spans(parts: Column, starts: Column, kind: str) -> Column:
-    def one(i: Column) -> Column:
-        body = F.get(parts, i)
-        return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"),
-            F.get(starts, i).alias("start"),
-            F.get(starts, i + 1).alias("end"),
-            body.alias("body"),
-            F.lower(F.right(F.get(parts, i - 1), F.lit(LEFT))).alias("left"),
-            F.lower(F.left(F.get(parts, i + 1), F.lit(RIGHT))).alias("right"),
-            _valid(kind, body).alias("valid"),
-        )
+def _let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` computed once: the optimizer does not copy it to each place that uses it."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
 
+
+def _spans(text: Column, kind: str) -> Column:
     none = F.array().cast("array<struct<kind:int,start:int,end:int,body:string,left:string,right:string,valid:boolean>>")
-    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), one)).otherwise(none)
 
+    def placed(parts: Column, starts: Column) -> Column:
+        def one(i: Column) -> Column:
+            body = F.get(parts, i)
+            return F.struct(
+                F.lit(KINDS.index(kind)).alias("kind"),
+                F.get(starts, i).alias("start"),
+                F.get(starts, i + 1).alias("end"),
+                body.alias("body"),
+                F.lower(F.right(F.get(parts, i - 1), F.lit(LEFT))).alias("left"),
+                F.lower(F.left(F.get(parts, i + 1), F.lit(RIGHT))).alias("right"),
+                _valid(kind, body).alias("valid"),
+            )
+
+        return F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), one)
+
+    def ends(parts: Column) -> Column:
+        return F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
+
+    return _let(_parts(text, kind), lambda parts: F.when(F.size(parts) > 1, _let(ends(parts), lambda starts: placed(parts, starts))).otherwise(none))
 
-def proposals(docs: DataFrame, text: str = "text", out: str = "proposals") -> DataFrame:
-    """``docs`` with an array of proposed spans; places count code points from 0, ends are exclusive."""
-    clean = F.translate(F.coalesce(F.col(text).cast("string"), F.lit("")), MARK, INSTEAD)
-    rows = docs.withColumn("__text", clean)
-    rows = rows.withColumns({f"__parts_{k}": _proposals(F.col("__text"), k) for k in KINDS})
-    starts = {f"__starts_{k}": F.aggregate(f"__parts_{k}", F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p))) for k in KINDS}
-    rows = rows.withColumns(starts)
-    rows = rows.withColumn(out, F.concat(*(_spans(F.col(f"__parts_{k}"), F.col(f"__starts_{k}"), k) for k in KINDS)))
-    return rows.drop("__text", *(f"__{x}_{k}" for x in ("parts", "starts") for k in KINDS))
+
+def _proposed(text: Column) -> Column:
+    """All proposed spans of a text; places count code points from 0, ends are exclusive."""
+    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARK, INSTEAD)
+    return _let(clean, lambda t: F.concat(*(_spans(t, k) for k in KINDS)))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -169,7 +177,7 @@ class SpanModel:
 def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> SpanModel:
     """Estimates the labelers and trains the classifier on the proposals of all rows of ``docs``."""
     spark = docs.sparkSession
-    each = proposals(docs.select(F.col(text).alias("text")), "text").select(F.explode("proposals").alias("p"))
+    each = docs.select(F.explode(_proposed(F.col(text))).alias("p"))
     columns = described(F.col("p"))
     path = f"{shared_dir(spark)}/spans-{uuid.uuid4().hex}"
     each.select(*(c.alias(("v_" if n in VOTES else "f_") + n) for n, c in columns.items())).groupBy(*(("v_" if n in VOTES else "f_") + n for n in columns)).agg(F.count("*").alias("n")).coalesce(1).write.parquet(path)
@@ -210,29 +218,28 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> SpanM
 def detect(docs: DataFrame, model: SpanModel, *, text: str = "text", out: str = "found") -> DataFrame:
     """``docs`` with an array ``out`` of spans ``kind, start, end``, by start and then kind.
 
-    Base kinds are kept if their check passes; a candidate if the classifier finds it likelier than not and it meets
-    no base span (a number also no kept secret). Null and empty texts have none.
+    Base kinds are kept if their check passes; a candidate if the classifier finds it likelier than not and all base
+    spans that it meets lie inside it (for a number the kept secrets too). Null and empty texts have none.
     """
-    marked = proposals(docs, text, "__all")
-
-    def chosen(kind: str, *taken: Column) -> Column:
-        k = KINDS.index(kind)
 
+    def chosen(every: Column, kind: str, *taken: Column) -> Column:
         def good(p: Column) -> Column:
-            free = [~F.exists(t, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])) for t in taken]
-            fine = (p["kind"] == k) & p["valid"] & (model.probability(described(p)) >= THRESHOLD)
-            for x in free:
-                fine = fine & x
+            fine = (p["kind"] == KINDS.index(kind)) & p["valid"] & (model.probability(described(p)) >= THRESHOLD)
+            for other in taken:
+                fine = fine & ~F.exists(other, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"]) & ((b["start"] <= p["start"]) | (b["end"] >= p["end"])))
             return fine
 
-        return F.filter("__all", good)
+        return F.filter(every, good)
+
+    def named(*groups: Column) -> Column:
+        places = F.transform(F.concat(*groups), lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("k"), p["end"].alias("end")))
+        return F.transform(F.array_sort(places), lambda p: F.struct(F.get(F.array(*map(F.lit, KINDS)), p["k"]).alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
+
+    def decided(every: Column) -> Column:
+        base = F.filter(every, lambda p: (p["kind"] < BASE) & p["valid"])
+        return _let(base, lambda b: _let(chosen(every, "secret", b), lambda s: named(b, s, chosen(every, "number", b, s))))
 
-    marked = marked.withColumn("__base", F.filter("__all", lambda p: (p["kind"] < BASE) & p["valid"]))
-    marked = marked.withColumn("__secret", chosen("secret", F.col("__base")))
-    marked = marked.withColumn("__number", chosen("number", F.col("__base"), F.col("__secret")))
-    places = F.transform(F.concat("__base", "__secret", "__number"), lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("k"), p["end"].alias("end")))
-    named = F.transform(F.array_sort(places), lambda p: F.struct(F.get(F.array(*map(F.lit, KINDS)), p["k"]).alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
-    return marked.withColumn(out, named).drop("__all", "__base", "__secret", "__number")
+    return docs.withColumn(out, _let(_proposed(F.col(text)), decided))
 
 
 def joined(spans: Column) -> Column:
