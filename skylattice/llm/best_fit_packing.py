@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 #: Words whose ids a worker remembers; the cache starts anew when it is full.
-CACHE_WORDS = 500_000
+CACHE_WORDS = 1_000_000
 #: Pieces that are packed together: dealt to a task on average, and held by a task at most.
 PIECES_PER_TASK = 32_768
 PIECES_AT_ONCE = 131_072
