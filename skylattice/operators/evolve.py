@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from skylattice.functions.annealing import acceptance
 from skylattice.functions.grid import Constellation, plane
 from skylattice.operators import grid, paths
 from skylattice.sources.shared import written
@@ -166,6 +167,52 @@ def genetic_search(spark: SparkSession, pairs: DataFrame, c: Constellation, size
     return out
 
 
+def greedy_fill(links: DataFrame, spark: SparkSession, c: Constellation, seed: int = 0) -> DataFrame:
+    """Gives free right ports candidates with free left ports, in the order of a hash of seed and link, to ``ind_id, src, dst``.
+
+    Each round takes the links that come first at both their ends; that is the same as going through all links in
+    order, and needs few rounds. Every round is written to the shared folder.
+    """
+    order = F.struct(F.xxhash64(F.lit(seed), "ind_id", "src", "dst"), "src", "dst")
+    current = written(links.select("ind_id", "src", "dst"))
+    offers = grid.candidates(spark, c).select("src", "dst").join(current.select("ind_id").distinct())  # the candidates of every individual
+    while True:
+        free = offers.join(current.select("ind_id", "src"), ["ind_id", "src"], "left_anti").join(current.select("ind_id", "dst"), ["ind_id", "dst"], "left_anti")
+        ordered = free.withColumn("o", order)
+        by_src = ordered.groupBy("ind_id", "src").agg(F.min("o").alias("o"))
+        by_dst = ordered.groupBy("ind_id", "dst").agg(F.min("o").alias("o"))
+        new = written(by_src.join(by_dst, ["ind_id", "o"]).select("ind_id", "src", "dst"))
+        if new.isEmpty():
+            return current
+        current = written(current.unionByName(new))
+
+
+def anneal_topologies(spark: SparkSession, pairs: DataFrame, c: Constellation, chains: int, iterations: int, start: float = 10.0, alpha: float = 0.9, seed: int = 0) -> DataFrame:
+    """``iteration, ind_id, total, accepted``: chains of topologies that each change one node at a time.
+
+    All chains are scored together in every iteration; choices are hashes, so repeated tasks choose alike.
+    """
+    pairs = written(pairs)
+    current = written(population(spark, c, chains))
+    total = written(scored(current, pairs, spark, c).groupBy("ind_id").agg(F.sum("score").alias("total")))
+    out = None
+    for k in range(iterations):
+        mark = lambda *x, k=k: F.xxhash64(F.lit(seed), F.lit(k), "ind_id", *map(F.lit, x))
+        picks = total.select("ind_id", F.pmod(mark(1), F.lit(c.size - c.slots)).cast("int").alias("src"), F.pmod(mark(2), F.lit(4)).cast("int").alias("rank"))
+        near = written(mutate(current, picks, spark, c))
+        costs = scored(near, pairs, spark, c).groupBy("ind_id").agg(F.sum("score").alias("new"))
+        chance = F.pmod(mark(3), F.lit(1 << 30)) / (1 << 30)
+        temperature = start * alpha**k
+        step = total.join(costs, "ind_id").withColumn("accepted", chance < acceptance(F.col("total"), F.col("new"), F.lit(temperature)))
+        step = written(step.select("ind_id", F.when(F.col("accepted"), F.col("new")).otherwise(F.col("total")).alias("total"), "accepted"))
+        taken = step.where("accepted").select("ind_id")
+        current = written(near.join(taken, "ind_id", "left_semi").unionByName(current.join(taken, "ind_id", "left_anti")))
+        total = step.select("ind_id", "total")
+        rows = step.select(F.lit(k).alias("iteration"), "ind_id", "total", "accepted")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
 def anneal(runs: DataFrame, cost: Callable[[float], float], low: float, high: float) -> DataFrame:
     """``run_id, iteration, x, cost, temperature, accepted`` of chains ``run_id, start_temperature, alpha, step, iterations``.
 

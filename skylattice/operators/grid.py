@@ -135,3 +135,14 @@ def potential_edges(members: DataFrame, spark: SparkSession, c: Constellation) -
     free = candidates(spark, c).select("src", "dst").join(steps)  # a fixed set of candidates at every step
     free = free.join(forced.select("step", "src"), ["step", "src"], "left_anti").join(forced.select("step", "dst"), ["step", "dst"], "left_anti")
     return forced.withColumn("forced", F.lit(True)).unionByName(free.withColumn("forced", F.lit(False)))
+
+
+def potential_grid(members: DataFrame, spark: SparkSession, c: Constellation) -> DataFrame:
+    """Possible edges at each step on the plain grid: rings and straight links to the next plane, both ways."""
+    every = bidirectional(ring_edges(spark, c).unionByName(right_links(spark, c)))
+    return every.join(members.select("step").distinct()).select("step", "src", "dst")  # a fixed grid at every step
+
+
+def inflated(rects: DataFrame, by: float) -> DataFrame:
+    """Rectangles larger by ``by`` on each side."""
+    return rects.withColumns({"xmin": F.col("xmin") - by, "ymin": F.col("ymin") - by, "xmax": F.col("xmax") + by, "ymax": F.col("ymax") + by})

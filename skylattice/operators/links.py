@@ -223,3 +223,43 @@ def difference(right: DataFrame, left: DataFrame) -> DataFrame:
 def merged(first: DataFrame, second: DataFrame, keys: list[str]) -> DataFrame:
     """Rows of both tables; where both have a key, those of the second."""
     return second.unionByName(first.join(second.select(*keys), keys, "left_anti"))
+
+
+def targets_freed(dense: DataFrame, kept: DataFrame, setup: int, start: int) -> DataFrame:
+    """``kept`` without links to a node that another node's new link takes over: none in the ``setup`` steps before it."""
+    coming = dense.withColumn("new", F.lead("dst").over(_by_node())).where("new IS NOT NULL AND NOT (dst <=> new)")
+    spread = coming.select(F.col("src").alias("taker"), F.col("new").alias("dst"), F.explode(F.sequence(F.greatest(F.lit(start), F.col("step") - setup + 1), "step")).alias("step"))
+    lost = kept.join(spread, ["step", "dst"]).where("src <> taker").select("step", "src").distinct()
+    return kept.join(lost, ["step", "src"], "left_anti")
+
+
+def extended(intervals: DataFrame, steps: int) -> DataFrame:
+    """Every link works on until its node's next set-up, or to the last step; its target's next use ends it too."""
+    ahead = F.lead("t_setup").over(Window.partitionBy("src").orderBy("t_setup"))
+    at_target = F.lead("t_setup").over(Window.partitionBy("dst").orderBy("t_setup"))
+    until = F.least(F.coalesce(ahead, F.lit(steps)), F.coalesce(at_target, F.lit(steps))) - 1
+    return intervals.select("src", "dst", "t_setup", "t_work", F.greatest("t_end", until).cast("int").alias("t_end"))
+
+
+def cleared(intervals: DataFrame, picks: DataFrame) -> DataFrame:
+    """Without the life-cycles that run through a picked place ``src, t``."""
+    hit = intervals.join(picks, "src").where(F.col("t").between(F.col("t_setup"), F.col("t_end"))).select("src", "t_setup").distinct()
+    return intervals.join(hit, ["src", "t_setup"], "left_anti")
+
+
+def established(intervals: DataFrame, wishes: DataFrame, setup: int, steps: int) -> DataFrame:
+    """Adds the wished links ``src, dst, t`` from their step on, for as long as the ports of both ends are free.
+
+    A wish needs ``setup`` steps and one to work; of wishes of one source, or of one target, the smallest comes first
+    and the others are dropped.
+    """
+    taken = intervals.select("src", "dst", "t_setup", "t_end")
+
+    def room(side: str) -> DataFrame:
+        near = wishes.alias("w").join(taken.alias("i"), (F.col(f"w.{side}") == F.col(f"i.{side}")) & (F.col("w.t") <= F.col("i.t_end")), "left")
+        return near.groupBy(*(F.col(f"w.{c}").alias(c) for c in ("src", "dst", "t"))).agg(F.coalesce(F.min("i.t_setup"), F.lit(steps)).alias(f"until_{side}"))
+
+    free = room("src").join(room("dst"), ["src", "dst", "t"]).withColumn("t_end", F.least("until_src", "until_dst") - 1).where(F.col("t_end") - F.col("t") >= setup)
+    one = free.withColumn("of_src", F.row_number().over(Window.partitionBy("src").orderBy("t", "dst"))).where("of_src = 1")
+    one = one.withColumn("of_dst", F.row_number().over(Window.partitionBy("dst").orderBy("t", "src"))).where("of_dst = 1")
+    return intervals.unionByName(one.select("src", "dst", F.col("t").alias("t_setup"), (F.col("t") + setup).cast("int").alias("t_work"), F.col("t_end").cast("int")))

@@ -152,7 +152,17 @@ def k_shortest_paths(edges: DataFrame, pairs: DataFrame, k: int) -> DataFrame:
         return pd.DataFrame(rows, columns=["graph", "src", "dst", "rank", "cost", "path"])
 
     schema = "graph long, src int, dst int, rank int, cost long, path string"
-    return edges.groupBy("graph").cogroup(pairs.groupBy("graph")).applyInPandas(run, schema)
+    apart = pairs.withColumnRenamed("graph", "of") if "graph" in pairs.columns else pairs
+    return edges.groupBy("graph").cogroup(apart.groupBy("of")).applyInPandas(run, schema)
+
+
+def shortest_path_nodes(edges: DataFrame, pairs: DataFrame) -> DataFrame:
+    """``step, src, dst, hops, path`` of the asked pairs: the first by its nodes of all shortest paths; pairs without one have no row."""
+    names, graphs = distinct_topologies(edges)
+    wanted = pairs.join(names, "step")
+    unit = graphs.select(F.col("topo").alias("graph"), F.col("src").alias("u"), F.col("dst").alias("v"), F.lit(1).alias("cost"))
+    found = k_shortest_paths(unit, wanted.select(F.col("topo").alias("of"), "src", "dst").distinct(), 1)
+    return wanted.join(found.withColumnRenamed("graph", "topo"), ["topo", "src", "dst"]).select("step", "src", "dst", F.col("cost").cast("int").alias("hops"), "path")
 
 
 def betweenness(edges: DataFrame, ends: DataFrame) -> DataFrame:

@@ -116,6 +116,17 @@ def genetic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve.genetic_search(spark, pairs, C, 6, 2)
 
 
+@plan()
+def greedy_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return evolve.greedy_fill(evolve.population(spark, C, 4).where("src % 3 = 0"), spark, C)
+
+
+@plan()
+def anneal_topologies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = paths.region_pairs(fx.groups(spark, sf_dir).where("step = 5"), 0, 4)
+    return evolve.anneal_topologies(spark, pairs, C, 4, 3)
+
+
 _WORLD = """WITH c AS (SELECT CAST(r // 4 AS INT) AS i, CAST(r % 4 AS INT) AS j FROM range(16) AS q(r)),
 m(k, action, di, dj) AS (VALUES (0, 'up', -1, 0), (1, 'down', 1, 0), (2, 'left', 0, -1), (3, 'right', 0, 1)),
 t AS (SELECT i, j, action, k AS "rank", least(greatest(i + di, 0), 3) AS ni, least(greatest(j + dj, 0), 3) AS nj, -1.0::DOUBLE AS reward FROM c, m WHERE NOT (i = 0 AND j = 0) AND NOT (i = 3 AND j = 3)),

@@ -258,3 +258,14 @@ def reanchor_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.reanchor_steps(fx.groups(spark, sf_dir), C)
 
 
+
+
+@plan("""SELECT st.step, src, dst FROM (SELECT DISTINCT step FROM gv) AS st, (SELECT src, dst FROM ring UNION SELECT dst, src FROM ring
+UNION SELECT id, CAST(id + 10 AS INT) FROM node WHERE x < 9 UNION SELECT CAST(id + 10 AS INT), id FROM node WHERE x < 9)""")
+def potential_grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.potential_grid(fx.groups(spark, sf_dir), spark, C)
+
+
+@plan("SELECT gid, xmin - 0.5::DOUBLE AS xmin, xmax + 0.5::DOUBLE AS xmax, ymin - 0.5::DOUBLE AS ymin, ymax + 0.5::DOUBLE AS ymax FROM rect")
+def inflated_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return grid.inflated(fx.rects(spark).drop("option"), 0.5)

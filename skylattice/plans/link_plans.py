@@ -66,6 +66,37 @@ def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.resolved(_dense(spark, sf_dir), labels, B, 0, T)
 
 
+_PLAIN = f"""{_DENSE}, gone AS (SELECT src, unnest(generate_series(greatest(0, step - 2), step)) AS step FROM nxt WHERE dst IS NOT NULL AND new IS NOT NULL AND dst <> new),
+kept AS (SELECT step, src, dst FROM dense WHERE dst IS NOT NULL AND (step, src) NOT IN (SELECT (step, src) FROM gone))"""
+
+
+def _plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nowhere = grid.nodes(spark, C).select("id", F.lit(-1).alias("region_id"))
+    return links.resolved(_dense(spark, sf_dir), nowhere, B, 0, T)
+
+
+@plan(f"{_PLAIN} SELECT step, src, dst FROM kept")
+def resolve_conflicts_plain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _plain(spark, sf_dir)
+
+
+@plan(f"""{_PLAIN}, d2 AS (SELECT CAST(s AS INT) AS step, id AS src, kept.dst FROM node CROSS JOIN range(24) AS r(s) LEFT JOIN kept ON kept.step = s AND kept.src = id),
+n2 AS (SELECT *, lead(dst) OVER (PARTITION BY src ORDER BY step) AS new FROM d2),
+busy AS (SELECT DISTINCT step, src FROM kept UNION SELECT step, dst FROM kept),
+e AS (SELECT step, src, dst FROM n2 WHERE dst IS NOT NULL AND new IS NULL AND step < 23),
+g AS (SELECT e.step, e.src, e.dst, coalesce((SELECT min(b.step) FROM busy AS b WHERE b.step > e.step AND b.src IN (e.src, e.dst)), 24) - 4 AS last FROM e)
+SELECT step, src, dst FROM kept UNION ALL SELECT CAST(unnest(generate_series(step + 1, last)) AS INT), src, dst FROM g WHERE last > step""")
+def resolve_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = _plain(spark, sf_dir)
+    return kept.unionByName(links.idle_extension(links.filled(kept, spark, C, 0, T), B, T))
+
+
+@plan(f"""{_PLAIN}, take AS (SELECT src AS taker, new AS dst, unnest(generate_series(greatest(0, step - 2), step)) AS step FROM nxt WHERE new IS NOT NULL AND dst IS DISTINCT FROM new AND next IS NOT NULL)
+SELECT step, src, dst FROM kept AS k WHERE NOT EXISTS (SELECT 1 FROM take AS t WHERE t.step = k.step AND t.dst = k.dst AND t.taker <> k.src)""")
+def resolve_with_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.targets_freed(_dense(spark, sf_dir), _plain(spark, sf_dir), B, 0)
+
+
 @plan(f"""{_DENSE}, busy AS (SELECT DISTINCT step, src FROM dense WHERE dst IS NOT NULL UNION SELECT step, dst FROM dense WHERE dst IS NOT NULL),
 e AS (SELECT step, src, dst FROM nxt WHERE dst IS NOT NULL AND new IS NULL AND step < 23),
 g AS (SELECT e.step, e.src, e.dst, coalesce((SELECT min(b.step) FROM busy AS b WHERE b.step > e.step AND b.src IN (e.src, e.dst)), 24) - 4 AS last FROM e)
@@ -207,3 +238,29 @@ WHERE x < 9 AND (s < 12 OR (CAST(s AS INT), id) NOT IN (SELECT (step, src) FROM
 def merge_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     first = grid.replicate(grid.right_links(spark, C), 0, 16)
     return links.merged(first, fx.links(spark, sf_dir).where("step >= 12"), ["step", "src"])
+
+
+_ZERO = f"{_SKELETON}, z AS (SELECT src, dst, t_setup, t_work, t_end FROM skel WHERE gid = 0)"
+
+
+def _zero(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _skeleton(spark, sf_dir).where("gid = 0").drop("gid")
+
+
+@plan(f"""{_ZERO} SELECT src, dst, t_setup, t_work, CAST(greatest(t_end, least(coalesce(lead(t_setup) OVER (PARTITION BY src ORDER BY t_setup), 24), coalesce(lead(t_setup) OVER (PARTITION BY dst ORDER BY t_setup), 24)) - 1) AS INT) AS t_end FROM z""")
+def maintained_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return links.extended(_zero(spark, sf_dir), T)
+
+
+@plan(f"{_ZERO} SELECT * FROM z WHERE NOT (src % 3 = 0 AND t_setup <= 10 AND t_end >= 10)")
+def cleared_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    picks = grid.nodes(spark, C).where("id % 3 = 0").select(F.col("id").alias("src"), F.lit(10).alias("t"))
+    return links.cleared(_zero(spark, sf_dir), picks)
+
+
+@plan(f"""{_ZERO}, w AS (SELECT id AS src, CAST(id + 20 AS INT) AS dst, CAST(id % 9 AS INT) AS t FROM node WHERE x < 8 AND id % 2 = 0),
+f AS (SELECT w.*, least(coalesce((SELECT min(t_setup) FROM z WHERE z.src = w.src AND w.t <= z.t_end), 24), coalesce((SELECT min(t_setup) FROM z WHERE z.dst = w.dst AND w.t <= z.t_end), 24)) - 1 AS e FROM w)
+SELECT * FROM z UNION ALL SELECT src, dst, t, CAST(t + 2 AS INT), CAST(e AS INT) FROM f WHERE e - t >= 2""")
+def established_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    wishes = grid.nodes(spark, C).where("x < 8 AND id % 2 = 0").select(F.col("id").alias("src"), (F.col("id") + 20).cast("int").alias("dst"), (F.col("id") % 9).cast("int").alias("t"))
+    return links.established(_zero(spark, sf_dir), wishes, 2, T)

@@ -176,6 +176,12 @@ def k_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.k_shortest_paths(_graph(spark), spark.sql("SELECT CAST(0 AS BIGINT) AS graph, src, 10 AS dst FROM VALUES 0, 1 AS t(src)"), 6)
 
 
+@plan(f"{_BARE} SELECT step, src, dst, hops FROM hop WHERE hops IS NOT NULL AND step IN (0, 7, 14, 21)")
+def shortest_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = paths.shortest_path_nodes(grid.bidirectional(fx.links(spark, sf_dir)), _pairs(spark, sf_dir).where("step IN (0, 7, 14, 21)"))
+    return found.select("step", "src", "dst", (F.size(F.split("path", "-")) - 1).alias("hops"))
+
+
 @plan()
 def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     names, graphs = paths.distinct_topologies(fx.topology(spark, sf_dir))
