@@ -13,7 +13,6 @@ from __future__ import annotations
 import os
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -21,6 +20,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import worker_cache
+
 #: Words whose ids a worker remembers; the cache starts anew when it is full.
 CACHE_WORDS = 1_000_000
 #: Pieces that are packed together: dealt to a task on average, and held by a task at most.
@@ -120,19 +121,13 @@ class WordIds(dict):
         return b"".join(map(self.__getitem__, raw.lower().split()))
 
 
-@cache
-def word_ids(tokenizer_file: str) -> WordIds:
-    """One cache for each Python worker, kept between its tasks."""
-    return WordIds(tokenizer_file)
-
-
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
     """One row a piece: ``doc_id, piece, start, length, ids_crc32`` and, if asked for, ``ids`` (packed, binary)."""
     rows = docs.select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
     end = np.array([END_OF_TEXT], dtype="<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = word_ids(tokenizer_file)
+        words = worker_cache(f"ids {tokenizer_file}", lambda: WordIds(tokenizer_file))
         for batch in batches:
             out = []
             for doc, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):

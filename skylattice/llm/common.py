@@ -3,9 +3,23 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Callable
+from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+T = TypeVar("T")
+_CACHES: dict[str, object] = {}
+
+
+def worker_cache(name: str, make: Callable[[], T]) -> T:
+    """One operator's cache in this Python worker, kept between its tasks; asking for it drops those of other operators."""
+    for other in [k for k in _CACHES if k != name]:
+        del _CACHES[other]
+    if name not in _CACHES:
+        _CACHES[name] = make()
+    return _CACHES[name]
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the tables under ``sf_dir``, read by Spark."""

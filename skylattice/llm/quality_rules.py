@@ -14,12 +14,13 @@ from __future__ import annotations
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import worker_cache
+
 #: Words whose tokens a worker remembers; the cache starts anew when it is full.
 CACHE_WORDS = 400_000
 SYMBOLS = "#*$%&|<>"
@@ -89,7 +90,7 @@ def script_of(text: str) -> str:
 
 
 class WordTokens(dict):
-    """Token ids of words under a SentencePiece vocabulary; misses of a document are encoded together."""
+    """Packed token ids of words under a SentencePiece vocabulary; misses of a document are encoded together."""
 
     def __init__(self, model_file: str):
         import sentencepiece
@@ -103,10 +104,10 @@ class WordTokens(dict):
             self.clear()
         if missing := [w for w in counts if w not in self]:
             for word, ids in zip(missing, self.pieces.encode([w.decode("utf-8") for w in missing], num_threads=1), strict=True):
-                self[word] = ids
+                self[word] = np.array(ids, dtype=np.int32).tobytes()
         each = [self[w] for w in counts]
-        weights = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), [len(x) for x in each])
-        ids = np.fromiter((i for x in each for i in x), np.int64, len(weights))
+        weights = np.repeat(np.fromiter(counts.values(), np.int64, len(counts)), np.fromiter(map(len, each), np.int64, len(each)) // 4)
+        ids = np.frombuffer(b"".join(each), dtype=np.int32)
         total = int(weights.sum())
         if not total:
             return 0, 0.0, 0.0
@@ -140,12 +141,6 @@ def measure(text: str | None, lang: str | None, tokens: WordTokens) -> tuple:
     return len(words), word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, base_failed, bool(kept), script, n_tokens, per_token, byte_share, entropy
 
 
-@cache
-def word_tokens(model_file: str) -> WordTokens:
-    """One cache for each Python worker, kept between its tasks."""
-    return WordTokens(model_file)
-
-
 def quality_measures(docs: DataFrame, model_file: str, *, text: str = "text", lang: str | None = "lang", carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
     """``carry`` columns and the columns of ``MEASURES`` for each row of ``docs``.
 
@@ -161,7 +156,7 @@ def quality_measures(docs: DataFrame, model_file: str, *, text: str = "text", la
     kept = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = word_tokens(model_file)
+        tokens = worker_cache(f"tokens {model_file}", lambda: WordTokens(model_file))
         for batch in batches:
             langs = batch.column(kept + 1).to_pylist() if lang_there else [None] * batch.num_rows
             measured = [measure(t, x, tokens) for t, x in zip(batch.column(kept).to_pylist(), langs, strict=True)]

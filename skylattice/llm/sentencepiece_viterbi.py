@@ -22,12 +22,13 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
-from functools import cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from .common import worker_cache
+
 #: Stretches and pairs of pieces that a worker remembers; a cache starts anew when it is full.
 CACHE_STRETCHES = 1_000_000
 CACHE_PAIRS = 1_000_000
@@ -218,10 +219,9 @@ class Codec(dict):
         return text[1:] if text.startswith(" ") else text
 
 
-@cache
 def codec(model_file: str) -> Codec:
     """One for each Python worker, kept between its tasks."""
-    return Codec(model_file)
+    return worker_cache(f"codec {model_file}", lambda: Codec(model_file))
 
 
 def _column_type(df: DataFrame, name: str) -> str:

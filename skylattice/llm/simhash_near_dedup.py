@@ -96,7 +96,9 @@ def fingerprint_links(distinct: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints ``fp`` that join all that differ by at most three bits."""
     # variant v of a segment: bit v is the wildcard, or none if v is SEGMENT_BITS
     variants = F.sequence(F.lit(0), F.lit(SEGMENTS * (SEGMENT_BITS + 1) - 1))
-    keyed = distinct.select("fp", F.explode(variants).alias("k")).selectExpr(
+    # a fingerprint takes little room but becomes 66 rows: spread them first
+    tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    keyed = distinct.repartition(tasks, "fp").select("fp", F.explode(variants).alias("k")).selectExpr(
         "fp", "k", f"CAST(k % {SEGMENT_BITS + 1} AS INT) AS v", f"shiftrightunsigned(fp, CAST(k div {SEGMENT_BITS + 1} AS INT) * {SEGMENT_BITS}) & {2**SEGMENT_BITS - 1}L AS seg"
     )
     keyed = keyed.selectExpr(
@@ -132,4 +134,8 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 def near_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` whose ``key`` is the smallest of their component, once each, with their columns as they are."""
     first = near_duplicates(docs, key=key, text=text).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(first, key, "left_semi").dropDuplicates([key]).select(*docs.columns)
+    kept = docs.join(first, key, "left_semi").select(*docs.columns)
+    often = persisted(docs.groupBy(key).count().where("count > 1").select(key))
+    if often.isEmpty():
+        return kept
+    return kept.join(often, key, "left_anti").unionByName(kept.join(often, key, "left_semi").dropDuplicates([key])).select(*docs.columns)

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persisted
+from .common import persisted, worker_cache
 
 LENGTH, ANCHOR = 50, 8
 #: Words whose hashes a worker remembers; the cache starts anew when it is full.
@@ -47,9 +47,6 @@ class WordHashes(dict):
         return found
 
 
-_WORDS = WordHashes()
-
-
 def _powers(base: int, n: int) -> np.ndarray:
     out = np.full(n, base, dtype=np.uint64)
     out[0] = 1
@@ -68,9 +65,9 @@ def word_list(text: str | None) -> list[bytes]:
 class Hashes:
     """Hashes of any runs of a document's words."""
 
-    def __init__(self, words: list[bytes]):
+    def __init__(self, words: list[bytes], known: WordHashes):
         n = len(words)
-        own = np.fromiter(map(_WORDS.__getitem__, words), dtype=np.uint64, count=n)
+        own = np.fromiter(map(known.__getitem__, words), dtype=np.uint64, count=n)
         self.sums = np.zeros(n + 1, dtype=np.uint64)
         np.add.accumulate(own * _powers(_BASE, n), out=self.sums[1:])
         self.down = _powers(_INVERSE, n)
@@ -92,27 +89,30 @@ def minimisers(hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = worker_cache("word hashes", WordHashes)
     for batch in batches:
-        ids, found = [], []
+        ids, found, often = [], [], []
         for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
             words = word_list(text)
             if len(words) >= LENGTH:
-                anchors, chosen = minimisers(Hashes(words))
-                own = anchors[np.unique(chosen)]
+                anchors, chosen = minimisers(Hashes(words, known))
+                own, times = np.unique(anchors[np.unique(chosen)], return_counts=True)
                 found.append(own)
+                often.append(np.minimum(times, 2).astype(np.int32))
                 ids.append(np.full(len(own), doc, dtype=np.int64))
         if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).view(np.int64))], names=["doc_id", "anchor"])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(often))], names=["doc_id", "anchor", "n"])
 
 
 def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    known = worker_cache("word hashes", WordHashes)
     for batch in batches:
         columns: list[list] = [[], [], [], [], []]
         for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
             words = word_list(text)
             if len(words) < LENGTH:
                 continue
-            hashes = Hashes(words)
+            hashes = Hashes(words, known)
             anchors, chosen = minimisers(hashes)
             windows = hashes.runs(LENGTH)
             first = np.flatnonzero(np.diff(chosen, prepend=-1))
@@ -216,8 +216,8 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     rows are reported once.
     """
     rows = docs.where(F.col(key).isNotNull()).select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    anchors = persisted(rows.mapInArrow(_anchors, "doc_id long, anchor long"))
-    often = anchors.groupBy("anchor").agg(F.count("*").alias("n")).where("n > 1").select("anchor")
+    anchors = persisted(rows.mapInArrow(_anchors, "doc_id long, anchor long, n int"))
+    often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
     wanted = anchors.join(often, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
     found = persisted(rows.join(wanted, "doc_id").mapInArrow(_stretches, "doc_id long, start int, anchor long, stretch long, windows array<bigint>"))
 
