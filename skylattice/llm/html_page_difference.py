@@ -164,7 +164,8 @@ def _alike(a: str, b: str) -> int:
 
 
 def _nearest(before: dict | None, page: dict, after: dict | None) -> dict | None:
-    near = [x for x in (before, after) if x is not None and x["host"] == page["host"] and x["bucket"] == page["bucket"]]
+    """The neighbour with more leading path segments in common; a copy of the page itself shows nothing and is no partner."""
+    near = [x for x in (before, after) if x is not None and x["host"] == page["host"] and x["bucket"] == page["bucket"] and x["lines"] != page["lines"]]
     return max(near, key=lambda x: _alike(x["path"], page["path"]), default=None)
 
 
@@ -198,9 +199,9 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
     ``text`` joins the blocks of the main text by line feeds and is empty if there is none (null or empty html among
-    them). Null urls count as one host. Repeated rows are neighbours of each other and give the same text each. Host
-    and path decide the order, then id and url; of two neighbours with as many leading path segments in common the
-    earlier is the partner.
+    them). Null urls count as one host. Host and path decide the order, then id and url; of two neighbours with as many
+    leading path segments in common the earlier is the partner. A neighbour with the same lines throughout (a repeated
+    row, a copy) is no partner, as it would delete everything.
     """
     spark = pages.sparkSession
     rows = pages.select(pages[key].cast("long").alias("page_id"), pages[url].cast("string").alias("url"), pages[body].cast("string").alias("html"))

@@ -21,8 +21,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 ORDER = 4
-#: Labelled documents that a language is learned from, on average at most (a sample by hash of the id), and bytes of each.
-SAMPLE_DOCS, SAMPLE_BYTES = 1500, 16_384
+#: Labelled documents that a language is learned from, on average at most: a sample by hash of the id, of whole texts.
+SAMPLE_DOCS = 1500
+#: Bytes of one language that are counted at once while learning.
+BYTES_AT_ONCE = 4_000_000
 UNKNOWN = "und"
 #: Code lengths that are held at once while scoring.
 NUMBERS_AT_ONCE = 4_000_000
@@ -157,10 +159,10 @@ def held_out(key: str = "doc_id") -> F.Column:
     return F.crc32(F.coalesce(F.col(key).cast("string"), F.lit("")).cast("binary")) % 4 == 2
 
 
-def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS, sample_bytes: int = SAMPLE_BYTES) -> Model:
+def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str = "lang", sample_docs: int = SAMPLE_DOCS) -> Model:
     """Counts the context trees of each language over its sample of the rows that are not held out.
 
-    The counts that reach the driver are bounded by the sample: ``sample_docs * sample_bytes`` windows a language.
+    What reaches the driver are the distinct windows of ``sample_docs`` whole texts a language, however large the table.
     """
     labelled = docs.where(~held_out(key) & F.col(lang).isNotNull() & F.col(text).isNotNull())
     per_language = {r[0]: r[1] for r in labelled.groupBy(lang).count().orderBy(lang).collect()}
@@ -171,13 +173,19 @@ def train(docs: DataFrame, *, key: str = "doc_id", text: str = "text", lang: str
     sampled = labelled.where(F.pmod(F.xxhash64(key), F.lit(scale)) < share[F.col(lang)]).select(F.col(lang).alias("lang"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def counts(name: str, bodies: list[bytes]) -> pa.RecordBatch:
+            keys, times = np.unique(np.concatenate([windows(np.frombuffer(b, dtype=np.uint8)) for b in bodies]), return_counts=True)
+            return pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "k", "n"])
+
+        by: dict[str, list[bytes]] = {}
         for batch in batches:
-            by: dict[str, list[bytes]] = {}
             for name, body in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                by.setdefault(name, []).append(_PAD + prepared(body)[:sample_bytes])
-            for name, bodies in by.items():
-                keys, times = np.unique(np.concatenate([windows(np.frombuffer(b, dtype=np.uint8)) for b in bodies]), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array([name] * len(keys), pa.string()), pa.array(keys.astype(np.int64)), pa.array(times.astype(np.int64))], names=["lang", "k", "n"])
+                held = by.setdefault(name, [])
+                held.append(_PAD + prepared(body))
+                if sum(map(len, held)) > BYTES_AT_ONCE:
+                    yield counts(name, by.pop(name))
+        for name, bodies in by.items():
+            yield counts(name, bodies)
 
     counted = sampled.mapInArrow(run, "lang string, k long, n long").groupBy("lang", "k").agg(F.sum("n").alias("n")).toArrow()
     names, keys, times = (counted.column(i).to_numpy(zero_copy_only=False) for i in range(3))
