@@ -15,15 +15,19 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Pages that a task gets on average, the most ranges, and keys sampled for each range's bound.
-PAGES_PER_TASK, MOST_RANGES, SAMPLE_PER_RANGE = 2048, 4096, 24
+PAGES_PER_TASK, MOST_RANGES, SAMPLE_PER_RANGE = 2048, 65_536, 24
+#: Pages of a batch that are Python objects at once.
+PAGES_AT_ONCE = 64
 
 #: Elements of the public HTML standard by what they mean here.
 BLOCKS = frozenset(
@@ -177,7 +181,7 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     page: dict | None = None
     rows: list[tuple] = []
     size = 0
-    for batch in batches:
+    for batch in (b.slice(at, PAGES_AT_ONCE) for b in batches for at in range(0, b.num_rows, PAGES_AT_ONCE)):
         for after in batch.to_pylist():
             after["lines"] = lines_of(after.pop("html"))
             if page is not None and not page["context"]:
@@ -195,6 +199,26 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield done(rows)
 
 
+def _bounds(rows: DataFrame, total: int, ranges: int) -> list[tuple]:
+    """Where each range but the first begins, from a sample by hash of about ``ranges * SAMPLE_PER_RANGE`` places."""
+    scale = 1 << 30
+    share = min(scale, -(-scale * ranges * SAMPLE_PER_RANGE // max(1, total)))
+    sample = sorted(tuple(r[0]) for r in rows.where(F.pmod(F.xxhash64("place"), F.lit(scale)) < share).select("place").distinct().collect())
+    return [sample[len(sample) * k // ranges] for k in range(1, ranges)] if sample else []
+
+
+def _bucket(bounds: list[tuple], spark: SparkSession) -> Column:
+    """The range that a row's ``place`` is in; only the place goes to Python, and the bounds are looked up by bisection."""
+    shared = spark.sparkContext.broadcast(bounds)
+
+    @F.pandas_udf("int")
+    def find(host: pd.Series, path: pd.Series, page: pd.Series, address: pd.Series) -> pd.Series:
+        limits = shared.value
+        return pd.Series([bisect_right(limits, x) for x in zip(host, path, page.tolist(), address, strict=True)], dtype="int32")
+
+    return find("place.host", "place.path", "place.id", "place.address")
+
+
 def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", body: str = "html", pages_per_task: int = PAGES_PER_TASK) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
@@ -210,17 +234,10 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
         {"host": F.lower(F.regexp_extract(address, "^[A-Za-z][A-Za-z0-9+.-]*://([^/?#]*)", 1)), "path": F.regexp_extract(address, "^(?:[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*)?([^?#]*)", 1)}
     ).withColumn("place", F.struct("host", "path", F.coalesce("page_id", F.lit(0)).alias("id"), address.alias("address")))
 
-    ranges = min(MOST_RANGES, max(1, -(-rows.count() // pages_per_task)))
-    bounds = []
-    if ranges > 1:
-        sample = sorted(tuple(r[0]) for r in rows.select("place").orderBy(F.xxhash64("place")).limit(ranges * SAMPLE_PER_RANGE).collect())
-        bounds = [sample[len(sample) * k // ranges] for k in range(1, ranges)]
+    total = rows.count()
+    ranges = min(MOST_RANGES, max(1, -(-total // pages_per_task)))
+    rows = rows.withColumn("bucket", _bucket(_bounds(rows, total, ranges), spark) if ranges > 1 else F.lit(0))
     place = "struct<host:string,path:string,id:bigint,address:string>"
-    if bounds:
-        listed = F.array(*(F.struct(F.lit(h).alias("host"), F.lit(p).alias("path"), F.lit(i).cast("long").alias("id"), F.lit(a).alias("address")) for h, p, i, a in bounds))
-        rows = rows.withColumn("bucket", F.size(F.filter(listed, lambda b: b <= F.col("place"))))
-    else:
-        rows = rows.withColumn("bucket", F.lit(0))
     ends = sorted((r.bucket, r.low, r.high) for r in rows.groupBy("bucket").agg(F.min("place").alias("low"), F.max("place").alias("high")).collect())
     extra = [(tuple(ends[k][1]), ends[k - 1][0]) for k in range(1, len(ends))] + [(tuple(ends[k][2]), ends[k + 1][0]) for k in range(len(ends) - 1)]
     all_rows = rows.withColumn("context", F.lit(False))
