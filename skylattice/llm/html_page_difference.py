@@ -24,8 +24,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Pages that a task gets on average, the most ranges, and keys sampled for each range's bound.
-PAGES_PER_TASK, MOST_RANGES, SAMPLE_PER_RANGE = 2048, 65_536, 24
+#: Pages of a task and ranges of a task on average (several, so that tasks get about as much each), the most ranges, and
+#: places sampled for each range's bound.
+PAGES_PER_TASK, RANGES_PER_TASK, MOST_RANGES, SAMPLE_PER_RANGE = 2048, 16, 65_536, 12
 #: Pages of a batch that are Python objects at once.
 PAGES_AT_ONCE = 64
 
@@ -235,7 +236,8 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     ).withColumn("place", F.struct("host", "path", F.coalesce("page_id", F.lit(0)).alias("id"), address.alias("address")))
 
     total = rows.count()
-    ranges = min(MOST_RANGES, max(1, -(-total // pages_per_task)))
+    tasks = max(1, -(-total // pages_per_task))
+    ranges = min(MOST_RANGES, 1 if tasks == 1 else tasks * RANGES_PER_TASK)
     rows = rows.withColumn("bucket", _bucket(_bounds(rows, total, ranges), spark) if ranges > 1 else F.lit(0))
     place = "struct<host:string,path:string,id:bigint,address:string>"
     ends = sorted((r.bucket, r.low, r.high) for r in rows.groupBy("bucket").agg(F.min("place").alias("low"), F.max("place").alias("high")).collect())
@@ -246,5 +248,5 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
         also = spark.createDataFrame(extra, f"place {place}, target int")
         context = rows.join(F.broadcast(also), "place").dropDuplicates(["place", "target"]).withColumn("bucket", F.col("target")).withColumn("context", F.lit(True))
         all_rows = all_rows.unionByName(context.select(*all_rows.columns))
-    dealt = all_rows.repartition(ranges, "bucket").sortWithinPartitions("bucket", "place", "context").select("page_id", "url", "html", "host", "path", "bucket", "context")
+    dealt = all_rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "place", "context").select("page_id", "url", "html", "host", "path", "bucket", "context")
     return dealt.mapInArrow(_texts, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))
