@@ -21,8 +21,8 @@ def connected_components(links: DataFrame) -> DataFrame:
 
     Alternates the large-star and small-star steps: every node hands its larger, then its smaller neighbours to the
     least one, until nothing changes, which takes about as many rounds as the logarithm of the graph's diameter. Each
-    round is written to the shared folder. Least neighbours are pre-aggregated, so a node with very many links is
-    spread over the joins' split partitions. Self-links and repeated links do no harm; no links give no rows.
+    round is written to the shared folder. Least neighbours are pre-aggregated and written before the first join, so it
+    can split the rows of a node with very many links. Self-links and repeated links do no harm; no links give no rows.
     """
     links = persisted(links.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct())
     nodes = links
@@ -30,7 +30,7 @@ def connected_components(links: DataFrame) -> DataFrame:
     state = None
     while True:
         pairs = _both_ways(links)
-        least = pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m"))
+        least = persisted(pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
         large = pairs.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.where("a > b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))

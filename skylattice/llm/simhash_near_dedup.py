@@ -96,9 +96,10 @@ def fingerprint_links(distinct: DataFrame, *, block: int = BLOCK) -> DataFrame:
     """Links ``a, b`` between distinct fingerprints ``fp`` that join all that differ by at most three bits."""
     # variant v of a segment: bit v is the wildcard, or none if v is SEGMENT_BITS
     variants = F.sequence(F.lit(0), F.lit(SEGMENTS * (SEGMENT_BITS + 1) - 1))
-    # a fingerprint takes little room but becomes 66 rows: spread them first
+    # a fingerprint takes little room but becomes 66 rows: spread them first, by a hash of their own, as adaptive
+    # execution would merge partitions by size
     tasks = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = distinct.repartition(tasks, "fp").select("fp", F.explode(variants).alias("k")).selectExpr(
+    keyed = distinct.repartition(tasks, F.xxhash64("fp")).select("fp", F.explode(variants).alias("k")).selectExpr(
         "fp", "k", f"CAST(k % {SEGMENT_BITS + 1} AS INT) AS v", f"shiftrightunsigned(fp, CAST(k div {SEGMENT_BITS + 1} AS INT) * {SEGMENT_BITS}) & {2**SEGMENT_BITS - 1}L AS seg"
     )
     keyed = keyed.selectExpr(
@@ -107,7 +108,8 @@ def fingerprint_links(distinct: DataFrame, *, block: int = BLOCK) -> DataFrame:
         f"IF(v = {SEGMENT_BITS}, NULL, shiftrightunsigned(seg, v) & 1L) AS bit",
     )
     sizes = keyed.groupBy("key").agg(F.count("*").alias("n"), F.sum("bit").alias("ones"))
-    open_keys = sizes.where("n > 1 AND (ones IS NULL OR ones BETWEEN 1 AND n - 1)").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks"))
+    # written first, so that the join can split the rows of a key with very many fingerprints
+    open_keys = persisted(sizes.where("n > 1 AND (ones IS NULL OR ones BETWEEN 1 AND n - 1)").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
     cells = keyed.join(open_keys, "key").select("key", "fp", mine.alias("i"), other.alias("j"))
