@@ -23,13 +23,15 @@ from .common import worker_cache
 
 #: Words whose tokens a worker remembers; the cache starts anew when it is full.
 CACHE_WORDS = 400_000
+#: Tokens beyond which more entropy is not asked for: that of a text levels off while the logarithm of its length grows.
+ENTROPY_TOKENS = 4096
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
 
 @dataclass(frozen=True)
 class Band:
-    """Limits between which a text is accepted. Entropy is compared with ``log2`` of the token count at most."""
+    """Limits between which a text is accepted. Entropy is compared with ``log2`` of the token count, of ``ENTROPY_TOKENS`` at most."""
 
     min_chars_per_token: float
     max_chars_per_token: float
@@ -135,7 +137,7 @@ def measure(text: str | None, lang: str | None, tokens: WordTokens) -> tuple:
         not base_failed
         and band.min_chars_per_token <= per_token <= band.max_chars_per_token
         and byte_share <= band.max_byte_share
-        and entropy >= band.min_entropy_share * np.log2(n_tokens + 1)
+        and entropy >= band.min_entropy_share * np.log2(min(n_tokens, ENTROPY_TOKENS) + 1)
         and n_symbols <= band.max_symbol_share * word_chars
     )
     return len(words), word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, base_failed, bool(kept), script, n_tokens, per_token, byte_share, entropy

@@ -1,3 +1,4 @@
+import random
 import re
 from collections import Counter
 
@@ -46,3 +47,15 @@ def test_rows_and_edge_cases(spark):
 def test_junk_has_low_fertility_and_is_rejected():
     junk = " ".join(f"{a}{b}###" for a, b in zip("abcdefghijklmnopqrstuvwxyz" * 2, "zyxwvutsrqponmlkjihgfedcba" * 2))
     assert measure(junk, "en", TOKENS)[6] is False
+
+
+def test_length_alone_rejects_no_clean_text():
+    rng = random.Random(3)
+    syllables = "the of and tion ing er ha re in on at en es or ti th ly an nd st".split()
+    words = ["".join(rng.choice(syllables) for _ in range(rng.randint(1, 3))) for _ in range(120)]
+    text = " ".join(rng.choice(words) for _ in range(2000))
+    assert measure(text, "en", TOKENS)[6] is True
+    joined = measure("\n".join([text, *(" ".join(rng.choice(words) for _ in range(2000)) for _ in range(300))]), "en", TOKENS)
+    assert joined[8] > 1_000_000 and joined[11] < 0.45 * 20 and joined[6] is True
+    few = measure(" ".join(rng.choice(words[:12]) for _ in range(100_000)), "en", TOKENS)
+    assert not few[5] and few[11] < 5.4 and few[6] is False
