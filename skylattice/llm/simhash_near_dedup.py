@@ -30,6 +30,12 @@ MOST_BITS = 3
 SEGMENTS, SEGMENT_BITS = 2, 32
 #: Fingerprints of one key that are compared together; larger groups are compared block by block.
 BLOCK = 2048
+#: Words of a shingle and least Jaccard index where a stage removes similar texts; bands and least values of each, which
+#: find a pair at 0.8 with a chance of 0.996; sets compared together.
+TEXT_SHINGLE, SIMILARITY = 5, 0.8
+BANDS, BAND_ROWS = 24, 7
+SET_BLOCK = 128
+_FACTORS = np.random.default_rng(SEED).integers(1, 1 << 63, size=BANDS * BAND_ROWS, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
 
@@ -133,11 +139,125 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def near_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose ``key`` is the smallest of their component, once each, with their columns as they are."""
-    first = near_duplicates(docs, key=key, text=text).where("doc_id = component_id").select(F.col("doc_id").alias(key)).distinct()
-    kept = docs.join(first, key, "left_semi").select(*docs.columns)
-    often = persisted(docs.groupBy(key).count().where("count > 1").select(key))
+def _words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").translate(_LOWER).split()
+
+
+def shingle_hashes(words: list[bytes], shingle: int) -> np.ndarray:
+    """Distinct hashes of the runs of ``shingle`` words, sorted; shorter texts are one run, texts without words have none."""
+    if not words:
+        return np.zeros(0, dtype=np.uint64)
+    runs = map(b" ".join, zip(*(words[i:] for i in range(shingle)))) if len(words) >= shingle else [b" ".join(words)]
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, runs, repeat(SEED)), dtype=np.uint64))
+
+
+def band_keys(hashes: np.ndarray) -> list[int]:
+    """A key for each band: texts share it if all ``BAND_ROWS`` least values of the band are equal."""
+    least = np.full(len(_FACTORS), np.iinfo(np.uint64).max, dtype=np.uint64)
+    for at in range(0, len(hashes), 1024):
+        least = np.minimum(least, (hashes[at : at + 1024, None] * _FACTORS[None, :]).min(axis=0))
+    bands = least.reshape(BANDS, BAND_ROWS)
+    return [xxhash.xxh64_intdigest(band.tobytes(), k) - (1 << 63) for k, band in enumerate(bands)]
+
+
+def _jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int, int]]:
+    """Pairs of positions that join all sets with a Jaccard index of ``similarity`` or more, at most one a set."""
+    n = len(sets)
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    values, at = np.unique(np.concatenate(sets), return_inverse=True) if sizes.sum() else (np.zeros(0), np.zeros(0, np.int64))
+    owner = np.repeat(np.arange(n), sizes)
+    shared = np.bincount(at, minlength=len(values)) > 1  # a hash that one set has adds to no intersection
+    columns = np.cumsum(shared) - 1
+    both = np.zeros((n, n), dtype=np.int64)
+    keep = shared[at]
+    owner, column = owner[keep], columns[at[keep]]
+    order = np.argsort(column, kind="stable")
+    owner, column = owner[order], column[order]
+    width = min(8192, int(shared.sum()))
+    for first in range(0, int(shared.sum()), 8192):
+        low, high = np.searchsorted(column, (first, first + 8192))
+        part = np.zeros((n, width), dtype=np.float32)
+        part[owner[low:high], column[low:high] - first] = 1.0
+        both += (part @ part.T).astype(np.int64)
+    union = sizes[:, None] + sizes[None, :] - both
+    near = (both >= similarity * union - 1e-9) | np.eye(n, dtype=bool)
+    label = np.arange(n)
+    while True:
+        least = np.where(near, label[None, :], n).min(axis=1)
+        least = least[least]
+        if np.array_equal(least, label):
+            return [(int(x), i) for i, x in enumerate(label) if x != i]
+        label = least
+
+
+def similar_components(docs: DataFrame, *, text: str, row: str, shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, block: int = SET_BLOCK) -> DataFrame:
+    """``h, first, root``: classes of equal word sequences, their first row, and the component of similar classes.
+
+    ``row`` is a struct that orders the rows. Classes that share a band key are candidates; all members of a key and of
+    keys with the same least member are compared exactly, block by block.
+    """
+    rows = docs.select(docs[row].alias("row"), docs[text].alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+
+    def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            words = [_words(t) for t in batch.column(1).to_pylist()]
+            names = [xxhash.xxh128_hexdigest(b" ".join(w)) for w in words]
+            keys = [band_keys(shingle_hashes(w, shingle)) if w else [] for w in words]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "h", "bands"])
+
+    found = rows.mapInArrow(sketch, f"row {kind}, h string, bands array<bigint>")
+    classes = persisted(found.groupBy("h").agg(F.min("row").alias("first"), F.first("bands").alias("bands")))
+    keyed = classes.select("h", F.explode("bands").alias("key"))
+    open_keys = persisted(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("star")).where("n > 1").select("key", "star"))
+    members = persisted(keyed.join(open_keys, "key").select("star", "h").distinct())
+    blocks = persisted(members.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    wanted = members.select("h").distinct().join(classes.select("h", "first"), "h").select("h", F.col("first").alias("row"))
+
+    def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingle_hashes(_words(t), shingle).view(np.int64) for t in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["h", "shingles"])
+
+    texts = rows.join(wanted, rows["row"].eqNullSafe(wanted["row"])).select("h", "text")
+    sets = persisted(texts.mapInArrow(hashed, "h string, shingles array<bigint>").dropDuplicates(["h"]))
+    mine, other = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
+    cells = persisted(members.join(blocks, "star").select("star", "h", mine.alias("i"), other.alias("j")))
+    cells = cells.join(sets, "h").select("star", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.struct("h", "shingles").alias("member"))
+    groups = cells.groupBy("star", "i", "j").agg(F.collect_list("member").alias("members")).where("size(members) > 1").select("members")
+
+    def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            a, b = [], []
+            for group in batch.column(0):
+                names = group.values.field("h").to_pylist()
+                lists = group.values.field("shingles")
+                for x, y in _jaccard_links([np.asarray(v.values, dtype=np.int64) for v in lists], similarity):
+                    a.append(names[x])
+                    b.append(names[y])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+
+    roots = connected_components(groups.mapInArrow(linked, "a string, b string"))
+    return classes.select("h", "first").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "first", F.coalesce("root", "h").alias("root"))
+
+
+def near_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY) -> DataFrame:
+    """One row of each group of similar texts, with its columns as they are.
+
+    Texts are linked if their sets of ``shingle``-word runs have a Jaccard index of ``similarity`` or more; equal word
+    sequences always are. The row with the smallest ``key`` stays (nulls last, then by a hash of the text), so rows
+    with null or repeated ids are members like any other. At 0.8 fingerprints of 64 bits differ in some ten bits, which
+    no segments can select, so candidates come from bands of least hash values here (found with a chance of
+    ``1 - (1 - similarity**BAND_ROWS)**BANDS`` or more) and the verification is exact.
+    """
+    place = F.struct(docs[key].isNull().alias("none"), docs[key].alias("id"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("digest"))
+    rows = docs.withColumn("__row", place)
+    parts = similar_components(rows, text=text, row="__row", shingle=shingle, similarity=similarity)
+    mark = lambda at: F.concat_ws(":", F.col(f"{at}.digest"), F.col(f"{at}.id").cast("string"))
+    first = parts.groupBy("root").agg(F.min("first").alias("first")).select(mark("first").alias("__mark"))
+    marked = docs.withColumn("__row", place).select(*(docs[c] for c in docs.columns), mark("__row").alias("__mark"))
+    kept = marked.join(first, "__mark", "left_semi")
+    often = persisted(marked.groupBy("__mark").count().where("count > 1").select("__mark"))
     if often.isEmpty():
-        return kept
-    return kept.join(often, key, "left_anti").unionByName(kept.join(often, key, "left_semi").dropDuplicates([key])).select(*docs.columns)
+        return kept.select(*docs.columns)
+    return kept.join(often, "__mark", "left_anti").unionByName(kept.join(often, "__mark", "left_semi").dropDuplicates(["__mark"])).select(*docs.columns)

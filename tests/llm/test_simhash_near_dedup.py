@@ -85,3 +85,27 @@ def test_rows(spark):
     kept = near_dedup(docs)
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == sorted(set(want.values()))
     assert near_duplicates(docs.where("false")).count() == 0
+
+
+def brute_shingles(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set()
+
+
+def test_stage_finds_edited_copies_at_five_words_and_keeps_others(spark):
+    rng = random.Random(8)
+    words = [f"w{i}" for i in range(3000)]
+    rows = []
+    for k in range(60):
+        base = rng.choices(words, k=rng.randint(120, 400))
+        edited = list(base)
+        for _ in range(rng.randint(1, len(base) // 25)):
+            edited[rng.randrange(len(base))] = "changed"
+        rows += [(2 * k, " ".join(base)), (2 * k + 1, " ".join(edited))]
+    sets = {i: brute_shingles(t) for i, t in rows}
+    want = brute_components(sets, lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b]))
+    pairs = sum(want[2 * k + 1] == 2 * k for k in range(60))
+    assert 10 < pairs < 60
+    got = {r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    missed = got - set(want.values())
+    assert set(want.values()) <= got and len(missed) <= pairs // 20
