@@ -109,3 +109,11 @@ def test_stage_finds_edited_copies_at_five_words_and_keeps_others(spark):
     got = {r.doc_id for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     missed = got - set(want.values())
     assert set(want.values()) <= got and len(missed) <= pairs // 20
+
+
+def test_rows_with_null_or_repeated_ids_are_members_like_any_other(spark):
+    rng = random.Random(9)
+    a, b, c, d = (" ".join(f"{x}{rng.randrange(900)}" for _ in range(60)) for x in "abcd")
+    rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, d), (7, c), (None, d)]
+    got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+    assert got == sorted([(True, 0, a), (True, 0, b), (False, 5, c), (False, 3, d)])
