@@ -112,7 +112,7 @@ def sa_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def genetic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = paths.region_pairs(fx.groups(spark, sf_dir).where("step IN (2, 12)"), 0, 4)
+    pairs = paths.region_pairs(fx.groups(spark, sf_dir).where("step BETWEEN 2 AND 23"), 0, 4)
     return evolve.genetic_search(spark, pairs, C, 6, 2)
 
 
@@ -123,7 +123,7 @@ def greedy_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def anneal_topologies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = paths.region_pairs(fx.groups(spark, sf_dir).where("step = 5"), 0, 4)
+    pairs = paths.region_pairs(fx.groups(spark, sf_dir).where("step BETWEEN 2 AND 23"), 0, 4)
     return evolve.anneal_topologies(spark, pairs, C, 4, 3)
 
 

@@ -59,3 +59,9 @@ def test_policy_values_are_the_fixpoint(spark):
         if (i, j) not in ((0, 0), (3, 3)):
             near = [(min(3, max(0, i + a)), min(3, max(0, j + b))) for a, b in ((1, 0), (-1, 0), (0, 1), (0, -1))]
             assert abs(v - sum(-1 + 0.9 * value[n] for n in near) / 4) < 0.01
+
+
+def test_genetic_search_scores_every_step(spark):
+    first = {r.ind_id: r.total for r in QUERIES["genetic_search"](spark, SF).where("generation = 0 AND ind_id < 6").collect()}
+    want = {r.ind_id: r.total for r in QUERIES["individual_fitness"](spark, SF).collect()}
+    assert first.keys() == want.keys() and all(abs(first[i] - want[i]) < 1e-6 for i in want)
