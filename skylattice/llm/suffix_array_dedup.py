@@ -2,19 +2,20 @@
 
 A passage counts as repeated if a window of ``LENGTH`` words in it occurs somewhere else too. Suffixes are retained at
 content-selected positions only: the minimiser of a window is the position of its least ``ANCHOR``-word hash, the
-leftmost of equals, so equal windows select the same word. Suffixes are sorted by the anchor they begin with;
-those that share it are neighbours, and the match around an anchor is extended left and right as far as the windows
-through it agree. Extensions of neighbouring anchors of a document join into passages of any length.
-
-1. Anchors of all documents are counted; only those that occur twice or more go on.
-2. For each remaining anchor its *stretch*, the windows that select it, is described by one hash for the whole and one
-   for each window. Equal stretches collapse before they are shuffled (interiors of copied text mostly do).
-3. Distinct stretches are sorted by anchor and compared with their neighbours. Anchors with very many distinct
-   stretches, as at the edges of a passage that is in a third of all documents, are compared window by window in a
-   grouped aggregation instead, which no single task has to hold.
+leftmost of equals, so equal windows select the same word. Two places have a window in common exactly if their
+suffixes at its minimiser agree in its words from there on and, extended to the left, in its words before it.
+
+1. Anchors (the first ``ANCHOR`` words of retained suffixes) of all documents are counted; only those that occur twice
+   or more go on.
+2. Each remaining suffix is written with the words of its *stretch*, all windows that select it. Equal stretches
+   collapse before they are shuffled (interiors of copied text mostly do).
+3. Distinct suffixes are sorted, those with one anchor together, and neighbours are compared word by word, to the right
+   and to the left, which gives the windows that they share. Anchors with very many distinct stretches, as at the edges
+   of a passage that is in a third of all documents, are compared window by window in a grouped aggregation under
+   128-bit digests instead, which no single task has to hold. Both give the same.
 4. What was found goes back to the documents, of which the smallest (id, position) of each window is the first.
 
-Hashes have 64 bits.
+Stretches are told apart by 128 bits (anchor and stretch); the shorter hashes of step 1 only choose candidates.
 """
 
 from __future__ import annotations
@@ -27,14 +28,16 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import persisted, worker_cache
+from .common import stored, worker_cache
 
 LENGTH, ANCHOR = 50, 8
 #: Words whose hashes a worker remembers; the cache starts anew when it is full.
 CACHE_WORDS = 500_000
 #: Distinct stretches of one anchor that a task compares, and rows that it compares at once.
 STRETCHES = 20_000
-ROWS_AT_ONCE = 100_000
+ROWS_AT_ONCE = 50_000
+#: Stands for a null id, after all others.
+NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 1 << 64)
 
@@ -91,63 +94,105 @@ def minimisers(hashes: Hashes) -> tuple[np.ndarray, np.ndarray]:
 def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     known = worker_cache("word hashes", WordHashes)
     for batch in batches:
-        ids, found, often = [], [], []
-        for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        rows, found, often = [], [], []
+        for row, text in zip(batch.column("row").to_pylist(), batch.column("text").to_pylist(), strict=True):
             words = word_list(text)
             if len(words) >= LENGTH:
                 anchors, chosen = minimisers(Hashes(words, known))
                 own, times = np.unique(anchors[np.unique(chosen)], return_counts=True)
                 found.append(own)
                 often.append(np.minimum(times, 2).astype(np.int32))
-                ids.append(np.full(len(own), doc, dtype=np.int64))
-        if ids:
-            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(ids)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(often))], names=["doc_id", "anchor", "n"])
+                rows.append(np.full(len(own), row, dtype=np.int64))
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(often))], names=["row", "anchor", "n"])
+
 
+SUFFIX = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("stretch", pa.int64()), ("before", pa.int32()), ("words", pa.string())])
 
-def _stretches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+
+def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The retained suffixes of each text whose anchor is wanted, with as many words on both sides as its windows have."""
     known = worker_cache("word hashes", WordHashes)
     for batch in batches:
-        columns: list[list] = [[], [], [], [], []]
-        for doc, text, wanted in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2), strict=True):
+        columns: list[list] = [[] for _ in SUFFIX]
+        for doc, tag, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text")), batch.column("wanted"), strict=True):
             words = word_list(text)
             if len(words) < LENGTH:
                 continue
             hashes = Hashes(words, known)
             anchors, chosen = minimisers(hashes)
-            windows = hashes.runs(LENGTH)
             first = np.flatnonzero(np.diff(chosen, prepend=-1))
             last = np.append(first[1:], len(chosen))
             own = anchors[chosen[first]].view(np.int64)
             keep = np.isin(own, np.asarray(wanted.values, dtype=np.int64))
             first, last, own = first[keep], last[keep], own[keep]
             whole = hashes.of(first, last + LENGTH - 1) ^ (last - first).astype(np.uint64)
-            for column, values in zip(columns, ([doc] * len(first), first, own, whole.view(np.int64), [windows[a:b].view(np.int64) for a, b in zip(first, last)]), strict=True):
+            around = [b" ".join(words[a:b]).decode("utf-8") for a, b in zip(first.tolist(), (last + LENGTH - 1).tolist())]
+            for column, values in zip(columns, ([doc] * len(first), [tag] * len(first), first, own, whole.view(np.int64), chosen[first] - first, around), strict=True):
                 column.extend(values)
         if columns[0]:
-            kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["doc_id", "start", "anchor", "stretch", "windows"])
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SUFFIX)], schema=SUFFIX)
+
+
+def _sorted(words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order of rows of words (-1: none), and of each row but the first the words it shares with the one before."""
+    order = np.lexsort(words.T[::-1])
+    ranked = words[order]
+    same = (ranked[1:] == ranked[:-1]) & (ranked[1:] >= 0)
+    return order, np.logical_and.accumulate(same, axis=1).sum(axis=1)
+
+
+def _classes(order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
+    """Numbers of the rows' classes: sorted neighbours that share ``least`` words are in one."""
+    out = np.empty(len(order), dtype=np.int64)
+    out[order] = np.concatenate([[0], np.cumsum(shared < least)])
+    return out
 
 
 def _compare(rows: pa.Table) -> pa.RecordBatch:
-    """Bits of each stretch's windows that occur elsewhere, and of those whose first place is the stretch's own."""
-    lists = rows.column("windows").combine_chunks()
-    windows, ends = lists.values.to_numpy(), lists.offsets.to_numpy()
-    windows = windows[ends[0] : ends[-1]]
-    sizes = np.diff(ends)
-    row = np.repeat(np.arange(len(sizes)), sizes)
-    at = np.arange(len(windows)) - np.repeat(ends[:-1] - ends[0], sizes)
-    low_doc, low_at, high_doc, high_at = (rows.column(c).to_numpy() for c in ("low_doc", "low_at", "high_doc", "high_at"))
-    doc, place = low_doc[row], low_at[row] + at
-    _, which = np.unique(windows, return_inverse=True)
-    order = np.lexsort((place, doc, which))
-    least = order[np.flatnonzero(np.diff(which[order], prepend=-1))][which]
-    own = (doc[least] == doc) & (place[least] == place)
-    more = ~own | (high_doc[row] != doc) | (high_at[row] + at != place)
-    often = np.bincount(which, weights=more)[which] > 0
-    bit = np.left_shift(np.uint64(1), at.astype(np.uint64))
-    begins = (ends[:-1] - ends[0]).astype(np.int64)
-    repeated, first = (np.bitwise_or.reduceat(np.where(x, bit, np.uint64(0)), begins).view(np.int64) for x in (often, own))
-    return pa.RecordBatch.from_arrays([rows.column("stretch").combine_chunks(), pa.array(low_doc), pa.array(low_at), pa.array(repeated), pa.array(first)], names=["stretch", "low_doc", "low_at", "repeated", "first"])
+    """Bits of each stretch's windows that occur elsewhere, and of those whose first place is the stretch's own.
+
+    Suffixes are sorted by the words from the anchor on, and once more by the words before it, read leftwards. Where
+    neighbours share ``50 - j`` words to the right and ``j`` to the left they have the window that begins ``j`` words
+    before the anchor in common; classes of neighbours make that hold for any two rows, word by word.
+    """
+    before = rows.column("before").to_numpy()
+    lists = [w.encode("utf-8").split() for w in rows.column("words").to_pylist()]
+    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+    number: dict[bytes, int] = {}
+    flat = np.fromiter((number.setdefault(w, len(number)) for words in lists for w in words), np.int32, int(sizes.sum()))
+    begins = np.cumsum(sizes) - sizes
+    right, left = np.full((len(lists), LENGTH), -1, np.int32), np.full((len(lists), LENGTH - ANCHOR), -1, np.int32)
+    row = np.repeat(np.arange(len(lists)), sizes)
+    at = np.arange(len(flat)) - begins[row] - before[row]
+    inside = (at >= 0) & (at < LENGTH)
+    right[row[inside], at[inside]] = flat[inside]
+    inside = at < 0
+    left[row[inside], -1 - at[inside]] = flat[inside]
+    by_right, by_left = _sorted(right), _sorted(left)
+
+    low_id, low_tag, low_at, high_id, high_tag, high_at = (rows.column(c).to_numpy() for c in ("low_id", "low_tag", "low_at", "high_id", "high_tag", "high_at"))
+    multiple = (low_id != high_id) | (low_tag != high_tag) | (low_at != high_at)
+    docs = np.lexsort((low_tag, low_id))
+    rank = np.empty(len(docs), np.int64)
+    rank[docs] = np.concatenate([[0], np.cumsum((np.diff(low_id[docs]) != 0) | (np.diff(low_tag[docs]) != 0))])
+    repeated, first = np.zeros(len(lists), np.uint64), np.zeros(len(lists), np.uint64)
+    for j in range(LENGTH - ANCHOR + 1):
+        has = np.flatnonzero((before >= j) & (before - j <= sizes - LENGTH))
+        if not len(has):
+            continue
+        group = _classes(*by_right, LENGTH - j)[has] * len(lists) + _classes(*by_left, j)[has]
+        place = rank[has] << 32 | (low_at[has] + before[has] - j)
+        order = np.lexsort((place, group))
+        head = np.diff(group[order], prepend=-1) != 0
+        which = np.empty(len(has), np.int64)
+        which[order] = np.cumsum(head) - 1
+        often = (np.bincount(which) > 1) | (np.bincount(which, weights=multiple[has]) > 0)
+        bit = np.left_shift(np.uint64(1), (before[has] - j).astype(np.uint64))
+        repeated[has] |= np.where(often[which], bit, np.uint64(0))
+        first[has] |= np.where(place == place[order[head]][which], bit, np.uint64(0))
+    keys = [rows.column(c).combine_chunks() for c in ("anchor", "stretch", "low_id", "low_tag", "low_at")]
+    return pa.RecordBatch.from_arrays([*keys, pa.array(repeated.view(np.int64)), pa.array(first.view(np.int64))], names=["anchor", "stretch", "low_id", "low_tag", "low_at", "repeated", "first"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,16 +213,34 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield _compare(pa.Table.from_batches(held))
 
 
+def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Every window of every stretch under its 128-bit digest."""
+    for batch in batches:
+        for part in (batch.slice(i, 1024) for i in range(0, batch.num_rows, 1024)):
+            row, at, window = [], [], []
+            for i, text in enumerate(part.column("words").to_pylist()):
+                words = text.encode("utf-8").split()
+                for k in range(len(words) - LENGTH + 1):
+                    row.append(i)
+                    at.append(k)
+                    window.append(xxhash.xxh3_128_digest(b" ".join(words[k : k + LENGTH])))
+            taken = part.drop_columns(["words", "before"]).take(pa.array(row, pa.int64()))
+            yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int32()), pa.array(window, pa.binary())], names=[*taken.schema.names, "at", "window"])
+
+
 def _compare_windows(stretches: DataFrame) -> DataFrame:
     """The same as ``_compare`` for any number of stretches, as joins and aggregations over single windows."""
-    each = stretches.select("stretch", "low_doc", "low_at", "high_doc", "high_at", F.posexplode("windows").alias("at", "window"))
-    each = each.withColumn("low", F.struct("low_doc", (F.col("low_at") + F.col("at")).alias("at"))).withColumn("high", F.struct("high_doc", (F.col("high_at") + F.col("at")).alias("at")))
+    keys = "anchor long, stretch long, low_id long, low_tag long, low_at int, high_id long, high_tag long, high_at int"
+    names = [k.split()[0] for k in keys.split(", ")]
+    each = stretches.select(*names, "before", "words").mapInArrow(_windows, f"{keys}, at int, window binary")
+    place = {k: F.struct(F.col(f"{k}_id").alias("id"), F.col(f"{k}_tag").alias("tag"), (F.col(f"{k}_at") + F.col("at")).alias("at")) for k in ("low", "high")}
+    each = each.withColumns(place)
     seen = each.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most"))
     both = each.join(seen, "window")
-    bit = F.expr("shiftleft(1L, at)")
-    repeated = F.bit_or(F.when(F.to_json("least") != F.to_json(F.struct(F.col("most.high_doc").alias("low_doc"), F.col("most.at").alias("at"))), bit).otherwise(F.lit(0).cast("long")))
-    first = F.bit_or(F.when(F.col("low") == F.col("least"), bit).otherwise(F.lit(0).cast("long")))
-    return both.groupBy("stretch", "low_doc", "low_at").agg(repeated.alias("repeated"), first.alias("first"))
+    bit, none = F.expr("shiftleft(1L, at)"), F.lit(0).cast("long")
+    repeated = F.bit_or(F.when(F.col("least") != F.col("most"), bit).otherwise(none))
+    first = F.bit_or(F.when(F.col("low") == F.col("least"), bit).otherwise(none))
+    return both.groupBy("anchor", "stretch", "low_id", "low_tag", "low_at").agg(repeated.alias("repeated"), first.alias("first"))
 
 
 def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -190,7 +253,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
     for batch in batches:
         ids, found = [], []
-        for doc, items in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+        for doc, tag, items in zip(*(batch.column(k).to_pylist() for k in range(3)), strict=True):
             starts, repeated, later = (np.array([x[k] for x in items], dtype=np.int64) for k in ("start", "repeated", "later"))
             places = {}
             for name, bits in (("repeated", repeated), ("later", later)):
@@ -199,42 +262,48 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 places[name] = spans(np.unique(starts[which] + at))
             for start, end in places["repeated"]:
                 cut = [(a, b) for a, b in places["later"] if start <= a < end]
-                ids.append(doc)
+                ids.append((doc, tag))
                 found.append({"start": start, "end": end, "cut": [{"start": a, "end": b} for a, b in cut]})
         kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32())]))
         if ids:
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array([x["start"] for x in found], pa.int32()), pa.array([x["end"] for x in found], pa.int32()), pa.array([x["cut"] for x in found], kind)], names=["doc_id", "start", "end", "cut"]
-            )
+            columns = [*zip(*ids), *([x[k] for x in found] for k in ("start", "end", "cut"))]
+            kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), kind)
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "tag", "start", "end", "cut"])
 
 
 def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stretches_per_anchor: int = STRETCHES) -> DataFrame:
-    """``doc_id, start, end, cut`` of each maximal run of words that repeated windows cover, in words from 0, end exclusive.
+    """``doc_id, tag, start, end, cut`` of each maximal run of words that repeated windows cover, in words from 0, end exclusive.
 
-    ``cut`` lists the runs within it that are no first occurrence. Rows that share an id count as one document: words
-    at one place of it are one occurrence. Rows with a null id and texts under fifty words have no passages; repeated
-    rows are reported once.
+    ``cut`` lists the runs within it that are no first occurrence; the first is that of the smallest id, nulls last.
+    Rows that share id and text are one document: words at one place of it are one occurrence, and it is reported
+    once. Rows that share an id but not the text are documents of their own, told apart by ``tag``, a hash of the text.
+    Null and empty texts and texts under fifty words have no passages; an empty table gives no rows; other columns are
+    ignored.
     """
-    rows = docs.where(F.col(key).isNotNull()).select(docs[key].cast("long").alias("doc_id"), docs[text].alias("text"))
-    anchors = persisted(rows.mapInArrow(_anchors, "doc_id long, anchor long, n int"))
+    rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text]).alias("tag"), docs[text].alias("text"))
+    rows = rows.withColumn("row", F.xxhash64("id", "tag"))
+    anchors = stored(rows.select("row", "text").mapInArrow(_anchors, "row long, anchor long, n int"))
     often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = anchors.join(often, "anchor", "left_semi").groupBy("doc_id").agg(F.collect_set("anchor").alias("wanted"))
-    found = persisted(rows.join(wanted, "doc_id").mapInArrow(_stretches, "doc_id long, start int, anchor long, stretch long, windows array<bigint>"))
+    wanted = anchors.join(often, "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
+    found = stored(rows.join(wanted, "row").select("id", "tag", "text", "wanted").mapInArrow(_suffixes, "id long, tag long, start int, anchor long, stretch long, before int, words string"))
 
-    place = F.struct("doc_id", "start")
-    distinct = found.groupBy("anchor", "stretch").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.any_value("windows").alias("windows"))
-    distinct = distinct.selectExpr("anchor", "stretch", "low.doc_id AS low_doc", "low.start AS low_at", "high.doc_id AS high_doc", "high.start AS high_at", "windows")
+    place = F.struct("id", "tag", "start")
+    distinct = found.groupBy("anchor", "stretch").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.any_value("before").alias("before"), F.any_value("words").alias("words"))
+    sides = [f"{side}.{a} AS {side}_{b}" for side in ("low", "high") for a, b in (("id", "id"), ("tag", "tag"), ("start", "at"))]
+    distinct = distinct.selectExpr("anchor", "stretch", *sides, "before", "words")
     crowded = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > stretches_per_anchor).select("anchor")
-    schema = "stretch long, low_doc long, low_at int, repeated long, first long"
+    schema = "anchor long, stretch long, low_id long, low_tag long, low_at int, repeated long, first long"
     few = distinct.join(crowded, "anchor", "left_anti")
     usual = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_neighbours, schema)
     many = distinct.join(crowded, "anchor", "left_semi")
-    marks = usual.unionByName(_compare_windows(many).select("stretch", "low_doc", "low_at", "repeated", "first")).where("repeated <> 0")
+    marks = usual.unionByName(_compare_windows(many)).where("repeated <> 0")
 
-    own = (F.col("doc_id") == F.col("low_doc")) & (F.col("start") == F.col("low_at"))
+    own = (F.col("id") == F.col("low_id")) & (F.col("tag") == F.col("low_tag")) & (F.col("start") == F.col("low_at"))
     later = F.when(own, F.expr("repeated & ~first")).otherwise(F.col("repeated"))
-    marked = found.select("doc_id", "start", "stretch").distinct().join(marks, "stretch").select("doc_id", F.struct("start", "repeated", later.alias("later")).alias("item"))
-    return marked.groupBy("doc_id").agg(F.collect_list("item").alias("items")).mapInArrow(_passages, "doc_id long, start int, end int, cut array<struct<start:int,end:int>>")
+    marked = found.select("id", "tag", "start", "anchor", "stretch").distinct().join(marks, ["anchor", "stretch"])
+    items = marked.select("id", "tag", F.struct("start", "repeated", later.alias("later")).alias("item")).groupBy("id", "tag").agg(F.collect_list("item").alias("items"))
+    passages = items.mapInArrow(_passages, "id long, tag long, start int, end int, cut array<struct<start:int,end:int>>")
+    return passages.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "tag", "start", "end", "cut")
 
 
 def _without(text: str, cuts: list[tuple[int, int]]) -> str:
@@ -253,11 +322,14 @@ def _without(text: str, cuts: list[tuple[int, int]]) -> str:
 def suffix_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``docs`` with later occurrences of repeated passages cut out of ``text``; ``length`` (if there) follows.
 
-    The first occurrence of every passage stays, and so do all rows, even if nothing of their text is left.
+    The first occurrence of every passage stays, and so do all rows, even if nothing of their text is left: null ids
+    and null texts too. Cuts are those of the row's own id and text, so rows that repeat an id with another text are
+    not touched by them; rows that repeat both are cut alike. An empty table stays empty; other columns are as they were.
     """
     passages = repeated_passages(docs, key=key, text=text)
-    cuts = passages.where("size(cut) > 0").groupBy("doc_id").agg(F.flatten(F.collect_list("cut")).alias("__cuts")).withColumnRenamed("doc_id", key)
-    joined = docs.join(cuts, key, "left").select(*docs.columns, "__cuts")
+    cuts = passages.where("size(cut) > 0").groupBy(F.coalesce("doc_id", F.lit(NO_ID)).alias("__id"), F.col("tag").alias("__tag")).agg(F.flatten(F.collect_list("cut")).alias("__cuts"))
+    keyed = docs.withColumns({"__id": F.coalesce(docs[key].cast("long"), F.lit(NO_ID)), "__tag": F.xxhash64(docs[text])})
+    joined = keyed.join(cuts, ["__id", "__tag"], "left").select(*docs.columns, "__cuts")
     names = docs.columns
     where, counted = names.index(text), names.index(length) if length in names else None
 

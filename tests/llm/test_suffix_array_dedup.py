@@ -1,17 +1,16 @@
 import random
 from collections import defaultdict
 
-from skylattice.llm.suffix_array_dedup import LENGTH, repeated_passages, suffix_dedup
+from skylattice.llm.suffix_array_dedup import LENGTH, NO_ID, repeated_passages, suffix_dedup
 
 
 def brute(rows):
     """Spans of repeated words and of those that are no first occurrence, from the definition."""
     places = defaultdict(set)
     for doc, text in rows:
-        if doc is not None:
-            words = (text or "").split(" ") if text else []
-            for i in range(len(words) - LENGTH + 1):
-                places[tuple(words[i : i + LENGTH])].add((doc, i))
+        words = text.split(" ") if text else []
+        for i in range(len(words) - LENGTH + 1):
+            places[tuple(words[i : i + LENGTH])].add((NO_ID if doc is None else doc, i))
     covered = defaultdict(set), defaultdict(set)
     for found in places.values():
         if len(found) > 1:
@@ -65,8 +64,9 @@ def test_passages_equal_brute_force_on_both_paths(spark):
         docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS start", "1 AS anchor")
         got = repeated_passages(docs, stretches_per_anchor=limit).collect()
         repeated, later = brute(rows)
-        assert sorted((r.doc_id, r.start, r.end) for r in got) == repeated
-        assert sorted((r.doc_id, c.start, c.end) for r in got for c in r.cut) == later
+        ids = [NO_ID if r.doc_id is None else r.doc_id for r in got]
+        assert sorted((i, r.start, r.end) for i, r in zip(ids, got)) == repeated
+        assert sorted((i, c.start, c.end) for i, r in zip(ids, got) for c in r.cut) == later
 
 
 def test_cut_keeps_first_occurrences_and_all_rows(spark):
@@ -77,3 +77,20 @@ def test_cut_keeps_first_occurrences_and_all_rows(spark):
     assert out.columns == docs.columns
     assert sorted(map(tuple, out.collect())) == [(1, rows[0][1], 9), (2, "x  y", 4), (3, "", 0), (4, None, None), (5, "short", 5)]
     assert repeated_passages(docs.where("false")).count() == 0 and suffix_dedup(docs.where("false")).count() == 0
+
+
+def test_rows_that_share_an_id_are_cut_by_their_own_text(spark):
+    passage = " ".join(f"p{i}" for i in range(60))
+    rows = [(1, passage), (2, passage), (2, "short text here"), (2, f"{passage} and more"), (None, passage), (None, None), (None, "another text"), (3, "x " + passage), (3, "x " + passage)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'a' AS tag", "'b' AS words", "7 AS id")
+    out = suffix_dedup(docs).collect()
+    assert len(out) == len(rows) and all((r.tag, r.words, r.id) == ("a", "b", 7) for r in out)
+    assert sorted((str(r.doc_id), str(r.text)) for r in out) == sorted(
+        [("1", passage), ("2", ""), ("2", "short text here"), ("2", "and more"), ("None", ""), ("None", "None"), ("None", "another text"), ("3", "x "), ("3", "x ")]
+    )
+
+
+def test_very_long_text(spark):
+    words = [f"w{i * 7919 % 100_003}" for i in range(120_000)]
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, " ".join(words[50_000:50_060]))], "doc_id long, text string")
+    assert [(r.doc_id, r.start, r.end, len(r.cut)) for r in repeated_passages(docs).orderBy("doc_id", "start").collect()] == [(1, 0, 19_997, 0), (1, 50_000, 50_060, 0), (1, 100_003, 120_000, 1), (2, 0, 60, 1)]
