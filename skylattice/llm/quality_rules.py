@@ -1,63 +1,49 @@
 """Quality rules by tokeniser fertility.
 
-How well a public vocabulary covers a text says much about it: ordinary prose needs few tokens for
-its characters, junk needs many, binary rests fall back to bytes, and boilerplate has a token
-distribution of low entropy. Each document is measured once, word by word, and compared with bands
-that depend on its language, or on its script where the language is unknown.
-
-Everything happens inside one map over Arrow batches: no shuffle, and memory is bounded by a batch
-and by a word cache of ``CACHE_WORDS`` entries.
+How well a public vocabulary covers a text says much about it: ordinary prose needs few tokens for its characters, junk
+needs many, binary rests fall back to bytes, and tables, decoration and stuttering have a token distribution of low
+entropy. Each document is measured once, word by word: characters per token, share of byte tokens, token entropy.
+
+The bands between which a text is accepted are learned from the table itself, for each language and script and, since
+the entropy of a text grows with its length, for each half octave of its token count: the median and the quartiles of
+the documents that pass the base rules, equal ones counted once. A text is rejected if it lies more than some standard
+deviations (estimated from the quartiles) off the median. Groups of fewer than ``LEAST_DOCS`` documents use the bands of
+their script in all languages, and where these are few too only the limits ``WIDEST`` hold.
+
+Measuring is one map over Arrow batches, its memory bounded by a batch and a word cache of ``CACHE_WORDS`` entries. The
+measures are written to the shared folder; learning and judging are DataFrame operations over a few numbers a document.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
+from pyspark.sql import functions as F
 
-from .common import worker_cache
+from .common import stored, worker_cache
 
 #: Words whose tokens a worker remembers; the cache starts anew when it is full.
 CACHE_WORDS = 400_000
-#: Tokens beyond which more entropy is not asked for: that of a text levels off while the logarithm of its length grows.
-ENTROPY_TOKENS = 4096
+#: Tokens from which on all texts share a band: the entropy of a text levels off.
+MOST_TOKENS = 4096
+#: Documents from which bands are learned.
+LEAST_DOCS = 30
+#: Standard deviations that a measure may be below and above the median, and the least deviation that is assumed.
+FENCES = {"byte_share": (None, 5.0, 0.01), "chars_per_token": (5.0, 5.0, 0.03), "token_entropy": (3.5, None, 0.06)}
+#: Limits where no band is known: characters per token, share of bytes at most, and entropy as a share of its greatest value.
+WIDEST = {"chars_per_token": (0.3, 9.0), "byte_share": (None, 0.9), "token_entropy": (0.35, None)}
 SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 
-
-@dataclass(frozen=True)
-class Band:
-    """Limits between which a text is accepted. Entropy is compared with ``log2`` of the token count, of ``ENTROPY_TOKENS`` at most."""
-
-    min_chars_per_token: float
-    max_chars_per_token: float
-    max_byte_share: float
-    min_entropy_share: float
-    max_symbol_share: float
-
-
-#: Accepted fertility by language, and by script where the language has no band of its own.
-LANGUAGE_BANDS = {
-    "en": Band(1.70, 8.0, 0.05, 0.45, 0.04),
-    "fr": Band(1.45, 8.0, 0.05, 0.45, 0.04),
-    "de": Band(1.60, 8.0, 0.05, 0.45, 0.04),
-    "es": Band(1.60, 8.0, 0.05, 0.45, 0.04),
-}
-SCRIPT_BANDS = {
-    "latin": Band(1.40, 9.0, 0.08, 0.40, 0.05),
-    "cyrillic": Band(1.00, 9.0, 0.10, 0.40, 0.05),
-    "cjk": Band(0.40, 4.0, 0.75, 0.35, 0.05),
-    "other": Band(0.30, 9.0, 0.90, 0.35, 0.05),
-}
-
 MEASURES = (
-    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, kept boolean, "
+    "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, "
     "script string, n_tokens long, chars_per_token double, byte_share double, token_entropy double"
 )
+NAMES = [x.split()[0] for x in MEASURES.split(", ")]
 
 
 def repeated_words(words: list[bytes], seen: dict[bytes, int]) -> int:
@@ -118,7 +104,7 @@ class WordTokens(dict):
         return total, float(weights[self.is_byte[ids]].sum() / total), float(-(share * np.log2(share)).sum())
 
 
-def measure(text: str | None, lang: str | None, tokens: WordTokens) -> tuple:
+def measure(text: str | None, tokens: WordTokens) -> tuple:
     """The columns of ``MEASURES`` for one text."""
     text = text or ""
     raw = text.encode("utf-8", "replace")
@@ -129,46 +115,82 @@ def measure(text: str | None, lang: str | None, tokens: WordTokens) -> tuple:
     lines = [x for x in raw.split(b"\n") if x.strip()]
     n_repeat = repeated_words(words, {w: i for i, w in enumerate(counts)})
     base_failed = len(words) < 20 or 100 * n_repeat > 30 * len(words)
-    script = script_of(text)
     n_tokens, byte_share, entropy = tokens.of(counts)
     per_token = word_chars / n_tokens if n_tokens else 0.0
-    band = LANGUAGE_BANDS.get(lang or "") or SCRIPT_BANDS[script]
-    kept = (
-        not base_failed
-        and band.min_chars_per_token <= per_token <= band.max_chars_per_token
-        and byte_share <= band.max_byte_share
-        and entropy >= band.min_entropy_share * np.log2(min(n_tokens, ENTROPY_TOKENS) + 1)
-        and n_symbols <= band.max_symbol_share * word_chars
-    )
-    return len(words), word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, base_failed, bool(kept), script, n_tokens, per_token, byte_share, entropy
-
-
-def quality_measures(docs: DataFrame, model_file: str, *, text: str = "text", lang: str | None = "lang", carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
-    """``carry`` columns and the columns of ``MEASURES`` for each row of ``docs``.
-
-    Null and empty texts have no words, fail the base rules and are not kept. A null or unknown language falls back
-    to the band of the text's script. Repeated rows are measured separately; columns outside ``carry`` are ignored, and
-    ``prefix`` keeps the measures apart from carried columns of the same name.
-    """
-    lang_there = lang is not None and lang in docs.columns
-    cols = [docs[c] for c in carry]
-    rows = docs.select(*cols, docs[text].alias("__text"), *([docs[lang].alias("__lang")] if lang_there else []))
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.select(*carry).schema) + "".join(f", {prefix}{x}" for x in MEASURES.split(", "))
-    names = [prefix + x.split()[0] for x in MEASURES.split(", ")]
-    kept = len(carry)
+    return len(words), word_chars, n_symbols, len(lines) - len(set(lines)), n_repeat, base_failed, script_of(text), n_tokens, per_token, byte_share, entropy
+
+
+def measured(docs: DataFrame, model_file: str, *, text: str = "text", lang: str | None = "lang", carry: tuple[str, ...] = ("doc_id",), prefix: str = "") -> DataFrame:
+    """``carry`` columns, ``{prefix}lang`` (empty if null or not there) and the columns of ``MEASURES`` under ``prefix``."""
+    own = F.coalesce(docs[lang].cast("string"), F.lit("")) if lang is not None and lang in docs.columns else F.lit("")
+    rows = docs.select(*(docs[c] for c in carry), docs[text].alias(f"{prefix}text"), own.alias(f"{prefix}lang"))
+    n = len(carry)
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema[:n]) + "".join(f", {prefix}{x}" for x in ("lang string", *MEASURES.split(", ")))
+    names = [*carry, *(prefix + x for x in ("lang", *NAMES))]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = worker_cache(f"tokens {model_file}", lambda: WordTokens(model_file))
         for batch in batches:
-            langs = batch.column(kept + 1).to_pylist() if lang_there else [None] * batch.num_rows
-            measured = [measure(t, x, tokens) for t, x in zip(batch.column(kept).to_pylist(), langs, strict=True)]
-            if measured:
-                yield pa.RecordBatch.from_arrays([*batch.columns[:kept], *(pa.array(list(c)) for c in zip(*measured, strict=True))], names=[*carry, *names])
+            if batch.num_rows:
+                each = [measure(t, tokens) for t in batch.column(n).to_pylist()]
+                yield pa.RecordBatch.from_arrays([*batch.columns[:n], batch.column(n + 1), *(pa.array(list(c)) for c in zip(*each, strict=True))], names=names)
 
     return rows.mapInArrow(run, schema)
 
 
-def quality_filter(docs: DataFrame, model_file: str) -> DataFrame:
-    """The rows of ``docs`` that the rules keep, with their columns as they are."""
-    measured = quality_measures(docs, model_file, carry=tuple(docs.columns), prefix="__rule_")
-    return measured.where("__rule_kept").select(*docs.columns)
+def size_bin(n_tokens: Column) -> Column:
+    """Half octaves of the token count, the last without an upper end."""
+    return F.floor(2 * F.log2(F.greatest(F.lit(1), F.least(n_tokens, F.lit(MOST_TOKENS))))).cast("int")
+
+
+def learned_bands(measures: DataFrame, by: list[str], *, prefix: str = "", least_docs: int = LEAST_DOCS) -> DataFrame:
+    """``by`` columns, ``n_docs``, and ``low_`` and ``high_`` limits of each measure, from ``measures`` with a ``bin``."""
+    p = prefix
+    distinct = measures.where(~F.col(f"{p}base_failed")).select(*by, f"{p}n_words", f"{p}word_chars", f"{p}n_tokens", *(f"{p}{m}" for m in FENCES)).distinct()
+    quartiles = distinct.groupBy(*by).agg(F.count("*").alias("n_docs"), *(F.percentile_approx(f"{p}{m}", [0.25, 0.5, 0.75], 10_000).alias(m) for m in FENCES)).where(F.col("n_docs") >= least_docs)
+    limits = []
+    for m, (below, above, least) in FENCES.items():
+        sigma = F.greatest((F.col(m)[2] - F.col(m)[0]) / 1.349, F.lit(least))
+        limits += [(F.col(m)[1] + sign * k * sigma).alias(f"{side}_{m}") for side, sign, k in (("low", -1, below), ("high", 1, above)) if k is not None]
+    return quartiles.select(*by, "n_docs", *limits)
+
+
+def judged(measures: DataFrame, *, prefix: str = "", least_docs: int = LEAST_DOCS) -> DataFrame:
+    """``measures`` and ``{prefix}rejected_by``: ``base``, the name of the first measure that is out of its band, or null."""
+    p = prefix
+    binned = measures.withColumn(f"{p}bin", size_bin(F.col(f"{p}n_tokens")))
+    known, out = [], binned
+    for level, by in (("own", [f"{p}lang", f"{p}script", f"{p}bin"]), ("all", [f"{p}script", f"{p}bin"])):
+        bands = learned_bands(binned, by, prefix=p, least_docs=least_docs)
+        renamed = bands.select(*by, *(F.col(c).alias(f"{p}{level}_{c}") for c in bands.columns if c not in by))
+        out, known = out.join(renamed, by, "left"), known + [f"{p}{level}"]
+
+    def limit(side: str, m: str) -> Column:
+        widest = F.lit(WIDEST[m][side == "high"]) * (F.log2(F.least(F.col(f"{p}n_tokens"), F.lit(MOST_TOKENS)) + 1) if m == "token_entropy" else 1)
+        return F.coalesce(*(F.col(f"{k}_{side}_{m}") for k in known), widest)
+
+    why = F.when(F.col(f"{p}base_failed"), "base")
+    for m, (below, above, _) in FENCES.items():
+        for wrong in [F.col(f"{p}{m}") < limit("low", m)] * (below is not None) + [F.col(f"{p}{m}") > limit("high", m)] * (above is not None):
+            why = why.when(wrong, m)
+    return out.select(*measures.columns, why.alias(f"{p}rejected_by"))
+
+
+def quality_measures(docs: DataFrame, model_file: str, *, text: str = "text", lang: str | None = "lang", carry: tuple[str, ...] = ("doc_id",), least_docs: int = LEAST_DOCS) -> DataFrame:
+    """``carry`` columns, the columns of ``MEASURES``, ``kept`` and ``rejected_by`` for each row of ``docs``.
+
+    Null and empty texts have no words, fail the base rules and are not kept. A null language falls back to the bands of
+    the text's script in all languages. Repeated rows are measured each but count once for the bands; an empty table
+    gives no rows; columns outside ``carry`` are ignored, and ``carry`` must not name a measure.
+    """
+    each = judged(stored(measured(docs, model_file, text=text, lang=lang, carry=carry, prefix="__q_")), prefix="__q_", least_docs=least_docs)
+    return each.select(*carry, *(F.col(f"__q_{m}").alias(m) for m in NAMES), F.col("__q_rejected_by").isNull().alias("kept"), F.col("__q_rejected_by").alias("rejected_by"))
+
+
+def quality_filter(docs: DataFrame, model_file: str, *, text: str = "text", lang: str | None = "lang", least_docs: int = LEAST_DOCS) -> DataFrame:
+    """The rows of ``docs`` that the rules keep, with their columns as they are; see ``quality_measures`` for the cases.
+
+    Texts are measured once: the rows are written with their measures, from which the bands are learned.
+    """
+    each = judged(stored(measured(docs, model_file, text=text, lang=lang, carry=tuple(docs.columns), prefix="__q_")), prefix="__q_", least_docs=least_docs)
+    return each.where("__q_rejected_by IS NULL").select(*docs.columns)
