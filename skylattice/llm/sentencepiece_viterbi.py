@@ -1,20 +1,23 @@
 """SentencePiece encoding and decoding by a streaming Viterbi search.
 
-A trellis runs over the characters of a text. Position ``i`` keeps the best piece that ends there and
-where it begins; pieces that begin later than ``i`` can only start within the last ``longest`` positions,
-so only those are alive. As soon as the backpointer paths of all alive positions meet in one boundary,
-the ids before it are final: they are committed and their part of the trellis is dropped.
+A text is fed to the search in chunks. A trellis runs over the characters that are not committed yet: each position
+keeps the best piece that ends there and where it begins. Positions from which some piece could still reach beyond the
+end of what was fed are alive; there are at most as many as the longest piece has characters. As soon as the
+backpointer paths of all alive positions meet in one boundary, the ids before it are final: they are committed and
+their part of the trellis is dropped. At a space, which pieces have at their beginning only, that is the case at once.
+
+What a chunk commits depends on the characters that are held and on the piece before them only, so each worker
+remembers these transitions in a bounded cache; how a text is cut into chunks makes no difference to its ids.
 
 Two kinds of model are read:
 
 * ``unigram``: a path's value is the sum of its pieces' scores, the greatest wins.
-* ``bpe``: merges by rank are no sum of scores. But a segmentation is the one that merging gives exactly
-  if merging any two neighbouring pieces alone gives these two pieces back, so each position has one valid
-  last piece, and the same trellis yields the library's ids with that test in place of the sum.
+* ``bpe``: merges by rank are no sum of scores. But a segmentation is the one that merging gives exactly if merging any
+  two neighbouring pieces alone gives these two pieces back, so each position has one valid last piece, and the same
+  trellis yields the library's ids with that test in place of the sum.
 
-Characters that the vocabulary lacks become byte pieces. Where no piece can reach across (between a
-character and the space mark after it, and around line feeds that no piece contains) all paths meet by
-construction; the stretches between such places are remembered in a bounded cache of each worker.
+Characters that the vocabulary lacks become byte pieces, or the unknown id. Models with a normaliser other than the
+identity, without the dummy prefix, with escaping off or with user-defined pieces are refused.
 """
 
 from __future__ import annotations
@@ -29,16 +32,21 @@ from pyspark.sql import DataFrame
 
 from .common import worker_cache
 
-#: Stretches and pairs of pieces that a worker remembers; a cache starts anew when it is full.
-CACHE_STRETCHES = 1_000_000
+#: Transitions and pairs of pieces that a worker remembers; a cache starts anew when it is full.
+CACHE_STEPS = 800_000
 CACHE_PAIRS = 1_000_000
+#: Characters of a chunk at most.
+CHUNK = 48
 SPACE = "▁"
+DEAD = -2
 #: What a character outside the vocabulary costs in a unigram path, below the worst piece.
 UNKNOWN_PENALTY = 10.0
 
 
-#: Fixed values of the public model format: the trainer's settings, the model type in them, and its value for BPE.
-TRAINER_SPEC, MODEL_TYPE, BPE = 2, 3, 2
+#: Fixed values of the public model format: the trainer's settings, the model type in them, its values for unigram and BPE;
+#: the normaliser's settings and in them its table, dummy prefix, removal of extra spaces, escaping and rules.
+TRAINER_SPEC, MODEL_TYPE, UNIGRAM, BPE = 2, 3, 1, 2
+NORMALIZER_SPEC, TABLE, PREFIX, REMOVE, ESCAPE, RULES = 3, 2, 3, 4, 5, 6
 
 
 def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
@@ -66,17 +74,33 @@ def fields(message: bytes) -> Iterator[tuple[int, int | bytes]]:
             at += size
 
 
+class State(dict):
+    """What is held between chunks; as a dict, what was committed for a chunk and the state after it."""
+
+    __slots__ = ("before", "text", "back", "value", "rest")
+
+    def __init__(self, before: int, text: str):
+        super().__init__()
+        self.before, self.text = before, text
+        self.back: list[int] | None = None  # kept only while more is held than the longest piece has
+        self.value: list | None = None
+        self.rest: bytes | None = None
+
+
 class StreamingViterbi:
-    """Ids of strings under a vocabulary ``pieces`` (piece to id) with ``scores`` (piece to score)."""
+    """Pieces of strings under a vocabulary ``pieces`` (piece to id) with ``scores`` (piece to score)."""
 
     def __init__(self, pieces: dict[str, int], scores: dict[str, float], kind: str):
         assert kind in ("unigram", "bpe")
         self.pieces, self.scores, self.kind = pieces, scores, kind
+        self.names = {i: p for p, i in pieces.items()}
         self.longest = max(map(len, pieces), default=1)
         self.unknown_score = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.alphabet = set().union(*pieces) if pieces else set()
+        self.begun = {p[:k] for p in pieces for k in range(1, len(p))}
+        self.inside = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
         self.pairs: dict[int, bool] = {}
-        self.most_pending = 0
+        self.commits = self.most_pending = 0
 
     def merged(self, text: str) -> list[str]:
         """Merging by rank, plainly; only for two pieces at a time."""
@@ -96,125 +120,173 @@ class StreamingViterbi:
         """Whether merging ``left + right`` gives these two pieces."""
         return self.merged(left + right) == [left, right]
 
-    def last_by_sum(self, text: str, i: int, base: int, back: list[int], value: list[float]) -> tuple[int, float]:
+    def last_by_sum(self, text: str, i: int, back: list[int], value: list[float]) -> tuple[int, float]:
         """Where the best piece that ends at ``i`` begins, and the value of the path with it."""
-        start, best = i - 1, value[i - 1 - base] + self.scores.get(text[i - 1], self.unknown_score)
-        for j in range(max(base, i - self.longest), i - 1):
+        start, best = i - 1, value[i - 1] + self.scores.get(text[i - 1], self.unknown_score)
+        for j in range(max(0, i - self.longest), i - 1):
             score = self.scores.get(text[j:i])
-            if score is not None and value[j - base] + score > best:
-                start, best = j, value[j - base] + score
+            if score is not None and value[j] + score > best:
+                start, best = j, value[j] + score
         return start, best
 
-    def last_by_pairs(self, text: str, i: int, base: int, back: list[int], ids: list[int]) -> tuple[int, int]:
-        """Where the one valid piece that ends at ``i`` begins, and its id (-1 for a character that no piece has)."""
+    def last_by_pairs(self, text: str, i: int, back: list[int], ids: list[int]) -> tuple[int, int]:
+        """Where the one valid piece that ends at ``i`` begins, and its id: -1 for a character that no piece has.
+
+        ``DEAD`` if there is none, as no segmentation with the boundaries that are committed has one at ``i``.
+        """
         get, pairs = self.pieces.get, self.pairs
-        for j in range(i - 1, max(base, i - self.longest) - 1, -1):
+        for j in range(i - 1, max(0, i - self.longest) - 1, -1):
             own = get(text[j:i])
             if own is None:
                 if j == i - 1 and text[j] not in self.alphabet:
                     return j, -1
                 continue
-            if j == 0 or (before := ids[j - base]) < 0:
+            if (before := ids[j]) == DEAD:
+                continue
+            if before < 0:
                 return j, own
             key = before << 32 | own
             if (fits := pairs.get(key)) is None:
                 if len(pairs) > CACHE_PAIRS:
                     pairs.clear()
-                fits = pairs[key] = self.fits(text[back[j - base] : j], text[j:i])
+                fits = pairs[key] = self.fits(self.names[before], text[j:i])
             if fits:
                 return j, own
-        return i - 1, -1
+        return i - 1, DEAD
 
-    def segment(self, text: str) -> Iterator[str]:
-        """The pieces of ``text`` in order, each as soon as it is certain."""
+    def extend(self, text: str, back: list[int], value: list) -> None:
+        """Continues the trellis to the end of ``text``. ``value[0]`` is the id before it (bpe; -1: none matters), or 0."""
         last = self.last_by_pairs if self.kind == "bpe" else self.last_by_sum
-        base = 0  # all before it is committed
-        back = [0]  # back[i - base]: where the piece that ends at i begins
-        value = [0]  # value[i - base]: of the best path to i, or the id of its last piece
-        for i in range(1, len(text) + 1):
-            start, own = last(text, i, base, back, value)
+        for i in range(len(back), len(text) + 1):
+            start, own = last(text, i, back, value)
             back.append(start)
             value.append(own)
-            if i - base >= 4 * self.longest and (i - base) % self.longest == 0:
-                boundary = self.meeting(back, base, i)
-                self.most_pending = max(self.most_pending, i - base)
-                if boundary > base:
-                    yield from self.path(text, back, base, boundary)
-                    back, value, base = back[boundary - base :], value[boundary - base :], boundary
-        yield from self.path(text, back, base, len(text))
-
-    def meeting(self, back: list[int], base: int, i: int) -> int:
+
+    def feed(self, state: State, chunk: str) -> tuple[list[str], State]:
+        """The pieces that are certain after ``chunk``, and what is held then."""
+        text = state.text + chunk
+        back, value = (state.back, state.value) if state.back is not None else ([0], [state.before if self.kind == "bpe" else 0.0])
+        self.extend(text, back, value)
+        end = self.meeting(text, back, value)
+        done = self.path(text, back, end)
+        self.commits += bool(end)
+        self.most_pending = max(self.most_pending, len(text))
+        # the piece before matters only if some piece could reach across the boundary
+        crossing = end and end < len(text) and text[end - 1 : end + 1] in self.inside or end == len(text)
+        after = State(value[end] if self.kind == "bpe" and (crossing or not end) else -1, text[end:])
+        if len(text) - end > self.longest:
+            after.back, after.value = [x - end for x in back[end:]], value[end:]
+            after.back[0], after.value[0] = 0, after.before if self.kind == "bpe" else value[end]
+        return done, after
+
+    def meeting(self, text: str, back: list[int], value: list) -> int:
         """The last boundary that the paths of all alive positions share."""
-        alive = set(range(max(base, i - self.longest + 1), i + 1))
+        n = len(text)
+        alive = {n, *(j for j in range(max(0, n - self.longest + 1), n) if text[j:] in self.begun and value[j] != DEAD)}
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
-            if last <= base:
-                return base
-            alive.add(max(base, back[last - base]))
+            alive.add(back[last])
         return alive.pop()
 
     @staticmethod
-    def path(text: str, back: list[int], base: int, end: int) -> list[str]:
+    def path(text: str, back: list[int], end: int) -> list[str]:
         out = []
-        while end > base:
-            start = back[end - base]
-            out.append(text[start:end])
-            end = start
+        while end > 0:
+            out.append(text[back[end] : end])
+            end = back[end]
         return out[::-1]
 
+    def rest(self, state: State) -> list[str]:
+        """The pieces of what is held, at the end of a text."""
+        back, value = (state.back, state.value) if state.back is not None else ([0], [state.before if self.kind == "bpe" else 0.0])
+        self.extend(state.text, back, value)
+        return self.path(state.text, back, len(state.text))
+
+    def segment(self, text: str, chunk: int = CHUNK) -> Iterator[str]:
+        """The pieces of ``text`` in order, each as soon as it is certain."""
+        state = State(-1, "")
+        for at in range(0, len(text), chunk):
+            done, state = self.feed(state, text[at : at + chunk])
+            yield from done
+        yield from self.rest(state)
 
-class Codec(dict):
-    """Encodes and decodes texts under a SentencePiece model file; as a dict, stretches to packed ids."""
+
+class Codec:
+    """Encodes and decodes texts under a SentencePiece model file."""
 
     def __init__(self, model_file: str):
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=model_file)
+        proto = dict(fields(model.serialized_model_proto()))
+        kind = dict(fields(proto.get(TRAINER_SPEC, b""))).get(MODEL_TYPE, UNIGRAM)
+        rules = dict(fields(proto.get(NORMALIZER_SPEC, b"")))
+        if kind not in (UNIGRAM, BPE) or rules.get(TABLE) or rules.get(RULES) or not rules.get(PREFIX, 1) or rules.get(REMOVE, 1) or not rules.get(ESCAPE, 1):
+            raise ValueError(f"{model_file}: only unigram and BPE models with the identity normaliser and the dummy prefix are supported")
         ids = range(model.get_piece_size())
         normal = [i for i in ids if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i) or model.is_unused(i))]
         pieces = {model.id_to_piece(i): i for i in normal}
+        if kind == BPE and any(model.get_score(i) > 0 or (len(p) > 1 and model.get_score(i) == 0 and i > normal[0]) for p, i in pieces.items()):
+            raise ValueError(f"{model_file}: user-defined pieces are not supported")
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in ids if model.is_byte(i)}
         self.unknown = model.unk_id()
-        trainer = dict(fields(dict(fields(model.serialized_model_proto())).get(TRAINER_SPEC, b"")))
-        kind = "bpe" if trainer.get(MODEL_TYPE, 1) == BPE else "unigram"
-        self.viterbi = StreamingViterbi(pieces, {p: model.get_score(i) for p, i in pieces.items()}, kind)
+        self.viterbi = StreamingViterbi(pieces, {p: model.get_score(i) for p, i in pieces.items()}, "bpe" if kind == BPE else "unigram")
         self.surface = [b""] * len(ids)
+        self.surface[self.unknown] = " \u2047 ".encode()  # what the public format shows for an unknown character
         for piece, i in pieces.items():
             self.surface[i] = piece.replace(SPACE, " ").encode()
         for byte, i in self.bytes.items():
             self.surface[i] = bytes([byte])
-        crossing = any(SPACE in p.lstrip(SPACE) for p in pieces)
-        lines = "" if any("\n" in p for p in pieces) else "\n"
-        self.stretches = None if crossing else re.compile(f"{SPACE}+[^{SPACE}{lines}]*|[^{SPACE}{lines}]+" + (r"|\n" if lines else ""))
+        self.chunks = re.compile(f"[^{SPACE}\n]{{0,{CHUNK}}}[{SPACE}\n]|[^{SPACE}\n]{{1,{CHUNK}}}").findall
+        self.states: dict[tuple[int, str], State] = {}
+        self.start = self.state(State(-1, ""))
+        self.steps = 0
+
+    def state(self, state: State) -> State:
+        """The one state that remembers what follows it; longer windows are not remembered."""
+        return state if state.back is not None else self.states.setdefault((state.before, state.text), state)
 
-    def ids(self, stretch: str) -> list[int]:
+    def packed(self, pieces: list[str]) -> bytes:
         out: list[int] = []
-        for piece in self.viterbi.segment(stretch):
+        for piece in pieces:
             if (i := self.viterbi.pieces.get(piece)) is not None:
                 out.append(i)
             elif self.bytes:
                 out += [self.bytes[b] for b in piece.encode("utf-8", "replace")]
             else:
                 out.append(self.unknown)
-        return out
-
-    def __missing__(self, stretch: str) -> bytes:
-        if len(self) > CACHE_STRETCHES:
-            self.clear()
-        packed = self[stretch] = np.array(self.ids(stretch), dtype="<u4").tobytes()
-        return packed
+        return np.array(out, dtype="<u4").tobytes()
+
+    def step(self, state: State, chunk: str) -> tuple[bytes, State]:
+        """What ``chunk`` commits, and the state after it."""
+        if self.steps > CACHE_STEPS:
+            self.states.clear()
+            self.steps, self.start = 0, self.state(State(-1, ""))
+        live = state.back is not None
+        pieces, after = self.viterbi.feed(state, chunk)
+        found = self.packed(pieces), self.state(after)
+        if not live:
+            state[chunk] = found
+            self.steps += 1
+        return found
 
     def encode(self, text: str) -> bytes:
         """Ids as little-endian unsigned 32-bit numbers; none for an empty text."""
         if not text:
             return b""
-        marked = SPACE + text.replace(" ", SPACE)
-        if self.stretches is None:
-            return np.array(self.ids(marked), dtype="<u4").tobytes()
-        return b"".join(map(self.__getitem__, self.stretches.findall(marked)))
+        out, state = [], self.start
+        for chunk in self.chunks(SPACE + text.replace(" ", SPACE)):
+            done, state = state.get(chunk) or self.step(state, chunk)
+            out.append(done)
+        if state.text:
+            if state.rest is None:
+                state.rest = self.packed(self.viterbi.rest(state))
+            out.append(state.rest)
+        return b"".join(out)
 
     def decode(self, packed: bytes) -> str:
+        """The text of ids; special ids have none, and the model's own mark stands for an unknown character."""
         text = b"".join(map(self.surface.__getitem__, np.frombuffer(packed, dtype="<u4").tolist())).decode("utf-8", "replace")
         return text[1:] if text.startswith(" ") else text
 

@@ -3,11 +3,12 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pytest
 import sentencepiece
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from skylattice.llm.sentencepiece_viterbi import Codec, StreamingViterbi, sentencepiece_decode, sentencepiece_digest, sentencepiece_encode
+from skylattice.llm.sentencepiece_viterbi import CHUNK, Codec, StreamingViterbi, sentencepiece_decode, sentencepiece_digest, sentencepiece_encode
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 LIBRARY = sentencepiece.SentencePieceProcessor(model_file=MODEL)
@@ -24,6 +25,36 @@ def test_ids_equal_the_library(text):
     assert ids(text) == LIBRARY.encode(text)
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet=st.sampled_from("thean  g\né▁."), max_size=80), st.integers(1, 9))
+def test_chunks_make_no_difference(text, size):
+    marked = "▁" + text.replace(" ", "▁")
+    assert CODEC.packed(list(CODEC.viterbi.segment(marked, size))) == (CODEC.encode(text) if text else CODEC.packed(["▁"]))
+
+
+def test_documents_are_committed_as_they_stream():
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist() if t]
+    fresh = Codec(MODEL)
+    assert all(np.frombuffer(fresh.encode(t), dtype="<u4").tolist() == LIBRARY.encode(t) for t in texts)
+    assert fresh.viterbi.commits > 1000 and fresh.viterbi.most_pending <= 4 * fresh.viterbi.longest + CHUNK
+    state, held = fresh.start, []
+    for chunk in fresh.chunks("▁" + texts[0].replace(" ", "▁")):
+        _, state = fresh.step(state, chunk)
+        held.append(len(state.text))
+    assert max(held) <= fresh.viterbi.longest and held.count(1) > len(held) // 2
+
+
+def test_models_with_other_rules_are_refused(tmp_path):
+    proto = LIBRARY.serialized_model_proto()
+    # the normaliser's settings: (remove extra spaces, off) becomes on
+    at = proto.rindex(b"\x20\x00", 0, proto.rindex(b"identity") + 20)
+    (tmp_path / "other.model").write_bytes(proto[:at] + b"\x20\x01" + proto[at + 2 :])
+    with pytest.raises(ValueError, match="normaliser"):
+        Codec(str(tmp_path / "other.model"))
+
+
 def test_long_stretches_are_streamed():
     text = "theinghand" * 3000 + " " * 500 + "a" * 5000
     assert ids(text) == LIBRARY.encode(text)
