@@ -98,6 +98,7 @@ class StreamingViterbi:
         self.unknown_score = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.alphabet = set().union(*pieces) if pieces else set()
         self.begun = {p[:k] for p in pieces for k in range(1, len(p))}
+        self.ends = {p[k:] for p in pieces for k in range(1, len(p))}
         self.inside = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
         self.pairs: dict[int, bool] = {}
         self.commits = self.most_pending = 0
@@ -129,38 +130,46 @@ class StreamingViterbi:
                 start, best = j, value[j] + score
         return start, best
 
-    def last_by_pairs(self, text: str, i: int, back: list[int], ids: list[int]) -> tuple[int, int]:
-        """Where the one valid piece that ends at ``i`` begins, and its id: -1 for a character that no piece has.
+    def extend_by_pairs(self, text: str, back: list[int], ids: list[int]) -> None:
+        """Continues the trellis to the end of ``text``: where the one valid piece that ends at each position begins, and its id.
 
-        ``DEAD`` if there is none, as no segmentation with the boundaries that are committed has one at ``i``.
+        The id is -1 for a character that no piece has. It is ``DEAD`` if no segmentation with the boundaries that are
+        committed has one at the position. ``ids[0]`` is the id before ``text`` (-1: none matters).
         """
-        get, pairs = self.pieces.get, self.pairs
-        for j in range(i - 1, max(0, i - self.longest) - 1, -1):
-            own = get(text[j:i])
-            if own is None:
-                if j == i - 1 and text[j] not in self.alphabet:
-                    return j, -1
-                continue
-            if (before := ids[j]) == DEAD:
-                continue
-            if before < 0:
-                return j, own
-            key = before << 32 | own
-            if (fits := pairs.get(key)) is None:
-                if len(pairs) > CACHE_PAIRS:
-                    pairs.clear()
-                fits = pairs[key] = self.fits(self.names[before], text[j:i])
-            if fits:
-                return j, own
-        return i - 1, DEAD
+        get, pairs, ends, longest = self.pieces.get, self.pairs, self.ends, self.longest
+        for i in range(len(back), len(text) + 1):
+            start, found = i - 1, DEAD
+            for j in range(i - 1, max(0, i - longest) - 1, -1):
+                part = text[j:i]
+                if (own := get(part)) is None:
+                    if part in ends:
+                        continue
+                    if j == i - 1 and part not in self.alphabet:
+                        found = -1
+                    break
+                if (before := ids[j]) == DEAD:
+                    continue
+                if before >= 0:
+                    key = before << 32 | own
+                    if (fits := pairs.get(key)) is None:
+                        if len(pairs) > CACHE_PAIRS:
+                            pairs.clear()
+                        fits = pairs[key] = self.fits(self.names[before], part)
+                    if not fits:
+                        continue
+                start, found = j, own
+                break
+            back.append(start)
+            ids.append(found)
 
     def extend(self, text: str, back: list[int], value: list) -> None:
-        """Continues the trellis to the end of ``text``. ``value[0]`` is the id before it (bpe; -1: none matters), or 0."""
-        last = self.last_by_pairs if self.kind == "bpe" else self.last_by_sum
+        """Continues the trellis to the end of ``text``."""
+        if self.kind == "bpe":
+            return self.extend_by_pairs(text, back, value)
         for i in range(len(back), len(text) + 1):
-            start, own = last(text, i, back, value)
+            start, best = self.last_by_sum(text, i, back, value)
             back.append(start)
-            value.append(own)
+            value.append(best)
 
     def feed(self, state: State, chunk: str) -> tuple[list[str], State]:
         """The pieces that are certain after ``chunk``, and what is held then."""
