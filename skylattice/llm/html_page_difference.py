@@ -1,10 +1,12 @@
 """Main text of web pages: markup rules and nearest-URL page differencing.
 
 Pages of a host share their frame. Each page is paired with the page of its host whose URL path is nearest in path
-order; the lines of both are aligned by longest common subsequence, and lines that both have are deleted. Lines inside
-an explicit main container (``article``, ``main``) are kept even if the neighbour has them, because copies of an
-article on the same host would otherwise delete each other; where a page has such a container, text outside it is not
-main text either. Menus, headers, footers, sidebars, notices, adverts, forms and comments are left out by their markup.
+order; the lines of both are aligned by longest common subsequence, and lines that both have are deleted. Menus,
+headers, footers, sidebars, notices, adverts, forms and comments that the markup names are left out before that.
+
+Lines inside an explicit main container (``article``, ``main``) are the article by the page's own word and are kept even
+if the neighbour has them: articles quote common passages and are copied, and differencing would delete those. All other
+text, on pages with and without a container, is decided by differencing.
 
 Pages are dealt by ranges of (host, path), so a large host spreads over tasks. Each range also gets the last page of
 the range before and the first of the range after as context, which makes the pairing independent of the ranges. Tasks
@@ -19,6 +21,7 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -26,7 +29,7 @@ from pyspark.sql import functions as F
 
 #: Pages of a task and ranges of a task on average (several, so that tasks get about as much each), the most ranges, and
 #: places sampled for each range's bound.
-PAGES_PER_TASK, RANGES_PER_TASK, MOST_RANGES, SAMPLE_PER_RANGE = 2048, 16, 65_536, 12
+PAGES_PER_TASK, RANGES_PER_TASK, MOST_RANGES, SAMPLE_PER_RANGE = 2048, 16, 16_384, 12
 #: Pages of a batch that are Python objects at once.
 PAGES_AT_ONCE = 64
 
@@ -40,11 +43,17 @@ FRAME = frozenset("nav aside footer form head title menu dialog noscript templat
 RAW = frozenset("script style textarea xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
-#: Words in class or id, and roles, that mark parts of a page's frame.
-FRAME_WORDS = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|"
-    r"pagination|popup|promo\w*|recommend\w*|related|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)(?:$|[\s_-])"
+#: Words in class or id, and roles, that mark parts of a page's frame. In a container only a whole name counts, with one
+#: of some endings at most, and paragraphs and headings never are frame.
+_WORDS = (
+    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|"
+    r"pagination|popup|promo\w*|recommend\w*|related|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)"
 )
+FRAME_WORDS = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])")
+FRAME_NAMES = re.compile(rf"(?:^|\s){_WORDS}(?:[_-](?:area|bar|block|box|buttons?|container|form|inner|links?|list|posts?|section|slot|unit|wrap|wrapper))?(?:$|\s)")
+NEVER_FRAME = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table tbody tr td th".split())
+#: Lines times lines of two pages that are aligned in one table of bits; larger pages are halved first.
+TABLE_BITS = 1 << 24
 FRAME_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert menu".split())
 TAG = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([A-Za-z][^\s/>]*)((?:=\s*+\"[^\"]*+\"|=\s*+'[^']*+'|[^>])*+)(?:>|\Z)|<[!?][^>]*(?:>|\Z)", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))")
@@ -67,7 +76,10 @@ def _is_frame(name: str, attributes: str, in_main: bool) -> bool:
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in FRAME_ROLES or "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true":
         return True
-    return any(FRAME_WORDS.search(found.get(k, "").lower()) for k in ("class", "id"))
+    if in_main and name in NEVER_FRAME:
+        return False
+    words = FRAME_NAMES if in_main else FRAME_WORDS
+    return any(words.search(found.get(k, "").lower()) for k in ("class", "id"))
 
 
 def lines_of(page: str | None) -> list[Line]:
@@ -126,9 +138,22 @@ def lines_of(page: str | None) -> list[Line]:
     return out
 
 
-def common_lines(a: list[str], b: list[str]) -> set[int]:
-    """Positions in ``a`` of one longest common subsequence with ``b``: rows of the table are bits of a number."""
-    where: dict[str, int] = {}
+def _last_row(a: list[int], b: list[int]) -> np.ndarray:
+    """Length of the longest common subsequence of ``b`` with each beginning of ``a``."""
+    where: dict[int, int] = {}
+    for i, x in enumerate(a):
+        where[x] = where.get(x, 0) | 1 << i
+    full = state = (1 << len(a)) - 1
+    for y in b:
+        both = state & where.get(y, 0)
+        state = ((state + both) | (state - both)) & full
+    bits = np.unpackbits(np.frombuffer(state.to_bytes(len(a) // 8 + 1, "little"), np.uint8), bitorder="little")[: len(a)]
+    return np.concatenate([[0], np.cumsum(1 - bits.astype(np.int64))])
+
+
+def _aligned(a: list[int], b: list[int]) -> set[int]:
+    """The table of the longest common subsequence: its rows are bits of a number."""
+    where: dict[int, int] = {}
     for i, x in enumerate(a):
         where[x] = where.get(x, 0) | 1 << i
     full = (1 << len(a)) - 1
@@ -150,12 +175,48 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[Line], neighbour: list[Line] | None) -> str:
-    """The main text of a page from its lines and those of its nearest page."""
-    shared = common_lines([x.text for x in lines], [x.text for x in neighbour]) if neighbour else set()
+def common_lines(a: list[str], b: list[str]) -> set[int]:
+    """Positions in ``a`` of one longest common subsequence with ``b``.
+
+    Common beginnings and ends are matched at once. Long lists are halved where the parts' common subsequences are
+    longest together, so memory is linear in the lines, and a table is made for small parts only.
+    """
+    ids: dict[str, int] = {}
+    left, right = ([ids.setdefault(x, len(ids)) for x in lines] for lines in (a, b))
+    out: set[int] = set()
+    parts = [(0, len(left), 0, len(right))]
+    while parts:
+        i, j, k, m = parts.pop()
+        while i < j and k < m and left[i] == right[k]:
+            out.add(i)
+            i, k = i + 1, k + 1
+        while i < j and k < m and left[j - 1] == right[m - 1]:
+            out.add(j - 1)
+            j, m = j - 1, m - 1
+        if i == j or k == m:
+            continue
+        if m - k == 1 or (j - i) * (m - k) <= TABLE_BITS:
+            out.update(i + x for x in _aligned(left[i:j], right[k:m]))
+            continue
+        half = (k + m) // 2
+        both = _last_row(left[i:j], right[k:half]) + _last_row(left[i:j][::-1], right[half:m][::-1])[::-1]
+        cut = i + int(both.argmax())
+        parts += [(i, cut, k, half), (cut, j, half, m)]
+    return out
+
+
+def main_text(lines: list[Line], *neighbours: list[Line] | None) -> str:
+    """The main text of a page from its lines and those of its nearest pages, the nearest first.
+
+    The nearest decides; on a page with a container the second decides too, as what is outside is seldom the article.
+    """
+    lines = [x for x in lines if not x.frame]
     contained = any(x.main for x in lines)
-    kept = [x.text for i, x in enumerate(lines) if not x.frame and (x.main or not contained and i not in shared)]
-    return "\n".join(kept)
+    shared: set[int] = set()
+    if not all(x.main for x in lines):
+        for other in [x for x in neighbours if x][: 1 + contained]:
+            shared |= common_lines([x.text for x in lines], [x.text for x in other])
+    return "\n".join(x.text for i, x in enumerate(lines) if x.main or i not in shared)
 
 
 def _alike(a: str, b: str) -> int:
@@ -168,10 +229,10 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-def _nearest(before: dict | None, page: dict, after: dict | None) -> dict | None:
-    """The neighbour with more leading path segments in common; a copy of the page itself shows nothing and is no partner."""
+def _nearest(before: dict | None, page: dict, after: dict | None) -> list[list[Line]]:
+    """The neighbours' lines, those of more leading path segments in common first; a copy of the page shows nothing and is no partner."""
     near = [x for x in (before, after) if x is not None and x["host"] == page["host"] and x["bucket"] == page["bucket"] and x["lines"] != page["lines"]]
-    return max(near, key=lambda x: _alike(x["path"], page["path"]), default=None)
+    return [x["lines"] for x in sorted(near, key=lambda x: -_alike(x["path"], page["path"]))]
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,16 +247,14 @@ def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for after in batch.to_pylist():
             after["lines"] = lines_of(after.pop("html"))
             if page is not None and not page["context"]:
-                near = _nearest(before, page, after)
-                rows.append((page["page_id"], page["url"], main_text(page["lines"], near and near["lines"])))
+                rows.append((page["page_id"], page["url"], main_text(page["lines"], *_nearest(before, page, after))))
                 size += len(rows[-1][2])
             before, page = page, after
             if size > 8_000_000 or len(rows) >= 4096:
                 yield done(rows)
                 rows, size = [], 0
     if page is not None and not page["context"]:
-        near = _nearest(before, page, None)
-        rows.append((page["page_id"], page["url"], main_text(page["lines"], near and near["lines"])))
+        rows.append((page["page_id"], page["url"], main_text(page["lines"], *_nearest(before, page, None))))
     if rows:
         yield done(rows)
 
@@ -224,7 +283,7 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
     ``text`` joins the blocks of the main text by line feeds and is empty if there is none (null or empty html among
-    them). Null urls count as one host. Host and path decide the order, then id and url; of two neighbours with as many
+    them; an empty table gives no rows; other columns are ignored). Null urls count as one host. Host and path decide the order, then id and url; of two neighbours with as many
     leading path segments in common the earlier is the partner. A neighbour with the same lines throughout (a repeated
     row, a copy) is no partner, as it would delete everything.
     """
@@ -236,7 +295,7 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     ).withColumn("place", F.struct("host", "path", F.coalesce("page_id", F.lit(0)).alias("id"), address.alias("address")))
 
     total = rows.count()
-    tasks = max(1, -(-total // pages_per_task))
+    tasks = max(1, min(MOST_RANGES, -(-total // pages_per_task)))
     ranges = min(MOST_RANGES, 1 if tasks == 1 else tasks * RANGES_PER_TASK)
     rows = rows.withColumn("bucket", _bucket(_bounds(rows, total, ranges), spark) if ranges > 1 else F.lit(0))
     place = "struct<host:string,path:string,id:bigint,address:string>"

@@ -4,6 +4,7 @@ import random
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from skylattice.llm import html_page_difference as module
 from skylattice.llm.html_page_difference import common_lines, extract_main_text, lines_of, main_text
 
 
@@ -46,7 +47,7 @@ def test_differencing_removes_shared_lines_outside_containers(spark):
         return f"<body><div>Site name</div><p>Latest news</p>{body}<p>All rights</p></body>"
 
     rows = [(i, f"http://h.com/a/{i:03d}", page(f"<p>Story {i}</p><p>Its end {i}</p>")) for i in range(60)]
-    rows += [(100, "http://other.com/a/1", page("<p>alone</p>")), (101, None, None), (102, "http://h.com/zz", "<article><p>kept</p></article><p>All rights</p>"), (103, "http://h.com/zz/1", "<article><p>kept</p></article>")]
+    rows += [(100, "http://other.com/a/1", page("<p>alone</p>")), (101, None, None), (102, "http://h.com/zz", "<article><p>kept</p></article><p>All rights</p>"), (104, "http://h.com/zy", page("<article><p>own</p></article>")), (103, "http://h.com/zz/1", "<article><p>kept</p></article>")]
     rows += [(5, "http://h.com/a/005", rows[5][2])]
     random.Random(1).shuffle(rows)
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "'x' AS host", "'y' AS text", "1 AS bucket")
@@ -58,10 +59,70 @@ def test_differencing_removes_shared_lines_outside_containers(spark):
     assert results[0] == results[1]
     by = {i: t for i, _, t, _ in results[0]}
     assert all(by[i] == f"Story {i}\nIts end {i}" for i in range(60))
-    assert by[100] == "Site name\nLatest news\nalone\nAll rights" and by[101] == "" and by[102] == by[103] == "kept"
+    assert by[100] == "Site name\nLatest news\nalone\nAll rights" and by[101] == "" and by[102] == by[103] == "kept" and by[104] == "own"
     assert extract_main_text(pages.where("false")).count() == 0
 
 
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.sampled_from("abcd"), max_size=30), st.lists(st.sampled_from("abcd"), max_size=30))
+def test_halving_gives_as_long_a_subsequence(a, b):
+    module.TABLE_BITS, before = 8, module.TABLE_BITS
+    try:
+        got = [a[i] for i in sorted(common_lines(a, b))]
+    finally:
+        module.TABLE_BITS = before
+    assert len(got) == brute_lcs(a, b) and is_subsequence(got, b)
+
+
+def test_names_in_a_container_are_whole_names():
+    page = '<article><div class="entry-header"><h1>Title</h1></div><p>Body</p><p class="share price">x</p><div class="share">y</div><div class="comment-list">z</div></article>'
+    assert main_text(lines_of(page), None) == "Title\nBody\nx"
+    assert main_text(lines_of("<main><p>intro</p></main><div><p>the whole story</p></div>"), None) == "intro\nthe whole story"
+    assert main_text(lines_of('<aside><article>teaser</article></aside><div>story</div>'), None) == "story"
+
+
+def brute_text(page, partner):
+    """Lines are deleted by the plain table of the longest common subsequence."""
+    lines = [x for x in page if not x.frame]
+    if partner is None:
+        return "\n".join(x.text for x in lines)
+    b = [x.text for x in partner]
+    n, m = len(lines), len(b)
+    table = [[0] * (m + 1) for _ in range(n + 1)]
+    for i in range(n - 1, -1, -1):
+        for j in range(m - 1, -1, -1):
+            table[i][j] = table[i + 1][j + 1] + 1 if lines[i].text == b[j] else max(table[i + 1][j], table[i][j + 1])
+    return table[0][0], sum(not x.main for x in lines)
+
+
+def test_differencing_decides_on_a_framed_host(spark):
+    rng = random.Random(4)
+    rows = []
+    for i in range(120):
+        story = "".join(f"<p>Story {i} part {k} {rng.random()}</p>" for k in range(rng.randint(1, 6)))
+        story = f"<article>{story}</article>" if i % 3 == 0 else f"<div>{story}</div>"
+        rows.append((i, f"http://framed.org/{i // 10}/{i:03d}", f"<body><div>Site</div><p>Top news</p>{story}<p>Read on</p><div>Imprint</div></body>"))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in extract_main_text(pages, pages_per_task=30).collect()}
+    changed = 0
+    for i, _, page in rows:
+        lines = lines_of(page)
+        alone = main_text(lines, None)
+        changed += alone != got[i]
+        for other in (i - 1, i + 1):
+            if 0 <= other < 120 and other // 10 == i // 10:
+                longest, _ = brute_text(lines, lines_of(rows[other][2]))
+                assert longest == 4
+        assert got[i] == "\n".join(x.text for x in lines if x.text.startswith("Story"))
+    assert changed == 120
+
+
+def test_very_long_pages_are_aligned_in_linear_memory():
+    lines = [module.Line(f"line {i % 9000} {i}", False, False) for i in range(30_000)]
+    other = [module.Line(f"line {i % 9000} {i}" if i % 10 else f"own {i}", False, False) for i in range(30_000)]
+    assert main_text(lines, other).count("\n") == 2999
+
+
 def test_long_page():
     body = "".join(f"<p>{html.escape(f'line {i} & <x>')}</p>" for i in range(8000))
     lines = lines_of(f"<article>{body}</article>")
