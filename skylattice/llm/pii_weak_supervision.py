@@ -10,7 +10,9 @@ Votes and features take few values, so all proposals of all documents are first
 iterations run over that small table. Documents are then scored in a second scan. Nothing but counts is shuffled.
 
 Patterns are written so that Java's matcher needs neither deep recursion nor repeated starts on long runs; they match
-what their plain forms match.
+what their plain forms match. Texts are looked at in blocks that end where no pattern can reach across, so the work on
+a text grows with its length and not with the square of its matches. Only a stretch without any such place, as digits
+and dots throughout, is one block however long it is.
 """
 
 from __future__ import annotations
@@ -43,6 +45,10 @@ COUNTRY_CODES = "1|7|20|27|30|31|32|33|34|36|39|40|41|43|44|45|46|47|48|49|51|52
 PERSONAL_WORDS = "token|secret|passw|pwd|api|auth|key|phone|tel|call|mobile|fax|ssn|social|card|visa|account|iban|mail|contact|addr|ip"
 OTHER_WORDS = "version|page|order|isbn|figure|line|total|price|chapter|vol"
 LEFT, RIGHT = 24, 8
+#: Characters of a block at least. It ends after a character that is in no pattern and before which no pattern looks, or
+#: after a space that follows a character which the patterns with spaces do not have.
+BLOCK_SIZE = 1024
+BLOCK = rf"(?s).{{{BLOCK_SIZE}}}.*?(?:(?<=[^A-Za-z0-9._%+@/=(),\x20-])|(?<=[^0-9().\x20+-]\x20)|\z)|.+\z"
 #: A character that separates matches from what lies between; in texts it is replaced by its neighbour.
 MARK, INSTEAD = "\uffff", "\ufffe"
 VOTES = ("by_pattern", "by_gazetteer", "by_context", "by_shape")
@@ -74,9 +80,7 @@ def _valid(kind: str, body: Column) -> Column:
         return F.when(n.between(12, 19), _luhn(_digits(body))).otherwise(False)
     if kind == "phone":
         return n.between(9, 15)
-    if kind == "secret":
-        return body.rlike("[0-9]") & body.rlike("[A-Za-z]")
-    return n <= 15
+    return F.lit(True) if kind == "secret" else n <= 15
 
 
 def _parts(text: Column, kind: str) -> Column:
@@ -90,34 +94,58 @@ def _let(value: Column, then: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
-def _spans(text: Column, kind: str) -> Column:
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,body:string,left:string,right:string,valid:boolean>>")
+NO_SPANS = "array<struct<kind:int,start:int,end:int,body:string,left:string,right:string,valid:boolean>>"
+
+
+def _spans(block: Column, kind: str, before: Column, after: Column) -> Column:
+    """Proposed spans of one kind in a block; places count from the block's begin."""
 
     def placed(parts: Column, starts: Column) -> Column:
         def one(i: Column) -> Column:
             body = F.get(parts, i)
+            left = F.concat(F.when(i == 1, before).otherwise(""), F.get(parts, i - 1))
+            right = F.concat(F.get(parts, i + 1), F.when(i == F.size(parts) - 2, after).otherwise(""))
             return F.struct(
                 F.lit(KINDS.index(kind)).alias("kind"),
                 F.get(starts, i).alias("start"),
                 F.get(starts, i + 1).alias("end"),
                 body.alias("body"),
-                F.lower(F.right(F.get(parts, i - 1), F.lit(LEFT))).alias("left"),
-                F.lower(F.left(F.get(parts, i + 1), F.lit(RIGHT))).alias("right"),
+                F.lower(F.right(left, F.lit(LEFT))).alias("left"),
+                F.lower(F.left(right, F.lit(RIGHT))).alias("right"),
                 _valid(kind, body).alias("valid"),
             )
 
         return F.transform(F.sequence(F.lit(1), F.size(parts) - 2, F.lit(2)), one)
 
-    def ends(parts: Column) -> Column:
-        return F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
+    def found(parts: Column) -> Column:
+        return F.when(F.size(parts) > 1, _let(_ends(parts), lambda starts: placed(parts, starts))).otherwise(F.array().cast(NO_SPANS))
+
+    return _let(_parts(block, kind), found)
+
+
+def _ends(parts: Column) -> Column:
+    """Where each of ``parts`` begins, and where the last ends."""
+    return F.aggregate(parts, F.array(F.lit(0)), lambda acc, p: F.array_append(acc, F.element_at(acc, -1) + F.length(p)))
 
-    return _let(_parts(text, kind), lambda parts: F.when(F.size(parts) > 1, _let(ends(parts), lambda starts: placed(parts, starts))).otherwise(none))
 
+def _by_block(text: Column, then: Callable[[Column, Column, Column], Column]) -> Column:
+    """``then(block, number, proposed spans)`` for each block of a text; null and empty texts have none."""
 
-def _proposed(text: Column) -> Column:
-    """All proposed spans of a text; places count code points from 0, ends are exclusive."""
-    clean = F.translate(F.coalesce(text.cast("string"), F.lit("")), MARK, INSTEAD)
-    return _let(clean, lambda t: F.concat(*(_spans(t, k) for k in KINDS)))
+    def one(blocks: Column) -> Column:
+        def at(block: Column, i: Column) -> Column:
+            before = F.right(F.coalesce(F.get(blocks, i - 1), F.lit("")), F.lit(LEFT))
+            after = F.left(F.coalesce(F.get(blocks, i + 1), F.lit("")), F.lit(RIGHT))
+            clean = F.translate(block, MARK, INSTEAD)
+            every = _let(clean, lambda c: F.concat(*(_spans(c, k, before, after) for k in KINDS)))
+            return then(block, i, every)
+
+        return F.transform(blocks, at)
+
+    return _let(_blocks(text), one)
+
+
+def _blocks(text: Column) -> Column:
+    return F.regexp_extract_all(F.coalesce(text.cast("string"), F.lit("")), F.lit(BLOCK), F.lit(0))
 
 
 def _vote(yes: Column, no: Column) -> Column:
@@ -174,38 +202,48 @@ class SpanModel:
         return 1 / (1 + F.exp(-odds))
 
 
-def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> SpanModel:
-    """Estimates the labelers and trains the classifier on the proposals of all rows of ``docs``."""
-    spark = docs.sparkSession
-    each = docs.select(F.explode(_proposed(F.col(text))).alias("p"))
-    columns = described(F.col("p"))
-    path = f"{shared_dir(spark)}/spans-{uuid.uuid4().hex}"
-    each.select(*(c.alias(("v_" if n in VOTES else "f_") + n) for n, c in columns.items())).groupBy(*(("v_" if n in VOTES else "f_") + n for n in columns)).agg(F.count("*").alias("n")).coalesce(1).write.parquet(path)
-    counted = spark.read.parquet(path)
-
-    def likelihood(table: dict[tuple[str, int], tuple[float, float]], k: int) -> Column:
-        return sum((F.create_map(*(F.lit(x) for v in (-1, 0, 1) for x in (v, math.log(table[name, v][k]))))[F.col(f"v_{name}")] for name in VOTES), F.lit(0.0))
-
-    def posterior(prior: float, table: dict[tuple[str, int], tuple[float, float]]) -> Column:
-        odds = math.log(prior / (1 - prior)) + likelihood(table, 0) - likelihood(table, 1)
-        return 1 / (1 + F.exp(-odds))
-
+def _train_votes(counts: dict[tuple[int, ...], int], rounds: int) -> tuple[float, dict[tuple[str, int], tuple[float, float]]]:
+    """Expectation-maximisation over the combinations of votes (81 at most): the prior, and each vote's share among both."""
     # at first a vote is right three times in four
     prior, table = 0.5, {(name, v): {1: (0.6, 0.2), 0: (0.2, 0.2), -1: (0.2, 0.6)}[v] for name in VOTES for v in (-1, 0, 1)}
     for _ in range(rounds):
-        weighed = counted.withColumn("yes", posterior(prior, table) * F.col("n")).withColumn("no", F.col("n") - F.col("yes"))
-        sums = weighed.agg(
-            F.sum("yes").alias("yes"),
-            F.sum("no").alias("no"),
-            *(F.sum(F.when(F.col(f"v_{name}") == v, F.col(k)).otherwise(0.0)).alias(f"{name}{v}{k}") for name in VOTES for v in (-1, 0, 1) for k in ("yes", "no")),
-        ).first()
-        if not sums["yes"]:
+        yes = {votes: n * _posterior(prior, table, votes) for votes, n in counts.items()}
+        total = sum(counts.values())
+        if not sum(yes.values()):
             break
-        total = sums["yes"] + sums["no"]
-        prior = min(0.999, max(0.001, sums["yes"] / total))
-        table = {(name, v): tuple((sums[f"{name}{v}{k}"] + 1) / (sums[k] + 3) for k in ("yes", "no")) for name in VOTES for v in (-1, 0, 1)}
-    yes = posterior(prior, table) * F.col("n")
-    stacked = counted.select(yes.alias("yes"), (F.col("n") - yes).alias("no"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"f_{n}").cast("int").alias("value")) for n in FEATURES))).alias("f"))
+        sums = (sum(yes.values()), total - sum(yes.values()))
+        prior = min(0.999, max(0.001, sums[0] / total))
+        seen = {(name, v): sum(yes[c] for c in counts if c[k] == v) for k, name in enumerate(VOTES) for v in (-1, 0, 1)}
+        every = {(name, v): sum(n for c, n in counts.items() if c[k] == v) for k, name in enumerate(VOTES) for v in (-1, 0, 1)}
+        table = {key: ((seen[key] + 1) / (sums[0] + 3), (every[key] - seen[key] + 1) / (sums[1] + 3)) for key in table}
+    return prior, table
+
+
+def _posterior(prior: float, table: dict[tuple[str, int], tuple[float, float]], votes: tuple[int, ...]) -> float:
+    odds = math.log(prior / (1 - prior)) + sum(math.log(table[name, v][0] / table[name, v][1]) for name, v in zip(VOTES, votes, strict=True))
+    return 1 / (1 + math.exp(-odds))
+
+
+def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> SpanModel:
+    """Estimates the labelers and trains the classifier on the proposals of all rows of ``docs``.
+
+    Null and empty texts have no proposals; a table without any gives a model that finds nothing but base spans.
+    """
+    spark = docs.sparkSession
+    each = docs.select(F.explode(F.flatten(_by_block(F.col(text), lambda block, i, every: every))).alias("p"))
+    columns = described(F.col("p"))
+    path = f"{shared_dir(spark)}/spans-{uuid.uuid4().hex}"
+    named = {n: ("v_" if n in VOTES else "f_") + n for n in columns}
+    each.select(*(c.alias(named[n]) for n, c in columns.items())).groupBy(*named.values()).agg(F.count("*").alias("n")).write.parquet(path)
+    counted = spark.read.schema(", ".join(f"{x} int" for x in named.values()) + ", n long").parquet(path)
+
+    votes = [F.col(f"v_{name}") for name in VOTES]
+    counts = {tuple(r[:-1]): r[-1] for r in counted.groupBy(*votes).agg(F.sum("n")).collect()}
+    prior, table = _train_votes(counts, rounds)
+    posterior = {c: _posterior(prior, table, c) for c in counts}
+    known = F.create_map(*(F.lit(x) for c, p in sorted(posterior.items()) for x in (",".join(map(str, c)), p))) if posterior else None
+    yes = F.try_element_at(known, F.concat_ws(",", *votes)) * F.col("n") if posterior else F.lit(0.0)
+    stacked = counted.select(yes.alias("yes"), (F.col("n") - yes).alias("no"), F.explode(F.array(*(F.struct(F.lit(n).alias("name"), F.col(f"f_{n}").alias("value")) for n in FEATURES))).alias("f"))
     learned = stacked.groupBy("f.name", "f.value").agg(F.sum("yes").alias("yes"), F.sum("no").alias("no")).collect()
     size = {k: sum(r[k] for r in learned) / len(FEATURES) for k in ("yes", "no")}
     bias = math.log((size["yes"] + 1) / (size["no"] + 1))
@@ -215,14 +253,10 @@ def train(docs: DataFrame, *, text: str = "text", rounds: int = ROUNDS) -> SpanM
     return SpanModel(prior, table, bias, weights)
 
 
-def detect(docs: DataFrame, model: SpanModel, *, text: str = "text", out: str = "found") -> DataFrame:
-    """``docs`` with an array ``out`` of spans ``kind, start, end``, by start and then kind.
-
-    Base kinds are kept if their check passes; a candidate if the classifier finds it likelier than not and all base
-    spans that it meets lie inside it (for a number the kept secrets too). Null and empty texts have none.
-    """
+def _decided(every: Column, model: SpanModel) -> Column:
+    """The spans ``start, k, end`` of a block that are kept, in order."""
 
-    def chosen(every: Column, kind: str, *taken: Column) -> Column:
+    def chosen(kind: str, *taken: Column) -> Column:
         def good(p: Column) -> Column:
             fine = (p["kind"] == KINDS.index(kind)) & p["valid"] & (model.probability(described(p)) >= THRESHOLD)
             for other in taken:
@@ -232,14 +266,28 @@ def detect(docs: DataFrame, model: SpanModel, *, text: str = "text", out: str =
         return F.filter(every, good)
 
     def named(*groups: Column) -> Column:
-        places = F.transform(F.concat(*groups), lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("k"), p["end"].alias("end")))
-        return F.transform(F.array_sort(places), lambda p: F.struct(F.get(F.array(*map(F.lit, KINDS)), p["k"]).alias("kind"), p["start"].alias("start"), p["end"].alias("end")))
+        return F.array_sort(F.transform(F.concat(*groups), lambda p: F.struct(p["start"].alias("start"), p["kind"].alias("k"), p["end"].alias("end"))))
+
+    base = F.filter(every, lambda p: (p["kind"] < BASE) & p["valid"])
+    return _let(base, lambda b: _let(chosen("secret", b), lambda s: named(b, s, chosen("number", b, s))))
+
+
+def detect(docs: DataFrame, model: SpanModel, *, text: str = "text", out: str = "found") -> DataFrame:
+    """``docs`` with an array ``out`` of spans ``kind, start, end``, by start and then kind; a column ``out`` is replaced.
 
-    def decided(every: Column) -> Column:
-        base = F.filter(every, lambda p: (p["kind"] < BASE) & p["valid"])
-        return _let(base, lambda b: _let(chosen(every, "secret", b), lambda s: named(b, s, chosen(every, "number", b, s))))
+    Base kinds are kept if their check passes; a candidate if the classifier finds it likelier than not and all base
+    spans that it meets lie inside it (for a number the kept secrets too). Null and empty texts have none. Places count
+    code points from 0, ends are exclusive. Repeated rows are treated each; an empty table stays empty.
+    """
+
+    def moved(found: Column, starts: Column) -> Column:
+        def one(spans: Column, i: Column) -> Column:
+            return F.transform(spans, lambda p: F.struct(F.get(F.array(*map(F.lit, KINDS)), p["k"]).alias("kind"), (p["start"] + F.get(starts, i)).alias("start"), (p["end"] + F.get(starts, i)).alias("end")))
 
-    return docs.withColumn(out, _let(_proposed(F.col(text)), decided))
+        return F.flatten(F.transform(found, one))
+
+    found = _by_block(F.col(text), lambda block, i, every: _decided(every, model))
+    return docs.withColumn(out, _let(found, lambda f: _let(_ends(_blocks(F.col(text))), lambda starts: moved(f, starts))))
 
 
 def joined(spans: Column) -> Column:
@@ -250,18 +298,22 @@ def joined(spans: Column) -> Column:
 def redact(docs: DataFrame, model: SpanModel, *, text: str = "text", length: str | None = "n_chars") -> DataFrame:
     """``docs`` with every span replaced by its kind in brackets, and ``length`` (if there) set to the new code points.
 
-    Spans that overlap are replaced together, under the kind of the first. Null texts stay null.
+    Spans that overlap are replaced together, under the kind of the first. Null texts stay null, and so does their
+    ``length``; other columns are as they were. Repeated rows are treated each; an empty table stays empty.
     """
-    found = detect(docs, model, text=text, out="__found")
 
-    def replaced(acc: Column, s: Column) -> Column:
-        start = F.greatest(s["start"], acc["at"])
-        put = F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, start - acc["at"]), F.when(s["start"] >= acc["at"], F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(""))
-        return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), put.alias("out"))
+    def replaced(block: Column, spans: Column) -> Column:
+        def one(acc: Column, s: Column) -> Column:
+            start = F.greatest(s["start"], acc["at"])
+            mark = F.concat(F.lit("["), F.upper(F.get(F.array(*map(F.lit, KINDS)), s["k"])), F.lit("]"))
+            put = F.concat(acc["out"], F.substring(block, acc["at"] + 1, start - acc["at"]), F.when(s["start"] >= acc["at"], mark).otherwise(""))
+            return F.struct(F.greatest(s["end"], acc["at"]).alias("at"), put.alias("out"))
+
+        folded = F.aggregate(spans, F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), one, lambda acc: F.concat(acc["out"], F.substring(block, acc["at"] + 1, F.length(block))))
+        return F.when(F.size(spans) > 0, folded).otherwise(block)
 
-    folded = F.aggregate("__found", F.struct(F.lit(0).alias("at"), F.lit("").alias("out")), replaced, lambda acc: F.concat(acc["out"], F.substring(F.col(text), acc["at"] + 1, F.length(text))))
-    new = F.when(F.size("__found") > 0, folded).otherwise(F.col(text))
-    out = found.withColumn(text, new).drop("__found")
+    blocks = _by_block(F.col(text), lambda block, i, every: _let(_decided(every, model), lambda spans: replaced(block, spans)))
+    out = docs.withColumn(text, F.when(F.col(text).isNotNull(), F.array_join(blocks, "")))
     if length and length in docs.columns:
         out = out.withColumn(length, F.length(text).cast(docs.schema[length].dataType))
     return out.select(*docs.columns)
