@@ -4,7 +4,8 @@ A payload becomes 8-bit mono samples. Fingerprints follow the spectral-peak pair
 transform of the samples, the strongest bin of each frequency band where it is also a peak in time, and pairs of
 a peak with the next ones, each stored as ``time << 32 | first bin << 20 | second bin << 8 | time difference``.
 
-Both maps work row by row over Arrow batches; nothing is shuffled, and a batch bounds memory.
+Both maps work row by row over Arrow batches; nothing is shuffled, and a batch bounds memory. What ``store_wav`` gives is
+meant to be written; ``read_wav`` works on the bytes that are read back.
 """
 
 from __future__ import annotations

@@ -8,7 +8,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, table
+from .common import shared_dir, stored, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -51,7 +51,7 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op9_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .media_columns import read_wav, store_wav
 
-    read = read_wav(store_wav(table(spark, sf_dir, "documents")))
+    read = read_wav(stored(store_wav(table(spark, sf_dir, "documents"))))
     pairs = F.concat_ws(":", F.size("peaks"), F.md5(F.concat_ws(",", F.col("peaks").cast("array<string>"))))
     return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", pairs.alias("feature"))
 

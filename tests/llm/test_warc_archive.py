@@ -4,7 +4,7 @@ import re
 
 import pytest
 
-from skylattice.llm.warc_archive import read_records, record_digests, write_archive
+from skylattice.llm.warc_archive import PAYLOADS, _name, _write, read_records, record_digests, write_archive
 
 
 def digest(payload):
@@ -44,6 +44,15 @@ def test_records_come_back(spark, tmp_path, least):
         assert rest[size:] == b"\r\n\r\n"
         assert block.partition(b"\r\n\r\n")[2] == (payload if r.record_type == "response" else b"")
         assert f"sha1:{digest(payload)}".encode() in head
+        assert f"WARC-Record-ID: <{r.record_id}>".encode() in head and r.record_id.startswith("urn:uuid:")
+    by = {r.record_id: r for r in records}
+    assert len(by) == len(ROWS)
+    for r in records:
+        refers = re.search(rb"WARC-Refers-To: <([^>]*)>", bytes(r.record))
+        assert (refers is not None) == (r.record_type == "revisit")
+        if refers:
+            other = by[refers[1].decode()]
+            assert other.record_type == "response" and other.page_id == r.refers_to and bytes(other.payload) == bytes(r.payload)
     assert spark.read.parquet(str(tmp_path / "w/payloads")).count() == len(set(html.values()))
 
 
@@ -52,7 +61,23 @@ def test_empty_table_and_damage(spark, tmp_path):
     write_archive(pages.where("false"), str(tmp_path / "e"))
     assert record_digests(spark, str(tmp_path / "e")).count() == 0
     write_archive(pages, str(tmp_path / "d"))
-    bad = spark.read.parquet(str(tmp_path / "d/payloads")).selectExpr("sha256", "cast(concat(cast(payload AS string), '!') AS binary) AS payload", "response_id").collect()
-    spark.createDataFrame(bad, "sha256 string, payload binary, response_id long").write.mode("overwrite").parquet(str(tmp_path / "d/payloads"))
+    bad = spark.read.parquet(str(tmp_path / "d/payloads")).selectExpr("sha256", "cast(concat(cast(payload AS string), '!') AS binary) AS payload", "response").collect()
+    buckets = spark.read.json(str(tmp_path / "d/layout")).first().buckets
+    _write(spark.createDataFrame(bad, PAYLOADS).repartition(buckets, "sha256"), str(tmp_path / "d"), "payloads", buckets)
     with pytest.raises(Exception, match="damaged payload"):
         record_digests(spark, str(tmp_path / "d")).collect()
+
+
+def test_an_archive_opens_in_another_session(spark, tmp_path):
+    path = str(tmp_path / "w")
+    write_archive(spark.createDataFrame(ROWS, "page_id long, url string, html string"), path)
+    for part in ("payloads", "responses"):
+        spark.sql(f"DROP TABLE {_name(path, part)}")
+    assert sorted(map(tuple, record_digests(spark, path).collect()), key=str) == expected(0)
+
+
+def test_null_ids_and_ties(spark, tmp_path):
+    rows = [(None, "a", "x"), (None, "b", "x"), (None, "a", "y"), (3, "a", "y"), (3, "b", "y"), (3, None, "y")]
+    write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
+    got = [(r.page_id, bytes(r.payload), r.record_type, r.refers_to) for r in read_records(spark, str(tmp_path / "w")).collect()]
+    assert sorted(got, key=str) == sorted([(None, b"x", "response", None)] * 2 + [(None, b"y", "revisit", 3)] + [(3, b"y", "response", None)] * 3, key=str)
