@@ -184,23 +184,45 @@ def free_ports(dense: DataFrame, left_used: DataFrame, setup: int, steps: int) -
 
 
 def state_violations(dense: DataFrame) -> DataFrame:
-    """Rows whose state may not follow the one before or precede the one after."""
-    rows = dense.withColumns({"before": F.lag("state").over(_in_time()), "after": F.lead("state").over(_in_time())})
-    s, b, a = F.col("state"), F.col("before"), F.col("after")
-    bad = (
-        F.when((s == 1) & (b.isNull() | ~b.isin(0, 1)), "set-up without a start")
-        .when((s == 2) & b.isNotNull() & ~b.isin(0, 1, 2), "working without a set-up")
-        .when((s == 0) & a.isNull(), "starts at the last step")
-        .when((s == 0) & ~a.isin(1, 2), "start without a set-up")
-        .when((s == 1) & a.isNotNull() & ~a.isin(1, 2), "set-up is broken off")
+    """``t, src, state, violation``, a row for each broken rule of a dense state table.
+
+    Before a state may come: -1 or 2 before -1 and 0; 0 or 1 before 1; 1 or 2 before 2. After it: -1 or 0 after -1;
+    1 after 0; 1 or 2 after 1; any but 1 after 2. A link is not being set up at the first step, and no set-up begins at the last.
+    """
+    s, b, a = F.col("state"), F.lag("state").over(_in_time()), F.lead("state").over(_in_time())
+    may_come = F.when(s == 1, b.isin(0, 1)).when(s == 2, b.isin(1, 2)).otherwise(b.isin(-1, 2))
+    may_follow = F.when(s == -1, a.isin(-1, 0)).when(s == 0, a == 1).when(s == 1, a.isin(1, 2)).otherwise(a != 1)
+    broken = F.array_compact(
+        F.array(
+            F.when(~may_come, "wrong before"),
+            F.when(~may_follow, "wrong after"),
+            F.when((s == 1) & b.isNull(), "being set up at the first step"),
+            F.when((s == 0) & a.isNull(), "begins at the last step"),
+        )
     )
-    return rows.withColumn("violation", bad).where("violation IS NOT NULL").select("t", "src", "state", "violation")
+    return dense.withColumn("broken", broken).select("t", "src", "state", F.explode("broken").alias("violation"))
+
 
+def left_violations(states: DataFrame, left_view: DataFrame, setup: int) -> DataFrame:
+    """``t, node, left_src, state, violation``: entries of the left view (``t, node, left_src``) that the left node's state belies.
 
-def left_violations(states: DataFrame, left_view: DataFrame) -> DataFrame:
-    """States whose peer's left view (``t, node, left_src``) names another node or none."""
-    peers = left_view.select("t", F.col("node").alias("dst"), "left_src")
-    return states.join(peers, ["t", "dst"], "left").where("NOT (left_src <=> src)").select("t", "src", "dst", "state", "left_src")
+    ``states`` are rows ``t, src, dst, state, peer_t``. Where the left node begins a set-up it must name this node at ``t + setup``;
+    during the set-up this node and a step less than ``setup`` ahead; while it works this node at ``t``. A left node
+    without a state must have a right neighbour at least, so it is always wrong here.
+    """
+    peers = states.select("t", F.col("src").alias("left_src"), "dst", "state", "peer_t")
+    seen = left_view.join(peers, ["t", "left_src"], "left").withColumn("state", F.coalesce("state", F.lit(-1)))
+    other, s = F.col("dst") != F.col("node"), F.col("state")
+    broken = F.array_compact(
+        F.array(
+            F.when(s == -1, "left node has no link"),
+            F.when((s == 0) & (other | (F.col("peer_t") != F.col("t") + setup)), "set-up names another place"),
+            F.when((s == 1) & other, "set-up is with another node"),
+            F.when((s == 1) & (F.col("peer_t") - F.col("t") >= setup), "set-up ends too late"),
+            F.when((s == 2) & (other | (F.col("peer_t") != F.col("t"))), "link is with another place"),
+        )
+    )
+    return seen.withColumn("broken", broken).select("t", "node", "left_src", "state", F.explode("broken").alias("violation"))
 
 
 def left_working(states: DataFrame, left_view: DataFrame) -> DataFrame:

@@ -207,17 +207,40 @@ def free_ports(spark: SparkSession, sf_dir: str) -> DataFrame:
     return links.free_ports(_dense_states(spark, sf_dir), left, 2, T)
 
 
-@plan(f"""{_STATES}, n AS (SELECT *, lag(state) OVER w AS b, lead(state) OVER w AS a FROM ds WINDOW w AS (PARTITION BY src ORDER BY t)),
-v AS (SELECT t, src, state, CASE WHEN state = 1 AND coalesce(b, -9) NOT IN (0, 1) THEN 'set-up without a start' WHEN state = 2 AND b IS NOT NULL AND b NOT IN (0, 1, 2) THEN 'working without a set-up'
-  WHEN state = 0 AND a IS NULL THEN 'starts at the last step' WHEN state = 0 AND a NOT IN (1, 2) THEN 'start without a set-up' WHEN state = 1 AND a IS NOT NULL AND a NOT IN (1, 2) THEN 'set-up is broken off' END AS violation FROM n)
-SELECT t, src, state, violation FROM v WHERE violation IS NOT NULL""")
+# The same with states, peers and times that are wrong in some rows, so that every rule is broken somewhere.
+_WRONG = f"""{_STATES}, wrong AS (SELECT t, src, CAST(CASE WHEN (src + 2 * t) % 17 = 0 THEN dst + 1 ELSE dst END AS INT) AS dst,
+  CAST(CASE WHEN (src + t) % 5 = 0 THEN (state + 1) % 3 ELSE state END AS INT) AS state, CAST(CASE WHEN (src * 2 + t) % 7 = 0 THEN peer_t + 2 ELSE peer_t END AS INT) AS peer_t FROM st),
+wds AS (SELECT CAST(s AS INT) AS t, id AS src, coalesce(state, -1) AS state FROM node CROSS JOIN range(24) AS r(s) LEFT JOIN wrong ON wrong.t = s AND wrong.src = id)"""
+
+
+def _wrong(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t, src = F.col("t"), F.col("src")
+    return _states(spark, sf_dir).select(
+        "t",
+        "src",
+        F.when((src + 2 * t) % 17 == 0, F.col("dst") + 1).otherwise(F.col("dst")).cast("int").alias("dst"),
+        F.when((src + t) % 5 == 0, (F.col("state") + 1) % 3).otherwise(F.col("state")).cast("int").alias("state"),
+        F.when((src * 2 + t) % 7 == 0, F.col("peer_t") + 2).otherwise(F.col("peer_t")).cast("int").alias("peer_t"),
+    )
+
+
+@plan(f"""{_WRONG}, rule(state, near, side) AS (VALUES (-1, -1, 0), (-1, 2, 0), (0, -1, 0), (0, 2, 0), (1, 0, 0), (1, 1, 0), (2, 1, 0), (2, 2, 0),
+  (-1, -1, 1), (-1, 0, 1), (0, 1, 1), (1, 1, 1), (1, 2, 1), (2, 2, 1), (2, -1, 1), (2, 0, 1))
+SELECT a.t, a.src, a.state, CASE WHEN b.t < a.t THEN 'wrong before' ELSE 'wrong after' END AS violation FROM wds AS a JOIN wds AS b ON b.src = a.src AND abs(b.t - a.t) = 1
+WHERE NOT EXISTS (SELECT 1 FROM rule WHERE rule.state = a.state AND rule.near = b.state AND rule.side = CASE WHEN b.t < a.t THEN 0 ELSE 1 END)
+UNION ALL SELECT t, src, state, 'being set up at the first step' FROM wds WHERE t = 0 AND state = 1 UNION ALL SELECT t, src, state, 'begins at the last step' FROM wds WHERE t = 23 AND state = 0""")
 def check_state_machine(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.state_violations(_dense_states(spark, sf_dir))
+    return links.state_violations(links.dense_states(_wrong(spark, sf_dir), spark, C, T))
 
 
-@plan(f"{_STATES} SELECT st.t, st.src, st.dst, st.state, left_src FROM st LEFT JOIN lv ON lv.t = st.t AND lv.node = st.dst WHERE left_src IS DISTINCT FROM st.src")
+@plan(f"""{_WRONG}, v AS (SELECT lv.t, lv.node, lv.left_src, coalesce(w.state, -1) AS state, w.dst, w.peer_t FROM lv LEFT JOIN wrong AS w ON w.t = lv.t AND w.src = lv.left_src)
+SELECT t, node, left_src, state, 'left node has no link' AS violation FROM v WHERE state = -1
+UNION ALL SELECT t, node, left_src, state, 'set-up names another place' FROM v WHERE state = 0 AND (dst, peer_t) <> (node, t + 2)
+UNION ALL SELECT t, node, left_src, state, 'set-up is with another node' FROM v WHERE state = 1 AND dst <> node
+UNION ALL SELECT t, node, left_src, state, 'set-up ends too late' FROM v WHERE state = 1 AND NOT peer_t - t < 2
+UNION ALL SELECT t, node, left_src, state, 'link is with another place' FROM v WHERE state = 2 AND (dst, peer_t) <> (node, t)""")
 def check_left_neighbor(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.left_violations(_states(spark, sf_dir), _left_view(spark, sf_dir))
+    return links.left_violations(_wrong(spark, sf_dir), _left_view(spark, sf_dir), 2)
 
 
 @plan(f"{_STATES} SELECT step, gid, src, dst FROM internal WHERE gid = 0 AND step >= 2 AND (step, src, dst) NOT IN (SELECT (t, src, dst) FROM st WHERE state = 2)")
