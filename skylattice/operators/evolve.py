@@ -85,38 +85,36 @@ def scored(individuals: DataFrame, pairs: DataFrame, spark: SparkSession, c: Con
     return paths.snapshot_fitness(hops, ["topo", "step"]).select(F.col("topo").cast("int").alias("ind_id"), "step", "score")
 
 
-def filter_and_replenish(fitness: DataFrame) -> DataFrame:
-    """Individuals with infinite ``total`` are replaced by the best one, the smallest id of equals: ``slot, ind_id, total``."""
+def filter_and_replenish(fitness: DataFrame, by: list[str]) -> DataFrame:
+    """In each population (columns ``by``) individuals with infinite ``total`` are replaced by its best one, the smallest id of equals."""
     lost = F.col("total").isNull() | F.col("total").isin(float("inf"), float("-inf")) | F.isnan("total")
-    best = fitness.where(~lost).agg(F.min(F.struct("total", "ind_id")).alias("b"))
-    both = fitness.crossJoin(F.broadcast(best))  # one row
-    return both.select(F.col("ind_id").alias("slot"), F.when(lost, F.col("b.ind_id")).otherwise(F.col("ind_id")).alias("ind_id"), F.when(lost, F.col("b.total")).otherwise(F.col("total")).alias("total"))
+    best = fitness.where(~lost).groupBy(*by).agg(F.min(F.struct("total", "ind_id")).alias("b"))
+    both = fitness.join(best, by)
+    return both.select(*by, F.col("ind_id").alias("slot"), F.when(lost, F.col("b.ind_id")).otherwise(F.col("ind_id")).alias("ind_id"), F.when(lost, F.col("b.total")).otherwise(F.col("total")).alias("total"))
 
 
-def selection_probabilities(fitness: DataFrame, floor: float = 1e-6) -> DataFrame:
-    """Roulette shares (better, that is smaller, scores weigh more) and their running sum in order of id.
-
-    One population has few rows, so its running sum is one window.
-    """
-    every = fitness.agg(F.max("total").alias("most"), F.sum("total").alias("sum"), F.count("*").alias("n"))
-    weight = F.col("most") - F.col("total") + floor
-    shares = fitness.crossJoin(F.broadcast(every)).withColumn("share", weight / (F.col("n") * F.col("most") - F.col("sum") + F.col("n") * floor))
-    return shares.select("ind_id", "share", F.sum("share").over(Window.orderBy("ind_id")).alias("upto"))
+def selection_probabilities(fitness: DataFrame, by: list[str], floor: float = 1e-6) -> DataFrame:
+    """Roulette shares of each population (columns ``by``) and their running sum in order of id; smaller scores weigh more."""
+    every = Window.partitionBy(*by)
+    weighed = fitness.withColumn("weight", F.max("total").over(every) - F.col("total") + floor)
+    shares = weighed.withColumn("share", F.col("weight") / F.sum("weight").over(every))
+    return shares.select(*by, "ind_id", "share", F.sum("share").over(every.orderBy("ind_id")).alias("upto"))
 
 
-def selected(probabilities: DataFrame, draws: DataFrame) -> DataFrame:
-    """``slot, ind_id``: for each draw ``slot, r`` the first individual whose running sum reaches it."""
-    return draws.join(probabilities, F.col("r") <= F.col("upto")).groupBy("slot").agg(F.min_by("ind_id", "upto").alias("ind_id"))
+def selected(probabilities: DataFrame, draws: DataFrame, by: list[str]) -> DataFrame:
+    """``slot, ind_id``: for each draw ``slot, r`` of a population the first individual whose running sum reaches it."""
+    return draws.join(probabilities, by).where(F.col("r") <= F.col("upto")).groupBy(*by, "slot").agg(F.min_by("ind_id", "upto").alias("ind_id"))
 
 
-def ranked(fitness: DataFrame) -> DataFrame:
-    return fitness.withColumn("rank", F.row_number().over(Window.orderBy("total", "ind_id")))
+def ranked(fitness: DataFrame, by: list[str]) -> DataFrame:
+    """The rank of each individual in its population (columns ``by``)."""
+    return fitness.withColumn("rank", F.row_number().over(Window.partitionBy(*by).orderBy("total", "ind_id")))
 
 
-def history(scores: DataFrame) -> DataFrame:
-    """Best score of each generation and of all up to it."""
-    by = scores.groupBy("generation").agg(F.min("total").alias("best"))
-    return by.withColumn("best_so_far", F.min("best").over(Window.orderBy("generation")))
+def history(scores: DataFrame, by: list[str]) -> DataFrame:
+    """Best score of each generation and of all up to it, for each run (columns ``by``)."""
+    best = scores.groupBy(*by, "generation").agg(F.min("total").alias("best"))
+    return best.withColumn("best_so_far", F.min("best").over(Window.partitionBy(*by).orderBy("generation")))
 
 
 def convergence_rate(trace: DataFrame, every: int = 100) -> DataFrame:
@@ -157,8 +155,8 @@ def genetic_search(spark: SparkSession, pairs: DataFrame, c: Constellation, size
         picks = children.where(chance(F.lit(g), "ind_id", "src") < 0.02).select("ind_id", "src", F.pmod(F.xxhash64(F.lit(seed + 3), F.lit(g), "ind_id", "src"), F.lit(4)).cast("int").alias("rank"))
         both = written(current.unionByName(mutate(children, picks, spark, c).withColumn("ind_id", F.col("ind_id") + size)))
         total = written(scored(both, pairs, spark, c).groupBy("ind_id").agg(F.sum("score").alias("total")))
-        draws = ids.select(F.col("child").alias("slot"), chance(F.lit(g + 1000), "child").alias("r"))
-        drawn = selected(selection_probabilities(total), draws)
+        draws = ids.select(F.lit(g).alias("generation"), F.col("child").alias("slot"), chance(F.lit(g + 1000), "child").alias("r"))
+        drawn = selected(selection_probabilities(total.withColumn("generation", F.lit(g)), ["generation"]), draws, ["generation"]).select("slot", "ind_id")
         elite = paths.best(total, "ind_id", "total").select(F.lit(0).alias("slot"), "ind_id")
         chosen = elite.unionByName(drawn.where("slot > 0"))
         current = written(both.join(chosen, "ind_id").select(F.col("slot").alias("ind_id"), "src", "dst"))

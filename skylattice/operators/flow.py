@@ -11,10 +11,6 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Edges of a graph up to which the fixed-charge problem is solved exactly.
-MOST_FIXED_EDGES = 64
-
-
 def cheapest_flow(edges: list[tuple[int, int, int, int]], source: int, sink: int, demand: int) -> tuple[str, list[int]]:
     """Status and flow on each edge ``(u, v, cost, capacity)``: cheapest augmenting paths under node potentials."""
     at: dict[int, list[int]] = {}
@@ -87,10 +83,9 @@ def fewest_charges(edges: list[tuple[int, int, int, int]], source: int, sink: in
     """Status, least sum of fixed charges, and flow, where using an edge costs its charge whatever flows on it.
 
     Branch and bound: edges are opened or closed one at a time; a branch ends if its open and undecided edges cannot
-    carry the demand, or if its charges cannot become less than the best.
+    carry the demand, or if its charges cannot become less than the best. The problem is NP-hard: the search is exact for
+    graphs of any size, but its time may grow exponentially with them.
     """
-    if len(edges) > MOST_FIXED_EDGES:
-        raise ValueError(f"{len(edges)} edges; exact search takes {MOST_FIXED_EDGES}")
     best: list = [float("inf"), [0] * len(edges)]
 
     def carried(closed: set[int], free: set[int]) -> tuple[str, list[int]]:
@@ -138,3 +133,13 @@ def fixed_charge_flow(edges: DataFrame, demands: DataFrame) -> DataFrame:
         return pd.DataFrame(rows, columns=["graph", "status", "total_charge", "n_edges"])
 
     return edges.groupBy("graph").cogroup(demands.groupBy("graph")).applyInPandas(run, "graph long, status string, total_charge long, n_edges int")
+
+
+def total_demand(sources: DataFrame, by: list[str]) -> DataFrame:
+    """The sum of the sources' ``demand`` of each graph."""
+    return sources.groupBy(*by).agg(F.sum("demand").cast("long").alias("demand"))
+
+
+def without_super_nodes(flows: DataFrame, super_source: int = -1, super_sink: int = -2) -> DataFrame:
+    """A flow's edges between real nodes."""
+    return flows.where(f"u NOT IN ({super_source}, {super_sink}) AND v NOT IN ({super_source}, {super_sink})")

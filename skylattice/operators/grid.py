@@ -94,16 +94,17 @@ def inter_plane(edges: DataFrame, c: Constellation) -> DataFrame:
     return edges.where(~same_plane("src", "dst", c))
 
 
-def flow_edges(edges: DataFrame, c: Constellation, cost: int = 1, intra: int = 100, inter: int = 50) -> DataFrame:
-    """Capacities: links within a plane count with both capacities, others with one; parallel edges are kept."""
+def flow_edges(edges: DataFrame, c: Constellation, cost: int = 1, intra: int = 100, inter: int = 50, keep: list[str] | None = None) -> DataFrame:
+    """Capacities: links within a plane count with both capacities, others with one; parallel edges and ``keep`` columns are kept."""
     caps = F.when(same_plane("src", "dst", c), F.array(F.lit(intra), F.lit(inter))).otherwise(F.array(F.lit(inter)))
-    return edges.select("src", "dst", F.lit(cost).alias("cost"), F.explode(caps).alias("cap"))
+    return edges.select(*(keep or []), "src", "dst", F.lit(cost).alias("cost"), F.explode(caps).alias("cap"))
 
 
-def with_super_nodes(flow: DataFrame, sources: DataFrame, sinks: DataFrame, super_source: int = -1, super_sink: int = -2, unlimited: int = 10**9) -> DataFrame:
-    """Adds a node before all sources (``node, demand``) and one behind all sinks (``node``)."""
-    before = sources.select(F.lit(super_source).alias("src"), F.col("node").alias("dst"), F.lit(0).alias("cost"), F.col("demand").alias("cap"))
-    behind = sinks.select(F.col("node").alias("src"), F.lit(super_sink).alias("dst"), F.lit(0).alias("cost"), F.lit(unlimited).alias("cap"))
+def with_super_nodes(flow: DataFrame, sources: DataFrame, sinks: DataFrame, super_source: int = -1, super_sink: int = -2, unlimited: int = 10**9, keep: list[str] | None = None) -> DataFrame:
+    """Adds a node before all sources (``node, demand``) and one behind all sinks (``node``), in each graph (``keep`` columns)."""
+    keep = keep or []
+    before = sources.select(*keep, F.lit(super_source).alias("src"), F.col("node").alias("dst"), F.lit(0).alias("cost"), F.col("demand").alias("cap"))
+    behind = sinks.select(*keep, F.col("node").alias("src"), F.lit(super_sink).alias("dst"), F.lit(0).alias("cost"), F.lit(unlimited).alias("cap"))
     return flow.unionByName(before).unionByName(behind)
 
 

@@ -175,8 +175,8 @@ def evolve_sequences(spark: SparkSession, start: DataFrame, pairs: DataFrame, we
         mutants = mutate_intervals(children, picks, weights, protected, spark, c, setup, steps)
         both = written(current.unionByName(mutants.withColumn("ind_id", (F.col("ind_id") + size).cast("int"))))
         total = written(sequence_scores(both, pairs, spark, c).groupBy("ind_id").agg(F.sum("score").alias("total")))
-        draws = ids.select(F.col("child").alias("slot"), (draw(1 << 30, g, 3) / (1 << 30)).alias("r"))
-        drawn = selected(selection_probabilities(total), draws)
+        draws = ids.select(F.lit(g).alias("generation"), F.col("child").alias("slot"), (draw(1 << 30, g, 3) / (1 << 30)).alias("r"))
+        drawn = selected(selection_probabilities(total.withColumn("generation", F.lit(g)), ["generation"]), draws, ["generation"]).select("slot", "ind_id")
         elite = paths.best(total, "ind_id", "total").select(F.lit(0).alias("slot"), "ind_id")
         current = written(both.join(elite.unionByName(drawn.where("slot > 0")), "ind_id").select(F.col("slot").alias("ind_id"), *LINK[1:]))
         rows = total.select(F.lit(g).alias("generation"), "ind_id", "total")

@@ -41,13 +41,13 @@ def mutable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan(
-    """WITH s AS (SELECT CAST(g AS INT) AS generation, ((g * 31 + i * 17) % 97) / 7 AS total FROM range(40) AS a(g), range(20) AS b(i)),
-b AS (SELECT generation, min(total) AS best FROM s GROUP BY generation) SELECT generation, best, min(best) OVER (ORDER BY generation) AS best_so_far FROM b""",
+    """WITH s AS (SELECT CAST(r AS INT) AS run_id, CAST(g AS INT) AS generation, ((g * 31 + i * 17 + r * 11) % 97) / 7 AS total FROM range(5) AS c(r), range(40) AS a(g), range(20) AS b(i)),
+b AS (SELECT run_id, generation, min(total) AS best FROM s GROUP BY run_id, generation) SELECT run_id, generation, best, min(best) OVER (PARTITION BY run_id ORDER BY generation) AS best_so_far FROM b""",
     prefix="",
 )
 def fitness_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = spark.range(800).selectExpr("CAST(id div 20 AS INT) AS generation", "((id div 20) * 31 + (id % 20) * 17) % 97 / 7 AS total")
-    return evolve.history(scores)
+    scores = spark.range(4000).selectExpr("CAST(id div 800 AS INT) AS run_id", "CAST(id div 20 % 40 AS INT) AS generation", "((id div 20 % 40) * 31 + (id % 20) * 17 + (id div 800) * 11) % 97 / 7 AS total")
+    return evolve.history(scores, ["run_id"])
 
 
 @plan(
@@ -158,4 +158,4 @@ def gridworld_policy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def policy_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid_world.policy_values(_moves(spark), theta=1e-3)
+    return grid_world.policy_values(_moves(spark))

@@ -38,18 +38,22 @@ def motif_links(spark: SparkSession) -> DataFrame:
     return grid.motif_edges(rects(spark), C).groupBy("src").agg(F.max("dst").alias("dst"))
 
 
-def links(spark: SparkSession, sf_dir: str) -> DataFrame:
+def links(spark: SparkSession, sf_dir: str, members: DataFrame | None = None) -> DataFrame:
     """``step, src, dst``: the motif shifted back into the raw frame, where it jumps whenever the frame moves.
 
-    The frame follows group 0 and drifts by one slot every three steps.
+    The frame follows group 0 and drifts by one slot every three steps. ``members`` are the groups where they are known.
     """
-    steps = offsets(spark, sf_dir).withColumn("offset", (F.col("offset") + F.floor(F.col("step") / 3)).cast("int"))
-    placed = motif_links(spark).crossJoin(F.broadcast(steps.select("step")))  # a fixed motif at every step
+    steps = _offsets(spark, sf_dir, members).withColumn("offset", (F.col("offset") + F.floor(F.col("step") / 3)).cast("int"))
+    placed = steps.select("step").crossJoin(F.broadcast(motif_links(spark)))  # a motif of a fixed size at every step
     return visibility.to_frame(placed, steps, C, "src", "dst", raw=True).select("step", "src", "dst")
 
 
-def topology(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _offsets(spark: SparkSession, sf_dir: str, members: DataFrame | None) -> DataFrame:
+    return visibility.group_offsets(groups(spark, sf_dir) if members is None else members, C)
+
+
+def topology(spark: SparkSession, sf_dir: str, members: DataFrame | None = None) -> DataFrame:
     """All edges of each step, both ways: the motif's links and the rings."""
-    across = links(spark, sf_dir)
-    rings = grid.ring_edges(spark, C).crossJoin(F.broadcast(offsets(spark, sf_dir).select("step")))
+    across = links(spark, sf_dir, members)
+    rings = _offsets(spark, sf_dir, members).select("step").crossJoin(F.broadcast(grid.ring_edges(spark, C)))  # the constellation's rings at every step
     return grid.bidirectional(across.unionByName(rings.select("step", "src", "dst")))

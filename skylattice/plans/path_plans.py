@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from skylattice.operators import evolve, flow, grid, paths
 from skylattice.plans import fixtures as fx
 from skylattice.plans.registry import plan
+from skylattice.sources.shared import written
 
 C = fx.C
 #: Fixed example: a graph of eleven nodes as (from, to, cost, capacity).
@@ -28,7 +29,8 @@ def _pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _hops(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.pair_hops(fx.topology(spark, sf_dir), _pairs(spark, sf_dir))
+    members = written(fx.groups(spark, sf_dir))
+    return paths.pair_hops(written(fx.topology(spark, sf_dir, members)), paths.region_pairs(members, 0, 4))
 
 
 @plan(f"{_TOPO} SELECT step, src, dst FROM pairs")
@@ -92,6 +94,11 @@ def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.individual_fitness(_scores(spark, sf_dir), 2, 23)
 
 
+def _runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The individuals as two populations."""
+    return fitness(spark, sf_dir).withColumn("run_id", F.col("ind_id") % 2)
+
+
 @plan(f"{_SCORES} SELECT ind_id, round(total, 9) AS total FROM fit")
 def individual_fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fitness(spark, sf_dir).withColumn("total", F.round("total", 9))
@@ -102,24 +109,33 @@ def best_individual(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.best(fitness(spark, sf_dir), "ind_id", "total").withColumn("total", F.round("total", 9))
 
 
-@plan(f"{_SCORES} SELECT ind_id, round(total, 9) AS total, CAST(row_number() OVER (ORDER BY total, ind_id) AS INT) AS \"rank\" FROM fit")
+@plan(f"{_SCORES} SELECT ind_id % 2 AS run_id, ind_id, round(total, 9) AS total, CAST(row_number() OVER (PARTITION BY ind_id % 2 ORDER BY total, ind_id) AS INT) AS \"rank\" FROM fit")
 def ranked_individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evolve.ranked(fitness(spark, sf_dir)).withColumn("total", F.round("total", 9))
+    return evolve.ranked(_runs(spark, sf_dir), ["run_id"]).withColumn("total", F.round("total", 9))
 
 
-@plan(f"""{_SCORES}, s AS (SELECT ind_id, (max(total) OVER () - total + 1e-6) AS w FROM fit)
-SELECT ind_id, round(w / sum(w) OVER (), 9) AS share, round(sum(w) OVER (ORDER BY ind_id) / sum(w) OVER (), 9) AS upto FROM s""")
+@plan(f"""{_SCORES}, s AS (SELECT ind_id % 2 AS run_id, ind_id, (max(total) OVER (PARTITION BY ind_id % 2) - total + 1e-6) AS w FROM fit)
+SELECT run_id, ind_id, round(w / sum(w) OVER (PARTITION BY run_id), 9) AS share, round(sum(w) OVER (PARTITION BY run_id ORDER BY ind_id) / sum(w) OVER (PARTITION BY run_id), 9) AS upto FROM s""")
 def selection_probabilities(spark: SparkSession, sf_dir: str) -> DataFrame:
-    shares = evolve.selection_probabilities(fitness(spark, sf_dir))
-    return shares.select("ind_id", F.round("share", 9).alias("share"), F.round("upto", 9).alias("upto"))
+    shares = evolve.selection_probabilities(_runs(spark, sf_dir), ["run_id"])
+    return shares.select("run_id", "ind_id", F.round("share", 9).alias("share"), F.round("upto", 9).alias("upto"))
+
 
+@plan(f"""{_SCORES}, s AS (SELECT ind_id % 2 AS run_id, ind_id, (max(total) OVER (PARTITION BY ind_id % 2) - total + 1e-6) AS w FROM fit),
+p AS (SELECT run_id, ind_id, sum(w) OVER (PARTITION BY run_id ORDER BY ind_id) / sum(w) OVER (PARTITION BY run_id) AS upto FROM s),
+d AS (SELECT CAST(r AS INT) AS run_id, CAST(i AS INT) AS slot, (i * 7 + r * 3) % 50 / 50 AS r FROM range(2) AS a(r), range(50) AS b(i))
+SELECT d.run_id, slot, CAST(min(ind_id) AS INT) AS ind_id FROM d JOIN p ON p.run_id = d.run_id AND d.r <= upto GROUP BY d.run_id, slot""")
+def roulette_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    draws = spark.range(100).selectExpr("CAST(id div 50 AS INT) AS run_id", "CAST(id % 50 AS INT) AS slot", "(id % 50 * 7 + id div 50 * 3) % 50 / 50 AS r")
+    return evolve.selected(evolve.selection_probabilities(_runs(spark, sf_dir), ["run_id"]), draws, ["run_id"])
 
-@plan(f"""{_SCORES}, f AS (SELECT ind_id, CASE WHEN ind_id % 3 = 1 THEN CAST('inf' AS DOUBLE) ELSE total END AS total FROM fit),
-b AS (SELECT ind_id AS bi, total AS bt FROM f WHERE NOT isinf(total) ORDER BY total, ind_id LIMIT 1)
-SELECT ind_id AS slot, CASE WHEN isinf(total) THEN bi ELSE ind_id END AS ind_id, round(CASE WHEN isinf(total) THEN bt ELSE total END, 9) AS total FROM f, b""")
+
+@plan(f"""{_SCORES}, f AS (SELECT ind_id % 2 AS run_id, ind_id, CASE WHEN ind_id % 3 = 1 THEN CAST('inf' AS DOUBLE) ELSE total END AS total FROM fit),
+b AS (SELECT run_id, ind_id AS bi, total AS bt FROM f WHERE NOT isinf(total) QUALIFY row_number() OVER (PARTITION BY run_id ORDER BY total, ind_id) = 1)
+SELECT f.run_id, ind_id AS slot, CASE WHEN isinf(total) THEN bi ELSE ind_id END AS ind_id, round(CASE WHEN isinf(total) THEN bt ELSE total END, 9) AS total FROM f JOIN b ON b.run_id = f.run_id""")
 def filter_and_replenish(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lost = fitness(spark, sf_dir).withColumn("total", F.when(F.col("ind_id") % 3 == 1, F.lit(float("inf"))).otherwise(F.col("total")))
-    return evolve.filter_and_replenish(lost).withColumn("total", F.round("total", 9))
+    lost = _runs(spark, sf_dir).withColumn("total", F.when(F.col("ind_id") % 3 == 1, F.lit(float("inf"))).otherwise(F.col("total")))
+    return evolve.filter_and_replenish(lost, ["run_id"]).withColumn("total", F.round("total", 9))
 
 
 @plan(f"{_CAND} SELECT ind_id, src, dst FROM pop")
@@ -160,26 +176,40 @@ def mutated_individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve.mutate(pop, picks, spark, C)
 
 
-def _graph(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT CAST(0 AS BIGINT) AS graph, u, v, cost, cap FROM VALUES {_ROWS} AS t(u, v, cost, cap)")
+# Twelve graphs: the example with other costs in each.
+_GRAPHS = f"WITH RECURSIVE one(u, v, cost, cap) AS (VALUES {_ROWS}), e AS (SELECT g, u, v, cost + (u * g + v) % 4 AS cost, cap FROM one, range(12) AS r(g))"
+
+
+def _graphs(spark: SparkSession) -> DataFrame:
+    return spark.sql(f"SELECT g.id AS graph, u, v, CAST(cost + (u * g.id + v) % 4 AS INT) AS cost, cap FROM VALUES {_ROWS} AS t(u, v, cost, cap), range(12) AS g")
+
+
+def _demands(spark: SparkSession, demand: int) -> DataFrame:
+    return spark.range(12).select(F.col("id").alias("graph"), F.lit(0).alias("source"), F.lit(10).alias("sink"), F.lit(demand).alias("demand"))
 
 
 @plan(
-    f"""WITH RECURSIVE e(u, v, cost, cap) AS (VALUES {_ROWS}),
-p AS (SELECT s AS src, s AS node, CAST(0 AS BIGINT) AS cost, [s] AS way FROM (VALUES (0), (1)) AS t(s)
-UNION ALL SELECT src, v, p.cost + e.cost, list_append(way, v) FROM p JOIN e ON e.u = p.node WHERE NOT list_contains(way, v)),
-r AS (SELECT src, cost, way, row_number() OVER (PARTITION BY src ORDER BY cost, way) AS k FROM p WHERE node = 10)
-SELECT CAST(0 AS BIGINT) AS graph, src, 10 AS dst, CAST(k AS INT) AS "rank", cost, array_to_string(way, '-') AS path FROM r WHERE k <= 6""",
+    f"""{_GRAPHS},
+p AS (SELECT g, s AS src, s AS node, CAST(0 AS BIGINT) AS cost, [s] AS way FROM (VALUES (0), (1)) AS t(s), range(12) AS r(g)
+UNION ALL SELECT p.g, src, v, p.cost + e.cost, list_append(way, v) FROM p JOIN e ON e.g = p.g AND e.u = p.node WHERE NOT list_contains(way, v)),
+r AS (SELECT g, src, cost, way, row_number() OVER (PARTITION BY g, src ORDER BY cost, way) AS k FROM p WHERE node = 10)
+SELECT g AS graph, src, 10 AS dst, CAST(k AS INT) AS "rank", cost, array_to_string(way, '-') AS path FROM r WHERE k <= 6""",
     prefix="",
 )
 def k_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return paths.k_shortest_paths(_graph(spark), spark.sql("SELECT CAST(0 AS BIGINT) AS graph, src, 10 AS dst FROM VALUES 0, 1 AS t(src)"), 6)
+    pairs = spark.range(24).selectExpr("id div 2 AS graph", "CAST(id % 2 AS INT) AS src", "10 AS dst")
+    return paths.k_shortest_paths(_graphs(spark), pairs, 6)
 
 
-@plan(f"{_BARE} SELECT step, src, dst, hops FROM hop WHERE hops IS NOT NULL AND step IN (0, 7, 14, 21)")
+# The first way by its nodes: each step goes to the smallest neighbour that is one hop nearer to the target.
+@plan(f"""{_BARE}, back AS (SELECT DISTINCT step, dst, dst AS node, 0 AS h FROM pairs UNION SELECT b.step, b.dst, e.dst, b.h + 1 FROM back AS b JOIN e ON e.step = b.step AND e.src = b.node WHERE b.h < 30),
+far AS (SELECT step, dst, node, min(h) AS h FROM back GROUP BY step, dst, node),
+nxt AS (SELECT a.step, a.dst, a.node, min(e.dst) AS next FROM far AS a JOIN e ON e.step = a.step AND e.src = a.node JOIN far AS b ON b.step = a.step AND b.dst = a.dst AND b.node = e.dst AND b.h = a.h - 1 GROUP BY a.step, a.dst, a.node),
+walk AS (SELECT step, src, dst, src AS node, CAST(src AS VARCHAR) AS path, 0 AS n FROM hop WHERE hops IS NOT NULL
+  UNION ALL SELECT w.step, w.src, w.dst, x.next, w.path || '-' || x.next, w.n + 1 FROM walk AS w JOIN nxt AS x ON x.step = w.step AND x.dst = w.dst AND x.node = w.node WHERE w.node <> w.dst)
+SELECT step, src, dst, CAST(n AS INT) AS hops, path FROM walk WHERE node = dst""")
 def shortest_path_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = paths.shortest_path_nodes(grid.bidirectional(fx.links(spark, sf_dir)), _pairs(spark, sf_dir).where("step IN (0, 7, 14, 21)"))
-    return found.select("step", "src", "dst", (F.size(F.split("path", "-")) - 1).alias("hops"))
+    return paths.shortest_path_nodes(grid.bidirectional(fx.links(spark, sf_dir)), _pairs(spark, sf_dir))
 
 
 @plan()
@@ -191,26 +221,32 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan()
 def min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.min_cost_flow(_graph(spark), spark.sql("SELECT CAST(0 AS BIGINT) AS graph, 0 AS source, 10 AS sink, 30 AS demand"))
+    return flow.min_cost_flow(_graphs(spark), _demands(spark, 30))
 
 
-@plan(
-    f"""WITH RECURSIVE e(u, v, cost, cap) AS (VALUES {_ROWS}),
-p AS (SELECT 0 AS node, CAST(0 AS BIGINT) AS cost, [0] AS way, 1000 AS room UNION ALL SELECT v, p.cost + e.cost, list_append(way, v), least(room, cap) FROM p JOIN e ON e.u = p.node WHERE NOT list_contains(way, v)),
-one AS (SELECT cost, room FROM p WHERE node = 10 ORDER BY cost, way LIMIT 1)
-SELECT CAST(0 AS BIGINT) AS graph, 'Optimal' AS status, cost * 30 AS total_cost FROM one WHERE room >= 30""",
-    prefix="",
-)
+# No edge takes less than 20, so the cheapest way carries that much alone.
+_WAYS = f"""{_GRAPHS}, p AS (SELECT g, 0 AS node, CAST(0 AS BIGINT) AS cost, [0] AS way FROM range(12) AS r(g)
+UNION ALL SELECT p.g, v, p.cost + e.cost, list_append(way, v) FROM p JOIN e ON e.g = p.g AND e.u = p.node WHERE NOT list_contains(way, v)),
+least AS (SELECT g, min(cost) AS cost FROM p WHERE node = 10 GROUP BY g)"""
+
+
+@plan(f"{_WAYS} SELECT g AS graph, 'Optimal' AS status, CAST(cost * 20 AS BIGINT) AS total_cost FROM least", prefix="")
 def min_cost_flow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.flow_summary(min_cost_flow(spark, sf_dir))
+    return flow.flow_summary(flow.min_cost_flow(_graphs(spark), _demands(spark, 20)))
 
 
-@plan(
-    f"""WITH RECURSIVE e(u, v, cost, cap) AS (VALUES {_ROWS}),
-p AS (SELECT 0 AS node, CAST(0 AS BIGINT) AS cost, [0] AS way, 1000 AS room UNION ALL SELECT v, p.cost + e.cost, list_append(way, v), least(room, cap) FROM p JOIN e ON e.u = p.node WHERE NOT list_contains(way, v)),
-one AS (SELECT cost, len(way) - 1 AS n FROM p WHERE node = 10 AND room >= 30 ORDER BY cost, way LIMIT 1)
-SELECT CAST(0 AS BIGINT) AS graph, 'Optimal' AS status, cost AS total_charge, CAST(n AS INT) AS n_edges FROM one""",
-    prefix="",
-)
+@plan(f"{_WAYS} SELECT g AS graph, 'Optimal' AS status, cost AS total_charge FROM least", prefix="")
 def fixed_charge_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.fixed_charge_flow(_graph(spark), spark.sql("SELECT CAST(0 AS BIGINT) AS graph, 0 AS source, 10 AS sink, 30 AS demand"))
+    return flow.fixed_charge_flow(_graphs(spark), _demands(spark, 20)).select("graph", "status", "total_charge")
+
+
+@plan()
+def topology_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest flow from group 0 to group 4 over each step's topology: a graph a step, without its super nodes."""
+    members = fx.groups(spark, sf_dir)
+    edges = grid.flow_edges(fx.topology(spark, sf_dir), C, keep=["step"])
+    sources = members.where("gid = 0").select("step", F.col("sat_id").alias("node"), F.lit(10).alias("demand"))
+    sinks = members.where("gid = 4").select("step", F.col("sat_id").alias("node"))
+    graphs = grid.with_super_nodes(edges, sources, sinks, keep=["step"]).select(F.col("step").cast("long").alias("graph"), F.col("src").alias("u"), F.col("dst").alias("v"), "cost", "cap")
+    wanted = flow.total_demand(sources, ["step"]).select(F.col("step").cast("long").alias("graph"), F.lit(-1).alias("source"), F.lit(-2).alias("sink"), "demand")
+    return flow.without_super_nodes(flow.min_cost_flow(graphs, wanted))

@@ -211,3 +211,51 @@ def test_large_grid_counts(spark):
     every = grid.bidirectional(grid.grid_edges(spark, LARGE).unionByName(grid.ring_edges(spark, LARGE))).withColumn("step", F.lit(0))
     pairs = spark.createDataFrame([(0, 0, 647), (0, 5, 5)], "step int, src int, dst int")
     assert sorted((r.src, r.hops) for r in paths.pair_hops(every, pairs).collect()) == [(0, 18), (5, 0)]
+
+
+def test_every_rule_of_the_state_machine_is_checked(spark):
+    lives = {1: [1, 2, 2, -1], 2: [0, 2, 1, 0], 3: [-1, 1, 0, 0], 4: [2, 0, 1, 2], 5: [-1, 2, -1, 1]}
+    rows = [(t, src, s) for src, states in lives.items() for t, s in enumerate(states)]
+    found = links.state_violations(spark.createDataFrame(rows, "t int, src int, state int")).collect()
+    before, after = {-1: (-1, 2), 0: (-1, 2), 1: (0, 1), 2: (1, 2)}, {-1: (-1, 0), 0: (1,), 1: (1, 2), 2: (2, -1, 0)}
+    want = []
+    for src, states in lives.items():
+        for t, s in enumerate(states):
+            want += [(src, t, "wrong before")] * (t > 0 and states[t - 1] not in before[s])
+            want += [(src, t, "wrong after")] * (t < 3 and states[t + 1] not in after[s])
+            want += [(src, t, "being set up at the first step")] * (t == 0 and s == 1) + [(src, t, "begins at the last step")] * (t == 3 and s == 0)
+    assert sorted((r.src, r.t, r.violation) for r in found) == sorted(want)
+    assert {r.violation for r in found} == {"wrong before", "wrong after", "being set up at the first step", "begins at the last step"}
+
+
+def test_topology_flows_are_conserved(spark):
+    from skylattice.plans.registry import QUERIES
+
+    found = QUERIES["topology_flow"](spark, "/root/testdata/sf0.001").collect()
+    members = {}
+    for r in QUERIES["group_visibility"](spark, "/root/testdata/sf0.001").collect():
+        members.setdefault((r.step, r.gid), set()).add(r.sat_id)
+    graphs = {r.graph for r in found}
+    assert len(graphs) >= 23
+    for g in graphs:
+        balance, flow_of = defaultdict(int), [r for r in found if r.graph == g and r.u is not None]
+        for r in flow_of:
+            assert r.u >= 0 and r.v >= 0 and 0 < r.flow <= r.cap
+            balance[r.u] -= r.flow
+            balance[r.v] += r.flow
+        sources, sinks = members[g, 0], members[g, 4]
+        assert all(n == 0 for node, n in balance.items() if node not in sources | sinks)
+        assert all(balance[n] <= 0 for n in sources - sinks) and all(balance[n] >= 0 for n in sinks - sources)
+        assert {r.status for r in found if r.graph == g} == {"Optimal"}
+        away = -sum(balance[n] for n in sources - sinks)
+        assert 0 <= away <= 10 * len(sources)
+
+
+def test_fixed_charges_on_a_graph_of_more_than_64_edges(spark):
+    edges = [(i, j, 1 + (i * 7 + j * 3) % 9, 10) for i in range(14) for j in range(i + 1, min(14, i + 8))]
+    assert len(edges) > 64
+    status, charge, flows = flow.fewest_charges(edges, 0, 13, 10)
+    far = {0: 0}
+    for i, j, cost, _ in edges:
+        far[j] = min(far.get(j, 10**9), far[i] + cost)
+    assert status == "Optimal" and charge == far[13]
