@@ -68,6 +68,40 @@ def mutate(links: DataFrame, picks: DataFrame, spark: SparkSession, c: Constella
     return others.unionByName(without_conflicts(fresh))
 
 
+def mutate_arrays(arrays: DataFrame, picks: DataFrame, c: Constellation) -> DataFrame:
+    """Gives the picked place of each array (``ind_id, place, shift``) the next plane's node ``shift`` slots on.
+
+    Slots are a ring. Other nodes of the plane that have this neighbour lose theirs; arrays that are not picked stay.
+    """
+    column = F.floor(F.col("place") / c.slots)
+    peer = ((column + 1) * c.slots + F.pmod(F.col("place") % c.slots + F.col("shift"), F.lit(c.slots))).cast("int")
+
+    def at(now: Column, i: Column) -> Column:
+        return F.when(i == F.col("place"), F.col("peer")).when((F.floor(i / c.slots) == column) & (now == F.col("peer")), -1).otherwise(now)
+
+    marked = arrays.join(picks, "ind_id", "left").withColumn("peer", peer)
+    return marked.select("ind_id", F.transform("chromosome", at).alias("chromosome"))
+
+
+def plane_matching(individuals: DataFrame, owned: DataFrame, spark: SparkSession, c: Constellation) -> DataFrame:
+    """``ind_id, src, dst`` of individuals whose nodes each have a neighbour of their own in the next plane.
+
+    Owned links (``ind_id, src, dst``) stay. In each plane the k-th free node gets the k-th free target, in an order of nodes
+    and one of targets that differ by individual (``ind_id, step, turn``: multiplier prime to the slots, and offset).
+    """
+    every = individuals.join(F.broadcast(grid.nodes(spark, c)))  # all nodes of every individual; the constellation's size is fixed
+
+    def free(port: str, order: Column) -> DataFrame:
+        rows = every.select("ind_id", "x", F.col("id").alias(port), order.alias("o")).join(owned.select("ind_id", port), ["ind_id", port], "left_anti")
+        return rows.withColumn("k", F.row_number().over(Window.partitionBy("ind_id", "x").orderBy("o")))
+
+    turned = F.pmod(F.col("y") * F.col("step") + F.col("turn"), F.lit(c.slots))
+    sources = free("src", F.col("y"))
+    targets = free("dst", turned).withColumn("x", F.col("x") - 1)
+    new = sources.where(F.col("x") < c.planes - 1).join(targets.select("ind_id", "x", "k", "dst"), ["ind_id", "x", "k"])
+    return owned.select("ind_id", "src", "dst").unionByName(new.select("ind_id", "src", "dst"))
+
+
 def topology_of(individuals: DataFrame, spark: SparkSession, c: Constellation) -> DataFrame:
     """Edges ``topo, src, dst`` of static individuals: links and rings, both ways."""
     rings = grid.ring_edges(spark, c).join(individuals.select("ind_id").distinct())  # the fixed ring of every individual

@@ -84,6 +84,33 @@ def resolved(dense: DataFrame, regions: DataFrame, setup: int, start: int, end:
     return dense.where("dst IS NOT NULL").join(gone, ["step", "src"], "left_anti").select("step", "src", "dst")
 
 
+def resolved_ports(dense: DataFrame, regions: DataFrame, setup: int, start: int, end: int) -> DataFrame:
+    """Links without port conflicts while others are set up, where links inside a region (``id, region_id``, -1 outside) come first.
+
+    Three cases, all decided on the links as given. A node's link changes; or a link appears at the next step and the node had
+    one at most ``setup`` steps earlier (the last counts); or a link ends because another node takes its target. Of the old
+    and the new link: if both are outside or only the new one is inside a region, the node keeps no link in the ``setup``
+    steps up to the present one; if only the old one is inside, the new one's node keeps none in the ``setup`` steps from the
+    old link's last (in the third case from the next step) on; if both are inside nothing happens.
+    """
+    labels = regions.where("region_id <> -1")
+    own = dense.join(labels.select(F.col("id").alias("src"), F.col("region_id").alias("ra")), "src", "left").join(labels.select(F.col("id").alias("dst"), F.col("region_id").alias("rb")), "dst", "left")
+    marked = own.withColumn("inside", F.coalesce(F.col("ra") == F.col("rb"), F.lit(False)))
+    before = _by_node().rowsBetween(-setup, -1)
+    last = F.last(F.when(F.col("dst").isNotNull(), F.struct("step", "inside")), ignorenulls=True).over(before)
+    seen = marked.withColumns({"new": F.lead("dst").over(_by_node()), "new_inside": F.lead("inside").over(_by_node()), "last": last})
+    change = seen.where("dst IS NOT NULL AND new IS NOT NULL AND dst <> new").select("src", "step", F.col("src").alias("other"), F.col("step").alias("from"), F.col("inside").alias("was"), F.col("new_inside").alias("is"))
+    appear = seen.where("dst IS NULL AND new IS NOT NULL AND last IS NOT NULL").select("src", "step", F.col("src").alias("other"), F.col("last.step").alias("from"), F.col("last.inside").alias("was"), F.col("new_inside").alias("is"))
+    taker = marked.where("dst IS NOT NULL").select((F.col("step") - 1).alias("step"), "dst", F.col("src").alias("other"), F.col("inside").alias("is"))
+    ended = seen.where("dst IS NOT NULL AND new IS NULL").join(taker, ["step", "dst"]).where("src <> other")
+    ended = ended.select("src", "step", "other", (F.col("step") + 1).alias("from"), F.col("inside").alias("was"), "is")
+    every = change.unionByName(appear).unionByName(ended).where("NOT (was AND is)")
+    first = F.when(F.col("was"), F.col("from")).otherwise(F.greatest(F.lit(start), F.col("step") - setup + 1))
+    until = F.when(F.col("was"), F.least(F.lit(end - 1), F.col("from") + setup - 1)).otherwise(F.col("step"))
+    gone = every.select(F.when(F.col("was"), F.col("other")).otherwise(F.col("src")).alias("src"), F.explode(F.sequence(first, until)).alias("step")).distinct()
+    return dense.where("dst IS NOT NULL").join(gone, ["step", "src"], "left_anti").select("step", "src", "dst")
+
+
 def idle_extension(dense: DataFrame, setup: int, end: int) -> DataFrame:
     """Steps by which a link may be kept after it ends: while both nodes idle, but not in the ``setup`` steps before the next use.
 

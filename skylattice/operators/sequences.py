@@ -114,6 +114,19 @@ def mutate_intervals(intervals: DataFrame, picks: DataFrame, weights: DataFrame,
     return kept_up(rebuilt(intervals, builds, setup), states.where("state = 2"))
 
 
+def built_on_regions(skeleton: DataFrame, weights: DataFrame, spark: SparkSession, c: Constellation, setup: int, steps: int) -> DataFrame:
+    """Individuals from region life-cycles (``LINK`` rows): nodes without one link for the whole time to their most important peer.
+
+    Peers that a region link ends at are left out; of several nodes that want one peer the smallest gets it.
+    """
+    ids = skeleton.select("ind_id").distinct()
+    open_ = ids.join(F.broadcast(wrapped_candidates(spark, c))).join(skeleton.select("ind_id", "src").distinct(), ["ind_id", "src"], "left_anti").join(skeleton.select("ind_id", "dst").distinct(), ["ind_id", "dst"], "left_anti")
+    best = open_.join(weights.select(F.col("id").alias("dst"), "importance"), "dst").groupBy("ind_id", "src").agg(F.max_by("dst", F.struct("importance", -F.col("rank"))).alias("dst"))
+    one = best.groupBy("ind_id", "dst").agg(F.min("src").alias("src"))
+    whole = one.select("ind_id", "src", "dst", F.lit(0).alias("t_setup"), F.lit(setup).alias("t_work"), F.lit(steps - 1).alias("t_end"))
+    return skeleton.select(*LINK).unionByName(whole)
+
+
 def violations(intervals: DataFrame, setup: int, steps: int) -> DataFrame:
     """``ind_id, problem``: broken lives, and rows of one port that overlap."""
     life = intervals.where(f"t_setup < 0 OR t_work <> t_setup + {setup} OR t_end < t_work OR t_end >= {steps}").select("ind_id", F.lit("life").alias("problem"))

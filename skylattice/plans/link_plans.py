@@ -61,11 +61,24 @@ v AS (SELECT *, lead(dst) OVER w AS new, lead(inside) OVER w AS new_inside FROM
 gone AS (SELECT src, unnest(CASE WHEN inside AND NOT new_inside THEN generate_series(step + 1, least(23, step + 3)) ELSE generate_series(greatest(0, step - 2), step) END) AS step
          FROM v WHERE dst IS NOT NULL AND new IS NOT NULL AND dst <> new)
 SELECT step, src, dst FROM dense WHERE dst IS NOT NULL AND (step, src) NOT IN (SELECT (step, src) FROM gone)""")
-def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+def resolve_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = grid.labelled(grid.nodes(spark, C).select("id"), fx.rects(spark), C)
     return links.resolved(_dense(spark, sf_dir), labels, B, 0, T)
 
 
+@plan(f"""{_DENSE}, lab AS (SELECT id, CASE WHEN x BETWEEN 0 AND 6 AND y BETWEEN 2 AND 6 THEN 0 WHEN x BETWEEN 5 AND 9 AND y BETWEEN 1 AND 8 THEN 4 END AS r FROM node),
+m AS (SELECT d.*, coalesce(a.r = b.r, false) AS inside FROM dense AS d LEFT JOIN lab AS a ON a.id = d.src LEFT JOIN lab AS b ON b.id = d.dst),
+one AS (SELECT a.src, a.step, a.src AS other, a.step AS since, a.inside AS was, b.inside AS is_ FROM m AS a JOIN m AS b ON b.src = a.src AND b.step = a.step + 1 WHERE a.dst <> b.dst
+  UNION ALL SELECT a.src, a.step, a.src, p.step, p.inside, b.inside FROM m AS a JOIN m AS b ON b.src = a.src AND b.step = a.step + 1 JOIN m AS p ON p.src = a.src AND p.step BETWEEN a.step - 3 AND a.step - 1 AND p.dst IS NOT NULL
+    WHERE a.dst IS NULL AND b.dst IS NOT NULL AND NOT EXISTS (SELECT 1 FROM m AS q WHERE q.src = a.src AND q.dst IS NOT NULL AND q.step > p.step AND q.step < a.step)
+  UNION ALL SELECT a.src, a.step, o.src, a.step + 1, a.inside, o.inside FROM m AS a JOIN m AS b ON b.src = a.src AND b.step = a.step + 1 JOIN m AS o ON o.step = a.step + 1 AND o.dst = a.dst AND o.src <> a.src WHERE b.dst IS NULL),
+gone AS (SELECT src, unnest(generate_series(greatest(0, step - 2), step)) AS step FROM one WHERE NOT was UNION SELECT other, unnest(generate_series(since, least(23, since + 2))) FROM one WHERE was AND NOT is_)
+SELECT step, src, dst FROM dense WHERE dst IS NOT NULL AND (step, src) NOT IN (SELECT (step, src) FROM gone)""")
+def resolve_conflicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    labels = grid.labelled(grid.nodes(spark, C).select("id"), fx.rects(spark), C)
+    return links.resolved_ports(_dense(spark, sf_dir), labels, B, 0, T)
+
+
 _PLAIN = f"""{_DENSE}, gone AS (SELECT src, unnest(generate_series(greatest(0, step - 2), step)) AS step FROM nxt WHERE dst IS NOT NULL AND new IS NOT NULL AND dst <> new),
 kept AS (SELECT step, src, dst FROM dense WHERE dst IS NOT NULL AND (step, src) NOT IN (SELECT (step, src) FROM gone))"""
 
@@ -91,10 +104,18 @@ def resolve_and_extend(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.unionByName(links.idle_extension(links.filled(kept, spark, C, 0, T), B, T))
 
 
-@plan(f"""{_PLAIN}, take AS (SELECT src AS taker, new AS dst, unnest(generate_series(greatest(0, step - 2), step)) AS step FROM nxt WHERE new IS NOT NULL AND dst IS DISTINCT FROM new AND next IS NOT NULL)
-SELECT step, src, dst FROM kept AS k WHERE NOT EXISTS (SELECT 1 FROM take AS t WHERE t.step = k.step AND t.dst = k.dst AND t.taker <> k.src)""")
+_EXTENDED = f"""{_PLAIN}, d2 AS (SELECT CAST(s AS INT) AS step, id AS src, kept.dst FROM node CROSS JOIN range(24) AS r(s) LEFT JOIN kept ON kept.step = s AND kept.src = id),
+n2 AS (SELECT *, lead(dst) OVER (PARTITION BY src ORDER BY step) AS new FROM d2),
+busy AS (SELECT DISTINCT step, src FROM kept UNION SELECT step, dst FROM kept),
+e AS (SELECT step, src, dst FROM n2 WHERE dst IS NOT NULL AND new IS NULL AND step < 23),
+g AS (SELECT e.step, e.src, e.dst, coalesce((SELECT min(b.step) FROM busy AS b WHERE b.step > e.step AND b.src IN (e.src, e.dst)), 24) - 4 AS last FROM e),
+longer AS (SELECT step, src, dst FROM kept UNION ALL SELECT CAST(unnest(generate_series(step + 1, last)) AS INT), src, dst FROM g WHERE last > step)"""
+
+
+@plan(f"""{_EXTENDED}, take AS (SELECT src AS taker, new AS dst, unnest(generate_series(greatest(0, step - 2), step)) AS step FROM nxt WHERE new IS NOT NULL AND dst IS DISTINCT FROM new AND next IS NOT NULL)
+SELECT step, src, dst FROM longer AS k WHERE NOT EXISTS (SELECT 1 FROM take AS t WHERE t.step = k.step AND t.dst = k.dst AND t.taker <> k.src)""")
 def resolve_with_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return links.targets_freed(_dense(spark, sf_dir), _plain(spark, sf_dir), B, 0)
+    return links.targets_freed(_dense(spark, sf_dir), resolve_and_extend(spark, sf_dir), B, 0)
 
 
 @plan(f"""{_DENSE}, busy AS (SELECT DISTINCT step, src FROM dense WHERE dst IS NOT NULL UNION SELECT step, dst FROM dense WHERE dst IS NOT NULL),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from skylattice.operators import evolve, grid, paths, sequences
 from skylattice.plans import fixtures as fx
+from skylattice.plans import link_plans
 from skylattice.plans.registry import plan
 
 C, T, SETUP, SIZE = fx.C, fx.STEPS, 2, 24
@@ -150,3 +151,43 @@ def evolve_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan()
 def anneal_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sequences.anneal_sequences(spark, start(spark, 4), *_search(spark, sf_dir), C, SETUP, T, 3)[0]
+
+
+# The skeleton of group g is individual g.
+_BUILT = link_plans._SKELETON + """, z AS (SELECT gid AS ind_id, src, dst, t_setup, t_work, t_end FROM skel),
+wrap AS (SELECT id AS src, k, CAST((x + dx) * 10 + (y + dy + 10) % 10 AS INT) AS dst FROM node, (VALUES (0, 1, -1), (1, 1, 0), (2, 1, 1), (3, 2, 0)) AS v(k, dx, dy) WHERE x + dx < 10),
+open_ AS (SELECT i.ind_id, wrap.src, wrap.dst, k FROM (SELECT DISTINCT ind_id FROM z) AS i, wrap WHERE (i.ind_id, wrap.src) NOT IN (SELECT (ind_id, src) FROM z) AND (i.ind_id, wrap.dst) NOT IN (SELECT (ind_id, dst) FROM z)),
+best AS (SELECT ind_id, src, dst FROM open_ QUALIFY row_number() OVER (PARTITION BY ind_id, src ORDER BY ((dst * 37) % 101) / 40 DESC, k) = 1)
+SELECT * FROM z UNION ALL SELECT ind_id, CAST(min(src) AS INT), dst, 0, 2, 23 FROM best GROUP BY ind_id, dst"""
+
+
+@plan(_BUILT)
+def built_on_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    skeleton = link_plans.region_skeleton(spark, sf_dir).withColumnRenamed("gid", "ind_id")
+    return sequences.built_on_regions(skeleton, _weights(spark), spark, C, SETUP, T)
+
+
+_OWNED = """, ind AS (SELECT CAST(i AS INT) AS ind_id, CASE i % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 9 END AS mul, i * 3 % 10 AS turn FROM range(8) AS r(i)),
+owned AS (SELECT ind_id, id AS src, CAST((x + 1) * 10 + (y + ind_id) % 10 AS INT) AS dst FROM ind, node WHERE x < 9 AND (y + x) % 4 = 0),
+s AS (SELECT ind_id, x, id AS src, row_number() OVER (PARTITION BY ind_id, x ORDER BY y) AS k FROM ind, node WHERE x < 9 AND (ind_id, id) NOT IN (SELECT (ind_id, src) FROM owned)),
+d AS (SELECT ind_id, x - 1 AS x, id AS dst, row_number() OVER (PARTITION BY ind_id, x ORDER BY (y * mul + turn) % 10) AS k FROM ind, node WHERE (ind_id, id) NOT IN (SELECT (ind_id, dst) FROM owned))
+SELECT ind_id, src, dst FROM owned UNION ALL SELECT s.ind_id, src, dst FROM s JOIN d ON d.ind_id = s.ind_id AND d.x = s.x AND d.k = s.k"""
+
+
+@plan(_OWNED)
+def plane_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ids = spark.range(8).selectExpr("CAST(id AS INT) AS ind_id", "CASE id % 4 WHEN 0 THEN 1 WHEN 1 THEN 3 WHEN 2 THEN 7 ELSE 9 END AS step", "CAST(id * 3 % 10 AS INT) AS turn")
+    owned = ids.join(F.broadcast(grid.nodes(spark, C))).where("x < 9 AND (y + x) % 4 = 0").selectExpr("ind_id", "id AS src", "CAST((x + 1) * 10 + (y + ind_id) % 10 AS INT) AS dst")
+    return evolve.plane_matching(ids, owned, spark, C)
+
+
+@plan(
+    _SEQ.format(extra="")
+    + """, pk AS (SELECT CAST(i AS INT) AS ind_id, CAST(i * 13 % 90 AS INT) AS place, CAST(i % 3 - 1 AS INT) AS shift FROM range(20) AS r(i)),
+pe AS (SELECT *, CAST((place // 10 + 1) * 10 + (place % 10 + shift + 10) % 10 AS INT) AS peer FROM pk)
+SELECT pop.ind_id, src, dst FROM pop LEFT JOIN pe ON pe.ind_id = pop.ind_id WHERE pe.place IS NULL OR (src <> place AND NOT (src // 10 = place // 10 AND dst = peer)) UNION ALL SELECT ind_id, place, peer FROM pe"""
+)
+def mutated_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    arrays = evolve.to_array(evolve.population(spark, C, SIZE), C.size)
+    picks = spark.range(20).selectExpr("CAST(id AS INT) AS ind_id", "CAST(id * 13 % 90 AS INT) AS place", "CAST(id % 3 - 1 AS INT) AS shift")
+    return evolve.from_array(evolve.mutate_arrays(arrays, picks, C))

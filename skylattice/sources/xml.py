@@ -60,6 +60,16 @@ def read_nodes(spark: SparkSession, path: str, version: int = 1) -> DataFrame:
     return rows.select(*shared, *rest, F.coalesce("_importance", F.lit(-1.0)).alias("importance"))
 
 
+def with_known_neighbors(nodes: DataFrame) -> DataFrame:
+    """Node states whose ``right`` and ``left`` are null where the table has no node at that place."""
+    places = nodes.select(F.struct("x", "y", "t").alias("place")).distinct()
+    out = nodes
+    for side in ("right", "left"):
+        known = places.select(F.col("place").alias(side), F.lit(True).alias("known"))
+        out = out.join(known, side, "left").withColumn(side, F.when(F.col("known"), F.col(side))).drop("known")
+    return out.select(*nodes.columns)
+
+
 def write_edges(edges: DataFrame, path: str) -> None:
     near = edges.groupBy("step", "src").agg(F.sort_array(F.collect_set("dst")).alias("neighbor"))
     steps = near.groupBy("step").agg(F.sort_array(F.collect_list(F.struct(F.col("src").alias("_id"), "neighbor"))).alias("node"))
