@@ -10,6 +10,7 @@ no key is hot. Each task packs its rows in chunks of bounded size, so memory doe
 
 from __future__ import annotations
 
+import json
 import os
 import zlib
 from collections.abc import Iterator
@@ -27,6 +28,8 @@ CACHE_WORDS = 1_000_000
 #: Pieces that are packed together: dealt to a task on average, and held by a task at most.
 PIECES_PER_TASK = 32_768
 PIECES_AT_ONCE = 131_072
+#: Tasks at most: beyond that each packs several chunks.
+MOST_TASKS = 65_536
 END_OF_TEXT = 1
 
 
@@ -93,7 +96,10 @@ def best_two_fit(lengths: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 class WordIds(dict):
-    """Packed ids of words. This vocabulary's tokens never reach across white space, so a text's ids are its words' ids."""
+    """Packed ids of words, for vocabularies whose tokens end with words and know no case and no white space.
+
+    There a text's ids are its words' ids. Texts are encoded whole under any other vocabulary.
+    """
 
     def __init__(self, tokenizer_file: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -101,6 +107,8 @@ class WordIds(dict):
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        parts = json.loads(self.tokenizer.to_str())
+        self.by_words = bool(parts["model"].get("end_of_word_suffix")) and '"Lowercase"' in json.dumps(parts.get("normalizer"))
 
     def ids(self, text: str) -> bytes:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
@@ -116,7 +124,7 @@ class WordIds(dict):
 
     def of(self, text: str) -> bytes:
         raw = text.encode("utf-8", "replace")
-        if b"<|" in raw:  # perhaps a special token, which is matched before letters are lowered
+        if not self.by_words or any(token in raw for token in self.special):  # special tokens are matched before letters are lowered
             return self.ids(text)
         return b"".join(map(self.__getitem__, raw.lower().split()))
 
@@ -156,7 +164,7 @@ def pack_documents(
     rows; other columns are ignored.
     """
     pieces = token_pieces(docs, tokenizer_file, capacity, key=key, text=text, with_ids=with_ids)
-    tasks = max(1, -(-docs.count() // pieces_per_task))
+    tasks = max(1, min(MOST_TASKS, -(-docs.count() // pieces_per_task)))
     spread = F.xxhash64("doc_id", "piece", "ids_crc32")
     dealt = pieces.repartition(tasks, spread).sortWithinPartitions(spread, "doc_id", "piece", "ids_crc32")
     names = NAMES[: 5 + with_ids]

@@ -78,3 +78,10 @@ def test_rows(spark):
         at[r.sequence_id] += r.length
     assert len(at) == 3 and max(at.values()) <= 4096
     assert pack_documents(docs.where("false"), FILE).count() == 0
+
+
+def test_other_vocabularies_are_encoded_whole():
+    other = public_tokenizers.path("byte_bpe_50k.json")
+    words, library = WordIds(other), Tokenizer.from_file(other)
+    for text in ("The quick, brown fox.", "  two  spaces\n\nlines\t", "<|endoftext|> end", "Größe 日本 don't"):
+        assert np.frombuffer(words.of(text), dtype="<u4").tolist() == library.encode(text, add_special_tokens=False).ids
