@@ -118,7 +118,7 @@ class WordIds(dict):
             self.clear()
         text = word.decode("utf-8")
         # letters and a final stop or comma are separate before the merges
-        packed = self[word[:-1]] + self[word[-1:]] if word[-1] in b".," and text[:-1].isalpha() else self.ids(text)
+        packed = self[word[:-1]] + self[word[-1:]] if word[-1] in b".," and text[:-1].lower().isalpha() else self.ids(text)
         self[word] = packed
         return packed
 

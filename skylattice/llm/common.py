@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 from collections.abc import Callable
 from typing import TypeVar
 
 from pyspark.sql import DataFrame, SparkSession
 
+from skylattice.sources.shared import shared_dir
+from skylattice.sources.shared import written as persisted
+
+__all__ = ["persisted", "shared_dir", "stored", "table", "worker_cache"]
+
 T = TypeVar("T")
 _CACHES: dict[str, object] = {}
 
@@ -27,28 +31,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    sc = spark.sparkContext
-    where = sc.getConf().get("spark.checkpoint.dir")
-    if where:
-        return where
-    current = sc.getCheckpointDir()
-    if current:
-        return current.rsplit("/", 1)[0]
-    where = tempfile.mkdtemp(prefix="skylattice-")
-    sc.setCheckpointDir(where)
-    return where
-
-
-def persisted(df: DataFrame) -> DataFrame:
-    """``df`` written to the shared folder and read back, so that later branches reuse it and lost executors do not matter."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 def stored(df: DataFrame) -> DataFrame:
-    """``df`` as a compressed table in the shared folder, read back: for large tables, of which ``persisted`` takes more disk."""
+    """``df`` written as a compressed table and read back: for large tables, of which ``persisted`` takes more disk."""
     path = f"{shared_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)

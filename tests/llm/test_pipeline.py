@@ -34,10 +34,11 @@ def corpus():
     passage = prose(80)
     rows = [(i, prose(rng.randint(60, 300))) for i in range(40)]
     rows += [(100 + i, f"{prose(70)}\n{passage}\n{prose(90)}") for i in range(5)]
-    rows += [(200, rows[3][1]), (201, rows[3][1].upper()), (202, rows[4][1])]  # copies, one in capitals
+    rows += [(200, rows[3][1]), (201, " ".join(w.upper() if k % 10 == 0 else w for k, w in enumerate(rows[3][1].split()))), (202, rows[4][1])]  # copies, one with capitals
     rows += [(300, "too short"), (301, None), (302, " ".join(f"{word()}###" for _ in range(80))), (303, "again and again " * 40)]
     rows += [(400, f"{prose(60)} write to some.one@mail.example.com or 10.20.30.40 {prose(60)}"), (401, f"{prose(50)} 4111 1111 1111 1111 or +1 (212) 555-7713 {prose(50)}")]
     rows += [(500, prose(6000))]
+    rows += [(600 + i, prose(rng.randint(100, 120))) for i in range(40)]  # what junk of that length is compared with
     return [(i, t, "en", "src", len(t or "")) for i, t in rows]
 
 
@@ -62,8 +63,9 @@ def texts(rows):
 
 def test_quality_stage_drops_junk_and_keeps_prose(stages):
     got = texts(stages[0][0])
-    failed = {i for i, t, *_ in corpus() if quality.brute(t or "")[5]}
-    assert set(got) == {i for i, *_ in corpus()} - failed - {302} and {300, 301, 303} <= failed
+    reasons = quality.brute_reasons([(i, t or "", lang) for i, t, lang, *_ in corpus()], 30)
+    assert set(got) == {i for i, why in reasons.items() if why is None} and {i for i, why in reasons.items() if why} == {300, 301, 302, 303}
+    assert reasons[302] in quality.FENCES and {reasons[i] for i in (300, 301, 303)} == {"base"}
     assert all(set(r) == {"doc_id", "text", "lang", "source", "n_chars"} for part in stages[0][:4] for r in part)
 
 
@@ -113,3 +115,41 @@ def test_sequences_hold_all_tokens(stages):
         at[r["sequence_id"]] += r["length"]
     assert max(at.values()) <= 4096 and len(at) <= -(-sum(at.values()) // 4096) + 1
     assert stages[1] == sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in after)
+
+
+def test_repeated_and_null_ids_null_and_very_long_texts_pass_every_stage(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    rng = random.Random(12)
+
+    def prose(n, start=0):
+        return " ".join(f"w{rng.randrange(start, start + 5000)}" for _ in range(n))
+
+    passage = prose(60)
+    rows = [(1, passage), (2, f"{passage} {prose(400)}"), (2, prose(30)), (2, "short text"), (None, prose(40)), (None, f"{prose(300)} {passage}"), (None, None), (3, ""), (4, prose(50)), (4, rows_text := prose(70)), (4, rows_text)]
+    rows += [(5, prose(200_000)), (6, f"mail me@x.org {prose(45)}"), (6, f"mail me@x.org {prose(45)}")]
+    docs = spark.createDataFrame([(i, t, "en", None, None) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    kept = [r for r in rows if r[1] and len(r[1].split()) >= 20]
+    after = [sorted((str(r.doc_id), r.text) for r in pipeline.quality(spark, docs, "").collect())]
+    assert after[0] == sorted((str(i), t) for i, t in kept)
+    docs.write.parquet(str(tmp_path / "0"))
+    once = [r for k, r in enumerate(kept) if r not in kept[:k]]
+    deduped = pipeline.near_dedup(spark, pipeline.quality(spark, spark.read.parquet(str(tmp_path / "0")), ""), "")
+    assert sorted((str(r.doc_id), r.text) for r in deduped.collect()) == sorted((str(i), t) for i, t in once)
+    cut = pipeline.passage_dedup(spark, deduped, "")
+    want = sorted((str(i), t if i == 1 else t.replace(passage, "").strip()) for i, t in once)
+    assert sorted((str(r.doc_id), r.text.strip()) for r in cut.collect()) == want
+    clean = pipeline.private_data(spark, cut, "")
+    assert sorted((str(r.doc_id), r.text.strip()) for r in clean.collect()) == sorted((i, t.replace("me@x.org", "[EMAIL]")) for i, t in want)
+    pieces = pipeline.packing(spark, clean, "").collect()
+    assert sum(r.length for r in pieces) == sum(len(TOKENIZER.encode(r.text, add_special_tokens=False).ids) + 1 for r in clean.collect())
+
+
+def test_an_empty_table_passes_every_stage(spark, tmp_path):
+    pipeline = importlib.import_module("corpus_pipeline")
+    empty = spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long")
+    empty.write.parquet(str(tmp_path / "documents.parquet"))
+    docs = empty
+    for _, stage in pipeline.STAGES:
+        docs = stage(spark, docs, str(tmp_path))
+        assert docs.count() == 0
+    assert pipeline.run(spark, str(tmp_path)).count() == 0
