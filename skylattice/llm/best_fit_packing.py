@@ -106,7 +106,7 @@ class WordIds(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(tokenizer_file)
-        self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.special = [t.content.encode().lower() for t in self.tokenizer.get_added_tokens_decoder().values()]
         parts = json.loads(self.tokenizer.to_str())
         self.by_words = bool(parts["model"].get("end_of_word_suffix")) and '"Lowercase"' in json.dumps(parts.get("normalizer"))
 
@@ -123,10 +123,10 @@ class WordIds(dict):
         return packed
 
     def of(self, text: str) -> bytes:
-        raw = text.encode("utf-8", "replace")
-        if not self.by_words or any(token in raw for token in self.special):  # special tokens are matched before letters are lowered
+        low = text.encode("utf-8", "replace").lower()
+        if not self.by_words or any(token in low for token in self.special):  # special tokens are matched before letters are lowered
             return self.ids(text)
-        return b"".join(map(self.__getitem__, raw.lower().split()))
+        return b"".join(map(self.__getitem__, low.split()))
 
 
 def token_pieces(docs: DataFrame, tokenizer_file: str, capacity: int, *, key: str = "doc_id", text: str = "text", with_ids: bool = False) -> DataFrame:
