@@ -32,6 +32,8 @@ CACHE_WORDS = 400_000
 MOST_TOKENS = 4096
 #: Documents from which bands are learned.
 LEAST_DOCS = 30
+#: Parts of a bin in the join of texts with their bands.
+SALTS = 64
 #: Standard deviations that a measure may be below and above the median, and the least deviation that is assumed.
 FENCES = {"byte_share": (None, 5.0, 0.01), "chars_per_token": (5.0, 5.0, 0.03), "token_entropy": (3.5, None, 0.06)}
 #: Limits where no band is known: characters per token, share of bytes at most, and entropy as a share of its greatest value.
@@ -159,11 +161,15 @@ def judged(measures: DataFrame, *, prefix: str = "", least_docs: int = LEAST_DOC
     """``measures`` and ``{prefix}rejected_by``: ``base``, the name of the first measure that is out of its band, or null."""
     p = prefix
     binned = measures.withColumn(f"{p}bin", size_bin(F.col(f"{p}n_tokens")))
-    known, out = [], binned
-    for level, by in (("own", [f"{p}lang", f"{p}script", f"{p}bin"]), ("all", [f"{p}script", f"{p}bin"])):
-        bands = learned_bands(binned, by, prefix=p, least_docs=least_docs)
-        renamed = bands.select(*by, *(F.col(c).alias(f"{p}{level}_{c}") for c in bands.columns if c not in by))
-        out, known = out.join(renamed, by, "left"), known + [f"{p}{level}"]
+    # a language's texts are in a few bins: both sides are spread over salts, so that no task gets a whole bin
+    own = learned_bands(binned, [f"{p}lang", f"{p}script", f"{p}bin"], prefix=p, least_docs=least_docs)
+    own = own.select(*own.columns[:3], *(F.col(c).alias(f"{p}own_{c}") for c in own.columns[3:]), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias(f"{p}salt"))
+    salt = F.pmod(F.xxhash64(f"{p}n_words", f"{p}word_chars", f"{p}token_entropy"), F.lit(SALTS)).cast("int")
+    out = binned.withColumn(f"{p}salt", salt).join(own, [f"{p}lang", f"{p}script", f"{p}bin", f"{p}salt"], "left")
+    # four scripts by 25 bins at most
+    every = learned_bands(binned, [f"{p}script", f"{p}bin"], prefix=p, least_docs=least_docs)
+    every = every.select(*every.columns[:2], *(F.col(c).alias(f"{p}all_{c}") for c in every.columns[2:]))
+    out, known = out.join(F.broadcast(every), [f"{p}script", f"{p}bin"], "left"), [f"{p}own", f"{p}all"]
 
     def limit(side: str, m: str) -> Column:
         widest = F.lit(WIDEST[m][side == "high"]) * (F.log2(F.least(F.col(f"{p}n_tokens"), F.lit(MOST_TOKENS)) + 1) if m == "token_entropy" else 1)
