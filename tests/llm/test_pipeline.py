@@ -121,8 +121,10 @@ def test_repeated_and_null_ids_null_and_very_long_texts_pass_every_stage(spark,
     pipeline = importlib.import_module("corpus_pipeline")
     rng = random.Random(12)
 
-    def prose(n, start=0):
-        return " ".join(f"w{rng.randrange(start, start + 5000)}" for _ in range(n))
+    syllables = "the of and tion ing er ha re in on at en es or ti th ly an nd st".split()
+
+    def prose(n):
+        return " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(2, 4))) for _ in range(n))
 
     passage = prose(60)
     rows = [(1, passage), (2, f"{passage} {prose(400)}"), (2, prose(30)), (2, "short text"), (None, prose(40)), (None, f"{prose(300)} {passage}"), (None, None), (3, ""), (4, prose(50)), (4, rows_text := prose(70)), (4, rows_text)]
