@@ -137,7 +137,7 @@ def _by_block(text: Column, then: Callable[[Column, Column, Column], Column]) ->
             after = F.left(F.coalesce(F.get(blocks, i + 1), F.lit("")), F.lit(RIGHT))
             clean = F.translate(block, MARK, INSTEAD)
             every = _let(clean, lambda c: F.concat(*(_spans(c, k, before, after) for k in KINDS)))
-            return then(block, i, every)
+            return _let(every, lambda e: then(block, i, e))
 
         return F.transform(blocks, at)
 
