@@ -7,12 +7,11 @@ suffixes at its minimiser agree in its words from there on and, extended to the
 
 1. Anchors (the first ``ANCHOR`` words of retained suffixes) of all documents are counted; only those that occur twice
    or more go on.
-2. Each remaining suffix is written with the words of its *stretch*, all windows that select it. Equal stretches
-   collapse before they are shuffled (interiors of copied text mostly do).
-3. Distinct suffixes are sorted, those with one anchor together, and neighbours are compared word by word, to the right
-   and to the left, which gives the windows that they share. Anchors with very many distinct stretches, as at the edges
-   of a passage that is in a third of all documents, are compared window by window in a grouped aggregation under
-   128-bit digests instead, which no single task has to hold. Both give the same.
+2. Each remaining suffix is written with the words of its *stretch*, all windows that select it (once a task).
+3. Suffixes are sorted, those with one anchor together, and neighbours are compared word by word, to the right and to
+   the left, which gives the windows that they share. Anchors with very many suffixes, as in a passage that is in a
+   third of all documents, are not for one task: equal stretches collapse on the map side, and the rest is compared
+   window by window in a grouped aggregation under 128-bit digests. Both give the same.
 4. What was found goes back to the documents, of which the smallest (id, position) of each window is the first.
 
 Stretches are told apart by 128 bits (anchor and stretch); the shorter hashes of step 1 only choose candidates.
@@ -33,9 +32,11 @@ from .common import stored, worker_cache
 LENGTH, ANCHOR = 50, 8
 #: Words whose hashes a worker remembers; the cache starts anew when it is full.
 CACHE_WORDS = 500_000
-#: Distinct stretches of one anchor that a task compares, and rows that it compares at once.
-STRETCHES = 20_000
+#: Suffixes of one anchor that a task compares, and rows that it compares at once.
+SUFFIXES = 20_000
 ROWS_AT_ONCE = 50_000
+#: Stretches that a task remembers having written with their words; it starts anew after that.
+SEEN = 500_000
 #: Stands for a null id, after all others.
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -101,21 +102,25 @@ def _anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 anchors, chosen = minimisers(Hashes(words, known))
                 own, times = np.unique(anchors[np.unique(chosen)], return_counts=True)
                 found.append(own)
-                often.append(np.minimum(times, 2).astype(np.int32))
+                often.append(times.astype(np.int32))
                 rows.append(np.full(len(own), row, dtype=np.int64))
         if rows:
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(rows)), pa.array(np.concatenate(found).view(np.int64)), pa.array(np.concatenate(often))], names=["row", "anchor", "n"])
 
 
-SUFFIX = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("stretch", pa.int64()), ("before", pa.int32()), ("words", pa.string())])
+SUFFIX = pa.schema([("id", pa.int64()), ("tag", pa.int64()), ("start", pa.int32()), ("anchor", pa.int64()), ("stretch", pa.int64()), ("crowded", pa.bool_()), ("before", pa.int32()), ("words", pa.string())])
 
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The retained suffixes of each text whose anchor is wanted, with as many words on both sides as its windows have."""
+    """The retained suffixes of each text whose anchor is wanted, with as many words on both sides as its windows have.
+
+    A stretch has its words where the task meets it first only.
+    """
     known = worker_cache("word hashes", WordHashes)
+    seen: set[tuple[int, int]] = set()
     for batch in batches:
         columns: list[list] = [[] for _ in SUFFIX]
-        for doc, tag, text, wanted in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text")), batch.column("wanted"), strict=True):
+        for doc, tag, text, wanted, crowded in zip(*(batch.column(c).to_pylist() for c in ("id", "tag", "text")), batch.column("wanted"), batch.column("crowded"), strict=True):
             words = word_list(text)
             if len(words) < LENGTH:
                 continue
@@ -126,9 +131,15 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             own = anchors[chosen[first]].view(np.int64)
             keep = np.isin(own, np.asarray(wanted.values, dtype=np.int64))
             first, last, own = first[keep], last[keep], own[keep]
-            whole = hashes.of(first, last + LENGTH - 1) ^ (last - first).astype(np.uint64)
-            around = [b" ".join(words[a:b]).decode("utf-8") for a, b in zip(first.tolist(), (last + LENGTH - 1).tolist())]
-            for column, values in zip(columns, ([doc] * len(first), [tag] * len(first), first, own, whole.view(np.int64), chosen[first] - first, around), strict=True):
+            whole = (hashes.of(first, last + LENGTH - 1) ^ (last - first).astype(np.uint64)).view(np.int64)
+            around: list[str | None] = []
+            for a, b, key in zip(first.tolist(), (last + LENGTH - 1).tolist(), zip(own.tolist(), whole.tolist())):
+                around.append(None if key in seen else b" ".join(words[a:b]).decode("utf-8"))
+                seen.add(key)
+            if len(seen) > SEEN:
+                seen.clear()
+            many = np.isin(own, np.asarray(crowded.values, dtype=np.int64))
+            for column, values in zip(columns, ([doc] * len(first), [tag] * len(first), first, own, whole, many, chosen[first] - first, around), strict=True):
                 column.extend(values)
         if columns[0]:
             yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(columns, SUFFIX)], schema=SUFFIX)
@@ -149,6 +160,16 @@ def _classes(order: np.ndarray, shared: np.ndarray, least: int) -> np.ndarray:
     return out
 
 
+def _merged(rows: pa.Table) -> tuple[np.ndarray, ...]:
+    """Rows of equal stretches as one: a row with the words, the first, and the last."""
+    anchor, stretch, doc, tag, start = (rows.column(c).to_numpy() for c in ("anchor", "stretch", "id", "tag", "start"))
+    order = np.lexsort((start, tag, doc, stretch, anchor))
+    heads = np.flatnonzero((np.diff(anchor[order], prepend=anchor[order[0]]) != 0) | (np.diff(stretch[order], prepend=stretch[order[0]]) != 0) | (np.arange(len(order)) == 0))
+    written = rows.column("words").is_valid().to_numpy()[order]
+    at = np.minimum.reduceat(np.where(written, np.arange(len(order)), len(order)), heads)
+    return order[at], order[heads], order[np.append(heads[1:], len(order)) - 1]
+
+
 def _compare(rows: pa.Table) -> pa.RecordBatch:
     """Bits of each stretch's windows that occur elsewhere, and of those whose first place is the stretch's own.
 
@@ -156,6 +177,11 @@ def _compare(rows: pa.Table) -> pa.RecordBatch:
     neighbours share ``50 - j`` words to the right and ``j`` to the left they have the window that begins ``j`` words
     before the anchor in common; classes of neighbours make that hold for any two rows, word by word.
     """
+    whole, low, high = _merged(rows)
+    low_id, low_tag, low_at = (rows.column(c).to_numpy()[low] for c in ("id", "tag", "start"))
+    high_id, high_tag, high_at = (rows.column(c).to_numpy()[high] for c in ("id", "tag", "start"))
+    anchor, stretch = (rows.column(c).to_numpy()[low] for c in ("anchor", "stretch"))
+    rows = rows.select(["before", "words"]).take(pa.array(whole))
     before = rows.column("before").to_numpy()
     lists = [w.encode("utf-8").split() for w in rows.column("words").to_pylist()]
     sizes = np.fromiter(map(len, lists), np.int64, len(lists))
@@ -171,7 +197,6 @@ def _compare(rows: pa.Table) -> pa.RecordBatch:
     left[row[inside], -1 - at[inside]] = flat[inside]
     by_right, by_left = _sorted(right), _sorted(left)
 
-    low_id, low_tag, low_at, high_id, high_tag, high_at = (rows.column(c).to_numpy() for c in ("low_id", "low_tag", "low_at", "high_id", "high_tag", "high_at"))
     multiple = (low_id != high_id) | (low_tag != high_tag) | (low_at != high_at)
     docs = np.lexsort((low_tag, low_id))
     rank = np.empty(len(docs), np.int64)
@@ -191,8 +216,8 @@ def _compare(rows: pa.Table) -> pa.RecordBatch:
         bit = np.left_shift(np.uint64(1), (before[has] - j).astype(np.uint64))
         repeated[has] |= np.where(often[which], bit, np.uint64(0))
         first[has] |= np.where(place == place[order[head]][which], bit, np.uint64(0))
-    keys = [rows.column(c).combine_chunks() for c in ("anchor", "stretch", "low_id", "low_tag", "low_at")]
-    return pa.RecordBatch.from_arrays([*keys, pa.array(repeated.view(np.int64)), pa.array(first.view(np.int64))], names=["anchor", "stretch", "low_id", "low_tag", "low_at", "repeated", "first"])
+    columns = (anchor, stretch, low_id, low_tag, low_at, repeated.view(np.int64), first.view(np.int64))
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["anchor", "stretch", "low_id", "low_tag", "low_at", "repeated", "first"])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -224,7 +249,7 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                     row.append(i)
                     at.append(k)
                     window.append(xxhash.xxh3_128_digest(b" ".join(words[k : k + LENGTH])))
-            taken = part.drop_columns(["words", "before"]).take(pa.array(row, pa.int64()))
+            taken = part.drop_columns(["words"]).take(pa.array(row, pa.int64()))
             yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(at, pa.int32()), pa.array(window, pa.binary())], names=[*taken.schema.names, "at", "window"])
 
 
@@ -232,7 +257,7 @@ def _compare_windows(stretches: DataFrame) -> DataFrame:
     """The same as ``_compare`` for any number of stretches, as joins and aggregations over single windows."""
     keys = "anchor long, stretch long, low_id long, low_tag long, low_at int, high_id long, high_tag long, high_at int"
     names = [k.split()[0] for k in keys.split(", ")]
-    each = stretches.select(*names, "before", "words").mapInArrow(_windows, f"{keys}, at int, window binary")
+    each = stretches.select(*names, "words").mapInArrow(_windows, f"{keys}, at int, window binary")
     place = {k: F.struct(F.col(f"{k}_id").alias("id"), F.col(f"{k}_tag").alias("tag"), (F.col(f"{k}_at") + F.col("at")).alias("at")) for k in ("low", "high")}
     each = each.withColumns(place)
     seen = each.groupBy("window").agg(F.min("low").alias("least"), F.max("high").alias("most"))
@@ -271,7 +296,7 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds, strict=True)], names=["id", "tag", "start", "end", "cut"])
 
 
-def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", stretches_per_anchor: int = STRETCHES) -> DataFrame:
+def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text", suffixes_per_anchor: int = SUFFIXES) -> DataFrame:
     """``doc_id, tag, start, end, cut`` of each maximal run of words that repeated windows cover, in words from 0, end exclusive.
 
     ``cut`` lists the runs within it that are no first occurrence; the first is that of the smallest id, nulls last.
@@ -283,25 +308,23 @@ def repeated_passages(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     rows = docs.select(F.coalesce(docs[key].cast("long"), F.lit(NO_ID)).alias("id"), F.xxhash64(docs[text]).alias("tag"), docs[text].alias("text"))
     rows = rows.withColumn("row", F.xxhash64("id", "tag"))
     anchors = stored(rows.select("row", "text").mapInArrow(_anchors, "row long, anchor long, n int"))
-    often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor")
-    wanted = anchors.join(often, "anchor", "left_semi").groupBy("row").agg(F.collect_set("anchor").alias("wanted"))
-    found = stored(rows.join(wanted, "row").select("id", "tag", "text", "wanted").mapInArrow(_suffixes, "id long, tag long, start int, anchor long, stretch long, before int, words string"))
+    often = anchors.groupBy("anchor").agg(F.sum("n").alias("n")).where("n > 1").select("anchor", (F.col("n") > suffixes_per_anchor).alias("many"))
+    wanted = anchors.join(often, "anchor").groupBy("row").agg(F.collect_set("anchor").alias("wanted"), F.collect_set(F.when(F.col("many"), F.col("anchor"))).alias("crowded"))
+    suffix = "id long, tag long, start int, anchor long, stretch long, crowded boolean, before int, words string"
+    found = stored(rows.join(wanted, "row").select("id", "tag", "text", "wanted", "crowded").mapInArrow(_suffixes, suffix))
 
-    place = F.struct("id", "tag", "start")
-    distinct = found.groupBy("anchor", "stretch").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.any_value("before").alias("before"), F.any_value("words").alias("words"))
-    sides = [f"{side}.{a} AS {side}_{b}" for side in ("low", "high") for a, b in (("id", "id"), ("tag", "tag"), ("start", "at"))]
-    distinct = distinct.selectExpr("anchor", "stretch", *sides, "before", "words")
-    crowded = found.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") > stretches_per_anchor).select("anchor")
     schema = "anchor long, stretch long, low_id long, low_tag long, low_at int, repeated long, first long"
-    few = distinct.join(crowded, "anchor", "left_anti")
+    few = found.where("NOT crowded").select("anchor", "stretch", "id", "tag", "start", "before", "words")
     usual = few.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(_neighbours, schema)
-    many = distinct.join(crowded, "anchor", "left_semi")
-    marks = usual.unionByName(_compare_windows(many)).where("repeated <> 0")
+    place = F.struct("id", "tag", "start")
+    distinct = found.where("crowded").groupBy("anchor", "stretch").agg(F.min(place).alias("low"), F.max(place).alias("high"), F.any_value("words", True).alias("words"))
+    sides = [f"{side}.{a} AS {side}_{b}" for side in ("low", "high") for a, b in (("id", "id"), ("tag", "tag"), ("start", "at"))]
+    marks = usual.unionByName(_compare_windows(distinct.selectExpr("anchor", "stretch", *sides, "words"))).where("repeated <> 0")
 
     own = (F.col("id") == F.col("low_id")) & (F.col("tag") == F.col("low_tag")) & (F.col("start") == F.col("low_at"))
     later = F.when(own, F.expr("repeated & ~first")).otherwise(F.col("repeated"))
-    marked = found.select("id", "tag", "start", "anchor", "stretch").distinct().join(marks, ["anchor", "stretch"])
-    items = marked.select("id", "tag", F.struct("start", "repeated", later.alias("later")).alias("item")).groupBy("id", "tag").agg(F.collect_list("item").alias("items"))
+    marked = found.select("id", "tag", "start", "anchor", "stretch").join(marks, ["anchor", "stretch"])
+    items = marked.select("id", "tag", F.struct("start", "repeated", later.alias("later")).alias("item")).groupBy("id", "tag").agg(F.collect_set("item").alias("items"))
     passages = items.mapInArrow(_passages, "id long, tag long, start int, end int, cut array<struct<start:int,end:int>>")
     return passages.select(F.nullif("id", F.lit(NO_ID)).alias("doc_id"), "tag", "start", "end", "cut")
 

@@ -62,7 +62,7 @@ def test_passages_equal_brute_force_on_both_paths(spark):
     for seed, limit in ((1, 20_000), (2, 0), (3, 5)):
         rows = corpus(seed)
         docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "'x' AS start", "1 AS anchor")
-        got = repeated_passages(docs, stretches_per_anchor=limit).collect()
+        got = repeated_passages(docs, suffixes_per_anchor=limit).collect()
         repeated, later = brute(rows)
         ids = [NO_ID if r.doc_id is None else r.doc_id for r in got]
         assert sorted((i, r.start, r.end) for i, r in zip(ids, got)) == repeated
