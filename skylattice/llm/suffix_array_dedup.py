@@ -19,6 +19,7 @@ Stretches are told apart by 128 bits (anchor and stretch); the shorter hashes of
 
 from __future__ import annotations
 
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -34,9 +35,9 @@ LENGTH, ANCHOR = 50, 8
 CACHE_WORDS = 500_000
 #: Suffixes of one anchor that a task compares, and rows that it compares at once.
 SUFFIXES = 20_000
-ROWS_AT_ONCE = 50_000
+ROWS_AT_ONCE = 20_000
 #: Stretches that a task remembers having written with their words; it starts anew after that.
-SEEN = 500_000
+SEEN = 100_000
 #: Stands for a null id, after all others.
 NO_ID = (1 << 63) - 1
 _BASE = 0x9E3779B97F4A7C15
@@ -183,13 +184,17 @@ def _compare(rows: pa.Table) -> pa.RecordBatch:
     anchor, stretch = (rows.column(c).to_numpy()[low] for c in ("anchor", "stretch"))
     rows = rows.select(["before", "words"]).take(pa.array(whole))
     before = rows.column("before").to_numpy()
-    lists = [w.encode("utf-8").split() for w in rows.column("words").to_pylist()]
-    sizes = np.fromiter(map(len, lists), np.int64, len(lists))
     number: dict[bytes, int] = {}
-    flat = np.fromiter((number.setdefault(w, len(number)) for words in lists for w in words), np.int32, int(sizes.sum()))
+    numbers, sizes = array("i"), np.empty(len(before), np.int64)
+    for i, text in enumerate(rows.column("words")):
+        words = text.as_py().encode("utf-8").split()
+        sizes[i] = len(words)
+        numbers.extend([number.setdefault(w, len(number)) for w in words])
+    del number
+    flat = np.frombuffer(numbers, dtype=np.int32)
     begins = np.cumsum(sizes) - sizes
-    right, left = np.full((len(lists), LENGTH), -1, np.int32), np.full((len(lists), LENGTH - ANCHOR), -1, np.int32)
-    row = np.repeat(np.arange(len(lists)), sizes)
+    right, left = np.full((len(sizes), LENGTH), -1, np.int32), np.full((len(sizes), LENGTH - ANCHOR), -1, np.int32)
+    row = np.repeat(np.arange(len(sizes)), sizes)
     at = np.arange(len(flat)) - begins[row] - before[row]
     inside = (at >= 0) & (at < LENGTH)
     right[row[inside], at[inside]] = flat[inside]
@@ -201,12 +206,12 @@ def _compare(rows: pa.Table) -> pa.RecordBatch:
     docs = np.lexsort((low_tag, low_id))
     rank = np.empty(len(docs), np.int64)
     rank[docs] = np.concatenate([[0], np.cumsum((np.diff(low_id[docs]) != 0) | (np.diff(low_tag[docs]) != 0))])
-    repeated, first = np.zeros(len(lists), np.uint64), np.zeros(len(lists), np.uint64)
+    repeated, first = np.zeros(len(sizes), np.uint64), np.zeros(len(sizes), np.uint64)
     for j in range(LENGTH - ANCHOR + 1):
         has = np.flatnonzero((before >= j) & (before - j <= sizes - LENGTH))
         if not len(has):
             continue
-        group = _classes(*by_right, LENGTH - j)[has] * len(lists) + _classes(*by_left, j)[has]
+        group = _classes(*by_right, LENGTH - j)[has] * len(sizes) + _classes(*by_left, j)[has]
         place = rank[has] << 32 | (low_at[has] + before[has] - j)
         order = np.lexsort((place, group))
         head = np.diff(group[order], prepend=-1) != 0
