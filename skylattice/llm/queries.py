@@ -144,3 +144,18 @@ WITH w AS (SELECT doc_id, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words
 SELECT b.doc_id, min(b.i) AS start_word, CAST(max(b.i) + 50 AS INT) AS end_word, CAST(max(b.i) + 50 - min(b.i) AS INT) AS n_words, CAST(coalesce(any_value(c.n), 0) AS INT) AS n_later_words
 FROM b LEFT JOIN c USING (doc_id, island) GROUP BY b.doc_id, b.island
 """
+
+
+@query
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extendible_dedup import exact_duplicates
+
+    return exact_duplicates(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op12_exact_dedup"] = r"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x FROM documents),
+     n AS (SELECT doc_id, length(x) AS n, regexp_replace(x, '[\x20\x09-\x0D]+', '', 'g') AS norm FROM t),
+     g AS (SELECT doc_id, norm, first_value(doc_id) OVER (PARTITION BY norm ORDER BY n DESC, doc_id) AS keep_id, count(*) OVER (PARTITION BY norm) AS group_size FROM n)
+SELECT doc_id, keep_id, group_size, doc_id = keep_id AS kept, sha256(norm) AS text_sha256 FROM g
+"""
