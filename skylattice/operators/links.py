@@ -111,11 +111,8 @@ def resolved_ports(dense: DataFrame, regions: DataFrame, setup: int, start: int,
     return dense.where("dst IS NOT NULL").join(gone, ["step", "src"], "left_anti").select("step", "src", "dst")
 
 
-def idle_extension(dense: DataFrame, setup: int, end: int) -> DataFrame:
-    """Steps by which a link may be kept after it ends: while both nodes idle, but not in the ``setup`` steps before the next use.
-
-    A node that becomes the target of a link at the next step keeps none. All gaps are looked at in the links as given.
-    """
+def idle_gaps(dense: DataFrame, setup: int, end: int) -> DataFrame:
+    """``step, src, dst, last`` of links that end at a step and could be kept to ``last``: while both nodes idle, but not in the ``setup`` steps before the next use."""
     used = dense.where("dst IS NOT NULL")
     busy = used.select("step", "src").unionByName(used.select("step", F.col("dst").alias("src"))).distinct().withColumn("busy", F.col("step"))
     ahead = Window.partitionBy("src").orderBy("step").rowsBetween(1, Window.unboundedFollowing)
@@ -123,8 +120,15 @@ def idle_extension(dense: DataFrame, setup: int, end: int) -> DataFrame:
     ended = state.where(F.col("dst").isNotNull() & F.col("next").isNull() & (F.col("step") < end - 1))
     peers = state.select("step", F.col("src").alias("dst"), F.col("next_busy").alias("peer_busy"))
     until = F.least(F.coalesce("next_busy", F.lit(end)), F.coalesce("peer_busy", F.lit(end)))
-    gaps = ended.join(peers, ["step", "dst"]).withColumn("last", until - setup - 1).where("last > step")
-    return gaps.select(F.explode(F.sequence(F.col("step") + 1, F.col("last"))).alias("step"), "src", "dst")
+    return ended.join(peers, ["step", "dst"]).withColumn("last", (until - setup - 1).cast("int")).where("last > step").select("step", "src", "dst", "last")
+
+
+def idle_extension(dense: DataFrame, setup: int, end: int) -> DataFrame:
+    """Steps by which a link may be kept after it ends (``idle_gaps``).
+
+    A node that becomes the target of a link at the next step keeps none. All gaps are looked at in the links as given.
+    """
+    return idle_gaps(dense, setup, end).select(F.explode(F.sequence(F.col("step") + 1, F.col("last"))).alias("step"), "src", "dst")
 
 
 def region_internal(members: DataFrame, c: Constellation) -> DataFrame:
