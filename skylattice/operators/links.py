@@ -286,12 +286,12 @@ def targets_freed(dense: DataFrame, kept: DataFrame, setup: int, start: int) ->
     return kept.join(lost, ["step", "src"], "left_anti")
 
 
-def extended(intervals: DataFrame, steps: int) -> DataFrame:
-    """Every link works on until its node's next set-up, or to the last step; its target's next use ends it too."""
-    ahead = F.lead("t_setup").over(Window.partitionBy("src").orderBy("t_setup"))
-    at_target = F.lead("t_setup").over(Window.partitionBy("dst").orderBy("t_setup"))
+def extended(intervals: DataFrame, steps: int, by: tuple[str, ...] = ()) -> DataFrame:
+    """Every link works on until its node's next set-up, or to the last step; its target's next use ends it too. ``by`` names what keeps individuals apart."""
+    ahead = F.lead("t_setup").over(Window.partitionBy(*by, "src").orderBy("t_setup"))
+    at_target = F.lead("t_setup").over(Window.partitionBy(*by, "dst").orderBy("t_setup"))
     until = F.least(F.coalesce(ahead, F.lit(steps)), F.coalesce(at_target, F.lit(steps))) - 1
-    return intervals.select("src", "dst", "t_setup", "t_work", F.greatest("t_end", until).cast("int").alias("t_end"))
+    return intervals.select(*by, "src", "dst", "t_setup", "t_work", F.greatest("t_end", until).cast("int").alias("t_end"))
 
 
 def cleared(intervals: DataFrame, picks: DataFrame) -> DataFrame:

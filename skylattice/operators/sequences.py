@@ -17,6 +17,7 @@ from skylattice.functions.annealing import acceptance
 from skylattice.functions.grid import Constellation, node_id, plane
 from skylattice.operators import grid, links, paths
 from skylattice.operators.evolve import selected, selection_probabilities
+from skylattice.operators.fill import mixed
 from skylattice.sources.shared import written
 
 LINK = ["ind_id", "src", "dst", "t_setup", "t_work", "t_end"]
@@ -40,6 +41,42 @@ def crossover_intervals(parents: DataFrame, intervals: DataFrame, c: Constellati
     return first.unionByName(kept)
 
 
+def crossover_repaired(parents: DataFrame, intervals: DataFrame, spark: SparkSession, c: Constellation, setup: int) -> DataFrame:
+    """``LINK`` and ``repair`` of children of ``parents`` (``child, a, b, point``), whose cut port conflicts are mended and not only dropped.
+
+    Links from planes up to the point come from ``a``; those of them that end beyond it take over their targets' left ports
+    (``rewritten``). Links of ``b`` that need such a port at the same time lose it from the first such step on: one that had worked
+    before then ends there (``cut``), others go. What is lost finds another home if it can (``re-homed``): the source sets up a
+    link to the first candidate whose left port nobody uses up to the old link's end, if there is room for a set-up and a
+    step. Of new links that want one port at a time that of the smallest source stays.
+    """
+    x = plane("src", c)
+
+    def side(parent: str) -> DataFrame:
+        return parents.join(intervals.withColumnRenamed("ind_id", parent), parent).select(F.col("child").alias("ind_id"), "point", *LINK[1:])
+
+    def meets(a: str, b: str) -> F.Column:
+        return (F.col(f"{a}.t_setup") <= F.col(f"{b}.t_end")) & (F.col(f"{b}.t_setup") <= F.col(f"{a}.t_end"))
+
+    rewritten = F.when(plane("dst", c) > F.col("point"), "rewritten").otherwise("none")
+    first = side("a").where(x <= F.col("point")).select(*LINK, rewritten.alias("repair"))
+    second = side("b").where(x > F.col("point")).select(*LINK)
+    clash = second.alias("b").join(first.select(*LINK).alias("a"), (F.col("a.ind_id") == F.col("b.ind_id")) & (F.col("a.dst") == F.col("b.dst")) & meets("a", "b"), "left")
+    since = F.min(F.when(F.col("a.t_setup").isNotNull(), F.greatest("a.t_setup", "b.t_setup")))  # greatest() passes over nulls
+    found = written(clash.groupBy(*(F.col(f"b.{k}").alias(k) for k in LINK)).agg(since.alias("since")))
+    whole = found.where("since IS NULL").select(*LINK, F.lit("none").alias("repair"))
+    cut = found.where("since > t_work").select(*LINK[:-1], (F.col("since") - 1).cast("int").alias("t_end"), F.lit("cut").alias("repair"))
+    kept = first.unionByName(whole).unionByName(cut)
+
+    homeless = found.where(F.col("t_end") - F.col("since") >= setup).select("ind_id", "src", F.col("dst").alias("old"), F.col("since").alias("t_setup"), "t_end")
+    homes = homeless.join(wrapped_candidates(spark, c), "src").where("dst <> old")
+    used = homes.alias("h").join(kept.alias("k"), (F.col("h.ind_id") == F.col("k.ind_id")) & (F.col("h.dst") == F.col("k.dst")) & meets("h", "k"), "left_anti")
+    wanted = used.groupBy("ind_id", "src", "t_setup", "t_end").agg(F.min_by("dst", "rank").alias("dst"))
+    ahead = (F.col("w.ind_id") == F.col("o.ind_id")) & (F.col("w.dst") == F.col("o.dst")) & (F.col("o.src") < F.col("w.src")) & meets("w", "o")
+    new = wanted.alias("w").join(wanted.alias("o"), ahead, "left_anti")
+    return kept.unionByName(new.select("ind_id", "src", "dst", "t_setup", (F.col("t_setup") + setup).cast("int").alias("t_work"), "t_end", F.lit("re-homed").alias("repair")))
+
+
 def picked_states(intervals: DataFrame, picks: DataFrame, steps: int) -> DataFrame:
     """``ind_id, src, t, state, until`` of picked places: the state there, and the last step before the node's next set-up."""
     own = picks.join(intervals, ["ind_id", "src"], "left")
@@ -92,6 +129,15 @@ def best_peers(places: DataFrame, weights: DataFrame, protected: DataFrame, spar
     return rows.groupBy("ind_id", "src", "t", "until").agg(F.max_by("dst", F.struct("importance", -F.col("rank"))).alias("dst"))
 
 
+def random_peers(places: DataFrame, protected: DataFrame, spark: SparkSession, c: Constellation, setup: int, seed: int = 0) -> DataFrame:
+    """As ``best_peers``, but the candidate is drawn by a hash of the place: each is as likely as the others."""
+    rows = places.where(F.col("until") - F.col("t") >= setup).join(wrapped_candidates(spark, c), "src").withColumn("step", (F.col("t") + setup).cast("int"))
+    rows = rows.join(protected.select("step", F.col("id").alias("dst")).distinct(), ["step", "dst"], "left_anti")
+    listed = rows.groupBy("ind_id", "src", "t", "until").agg(F.array_sort(F.collect_list(F.struct("rank", "dst"))).alias("open"))
+    drawn = F.pmod(F.floor(mixed(F.col("ind_id"), F.col("src"), F.col("t"), seed) / 1000), F.size("open")).cast("int")
+    return listed.select("ind_id", "src", "t", "until", F.get("open", drawn)["dst"].alias("dst"))
+
+
 def kept_up(intervals: DataFrame, places: DataFrame) -> DataFrame:
     """The link that works at each place ``ind_id, src, t, until`` goes on to ``until``, or to its target's next use."""
     at = places.select("ind_id", "src", "t", "until")
