@@ -21,8 +21,18 @@ def grid_nodes(spark: SparkSession, c: Constellation, start: int, end: int) -> D
 
 def ring_edges(spark: SparkSession, c: Constellation) -> DataFrame:
     """Links to the neighbours above and below in the own plane."""
+    return _to_ring(nodes(spark, c), [], c)
+
+
+def _to_ring(rows: DataFrame, keep: list[str], c: Constellation) -> DataFrame:
     up, down = F.pmod(F.col("y") + 1, F.lit(c.slots)), F.pmod(F.col("y") - 1, F.lit(c.slots))
-    return nodes(spark, c).select(F.col("id").alias("src"), F.explode(F.array(node_id("x", up, c), node_id("x", down, c))).alias("dst"))
+    return rows.select(*keep, F.col("id").alias("src"), F.explode(F.array(node_id("x", up, c), node_id("x", down, c))).alias("dst"))
+
+
+def ring_edges_at(steps: DataFrame, c: Constellation) -> DataFrame:
+    """``ring_edges`` of every row of ``steps``, with its columns."""
+    ids = steps.select("*", F.explode(F.sequence(F.lit(0), F.lit(c.size - 1))).alias("id"))
+    return _to_ring(ids.withColumns({"x": plane("id", c), "y": slot("id", c)}), steps.columns, c)
 
 
 def grid_edges(spark: SparkSession, c: Constellation) -> DataFrame:
@@ -53,14 +63,14 @@ def rect_nodes(rects: DataFrame, c: Constellation) -> DataFrame:
     return cells.select("gid", node_id("x", "y", c).alias("id")).distinct()
 
 
-def motif_edges(rects: DataFrame, c: Constellation) -> DataFrame:
-    """One link a node inside each rectangle: straight (``option`` 0) or one slot down (1), if the target is inside too."""
+def motif_edges(rects: DataFrame, c: Constellation, keep: list[str] | None = None) -> DataFrame:
+    """One link a node inside each rectangle: straight (``option`` 0) or one slot down (1), if the target is inside too; with the columns ``keep`` of the rectangle."""
     span = lambda a, b: F.explode(F.sequence(a, b))
     cells = rects.select("*", span("xmin", "xmax").alias("x")).select("*", span("ymin", "ymax").alias("y"))
     nx = F.col("x") + 1
     ny = F.when(F.col("option") == 0, F.col("y")).otherwise(F.pmod(F.col("y") - 1, F.lit(c.slots)))
     inside = nx.between(F.col("xmin"), F.col("xmax")) & ny.between(F.col("ymin"), F.col("ymax"))
-    return cells.where(inside).select(node_id("x", "y", c).alias("src"), node_id(nx, ny, c).alias("dst")).distinct()
+    return cells.where(inside).select(*(keep or []), node_id("x", "y", c).alias("src"), node_id(nx, ny, c).alias("dst")).distinct()
 
 
 def replicate(edges: DataFrame, start: int, end: int) -> DataFrame:

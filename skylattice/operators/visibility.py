@@ -14,7 +14,12 @@ def by_group(visibility: DataFrame, stations: DataFrame, name: str, start: int,
     ``stations`` is the fixed station dimension; stations outside it are dropped.
     """
     last = F.col("step") <= end if inclusive else F.col("step") < end
-    return visibility.where((F.col("step") >= start) & last).join(F.broadcast(stations), "station_id").select("step", name, "sat_id").distinct()
+    return grouped(visibility.where((F.col("step") >= start) & last), stations, name)
+
+
+def grouped(visibility: DataFrame, stations: DataFrame, name: str) -> DataFrame:
+    """Distinct ``step, <name>, sat_id`` of all steps."""
+    return visibility.join(F.broadcast(stations), "station_id").select("step", name, "sat_id").distinct()
 
 
 def coverage(groups: DataFrame) -> DataFrame:

@@ -25,6 +25,24 @@ def visibility_from_events(events: DataFrame, c: Constellation = SMALL) -> DataF
     return events.select(hour.cast("int").alias("step"), station.cast("int").alias("station_id"), (x * c.slots + y).cast("int").alias("sat_id")).distinct()
 
 
+def visibility_between(events: DataFrame, c: Constellation, origin: str, seconds: int, first: str | None = None, until: str | None = None) -> DataFrame:
+    """``step, station_id, sat_id`` of the instants in [first, until); a step is ``seconds`` long, counted from ``origin``.
+
+    The patch that a station sees drifts by one slot a step. The interval is a condition on the instants themselves, so
+    it reaches the scan, which leaves out row groups and partitions beyond it.
+    """
+    at = F.col("ts")
+    if first is not None:
+        events = events.where(at >= F.lit(first).cast("timestamp_ntz"))
+    if until is not None:
+        events = events.where(at < F.lit(until).cast("timestamp_ntz"))
+    step = F.floor(F.expr(f"timestampdiff(SECOND, TIMESTAMP_NTZ'{origin}', ts)") / seconds).cast("int")
+    seen = events.select(step.alias("step"), (F.col("event_id") % 20).cast("int").alias("station_id"), F.col("user_id"))
+    x = (F.floor(F.col("station_id") / 2) + F.col("user_id") % 2) % c.planes
+    y = (F.col("station_id") * 3 + F.col("step") + F.col("user_id") % 3) % c.slots
+    return seen.select("step", "station_id", (x * c.slots + y).cast("int").alias("sat_id")).distinct()
+
+
 def station_dimension(spark: SparkSession, ranges: tuple[tuple[int, int, int], ...], name: str) -> DataFrame:
     """``station_id`` and ``name`` from (value, first station, last station); some twenty rows."""
     rows = ", ".join(f"({v}, {a}, {b})" for v, a, b in ranges)

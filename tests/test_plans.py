@@ -6,7 +6,7 @@ from collections import Counter
 import duckdb
 import pytest
 
-from skylattice.plans import conflict_plans, evolve_plans, fill_plans, grid_plans, link_plans, path_plans, sequence_plans, source_plans  # noqa: F401
+from skylattice.plans import conflict_plans, evolve_plans, fill_plans, grid_plans, link_plans, path_plans, sequence_plans, source_plans, wide_plans  # noqa: F401
 from skylattice.plans.registry import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
