@@ -11,8 +11,15 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-def cheapest_flow(edges: list[tuple[int, int, int, int]], source: int, sink: int, demand: int) -> tuple[str, list[int]]:
-    """Status and flow on each edge ``(u, v, cost, capacity)``: cheapest augmenting paths under node potentials."""
+from skylattice.sources.shared import written
+
+
+def priced_flow(edges: list[tuple[int, int, int, int]], source: int, sink: int, demand: int) -> tuple[str, list[int], dict[int, int]]:
+    """Status, flow on each edge ``(u, v, cost, capacity)``, and the nodes' potentials: cheapest augmenting paths.
+
+    With ``cost + potential[u] - potential[v]`` as an edge's reduced cost, no edge with room left has a negative one and none
+    with flow a positive one, which proves that no flow of this amount is cheaper.
+    """
     at: dict[int, list[int]] = {}
     to, room, price = [], [], []
     for u, v, cost, cap in edges:
@@ -50,7 +57,12 @@ def cheapest_flow(edges: list[tuple[int, int, int, int]], source: int, sink: int
             room[e] -= push
             room[e ^ 1] += push
         left -= push
-    return "Optimal" if left <= 0 else "Infeasible", [room[2 * i + 1] for i in range(len(edges))]
+    return "Optimal" if left <= 0 else "Infeasible", [room[2 * i + 1] for i in range(len(edges))], potential
+
+
+def cheapest_flow(edges: list[tuple[int, int, int, int]], source: int, sink: int, demand: int) -> tuple[str, list[int]]:
+    """Status, and flow on each edge."""
+    return priced_flow(edges, source, sink, demand)[:2]
 
 
 def min_cost_flow(edges: DataFrame, demands: DataFrame) -> DataFrame:
@@ -74,6 +86,55 @@ def min_cost_flow(edges: DataFrame, demands: DataFrame) -> DataFrame:
     return edges.groupBy("graph").cogroup(demands.groupBy("graph")).applyInPandas(run, schema)
 
 
+def flow_and_potentials(edges: DataFrame, demands: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The cheapest flow of each graph with what proves that it is the cheapest.
+
+    ``edge, graph, u, v, cost, cap, flow`` of all edges (``edge`` tells parallel ones apart), ``graph, node, potential``, and
+    ``graph, status``. Arguments as of ``min_cost_flow``, with one demand a graph.
+    """
+
+    def run(key: tuple, e: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
+        listed = sorted(zip(*(e[c].tolist() for c in ("u", "v", "cost", "cap"))))
+        status, flows, potential = priced_flow(listed, *(int(d[c].iloc[0]) for c in ("source", "sink", "demand")))
+        rows = [("edge", key[0], k, *x, f, None, None) for k, (x, f) in enumerate(zip(listed, flows))]
+        rows += [("node", key[0], n, None, None, None, None, None, p, None) for n, p in potential.items()]
+        rows.append(("status", key[0], None, None, None, None, None, None, None, status))
+        frame = pd.DataFrame(rows, columns=["kind", "graph", "at", "u", "v", "cost", "cap", "flow", "potential", "status"])
+        return frame.astype({c: "Int64" for c in frame.columns[2:9]})
+
+    schema = "kind string, graph long, at long, u long, v long, cost long, cap long, flow long, potential long, status string"
+    found = written(edges.groupBy("graph").cogroup(demands.groupBy("graph")).applyInPandas(run, schema))
+    flows = found.where("kind = 'edge'").select(F.col("at").alias("edge"), "graph", "u", "v", "cost", "cap", "flow")
+    return flows, found.where("kind = 'node'").select("graph", F.col("at").alias("node"), "potential"), found.where("kind = 'status'").select("graph", "status")
+
+
+def certificate(flows: DataFrame, potentials: DataFrame, demands: DataFrame) -> DataFrame:
+    """What is left to doubt in each graph's flow, as joins and sums: nothing, if all but ``demand``, ``shipped``, ``cost`` are 0.
+
+    ``unbalanced`` nodes between source and sink, edges ``over`` capacity (or below zero), edges whose reduced ``price`` is wrong
+    for their flow, and the ``gap`` between the flow's cost and the dual value of the potentials.
+    """
+    ends = demands.select("graph", "source", "sink", "demand")
+    moved = flows.select("graph", F.explode(F.array(F.struct(F.col("u").alias("node"), (-F.col("flow")).alias("n")), F.struct(F.col("v").alias("node"), F.col("flow").alias("n")))).alias("m"))
+    net = moved.groupBy("graph", F.col("m.node").alias("node")).agg(F.sum("m.n").alias("net")).join(ends, "graph")
+    kept = net.groupBy("graph").agg(
+        F.count_if((F.col("net") != 0) & (F.col("node") != F.col("source")) & (F.col("node") != F.col("sink"))).alias("unbalanced"), F.sum(F.when(F.col("node") == F.col("sink"), F.col("net"))).alias("shipped")
+    )
+    a, b = potentials.toDF("graph", "u", "at_u"), potentials.toDF("graph", "v", "at_v")
+    priced = flows.join(a, ["graph", "u"]).join(b, ["graph", "v"]).withColumn("reduced", F.col("cost") + F.col("at_u") - F.col("at_v"))
+    wrong = ((F.col("flow") < F.col("cap")) & (F.col("reduced") < 0)) | ((F.col("flow") > 0) & (F.col("reduced") > 0))
+    sums = priced.groupBy("graph").agg(
+        F.count_if((F.col("flow") < 0) | (F.col("flow") > F.col("cap"))).alias("over"),
+        F.count_if(wrong).alias("price"),
+        F.sum(F.col("flow") * F.col("cost")).alias("cost"),
+        F.sum(F.col("cap") * F.least(F.col("reduced"), F.lit(0))).alias("slack"),
+    )
+    at = ends.join(potentials.toDF("graph", "source", "low"), ["graph", "source"]).join(potentials.toDF("graph", "sink", "high"), ["graph", "sink"])
+    all_ = at.join(kept, "graph").join(sums, "graph")
+    dual = F.col("shipped") * (F.col("high") - F.col("low")) + F.col("slack")
+    return all_.select("graph", "demand", "shipped", "cost", "unbalanced", "over", "price", (F.col("cost") - dual).alias("gap"))
+
+
 def flow_summary(flows: DataFrame) -> DataFrame:
     """Total cost of each graph's flow, and its status."""
     return flows.groupBy("graph", "status").agg(F.coalesce(F.sum(F.col("flow") * F.col("cost")), F.lit(0)).cast("long").alias("total_cost"))

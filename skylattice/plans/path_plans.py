@@ -240,13 +240,29 @@ def fixed_charge_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flow.fixed_charge_flow(_graphs(spark), _demands(spark, 20)).select("graph", "status", "total_charge")
 
 
-@plan()
-def topology_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The cheapest flow from group 0 to group 4 over each step's topology: a graph a step, without its super nodes."""
-    members = fx.groups(spark, sf_dir)
-    edges = grid.flow_edges(fx.topology(spark, sf_dir), C, keep=["step"])
+def _step_flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """A graph a step with super nodes, and what goes from group 0 to group 4 over it."""
+    members = written(fx.groups(spark, sf_dir))
+    edges = grid.flow_edges(fx.topology(spark, sf_dir, members), C, keep=["step"])
     sources = members.where("gid = 0").select("step", F.col("sat_id").alias("node"), F.lit(10).alias("demand"))
     sinks = members.where("gid = 4").select("step", F.col("sat_id").alias("node"))
     graphs = grid.with_super_nodes(edges, sources, sinks, keep=["step"]).select(F.col("step").cast("long").alias("graph"), F.col("src").alias("u"), F.col("dst").alias("v"), "cost", "cap")
     wanted = flow.total_demand(sources, ["step"]).select(F.col("step").cast("long").alias("graph"), F.lit(-1).alias("source"), F.lit(-2).alias("sink"), "demand")
-    return flow.without_super_nodes(flow.min_cost_flow(graphs, wanted))
+    return graphs, wanted
+
+
+@plan()
+def topology_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cheapest flow from group 0 to group 4 over each step's topology: a graph a step, without its super nodes."""
+    return flow.without_super_nodes(flow.min_cost_flow(*_step_flows(spark, sf_dir)))
+
+
+# What a proof has to say: all is shipped, no node is unbalanced, no edge over its capacity or priced wrongly, and no gap is left.
+@plan(f"""{_TOPO} SELECT CAST(step AS BIGINT) AS graph, 'Optimal' AS status, CAST(count(*) * 10 AS BIGINT) AS demand, CAST(count(*) * 10 AS BIGINT) AS shipped,
+CAST(0 AS BIGINT) AS unbalanced, CAST(0 AS BIGINT) AS over_, CAST(0 AS BIGINT) AS price, CAST(0 AS BIGINT) AS gap FROM gv WHERE gid = 0 GROUP BY step""")
+def topology_flow_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The proof that each step's flow is the cheapest: flow and potentials, checked by joins."""
+    graphs, wanted = _step_flows(spark, sf_dir)
+    flows, potentials, status = flow.flow_and_potentials(graphs, wanted)
+    proof = flow.certificate(flows, potentials, wanted).join(status, "graph")
+    return proof.select("graph", "status", F.col("demand").cast("long").alias("demand"), "shipped", "unbalanced", F.col("over").alias("over_"), "price", "gap")
