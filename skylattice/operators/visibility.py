@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.grid import Constellation, node_id, plane, slot, to_raw_frame, to_region_frame
+from skylattice.sources.shared import written
 
 
 def by_group(visibility: DataFrame, stations: DataFrame, name: str, start: int, end: int, inclusive: bool = False) -> DataFrame:
@@ -118,23 +119,54 @@ def block_extent(groups: DataFrame, c: Constellation) -> DataFrame:
     return joined.groupBy("step", "gid", "block").agg((F.max("x") - F.min("x") + 1).cast("int").alias("length"), cyclic_width(F.collect_set("y"), c).alias("width"))
 
 
-def sticky_windows(groups: DataFrame, c: Constellation, width: int = 7) -> DataFrame:
+def _moved(left: Column, lo: Column, hi: Column, width: int) -> Column:
+    """Whether a window at ``left`` (-1: nowhere yet) has to move so as to cover ``lo`` to ``hi``."""
+    return (left < 0) | (left + width <= hi)
+
+
+def sticky_windows(groups: DataFrame, c: Constellation, width: int = 7, block: int = 64) -> DataFrame:
     """Left edge of a window that stays where it is while it still covers the group, by group and step.
 
-    A fold over each group's steps in order; a group has one number a step, so its array is short.
+    A scan over histories of any length. What a stretch of steps does to the window is a map from where it was (nowhere, or
+    a plane) to where it is, and maps compose; so each block of ``block`` steps gives its map, each ``block`` of those
+    give theirs, and so on up to one map a group. From there down every block learns where its window starts, and at
+    last each step. No task has more than ``block`` rows of a group in an array.
     """
     x = plane("sat_id", c)
-    spans = groups.groupBy("gid", "step").agg(F.min(x).alias("lo"), F.max(x).alias("hi"))
-    steps = spans.groupBy("gid").agg(F.array_sort(F.collect_list(F.struct("step", "lo", "hi"))).alias("s"))
-
-    def move(acc: Column, s: Column) -> Column:
-        last = F.get(acc, F.size(acc) - 1)["left"]
-        left = F.when(last.isNull() | (last + width <= s["hi"]), s["lo"]).otherwise(last)
-        moved = last.isNotNull() & (last + width <= s["hi"])
-        return F.array_append(acc, F.struct(s["step"].alias("step"), left.alias("left"), moved.alias("moved")))
-
-    start = F.array().cast("array<struct<step:int,left:int,moved:boolean>>")
-    return steps.select("gid", F.explode(F.aggregate("s", start, move)).alias("w")).select("gid", "w.step", F.col("w.left").alias("x_left"), "w.moved")
+    spans = written(groups.groupBy("gid", "step").agg(F.min(x).cast("int").alias("lo"), F.max(x).cast("int").alias("hi")))
+    last = spans.agg(F.max("step")).first()[0] or 0
+    places = F.array(*(F.lit(p) for p in range(-1, c.planes)))  # where a window can be before a block
+
+    def blocks(rows: DataFrame, at: str, *values: str) -> DataFrame:
+        listed = F.array_sort(F.collect_list(F.struct(at, *values)))
+        return rows.groupBy("gid", F.floor(F.col(at) / block).cast("int").alias("block")).agg(listed.alias("rows"))
+
+    def after_step(p: Column, s: Column) -> Column:
+        return F.when(_moved(p, s["lo"], s["hi"], width), s["lo"]).otherwise(p)
+
+    def through(map_: Column, p: Column) -> Column:
+        return F.element_at(map_, p + 2)
+
+    levels = [blocks(spans, "step", "lo", "hi")]
+    maps = levels[0].select("gid", "block", F.aggregate("rows", places, lambda acc, s: F.transform(acc, lambda p: after_step(p, s))).alias("map"))
+    above = last // block
+    while above > 0:
+        levels.append(written(blocks(maps.withColumnRenamed("block", "of"), "of", "map")))
+        maps = levels[-1].select("gid", "block", F.aggregate("rows", places, lambda acc, s: F.transform(acc, lambda p: through(s["map"], p))).alias("map"))
+        above //= block
+    starts = levels[-1].select("gid", "block", F.lit(-1).alias("start"))
+    for level in levels[:0:-1]:
+        none = F.struct(F.col("start").alias("p"), F.array().cast("array<struct<block:int,start:int>>").alias("out"))
+        handed = F.aggregate("rows", none, lambda acc, s: F.struct(through(s["map"], acc["p"]).alias("p"), F.array_append(acc["out"], F.struct(s["of"].alias("block"), acc["p"].alias("start"))).alias("out")))
+        starts = level.join(starts, ["gid", "block"]).select("gid", F.inline(handed["out"]))
+    none = F.struct(F.col("start").alias("p"), F.array().cast("array<struct<step:int,x_left:int,moved:boolean>>").alias("out"))
+
+    def walk(acc: Column, s: Column) -> Column:
+        left = after_step(acc["p"], s)
+        moved = (acc["p"] >= 0) & _moved(acc["p"], s["lo"], s["hi"], width)
+        return F.struct(left.alias("p"), F.array_append(acc["out"], F.struct(s["step"].alias("step"), left.alias("x_left"), moved.alias("moved"))).alias("out"))
+
+    return levels[0].join(starts, ["gid", "block"]).select("gid", F.inline(F.aggregate("rows", none, walk)["out"]))
 
 
 def reanchor_steps(groups: DataFrame, c: Constellation, length: int = 7) -> DataFrame:

@@ -97,3 +97,14 @@ def wide_betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     ends = members.join(names, "step").select(F.col("step").cast("long").alias("topo"), F.col("sat_id").alias("node"), F.when(F.col("gid") == 0, "source").otherwise("target").alias("role"))
     found = wide_paths.betweenness_in_blocks(days, ends.distinct())
     return found.select(F.col("topo").cast("int").alias("step"), "node", F.round("score", 6).alias("score"))
+
+
+_STICK = WITH.format(seconds=600, interval="true") + """, span AS (SELECT gid, step, CAST(min(sat_id // 36) AS INT) AS lo, CAST(max(sat_id // 36) AS INT) AS hi, row_number() OVER (PARTITION BY gid ORDER BY step) AS k FROM gv GROUP BY gid, step),
+fold AS (SELECT gid, step, k, lo AS x_left, false AS moved FROM span WHERE k = 1
+UNION ALL SELECT s.gid, s.step, s.k, CASE WHEN f.x_left + 2 <= s.hi THEN s.lo ELSE f.x_left END, f.x_left + 2 <= s.hi FROM fold AS f JOIN span AS s ON s.gid = f.gid AND s.k = f.k + 1)"""
+
+
+@plan(f"{_STICK} SELECT gid, step, x_left, moved FROM fold", prefix="")
+def wide_sticky_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over the whole history in steps of ten minutes: thousands of steps a group."""
+    return visibility.sticky_windows(groups(spark, sf_dir, 600), C, width=2)
