@@ -199,11 +199,11 @@ def sequence_scores(intervals: DataFrame, pairs: DataFrame, spark: SparkSession,
     return paths.snapshot_fitness(hops, ["ind_id", "step"])
 
 
-def _chosen_places(scores: DataFrame, spark: SparkSession, c: Constellation, protected: DataFrame, *marks: object) -> DataFrame:
+def chosen_places(scores: DataFrame, c: Constellation, protected: DataFrame, *marks: object) -> DataFrame:
     """``ind_id, src, t``: at each individual's snapshot of the least score a node, by hash, that may change."""
     at = scores.groupBy("ind_id").agg(F.min_by("step", F.struct("score", "step")).alias("t"))
-    nodes = grid.nodes(spark, c).where(F.col("x") < c.planes - 1).select(F.col("id").alias("src"))
-    free = at.join(F.broadcast(nodes)).join(protected.select(F.col("step").alias("t"), F.col("id").alias("src")).distinct(), ["t", "src"], "left_anti")
+    free = at.select("*", F.explode(F.sequence(F.lit(0), F.lit((c.planes - 1) * c.slots - 1))).alias("src"))
+    free = free.join(protected.select(F.col("step").alias("t"), F.col("id").alias("src")).distinct(), ["t", "src"], "left_anti")
     return free.groupBy("ind_id", "t").agg(F.min_by("src", F.xxhash64(*map(F.lit, marks), "ind_id", "src")).alias("src")).select("ind_id", "src", "t")
 
 
@@ -230,7 +230,7 @@ def evolve_sequences(spark: SparkSession, start: DataFrame, pairs: DataFrame, we
     for g in range(generations):
         mates = ids.select("child", F.col("child").alias("a"), draw(size, g, 1).alias("b"), draw(c.planes - 1, g, 2).alias("point"))
         children = written(crossover_intervals(mates, current, c))
-        picks = _chosen_places(sequence_scores(children, pairs, spark, c), spark, c, protected, seed, g)
+        picks = chosen_places(sequence_scores(children, pairs, spark, c), c, protected, seed, g)
         mutants = mutate_intervals(children, picks, weights, protected, spark, c, setup, steps)
         both = written(current.unionByName(mutants.withColumn("ind_id", (F.col("ind_id") + size).cast("int"))))
         total = written(sequence_scores(both, pairs, spark, c).groupBy("ind_id").agg(F.sum("score").alias("total")))
@@ -253,7 +253,7 @@ def anneal_sequences(spark: SparkSession, start: DataFrame, pairs: DataFrame, we
     scores = written(sequence_scores(current, pairs, spark, c))
     for k in range(iterations):
         total = scores.groupBy("ind_id").agg(F.sum("score").alias("total"))
-        picks = _chosen_places(scores, spark, c, protected, seed, k)
+        picks = chosen_places(scores, c, protected, seed, k)
         near = written(mutate_intervals(current, picks, weights, protected, spark, c, setup, steps))
         near_scores = written(sequence_scores(near, pairs, spark, c))
         new = near_scores.groupBy("ind_id").agg(F.sum("score").alias("new"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators import fill, links, sequences
+from skylattice.operators import fill, grid, links, paths, search, sequences
 from skylattice.plans import fixtures as fx
 from skylattice.plans import link_plans
 from skylattice.plans.registry import plan
@@ -31,21 +31,21 @@ _BASE = f"""{link_plans._SKELETON}, base AS (SELECT src, dst, t_setup, t_work, t
 _REGIONS = _FILL.format(before=_BASE, size=SIZE, hash=_HASH)
 
 
-def _individuals(spark: SparkSession) -> DataFrame:
-    return spark.range(SIZE).select(F.col("id").cast("int").alias("ind_id"))
+def _individuals(spark: SparkSession, size: int = SIZE) -> DataFrame:
+    return spark.range(size).select(F.col("id").cast("int").alias("ind_id"))
 
 
-def _on_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _on_regions(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
     """The regions' links in every individual; where two regions want one link at a time, that of the smaller one stays."""
     skeleton = links.region_skeleton(fx.groups(spark, sf_dir).where("gid IN (0, 4)"), C, SETUP)
     earlier = skeleton.alias("o")
     meets = (F.col("o.src") == F.col("s.src")) & (F.col("o.gid") < F.col("s.gid")) & (F.col("o.t_setup") <= F.col("s.t_end")) & (F.col("s.t_setup") <= F.col("o.t_end"))
     own = skeleton.alias("s").join(earlier, meets, "left_anti")
-    return own.select(F.explode(F.sequence(F.lit(0), F.lit(SIZE - 1))).alias("ind_id"), *sequences.LINK[1:])
+    return own.select(F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("ind_id"), *sequences.LINK[1:])
 
 
-def filled(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fill.filled_over_time(_on_regions(spark, sf_dir), _individuals(spark), C, SETUP, T)
+def filled(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
+    return fill.filled_over_time(_on_regions(spark, sf_dir, size), _individuals(spark, size), C, SETUP, T)
 
 
 @plan(f"{_REGIONS} SELECT ind_id, src, dst, t_setup, t_work, t_end FROM seq")
@@ -56,9 +56,9 @@ def fill_over_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 _GROWN = f"""{_REGIONS}, grown AS (SELECT ind_id, src, dst, t_setup, t_work, CAST(greatest(t_end, least(coalesce(lead(t_setup) OVER (PARTITION BY ind_id, src ORDER BY t_setup), 24), coalesce(lead(t_setup) OVER (PARTITION BY ind_id, dst ORDER BY t_setup), 24)) - 1) AS INT) AS t_end FROM seq)"""
 
 
-def grown(spark: SparkSession, sf_dir: str) -> DataFrame:
+def grown(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
     """Filled individuals whose links work on for as long as both ports are free."""
-    return links.extended(filled(spark, sf_dir), T, ("ind_id",))
+    return links.extended(filled(spark, sf_dir, size), T, ("ind_id",))
 
 
 @plan(f"{_GROWN} SELECT ind_id, src, dst, t_setup, t_work, t_end FROM grown")
@@ -103,3 +103,20 @@ def establish_random(spark: SparkSession, sf_dir: str) -> DataFrame:
     gaps = whole.select("ind_id", "src", (F.col("t_end") + 1).cast("int").alias("t"), (F.coalesce(ahead, F.lit(T)) - 1).cast("int").alias("until"))
     safe = sequences.region_ends(fx.groups(spark, sf_dir).where("gid IN (0, 4)"), C)
     return sequences.random_peers(gaps, safe, spark, C, SETUP)
+
+
+#: The surveyed size, and generations of the registered search.
+POPULATION, GENERATIONS = 200, 3
+
+
+def searched(spark: SparkSession, sf_dir: str, size: int, generations: int) -> tuple[DataFrame, DataFrame, list[int]]:
+    members = written(fx.groups(spark, sf_dir).where("gid IN (0, 4)"))
+    pairs = paths.region_pairs(members, 0, 4).where("step >= 2")
+    weights = grid.nodes(spark, C).select("id", (F.col("id") * 37 % 101 / 40).alias("importance"))
+    return search.search_sequences(spark, grown(spark, sf_dir, size), size, pairs, weights, sequences.region_ends(members, C), C, SETUP, T, generations)
+
+
+@plan()
+def search_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two hundred individuals on the regions of the events, for three generations."""
+    return searched(spark, sf_dir, POPULATION, GENERATIONS)[0]
