@@ -14,9 +14,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skylattice.functions.annealing import acceptance
+from skylattice.functions.annealing import acceptance, objective
 from skylattice.functions.grid import Constellation, plane
 from skylattice.operators import grid, paths
+from skylattice.operators.fill import MODULUS, mixed
 from skylattice.sources.shared import written
 
 
@@ -119,12 +120,14 @@ def scored(individuals: DataFrame, pairs: DataFrame, spark: SparkSession, c: Con
     return paths.snapshot_fitness(hops, ["topo", "step"]).select(F.col("topo").cast("int").alias("ind_id"), "step", "score")
 
 
-def filter_and_replenish(fitness: DataFrame, by: list[str]) -> DataFrame:
-    """In each population (columns ``by``) individuals with infinite ``total`` are replaced by its best one, the smallest id of equals."""
+def filter_and_replenish(fitness: DataFrame, by: list[str], seed: int = 0) -> DataFrame:
+    """In each population (columns ``by``) an individual with infinite ``total`` is replaced by one of its best, drawn by a hash of its id."""
     lost = F.col("total").isNull() | F.col("total").isin(float("inf"), float("-inf")) | F.isnan("total")
-    best = fitness.where(~lost).groupBy(*by).agg(F.min(F.struct("total", "ind_id")).alias("b"))
+    least = fitness.where(~lost).groupBy(*by).agg(F.min("total").alias("least"))
+    best = fitness.join(least, by).where(F.col("total") == F.col("least")).groupBy(*by, "least").agg(F.array_sort(F.collect_list("ind_id")).alias("best"))
     both = fitness.join(best, by)
-    return both.select(*by, F.col("ind_id").alias("slot"), F.when(lost, F.col("b.ind_id")).otherwise(F.col("ind_id")).alias("ind_id"), F.when(lost, F.col("b.total")).otherwise(F.col("total")).alias("total"))
+    nth = F.pmod(F.floor(mixed(F.col("ind_id"), F.lit(0), F.lit(0), seed) / 1000), F.size("best")).cast("int")
+    return both.select(*by, F.col("ind_id").alias("slot"), F.when(lost, F.get("best", nth)).otherwise(F.col("ind_id")).alias("ind_id"), F.when(lost, F.col("least")).otherwise(F.col("total")).alias("total"))
 
 
 def selection_probabilities(fitness: DataFrame, by: list[str], floor: float = 1e-6) -> DataFrame:
@@ -269,6 +272,33 @@ def anneal(runs: DataFrame, cost: Callable[[float], float], low: float, high: fl
     return runs.groupBy("run_id").applyInPandas(chain, "run_id int, iteration int, x double, cost double, temperature double, accepted boolean")
 
 
+def anneal_in_columns(runs: DataFrame, low: float, high: float, iterations: int, seed: int = 0) -> DataFrame:
+    """``run_id, x, cost, best, accepted`` of chains ``run_id, x, start_temperature, alpha, step, scaled`` after ``iterations`` on the tutorial objective.
+
+    All chains go on together, each a row whose state is folded over the iterations, and their chances are hashes of run
+    and iteration. Where a chain is ``scaled`` its steps shrink with its temperature. Chains stay in [low, high].
+    """
+
+    def chance(i: Column, k: int) -> Column:
+        return mixed(F.col("run_id"), i, F.lit(k), seed) / MODULUS
+
+    def move(s: Column, i: Column) -> Column:
+        reach = F.col("step") * F.when(F.col("scaled"), s["t"]).otherwise(1.0)
+        near = F.least(F.lit(high), F.greatest(F.lit(low), s["x"] + (2 * chance(i, 1) - 1) * reach))
+        tried = F.struct(near.alias("x"), objective(near).alias("cost"))
+
+        def decide(n: Column) -> Column:
+            taken = chance(i, 2) < acceptance(s["cost"], n["cost"], s["t"])
+            cost = F.when(taken, n["cost"]).otherwise(s["cost"])
+            kept = F.when(taken, n["x"]).otherwise(s["x"])
+            return F.struct(kept.alias("x"), cost.alias("cost"), F.least(s["best"], cost).alias("best"), (s["accepted"] + taken.cast("int")).alias("accepted"), (s["t"] * F.col("alpha")).alias("t"))
+
+        return F.get(F.transform(F.array(tried), decide), F.lit(0))  # names the tried place once
+
+    start = F.struct(F.col("x").alias("x"), objective(F.col("x")).alias("cost"), objective(F.col("x")).alias("best"), F.lit(0).alias("accepted"), F.col("start_temperature").alias("t"))
+    return runs.select("run_id", F.aggregate(F.sequence(F.lit(1), F.lit(iterations)), start, move).alias("s")).select("run_id", "s.x", "s.cost", "s.best", "s.accepted")
+
+
 def sweep(trace: DataFrame, runs: DataFrame) -> DataFrame:
     """Final and best cost of every parameter combination."""
     found = trace.groupBy("run_id").agg(F.max_by("cost", "iteration").alias("final_cost"), F.min("cost").alias("best_cost"))

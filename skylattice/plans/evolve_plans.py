@@ -11,6 +11,7 @@ from skylattice.functions import annealing
 from skylattice.operators import evolve, grid, grid_world, paths
 from skylattice.plans import fixtures as fx
 from skylattice.plans.registry import plan
+from skylattice.sources.tables import parquet
 
 C = fx.C
 _CAND = """, cand AS (SELECT id AS src, k, CAST((x + dx) * 10 + y + dy AS INT) AS dst FROM node, (VALUES (0, 1, -1), (1, 1, 0), (2, 1, 1), (3, 2, 0)) AS v(k, dx, dy)
@@ -99,6 +100,30 @@ def _runs(spark: SparkSession) -> DataFrame:
     return every.select(run_id.alias("run_id"), *(F.col(x).cast("double").alias(x) for x in ("start_temperature", "alpha", "step")), F.lit(300).alias("iterations"))
 
 
+_CHANCE = "((CAST(run_id AS BIGINT) * 7919 + CAST(i + 1 AS BIGINT) * 104729 + CAST({} AS BIGINT) * 1299709) * 48271) % 2147483647 / 2147483647"
+
+
+@plan(
+    f"""WITH RECURSIVE runs AS (SELECT CAST(user_id AS INT) AS run_id, CAST(sum(event_id) % 9000 AS BIGINT) / 1000 - 1 AS x, 50.0 * (1 + user_id % 3) AS t0, 0.9 + user_id % 2 * 0.05 AS alpha, 0.1 * (1 + user_id % 5) AS step, user_id % 2 = 0 AS scaled
+  FROM events GROUP BY user_id),
+chain AS (SELECT run_id, 0 AS i, CAST(x AS DOUBLE) AS x, sin(x) + sin(10 * x / 3) AS cost, sin(x) + sin(10 * x / 3) AS best, 0 AS accepted, CAST(t0 AS DOUBLE) AS t, CAST(alpha AS DOUBLE) AS alpha, CAST(step AS DOUBLE) AS step, scaled FROM runs
+  UNION ALL SELECT run_id, i + 1, CASE WHEN taken THEN near ELSE x END, CASE WHEN taken THEN other ELSE cost END, least(best, CASE WHEN taken THEN other ELSE cost END), accepted + CASE WHEN taken THEN 1 ELSE 0 END, t * alpha, alpha, step, scaled
+  FROM (SELECT *, {_CHANCE.format(2)} < CASE WHEN other < cost THEN 1.0 ELSE exp(-(other - cost) / (t + 1e-8)) END AS taken
+        FROM (SELECT *, sin(near) + sin(10 * near / 3) AS other FROM (SELECT *, least(8.0, greatest(-1.0, x + (2 * ({_CHANCE.format(1)}) - 1) * (step * CASE WHEN scaled THEN t ELSE 1.0 END))) AS near FROM chain WHERE i < 200))))
+SELECT run_id, round(x, 6) AS x, round(cost, 6) AS cost, round(best, 6) AS best, accepted FROM chain WHERE i = 200""",
+    prefix="",
+)
+def anneal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A chain for each user of the events, from where their events put it; every other one with scaled steps."""
+    user = F.col("user_id")
+    users = parquet(spark, sf_dir, "events").groupBy("user_id").agg(F.sum("event_id").alias("s"))
+    runs = users.select(
+        user.cast("int").alias("run_id"), (F.col("s") % 9000 / 1000 - 1).alias("x"), (50.0 * (1 + user % 3)).alias("start_temperature"), (0.9 + user % 2 * 0.05).alias("alpha"), (0.1 * (1 + user % 5)).alias("step"), (user % 2 == 0).alias("scaled")
+    )
+    found = evolve.anneal_in_columns(runs, -1.0, 8.0, 200)
+    return found.select("run_id", *(F.round(c, 6).alias(c) for c in ("x", "cost", "best")), "accepted")
+
+
 @plan()
 def sa_trace(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve.anneal(_runs(spark), lambda x: math.sin(x) + math.sin(10 * x / 3), -1.0, 8.0)

@@ -138,6 +138,16 @@ def filter_and_replenish(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve.filter_and_replenish(lost, ["run_id"]).withColumn("total", F.round("total", 9))
 
 
+# Totals in wide steps, so that some are equal.
+@plan(f"""{_SCORES}, f AS (SELECT ind_id % 2 AS run_id, ind_id, CASE WHEN ind_id % 3 = 1 THEN CAST('inf' AS DOUBLE) ELSE floor(total / 40) END AS total FROM fit),
+b AS (SELECT run_id, list(ind_id ORDER BY ind_id) AS bi, any_value(total) AS bt FROM (SELECT *, min(total) OVER (PARTITION BY run_id) AS m FROM f) WHERE total = m GROUP BY run_id)
+SELECT f.run_id, ind_id AS slot, CASE WHEN isinf(total) THEN bi[1 + ((CAST(ind_id AS BIGINT) * 7919 * 48271) % 2147483647 // 1000) % len(bi)] ELSE ind_id END AS ind_id, CASE WHEN isinf(total) THEN bt ELSE total END AS total FROM f JOIN b ON b.run_id = f.run_id""")
+def replenish_random_best(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Where several individuals are the best, chance decides which one fills a place."""
+    coarse = _runs(spark, sf_dir).withColumn("total", F.when(F.col("ind_id") % 3 == 1, F.lit(float("inf"))).otherwise(F.floor(F.col("total") / 40).cast("double")))
+    return evolve.filter_and_replenish(coarse, ["run_id"])
+
+
 @plan(f"{_CAND} SELECT ind_id, src, dst FROM pop")
 def chromosome_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evolve.from_array(evolve.to_array(evolve.population(spark, C, 6), C.size)).select("ind_id", "src", "dst")
