@@ -8,17 +8,24 @@ Lines inside an explicit main container (``article``, ``main``) are the article
 if the neighbour has them: articles quote common passages and are copied, and differencing would delete those. All other
 text, on pages with and without a container, is decided by differencing.
 
-Pages are dealt by ranges of (host, path), so a large host spreads over tasks. Each range also gets the last page of
-the range before and the first of the range after as context, which makes the pairing independent of the ranges. Tasks
-stream through their sorted pages and hold three of them at a time.
+Names and neighbours can mislead, so what would take most of a page needs evidence. A part whose class or id has a weak
+name (``social``, ``notice``) goes only if the rest of the page is longer. If a page without a container shares more than half
+of its text with its partner, the partner may be a near copy: then a line goes only if it is short and another page near
+by has it too.
+
+Pages are parsed where they are read, and only their lines move, compressed. They are dealt by ranges of (host, path), so
+a large host spreads over tasks. Each range also gets the two pages before and the two after it as context, which makes
+the pairing independent of the ranges. Tasks stream through their sorted pages and hold five of them at a time.
 """
 
 from __future__ import annotations
 
 import html
+import pickle
 import re
+import zlib
 from bisect import bisect_right
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -43,14 +50,18 @@ FRAME = frozenset("nav aside footer form head title menu dialog noscript templat
 RAW = frozenset("script style textarea xmp".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 MAIN = frozenset(("article", "main"))
-#: Words in class or id, and roles, that mark parts of a page's frame. In a container only a whole name counts, with one
-#: of some endings at most, and paragraphs and headings never are frame.
-_WORDS = (
-    r"(?:ads?|advert\w*|banner|breadcrumbs?|comments?|consent|cookies?|disqus|footer|header|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|"
-    r"pagination|popup|promo\w*|recommend\w*|related|respond|share|sharing|sidebar|signup|social|sponsor\w*|subscribe|toolbar|widget)"
-)
-FRAME_WORDS = re.compile(rf"(?:^|[\s_-]){_WORDS}(?:$|[\s_-])")
-FRAME_NAMES = re.compile(rf"(?:^|\s){_WORDS}(?:[_-](?:area|bar|block|box|buttons?|container|form|inner|links?|list|posts?|section|slot|unit|wrap|wrapper))?(?:$|\s)")
+#: Words in the names (class, id) of parts that belong to a page's frame wherever they stand, and words before or after
+#: them by which a name is that of a part beside or around the frame.
+STRONG = frozenset("ad ads adslot advert adverts advertisement advertising breadcrumb breadcrumbs comment comments consent cookie cookies disqus navbar navigation newsletter pagination popup promo respond sidebar signup sponsor sponsored".split())
+AROUND = frozenset("has with no without".split())
+HOLDERS = frozenset("article body content layout main page".split())
+#: Words that are part of a frame's name outside containers; in a container only a whole name counts, with one of some
+#: endings at most, and paragraphs and headings never are frame.
+_WEAK = r"(?:banner|footer|header|login|masthead|menu|modal|nav|notice|recommend\w*|related|share|sharing|social|subscribe|toolbar|widget)"
+WEAK_WORDS = re.compile(rf"(?:^|[\s_-]){_WEAK}(?:$|[\s_-])")
+WEAK_NAMES = re.compile(rf"(?:^|\s){_WEAK}(?:[_-](?:area|bar|block|box|buttons?|container|form|inner|links?|list|posts?|section|slot|unit|wrap|wrapper))?(?:$|\s)")
+#: Lines as long as this are not deleted because of a partner that may be a near copy.
+LONG = 160
 NEVER_FRAME = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre figure figcaption table tbody tr td th".split())
 #: Lines times lines of two pages that are aligned in one table of bits; larger pages are halved first.
 TABLE_BITS = 1 << 24
@@ -61,44 +72,66 @@ ATTRIBUTE = re.compile(r"([^\s=/\"']+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>
 
 @dataclass(slots=True)
 class Line:
-    """A block's text, whether the markup calls it part of the frame, and whether it is in a main container."""
+    """A block's text, whether the markup calls it part of the frame, whether it is in a main container, and whether a weak name calls it frame."""
 
     text: str
     frame: bool
     main: bool
+    weak: bool = False
+
+
+def _strong(names: str) -> bool:
+    for name in names.split():
+        parts = set(re.split("[_-]+", name))
+        found = parts & STRONG
+        if found and not parts & AROUND and not (parts & HOLDERS and not any(x.startswith("comment") for x in found)):
+            return True
+    return False
 
 
-def _is_frame(name: str, attributes: str, in_main: bool) -> bool:
+def _is_frame(name: str, attributes: str, in_main: bool) -> tuple[bool, bool]:
+    """Whether an element is frame, and whether only a weak name says so."""
     if name in FRAME or (name == "header" and not in_main):
-        return True
+        return True, False
     if not attributes or name in ("html", "body") or name in MAIN:
-        return False
+        return False, False
     found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(attributes)}
     if found.get("role", "").lower() in FRAME_ROLES or "hidden" in attributes.lower().split() or found.get("aria-hidden") == "true":
-        return True
+        return True, False
     if in_main and name in NEVER_FRAME:
-        return False
-    words = FRAME_NAMES if in_main else FRAME_WORDS
-    return any(words.search(found.get(k, "").lower()) for k in ("class", "id"))
+        return False, False
+    names = [found[k].lower() for k in ("class", "id") if k in found]
+    if any(map(_strong, names)):
+        return True, False
+    return False, any(map((WEAK_NAMES if in_main else WEAK_WORDS).search, names))
 
 
 def lines_of(page: str | None) -> list[Line]:
-    """The text blocks of a page in order. Unclosed and stray tags are tolerated; character references are decoded."""
+    """The text blocks of a page in order. Unclosed and stray tags are tolerated; character references are decoded.
+
+    A frame element within a block (a button, a hidden span) is left out of it and does not divide it.
+    """
     page = page or ""
     out: list[Line] = []
     buffer: list[str] = []
-    open_: list[tuple[str, bool, bool]] = []  # element, whether it begins a frame part, whether it begins a main container
-    frame = main = 0
+    open_: list[tuple] = []  # element, and whether it begins a frame part, a part with a weak name, a main container, an inline frame part
+    counts = [0, 0, 0, 0]
     at = 0
 
     def flush() -> None:
         text = " ".join(html.unescape("".join(buffer)).split())
         buffer.clear()
         if text:
-            out.append(Line(text, frame > 0, main > 0))
+            out.append(Line(text, counts[0] > 0, counts[2] > 0, counts[1] > 0))
+
+    def close(depth: int) -> None:
+        for _, *begins in open_[depth:]:
+            for k, x in enumerate(begins):
+                counts[k] -= x
+        del open_[depth:]
 
     while tag := TAG.search(page, at):
-        if tag.start() > at:
+        if tag.start() > at and not counts[3]:
             buffer.append(page[at : tag.start()])
         at = tag.end()
         if not tag[2]:
@@ -112,10 +145,7 @@ def lines_of(page: str | None) -> list[Line]:
             depth = next((k for k in range(len(open_) - 1, -1, -1) if open_[k][0] == name), None)
             # an end tag closes no container around the one it is in, unless it is a container's own
             if depth is not None and (name in BLOCKS or not any(x[0] in BLOCKS for x in open_[depth:])):
-                for _, was_frame, was_main in open_[depth:]:
-                    frame -= was_frame
-                    main -= was_main
-                del open_[depth:]
+                close(depth)
         elif name in RAW:
             end = re.compile(rf"</{name}[\s/>]", re.I).search(page, at)
             at = end.start() if end else len(page)
@@ -123,17 +153,16 @@ def lines_of(page: str | None) -> list[Line]:
                 at = page.find(">", at) + 1 or len(page)
         elif name not in VOID and not tag[3].endswith("/"):
             if name in ("p", "li", "option", "dt", "dd", "tr", "td", "th") and open_ and open_[-1][0] == name:
-                frame -= open_[-1][1]
-                main -= open_[-1][2]
-                open_.pop()
-            is_frame, is_main = _is_frame(name, tag[3], main > 0), name in MAIN or 'role="main"' in tag[3]
-            if is_frame or is_main or name in BLOCKS:
-                open_.append((name, is_frame, is_main))
-                frame += is_frame
-                main += is_main
-            elif open_ and tag[3]:
-                open_.append((name, is_frame, is_main))
-    buffer.append(page[at:])
+                close(len(open_) - 1)
+            strong, weak = _is_frame(name, tag[3], counts[2] > 0)
+            block = name in BLOCKS
+            begins = (strong and block, weak and block, name in MAIN or 'role="main"' in tag[3], (strong or (weak and name == "a")) and not block)
+            if any(begins) or block or (open_ and tag[3]):
+                open_.append((name, *begins))
+                for k, x in enumerate(begins):
+                    counts[k] += x
+    if not counts[3]:
+        buffer.append(page[at:])
     flush()
     return out
 
@@ -205,17 +234,33 @@ def common_lines(a: list[str], b: list[str]) -> set[int]:
     return out
 
 
-def main_text(lines: list[Line], *neighbours: list[Line] | None) -> str:
-    """The main text of a page from its lines and those of its nearest pages, the nearest first.
+def _size(lines: Iterable[Line]) -> int:
+    return sum(len(x.text) for x in lines)
+
+
+def without_frame(lines: list[Line]) -> list[Line]:
+    """Lines that the markup does not call frame; those with a weak name stay if they are most of the text."""
+    rest = [x for x in lines if not x.frame]
+    plain = [x for x in rest if not x.weak]
+    return plain if 2 * _size(plain) >= _size(rest) else rest
+
+
+def main_text(lines: list[Line], *neighbours: list[Line] | None, careful: bool = False) -> str:
+    """The main text of a page from its lines and those of pages near by, the nearest first.
 
     The nearest decides; on a page with a container the second decides too, as what is outside is seldom the article.
+    If ``careful``, a nearest page that has more than half of the text may be a near copy: see above.
     """
-    lines = [x for x in lines if not x.frame]
+    lines = without_frame(lines)
     contained = any(x.main for x in lines)
+    near = [x for x in neighbours if x]
     shared: set[int] = set()
     if not all(x.main for x in lines):
-        for other in [x for x in neighbours if x][: 1 + contained]:
+        for other in near[: 1 + contained]:
             shared |= common_lines([x.text for x in lines], [x.text for x in other])
+        if careful and not contained and 2 * _size(lines[i] for i in shared) > _size(lines):
+            elsewhere = {x.text for other in near[1:] for x in other}
+            shared = {i for i in shared if len(lines[i].text) < LONG and lines[i].text in elsewhere}
     return "\n".join(x.text for i, x in enumerate(lines) if x.main or i not in shared)
 
 
@@ -229,32 +274,60 @@ def _alike(a: str, b: str) -> int:
     return n
 
 
-def _nearest(before: dict | None, page: dict, after: dict | None) -> list[list[Line]]:
-    """The neighbours' lines, those of more leading path segments in common first; a copy of the page shows nothing and is no partner."""
-    near = [x for x in (before, after) if x is not None and x["host"] == page["host"] and x["bucket"] == page["bucket"] and x["lines"] != page["lines"]]
-    return [x["lines"] for x in sorted(near, key=lambda x: -_alike(x["path"], page["path"]))]
+def _nearest(page: dict, before: list[dict], after: list[dict]) -> list[list[Line]]:
+    """Lines of the pages around, given from the page outwards: of the two beside it that of more leading path segments in common first, then the others.
+
+    A copy of the page shows nothing and is no partner.
+    """
+    beside = [x[0] for x in (before, after) if x and x[0]["host"] == page["host"] and x[0]["lines"] != page["lines"]]
+    beside.sort(key=lambda x: -_alike(x["path"], page["path"]))
+    further = [x[1] for x in (before, after) if len(x) > 1 and x[1]["host"] == page["host"] and x[1]["lines"] != page["lines"]]
+    return [x["lines"] for x in (*beside, *further)]
+
+
+def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pages with their lines, packed, in place of their html."""
+    for batch in (b.slice(at, PAGES_AT_ONCE) for b in batches for at in range(0, b.num_rows, PAGES_AT_ONCE)):
+        packed = [zlib.compress(pickle.dumps([(x.text, x.frame, x.main, x.weak) for x in lines_of(page.as_py())]), 1) for page in batch.column("html")]
+        columns = [batch.column(c) if c != "html" else pa.array(packed, pa.binary()) for c in batch.schema.names]
+        yield pa.RecordBatch.from_arrays(columns, names=["lines" if c == "html" else c for c in batch.schema.names])
 
 
 def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     def done(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.string()), strict=True)], names=["page_id", "url", "text"])
 
-    before: dict | None = None
-    page: dict | None = None
+    held: list[dict] = []  # up to two pages before the present one, it, and up to two after it
+    now, size = 0, 0
     rows: list[tuple] = []
-    size = 0
+
+    def decide() -> None:
+        nonlocal now, size
+        page = held[now]
+        if not page["context"]:
+            rows.append((page["page_id"], page["url"], main_text(page["lines"], *_nearest(page, held[:now][::-1], held[now + 1 :]), careful=True)))
+            size += len(rows[-1][2])
+        now += 1
+        if now > 2:
+            del held[0]
+            now -= 1
+
     for batch in (b.slice(at, PAGES_AT_ONCE) for b in batches for at in range(0, b.num_rows, PAGES_AT_ONCE)):
-        for after in batch.to_pylist():
-            after["lines"] = lines_of(after.pop("html"))
-            if page is not None and not page["context"]:
-                rows.append((page["page_id"], page["url"], main_text(page["lines"], *_nearest(before, page, after))))
-                size += len(rows[-1][2])
-            before, page = page, after
+        for page in batch.to_pylist():
+            page["lines"] = [Line(*x) for x in pickle.loads(zlib.decompress(page["lines"]))]
+            if held and page["bucket"] != held[-1]["bucket"]:
+                while now < len(held):
+                    decide()
+                held.clear()
+                now = 0
+            held.append(page)
+            if now + 2 < len(held):
+                decide()
             if size > 8_000_000 or len(rows) >= 4096:
                 yield done(rows)
                 rows, size = [], 0
-    if page is not None and not page["context"]:
-        rows.append((page["page_id"], page["url"], main_text(page["lines"], *_nearest(before, page, None))))
+    while now < len(held):
+        decide()
     if rows:
         yield done(rows)
 
@@ -279,6 +352,20 @@ def _bucket(bounds: list[tuple], spark: SparkSession) -> Column:
     return find("place.host", "place.path", "place.id", "place.address")
 
 
+def _context(rows: DataFrame) -> list[tuple]:
+    """The places ``(place, range)`` of the two pages before and the two after each range, from the two outermost places of the ranges."""
+    ends = rows.groupBy("bucket").agg(F.min("place").alias("low"), F.max("place").alias("high"))
+    inner = rows.select("bucket", "place").join(F.broadcast(ends), "bucket")  # a row a range
+    second = inner.groupBy("bucket").agg(F.min(F.when(F.col("place") > F.col("low"), F.col("place"))).alias("low2"), F.max(F.when(F.col("place") < F.col("high"), F.col("place"))).alias("high2"))
+    found = sorted(((r.bucket, sorted({tuple(x) for x in (r.low, r.low2, r.high2, r.high) if x is not None})) for r in ends.join(second, "bucket").collect()), key=lambda x: x[0])
+    out = []
+    for k, (bucket, _) in enumerate(found):
+        before = [p for _, places in found[max(0, k - 2) : k] for p in places][-2:]
+        after = [p for _, places in found[k + 1 : k + 3] for p in places][:2]
+        out += [(p, bucket) for p in (*before, *after)]
+    return out
+
+
 def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url", body: str = "html", pages_per_task: int = PAGES_PER_TASK) -> DataFrame:
     """``page_id, url, text, n_chars`` of every row of ``pages``.
 
@@ -299,13 +386,14 @@ def extract_main_text(pages: DataFrame, *, key: str = "page_id", url: str = "url
     ranges = min(MOST_RANGES, 1 if tasks == 1 else tasks * RANGES_PER_TASK)
     rows = rows.withColumn("bucket", _bucket(_bounds(rows, total, ranges), spark) if ranges > 1 else F.lit(0))
     place = "struct<host:string,path:string,id:bigint,address:string>"
-    ends = sorted((r.bucket, r.low, r.high) for r in rows.groupBy("bucket").agg(F.min("place").alias("low"), F.max("place").alias("high")).collect())
-    extra = [(tuple(ends[k][1]), ends[k - 1][0]) for k in range(1, len(ends))] + [(tuple(ends[k][2]), ends[k + 1][0]) for k in range(len(ends) - 1)]
+    extra = _context(rows) if ranges > 1 else []
     all_rows = rows.withColumn("context", F.lit(False))
     if extra:
-        # at most two pages a range
+        # at most four pages a range
         also = spark.createDataFrame(extra, f"place {place}, target int")
         context = rows.join(F.broadcast(also), "place").dropDuplicates(["place", "target"]).withColumn("bucket", F.col("target")).withColumn("context", F.lit(True))
         all_rows = all_rows.unionByName(context.select(*all_rows.columns))
-    dealt = all_rows.repartition(tasks, "bucket").sortWithinPartitions("bucket", "place", "context").select("page_id", "url", "html", "host", "path", "bucket", "context")
+    all_rows = all_rows.select("page_id", "url", "html", "host", "path", "bucket", "context", F.col("place.id").alias("id"), F.col("place.address").alias("address"))
+    columns = "page_id long, url string, lines binary, host string, path string, bucket int, context boolean, id long, address string"
+    dealt = all_rows.mapInArrow(_parsed, columns).repartition(tasks, "bucket").sortWithinPartitions("bucket", "host", "path", "id", "address", "context").select("page_id", "url", "lines", "host", "path", "bucket", "context")
     return dealt.mapInArrow(_texts, "page_id long, url string, text string").withColumn("n_chars", F.length("text").cast("long"))

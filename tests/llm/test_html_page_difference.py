@@ -127,3 +127,78 @@ def test_long_page():
     body = "".join(f"<p>{html.escape(f'line {i} & <x>')}</p>" for i in range(8000))
     lines = lines_of(f"<article>{body}</article>")
     assert len(lines) == 8000 and main_text(lines, lines).count("\n") == 7999
+
+
+def kept(page):
+    return main_text(lines_of(page), None)
+
+
+def test_comments_adverts_sidebars_and_notices_are_out():
+    for names in ("reader-comments", "comment-thread", "ad-slot-top", "google-ads", "post-sidebar", "cookie-notice", "newsletter-signup", "sponsored"):
+        for container in ("article", "main", "div"):
+            assert kept(f'<{container}><p>Own words of the page.</p><div class="{names}"><p>other</p></div></{container}>') == "Own words of the page."
+            assert kept(f'<{container}><p>Own words of the page.</p><section id="x" class="box {names}">other</section></{container}>') == "Own words of the page."
+    assert kept('<article><p>Own words.</p><div id="user-comments">much longer talk than the article is, by far, and more of it</div></article>') == "Own words."
+
+
+def test_inline_frame_elements_leave_their_block_whole():
+    assert kept("<p>Hello <button>Subscribe now</button> world</p>") == "Hello world"
+    for part in ("<noscript>on</noscript>", "<iframe>x</iframe>", "<audio>a</audio>", "<video controls>v</video>", '<span class="ad">buy</span>', "<span hidden>s</span>", "<select><option>1<option>2</select>", '<a class="share">s</a>', "<svg><text>t</text></svg>"):
+        assert kept(f"<article><p>Hello {part} world</p><p>end</p></article>").replace("\n", " ") == "Hello world end", part
+    assert kept("<article><p>Hello <button>lost</p><p>next</p></article>") == "Hello\nnext"
+    assert kept('<p>a <span class="note">b</span> c</p>') == "a b c"
+
+
+def test_weak_and_holding_names_need_evidence():
+    assert kept('<div class="social science"><p>Study of society</p></div>') == "Study of society"
+    assert kept('<article><section class="banner"><h2>Headline</h2><p>Story</p></section></article>') == "Headline\nStory"
+    assert kept('<div class="notice"><p>The article itself</p></div>') == "The article itself"
+    assert kept('<div class="notice">Closed today</div><div><p>The article itself is longer</p></div>') == "The article itself is longer"
+    for names in ("content-with-sidebar", "has-sidebar", "page-sidebar-layout", "no-comments"):
+        assert kept(f'<div class="{names}"><p>The article</p></div>') == "The article"
+
+
+def test_near_copies_keep_their_article(spark):
+    def page(version, more=""):
+        return f"<body><p>{'One long paragraph of an article. ' * 8}</p><p>{'Another long one. ' * 12}</p><p>{'The third. ' * 20}</p><p>v{version}</p>{more}</body>"
+
+    rows = [(k, f"http://two.com/{k}", page(k)) for k in (1, 2)] + [(10 + k, f"http://three.com/{k}", page(k)) for k in (1, 2, 3)]
+    rows += [(20 + k, f"http://short.com/{k}", f"<body><div>A very long site name</div><p>Latest news of the day</p><p>Story {k}</p></body>") for k in range(5)]
+    rows += [(40 + k, f"http://pair.com/{k}", f"<body><div>A very long site name</div><p>Latest news of the day</p><p>Story {k}</p></body>") for k in range(2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    for size in (2048, 2):
+        got = {r.page_id: r.text for r in extract_main_text(pages, pages_per_task=size).collect()}
+        assert all(got[i].count("\n") == 3 for i in (1, 2, 11, 12, 13))
+        assert all(got[20 + k] == f"Story {k}" for k in range(5))
+        # two pages alone do not tell a frame from a copied article
+        assert all(got[40 + k].endswith(f"Story {k}") for k in range(2))
+
+
+def brute_page(pages, i):
+    """The rules as they read, for pages without containers and names: ``pages`` are lists of lines in order of place."""
+    def shared(a, b):
+        n, m = len(a), len(b)
+        table = [[0] * (m + 1) for _ in range(n + 1)]
+        for x in range(n - 1, -1, -1):
+            for y in range(m - 1, -1, -1):
+                table[x][y] = table[x + 1][y + 1] + 1 if a[x] == b[y] else max(table[x + 1][y], table[x][y + 1])
+        return table[0][0]
+
+    own = pages[i]
+    near = [pages[k] for k in (i - 1, i + 1, i - 2, i + 2) if 0 <= k < len(pages) and pages[k] != own]
+    return own, near, shared(own, near[0]) if near else 0
+
+
+def test_generated_host_against_brute_force(spark):
+    rng = random.Random(8)
+    frame = ["Home page", "World", "All rights reserved"]
+    texts, rows = [], []
+    for i in range(90):
+        story = [f"Story {i} {k} " + "".join(rng.choice("abcdefgh ") for _ in range(60)) for k in range(rng.randint(2, 6))]
+        texts.append([*frame[:2], *story, frame[2]])
+        rows.append((i, f"http://gen.org/{i:03d}", "".join(f"<p>{x}</p>" for x in texts[-1])))
+    got = {r.page_id: r.text for r in extract_main_text(spark.createDataFrame(rows, "page_id long, url string, html string"), pages_per_task=20).collect()}
+    for i in range(90):
+        own, near, longest = brute_page(texts, i)
+        left = [x for x in own if x not in near[0]]
+        assert longest == len(own) - len(left) and got[i] == "\n".join(" ".join(x.split()) for x in left)
