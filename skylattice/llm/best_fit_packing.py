@@ -28,6 +28,8 @@ CACHE_WORDS = 1_000_000
 #: Pieces that are packed together: dealt to a task on average, and held by a task at most.
 PIECES_PER_TASK = 32_768
 PIECES_AT_ONCE = 131_072
+#: Bytes of pieces that a task holds, which counts if they carry their ids.
+BYTES_AT_ONCE = 192 << 20
 #: Tasks at most: beyond that each packs several chunks.
 MOST_TASKS = 65_536
 END_OF_TEXT = 1
@@ -161,7 +163,7 @@ def pack_documents(
     A document is the ids of its text and one closing id; only longer ones are cut, into pieces of ``capacity`` tokens
     (the last may be shorter). Returns a row a piece: ``doc_id, piece, start, length, ids_crc32[, ids], sequence_id,
     offset``. Null and empty texts become one closing id. Repeated rows are packed separately; an empty table gives no
-    rows; other columns are ignored.
+    rows; other columns are ignored. With ids, up to ``BYTES_AT_ONCE`` bytes of pieces are packed together.
     """
     pieces = token_pieces(docs, tokenizer_file, capacity, key=key, text=text, with_ids=with_ids)
     tasks = max(1, min(MOST_TASKS, -(-docs.count() // pieces_per_task)))
@@ -185,7 +187,7 @@ def pack_documents(
         for batch in batches:
             if batch.num_rows:
                 held.append(batch)
-            if sum(b.num_rows for b in held) >= PIECES_AT_ONCE:
+            if sum(b.num_rows for b in held) >= PIECES_AT_ONCE or sum(b.nbytes for b in held) >= BYTES_AT_ONCE:
                 yield from packed()
         if held:
             yield from packed()

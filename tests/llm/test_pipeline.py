@@ -117,6 +117,19 @@ def test_sequences_hold_all_tokens(stages):
     assert stages[1] == sorted((r["doc_id"], r["start"], r["length"], r["ids_crc32"]) for r in after)
 
 
+def test_sequences_can_be_trained_on(stages):
+    """The ids of a document's pieces, put together, are those of the text that the stage before has left, and decode to it."""
+    before, by = texts(stages[0][3]), defaultdict(list)
+    for r in stages[0][4]:
+        ids = np.frombuffer(r["ids"], dtype="<u4")
+        assert len(ids) == r["length"] and zlib.crc32(r["ids"]) == r["ids_crc32"]
+        by[r["doc_id"]].append((r["piece"], ids))
+    for i, t in before.items():
+        ids = np.concatenate([x for _, x in sorted(by[i], key=lambda x: x[0])]).tolist()
+        assert ids == [*TOKENIZER.encode(t, add_special_tokens=False).ids, 1]
+        assert "".join(TOKENIZER.decode(ids[:-1]).replace("</w>", " ").split()) == "".join(t.lower().split())
+
+
 def test_repeated_and_null_ids_null_and_very_long_texts_pass_every_stage(spark, tmp_path):
     pipeline = importlib.import_module("corpus_pipeline")
     rng = random.Random(12)
