@@ -15,18 +15,26 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions.annealing import acceptance, objective
-from skylattice.functions.grid import Constellation, plane
+from skylattice.functions.grid import Constellation, plane, slot
 from skylattice.operators import grid, paths
 from skylattice.operators.fill import MODULUS, mixed
 from skylattice.sources.shared import written
 
 
-def population(spark: SparkSession, c: Constellation, size: int) -> DataFrame:
-    """Static individuals ``ind_id, src, dst``: each node takes one of its candidates by a rule of id and individual."""
+def wishes(spark: SparkSession, c: Constellation, size: int, seen: DataFrame | None = None) -> DataFrame:
+    """``ind_id, src, dst``: each node of each individual takes one of its candidates, by a rule of id, individual and how often it is seen (``src, seen``)."""
     targets = grid.candidates(spark, c).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("to"))
-    chosen = F.pmod(F.lit(7919) * F.col("src") + F.lit(104729) * F.col("ind_id"), F.size("to"))
-    every = targets.select("src", "to", F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("ind_id"))
-    return without_conflicts(every.select("ind_id", "src", F.get("to", chosen).alias("dst")))
+    often = F.lit(0).cast("long")
+    if seen is not None:
+        targets, often = targets.join(seen, "src", "left"), F.coalesce("seen", F.lit(0).cast("long"))
+    every = targets.select("src", "to", often.alias("seen"), F.explode(F.sequence(F.lit(0), F.lit(size - 1))).alias("ind_id"))
+    chosen = F.pmod(F.lit(7919) * F.col("src") + F.lit(104729) * F.col("ind_id") + F.col("seen"), F.size("to")).cast("int")
+    return every.select("ind_id", "src", F.get("to", chosen).alias("dst"))
+
+
+def population(spark: SparkSession, c: Constellation, size: int, seen: DataFrame | None = None) -> DataFrame:
+    """Static individuals ``ind_id, src, dst`` of what nodes wish, without conflicts."""
+    return without_conflicts(wishes(spark, c, size, seen))
 
 
 def without_conflicts(links: DataFrame) -> DataFrame:
@@ -90,7 +98,7 @@ def plane_matching(individuals: DataFrame, owned: DataFrame, spark: SparkSession
     Owned links (``ind_id, src, dst``) stay. In each plane the k-th free node gets the k-th free target, in an order of nodes
     and one of targets that differ by individual (``ind_id, step, turn``: multiplier prime to the slots, and offset).
     """
-    every = individuals.join(F.broadcast(grid.nodes(spark, c)))  # all nodes of every individual; the constellation's size is fixed
+    every = individuals.select("*", F.explode(F.sequence(F.lit(0), F.lit(c.size - 1))).alias("id")).withColumns({"x": plane("id", c), "y": slot("id", c)})
 
     def free(port: str, order: Column) -> DataFrame:
         rows = every.select("ind_id", "x", F.col("id").alias(port), order.alias("o")).join(owned.select("ind_id", port), ["ind_id", port], "left_anti")
@@ -176,14 +184,14 @@ def mutable_nodes(members: DataFrame, spark: SparkSession, c: Constellation) ->
     return every.select("step", "id").join(taken, ["step", "id"], "left_anti")
 
 
-def genetic_search(spark: SparkSession, pairs: DataFrame, c: Constellation, size: int, generations: int, seed: int = 0) -> DataFrame:
-    """``generation, ind_id, total``: crossover, mutation and roulette selection over some generations.
+def genetic_search(spark: SparkSession, start: DataFrame, pairs: DataFrame, c: Constellation, size: int, generations: int, seed: int = 0) -> DataFrame:
+    """``generation, ind_id, total``: crossover, mutation and roulette selection over some generations, from the individuals 0 to size-1 of ``start``.
 
     Choices are hashes of seed, generation and individual, so a repeated task chooses the same. The population is
     written to the checkpoint folder every generation, which keeps lineages short and survives lost executors.
     """
     pairs = written(pairs)
-    current, out = written(population(spark, c, size)), None
+    current, out = written(start), None
     chance = lambda *parts: (F.pmod(F.xxhash64(F.lit(seed), *parts), F.lit(1 << 30)) / (1 << 30)).cast("double")
     for g in range(generations):
         ids = spark.range(size).select(F.col("id").cast("int").alias("child"))
@@ -222,13 +230,13 @@ def greedy_fill(links: DataFrame, spark: SparkSession, c: Constellation, seed: i
         current = written(current.unionByName(new))
 
 
-def anneal_topologies(spark: SparkSession, pairs: DataFrame, c: Constellation, chains: int, iterations: int, start: float = 10.0, alpha: float = 0.9, seed: int = 0) -> DataFrame:
-    """``iteration, ind_id, total, accepted``: chains of topologies that each change one node at a time.
+def anneal_topologies(spark: SparkSession, first: DataFrame, pairs: DataFrame, c: Constellation, iterations: int, start: float = 10.0, alpha: float = 0.9, seed: int = 0) -> DataFrame:
+    """``iteration, ind_id, total, accepted``: chains of topologies that each change one node at a time, from the individuals of ``first``.
 
     All chains are scored together in every iteration; choices are hashes, so repeated tasks choose alike.
     """
     pairs = written(pairs)
-    current = written(population(spark, c, chains))
+    current = written(first)
     total = written(scored(current, pairs, spark, c).groupBy("ind_id").agg(F.sum("score").alias("total")))
     out = None
     for k in range(iterations):

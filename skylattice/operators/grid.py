@@ -24,6 +24,11 @@ def ring_edges(spark: SparkSession, c: Constellation) -> DataFrame:
     return _to_ring(nodes(spark, c), [], c)
 
 
+def ring_edges_of(nodes: DataFrame, keep: list[str], c: Constellation) -> DataFrame:
+    """Ring links of the nodes ``id, x, y``, with the columns ``keep``."""
+    return _to_ring(nodes, keep, c)
+
+
 def _to_ring(rows: DataFrame, keep: list[str], c: Constellation) -> DataFrame:
     up, down = F.pmod(F.col("y") + 1, F.lit(c.slots)), F.pmod(F.col("y") - 1, F.lit(c.slots))
     return rows.select(*keep, F.col("id").alias("src"), F.explode(F.array(node_id("x", up, c), node_id("x", down, c))).alias("dst"))
@@ -37,9 +42,14 @@ def ring_edges_at(steps: DataFrame, c: Constellation) -> DataFrame:
 
 def grid_edges(spark: SparkSession, c: Constellation) -> DataFrame:
     """Ring links and links to the next plane, of all planes but the last."""
+    return grid_edges_of(nodes(spark, c), [], c)
+
+
+def grid_edges_of(rows: DataFrame, keep: list[str], c: Constellation) -> DataFrame:
+    """``grid_edges`` of the nodes ``id, x, y``, with the columns ``keep``."""
     up, down = F.pmod(F.col("y") + 1, F.lit(c.slots)), F.pmod(F.col("y") - 1, F.lit(c.slots))
     targets = F.array(node_id(F.col("x") + 1, "y", c), node_id("x", up, c), node_id("x", down, c))
-    return nodes(spark, c).where(F.col("x") < c.planes - 1).select(F.col("id").alias("src"), F.explode(targets).alias("dst"))
+    return rows.where(F.col("x") < c.planes - 1).select(*keep, F.col("id").alias("src"), F.explode(targets).alias("dst"))
 
 
 def right_links(spark: SparkSession, c: Constellation) -> DataFrame:
@@ -131,7 +141,13 @@ def labelled(points: DataFrame, rects: DataFrame, c: Constellation) -> DataFrame
 
 def layer_coordinates(spark: SparkSession, c: Constellation, layers: int, spacing: int = 1, height: int = 10) -> DataFrame:
     """Places of all nodes in a stack of layers."""
-    return nodes(spark, c).select(F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"), "id", (F.col("id") % c.slots * spacing).cast("int").alias("px"), (F.col("x") * spacing).alias("py")).withColumn("pz", (F.col("layer") * height).cast("int"))
+    return layer_coordinates_of(nodes(spark, c).select(F.explode(F.sequence(F.lit(0), F.lit(layers - 1))).alias("layer"), "id", "x", "y"), spacing, height)
+
+
+def layer_coordinates_of(rows: DataFrame, spacing: int = 1, height: int = 10) -> DataFrame:
+    """Places ``px, py, pz`` of the nodes ``layer, id, x, y``."""
+    place = [(F.col("y") * spacing).alias("px"), (F.col("x") * spacing).alias("py"), (F.col("layer") * height).cast("int").alias("pz")]
+    return rows.select("layer", "id", *place)
 
 
 def potential_edges(members: DataFrame, spark: SparkSession, c: Constellation) -> DataFrame:

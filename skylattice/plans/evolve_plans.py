@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from skylattice.functions import annealing
@@ -18,19 +18,15 @@ _CAND = """, cand AS (SELECT id AS src, k, CAST((x + dx) * 10 + y + dy AS INT) A
 WHERE x + dx < 10 AND y + dy BETWEEN 0 AND 9)"""
 
 
-def _weights(spark: SparkSession) -> DataFrame:
-    return grid.nodes(spark, C).select("id", (F.col("id") * 37 % 101 / 40).alias("importance"))
-
-
-@plan(f"""{_CAND}, w AS (SELECT src, dst, k, ((dst * 37) % 101) / 40 AS i FROM cand)
+@plan(f"""{_CAND}, w AS (SELECT src, dst, k, importance AS i FROM cand JOIN imp ON imp.id = dst)
 SELECT src, dst, i AS importance FROM w QUALIFY row_number() OVER (PARTITION BY src ORDER BY i DESC, k) = 1""")
 def best_candidate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evolve.best_candidate(_weights(spark), spark, C)
+    return evolve.best_candidate(fx.importance(spark, sf_dir), spark, C)
 
 
-@plan("SELECT id, ((id * 37) % 101) / 40 AS importance, least(greatest(((id * 37) % 101) / 40 - 0.5, 0), 1)::DOUBLE AS heat FROM node")
+@plan("SELECT id, importance, least(greatest(importance - 0.5, 0), 1)::DOUBLE AS heat FROM imp")
 def importance_heat(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _weights(spark).withColumn("shifted", F.col("importance") - 0.5)
+    rows = fx.importance(spark, sf_dir).withColumn("shifted", F.col("importance") - 0.5)
     return evolve.importance_heat(rows, "shifted").drop("shifted")
 
 
@@ -42,12 +38,13 @@ def mutable_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan(
-    """WITH s AS (SELECT CAST(r AS INT) AS run_id, CAST(g AS INT) AS generation, ((g * 31 + i * 17 + r * 11) % 97) / 7 AS total FROM range(5) AS c(r), range(40) AS a(g), range(20) AS b(i)),
+    """WITH s AS (SELECT CAST(user_id % 16 AS INT) AS run_id, CAST(dayofyear(ts) AS INT) AS generation, value AS total FROM events),
 b AS (SELECT run_id, generation, min(total) AS best FROM s GROUP BY run_id, generation) SELECT run_id, generation, best, min(best) OVER (PARTITION BY run_id ORDER BY generation) AS best_so_far FROM b""",
     prefix="",
 )
 def fitness_history(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scores = spark.range(4000).selectExpr("CAST(id div 800 AS INT) AS run_id", "CAST(id div 20 % 40 AS INT) AS generation", "((id div 20 % 40) * 31 + (id % 20) * 17 + (id div 800) * 11) % 97 / 7 AS total")
+    """Events as individuals: sixteen runs of users, in which a day is a generation."""
+    scores = parquet(spark, sf_dir, "events").selectExpr("CAST(user_id % 16 AS INT) AS run_id", "CAST(dayofyear(ts) AS INT) AS generation", "value AS total")
     return evolve.history(scores, ["run_id"])
 
 
@@ -82,12 +79,14 @@ def objective_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan(
-    """WITH t AS (SELECT CAST(r AS INT) AS run_id, CAST(i AS INT) AS iteration, 1000 / (i + r + 1) AS cost FROM range(4) AS a(r), range(501) AS b(i)),
+    """WITH t AS (SELECT CAST(user_id % 4 AS INT) AS run_id, CAST(row_number() OVER (PARTITION BY user_id % 4 ORDER BY event_id) - 1 AS INT) AS iteration, value AS cost FROM events),
 g AS (SELECT *, lag(cost, 100) OVER (PARTITION BY run_id ORDER BY iteration) - cost AS gain FROM t) SELECT run_id, round(avg(gain), 9) AS rate FROM g WHERE iteration % 100 = 0 AND gain IS NOT NULL GROUP BY run_id""",
     prefix="",
 )
 def convergence_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
-    trace = spark.range(4 * 501).selectExpr("CAST(id div 501 AS INT) AS run_id", "CAST(id % 501 AS INT) AS iteration").withColumn("cost", 1000 / (F.col("iteration") + F.col("run_id") + 1))
+    """Events as iterations: four runs of users, in the order of their events."""
+    rows = parquet(spark, sf_dir, "events").selectExpr("CAST(user_id % 4 AS INT) AS run_id", "event_id", "value AS cost")
+    trace = rows.withColumn("iteration", (F.row_number().over(Window.partitionBy("run_id").orderBy("event_id")) - 1).cast("int"))
     return evolve.convergence_rate(trace).withColumn("rate", F.round("rate", 9))
 
 
@@ -138,18 +137,18 @@ def sa_sweep(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan()
 def genetic_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = paths.region_pairs(fx.groups(spark, sf_dir).where("step BETWEEN 2 AND 23"), 0, 4)
-    return evolve.genetic_search(spark, pairs, C, 6, 2)
+    return evolve.genetic_search(spark, fx.population(spark, sf_dir, 6), pairs, C, 6, 2)
 
 
 @plan()
 def greedy_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evolve.greedy_fill(evolve.population(spark, C, 4).where("src % 3 = 0"), spark, C)
+    return evolve.greedy_fill(fx.population(spark, sf_dir, 4).where("src % 3 = 0"), spark, C)
 
 
 @plan()
 def anneal_topologies(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = paths.region_pairs(fx.groups(spark, sf_dir).where("step BETWEEN 2 AND 23"), 0, 4)
-    return evolve.anneal_topologies(spark, pairs, C, 4, 3)
+    return evolve.anneal_topologies(spark, fx.population(spark, sf_dir, 4), pairs, C, 3)
 
 
 _WORLD = """WITH c AS (SELECT CAST(r // 4 AS INT) AS i, CAST(r % 4 AS INT) AS j FROM range(16) AS q(r)),

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from skylattice.operators import fill, grid, links, paths, search, sequences
+from skylattice.operators import fill, links, paths, search, sequences
 from skylattice.plans import fixtures as fx
 from skylattice.plans import link_plans
 from skylattice.plans.registry import plan
@@ -112,8 +112,7 @@ POPULATION, GENERATIONS = 200, 3
 def searched(spark: SparkSession, sf_dir: str, size: int, generations: int) -> tuple[DataFrame, DataFrame, list[int]]:
     members = written(fx.groups(spark, sf_dir).where("gid IN (0, 4)"))
     pairs = paths.region_pairs(members, 0, 4).where("step >= 2")
-    weights = grid.nodes(spark, C).select("id", (F.col("id") * 37 % 101 / 40).alias("importance"))
-    return search.search_sequences(spark, grown(spark, sf_dir, size), size, pairs, weights, sequences.region_ends(members, C), C, SETUP, T, generations)
+    return search.search_sequences(spark, grown(spark, sf_dir, size), size, pairs, fx.importance(spark, sf_dir), sequences.region_ends(members, C), C, SETUP, T, generations)
 
 
 @plan()

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.functions.grid import SMALL
-from skylattice.operators import grid, visibility
+from skylattice.functions.grid import SMALL, plane, slot
+from skylattice.operators import evolve, grid, visibility
 from skylattice.sources.tables import STATION_GROUPS, STATION_REGIONS, parquet, station_dimension, visibility_from_events
 
 C = SMALL
@@ -57,3 +57,26 @@ def topology(spark: SparkSession, sf_dir: str, members: DataFrame | None = None)
     across = links(spark, sf_dir, members)
     rings = _offsets(spark, sf_dir, members).select("step").crossJoin(F.broadcast(grid.ring_edges(spark, C)))  # the constellation's rings at every step
     return grid.bidirectional(across.unionByName(rings.select("step", "src", "dst")))
+
+
+def seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``src, seen``: how many pairs of a step and a station see each satellite."""
+    found = visibility_from_events(parquet(spark, sf_dir, "events"), C)
+    return found.groupBy(F.col("sat_id").alias("src")).agg(F.count("*").alias("seen"))
+
+
+def population(spark: SparkSession, sf_dir: str, size: int) -> DataFrame:
+    """Static individuals, whose choices depend on how often satellites are seen."""
+    return evolve.population(spark, C, size, seen(spark, sf_dir))
+
+
+def importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``id, importance`` of every satellite: the more often it is seen the greater."""
+    often = seen(spark, sf_dir).select(F.col("src").alias("id"), "seen")
+    return grid.nodes(spark, C).join(often, "id", "left").select("id", (F.coalesce("seen", F.lit(0)) / 40).alias("importance"))
+
+
+def seen_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``step, id, x, y`` of the satellites that any group sees at each step."""
+    ids = groups(spark, sf_dir).select("step", F.col("sat_id").alias("id")).distinct()
+    return ids.withColumns({"x": plane("id", C), "y": slot("id", C)})

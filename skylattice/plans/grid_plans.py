@@ -29,9 +29,10 @@ def grid_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.grid_nodes(spark, C, 0, fx.STEPS)
 
 
-@plan("SELECT id, x, y, CAST(x * 10 + y AS INT) AS back FROM node")
+@plan("SELECT step, id, x, y, CAST(x * 10 + y AS INT) AS back FROM sn")
 def node_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.nodes(spark, C).withColumn("back", node_id("x", "y", C))
+    """Of the satellites that are seen at each step."""
+    return fx.seen_nodes(spark, sf_dir).withColumn("back", node_id("x", "y", C))
 
 
 @plan("SELECT step, count(DISTINCT sat_id) AS n_sats FROM gv GROUP BY step")
@@ -128,9 +129,9 @@ def rect_membership(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.membership(points, spark.sql(f"SELECT * FROM {_SWAPPED}"), C)
 
 
-@plan(f", {_CELLS} SELECT node.id, x, y, coalesce(min(gid), -1) AS region_id FROM node LEFT JOIN cells ON cells.id = node.id GROUP BY node.id, x, y")
+@plan(f", {_CELLS} SELECT step, sn.id, x, y, coalesce(min(gid), -1) AS region_id FROM sn LEFT JOIN cells ON cells.id = sn.id GROUP BY step, sn.id, x, y")
 def label_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.labelled(grid.nodes(spark, C), spark.sql(f"SELECT * FROM {_SWAPPED}"), C)
+    return grid.labelled(fx.seen_nodes(spark, sf_dir), spark.sql(f"SELECT * FROM {_SWAPPED}"), C)
 
 
 @plan(""", p AS (SELECT DISTINCT step, gid, CAST(sat_id // 10 AS INT) AS x FROM gv),
@@ -146,17 +147,20 @@ def block_extent(spark: SparkSession, sf_dir: str) -> DataFrame:
     return visibility.block_extent(fx.groups(spark, sf_dir), C)
 
 
-@plan("SELECT src, dst FROM ring")
+@plan("SELECT step, src, dst FROM sn JOIN ring ON src = id")
 def intra_plane_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.ring_edges(spark, C)
+    """Ring links of the satellites that are seen at each step."""
+    return grid.ring_edges_of(fx.seen_nodes(spark, sf_dir), ["step"], C)
 
 
+_EDGES = "topo AS (SELECT step, src, dst FROM link UNION SELECT step, dst, src FROM link UNION SELECT step, src, dst FROM off, ring UNION SELECT step, dst, src FROM off, ring)"
 _GRID = "grid AS (SELECT src, dst FROM ring WHERE src < 90 UNION ALL SELECT id, CAST(id + 10 AS INT) FROM node WHERE x < 9)"
 
 
-@plan(f", {_GRID} SELECT src, dst FROM grid")
+@plan(f", {_GRID} SELECT step, src, dst FROM sn JOIN grid ON src = id")
 def grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.grid_edges(spark, C)
+    """Ring links and links to the next plane of the satellites that are seen at each step."""
+    return grid.grid_edges_of(fx.seen_nodes(spark, sf_dir), ["step"], C)
 
 
 @plan(
@@ -183,9 +187,10 @@ _CAND = """cand AS (SELECT id AS src, k, CAST((x + dx) * 10 + y + dy AS INT) AS
 WHERE x + dx < 10 AND y + dy BETWEEN 0 AND 9)"""
 
 
-@plan(f', {_CAND} SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY k) - 1 AS INT) AS "rank", dst FROM cand')
+@plan(f', {_CAND}, r AS (SELECT src, CAST(row_number() OVER (PARTITION BY src ORDER BY k) - 1 AS INT) AS "rank", dst FROM cand) SELECT step, src, "rank", dst FROM r JOIN sn ON id = src')
 def link_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.candidates(spark, C)
+    """Of the satellites that are seen at each step."""
+    return fx.seen_nodes(spark, sf_dir).select("step", F.col("id").alias("src")).join(grid.candidates(spark, C), "src").select("step", "src", "rank", "dst")
 
 
 @plan(f""", {_CAND},
@@ -198,48 +203,54 @@ def potential_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.potential_edges(fx.groups(spark, sf_dir).where("gid IN (0, 4)"), spark, C)
 
 
-@plan(f", {_GRID} SELECT src, dst FROM grid WHERE src // 10 <> dst // 10")
+@plan(f", {_EDGES} SELECT step, src, dst FROM topo WHERE src // 10 <> dst // 10")
 def inter_plane_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.inter_plane(grid.grid_edges(spark, C), C)
+    return grid.inter_plane(fx.topology(spark, sf_dir), C)
 
 
-@plan(f", {_GRID} SELECT src, dst FROM grid UNION SELECT dst, src FROM grid")
+@plan("SELECT step, src, dst FROM link UNION SELECT step, dst, src FROM link")
 def bidirectional_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.bidirectional(grid.grid_edges(spark, C))
+    return grid.bidirectional(fx.links(spark, sf_dir))
 
 
-_TOPO = "topo AS (SELECT step, src, dst FROM link UNION SELECT step, dst, src FROM link UNION SELECT step, src, dst FROM off, ring UNION SELECT step, dst, src FROM off, ring)"
 
 
-@plan(f", {_TOPO} SELECT step, src, dst FROM topo")
+@plan(f", {_EDGES} SELECT step, src, dst FROM topo")
 def all_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fx.topology(spark, sf_dir)
 
 
-@plan(f""", {_CAND} SELECT src, dst, src // 10 = dst // 10 AS intra, src % 10 = dst % 10 AND abs(src // 10 - dst // 10) > 1 AS curved
-FROM (SELECT src, dst FROM cand UNION ALL SELECT src, dst FROM ring)""")
+@plan(f""", {_CAND} SELECT step, src, dst, src // 10 = dst // 10 AS intra, src % 10 = dst % 10 AND abs(src // 10 - dst // 10) > 1 AS curved
+FROM (SELECT src, dst FROM cand UNION ALL SELECT src, dst FROM ring) JOIN sn ON id = src""")
 def classify_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.classified(grid.candidates(spark, C).select("src", "dst").unionByName(grid.ring_edges(spark, C)), C)
+    """Possible links of the satellites that are seen at each step."""
+    nodes = fx.seen_nodes(spark, sf_dir)
+    across = nodes.select("step", F.col("id").alias("src")).join(grid.candidates(spark, C), "src").select("step", "src", "dst")
+    return grid.classified(across.unionByName(grid.ring_edges_of(nodes, ["step"], C)), C)
 
 
-@plan("SELECT CAST(l AS INT) AS layer, id, CAST(id % 10 AS INT) AS px, CAST(id // 10 AS INT) AS py, CAST(l * 10 AS INT) AS pz FROM node, range(4) AS r(l)")
+@plan("SELECT step AS layer, id, y AS px, x AS py, CAST(step * 10 AS INT) AS pz FROM sn")
 def layer_coordinates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.layer_coordinates(spark, C, 4)
+    """A layer a step, with the satellites that are seen then."""
+    return grid.layer_coordinates_of(fx.seen_nodes(spark, sf_dir).withColumnRenamed("step", "layer"))
 
 
-_FLOW = "flow AS (SELECT src, dst, 1 AS cost, c AS cap FROM grid, (VALUES (100), (50)) AS v(c) WHERE c = 50 OR src // 10 = dst // 10)"
+_FLOW = "flow AS (SELECT step, src, dst, 1 AS cost, c AS cap FROM topo, (VALUES (100), (50)) AS v(c) WHERE c = 50 OR src // 10 = dst // 10)"
 
 
-@plan(f", {_GRID}, {_FLOW} SELECT src, dst, cost, cap FROM flow")
+@plan(f", {_EDGES}, {_FLOW} SELECT step, src, dst, cost, cap FROM flow")
 def flow_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.flow_edges(grid.grid_edges(spark, C), C)
+    return grid.flow_edges(fx.topology(spark, sf_dir), C, keep=["step"])
 
 
-@plan(f""", {_GRID}, {_FLOW} SELECT src, dst, cost, cap FROM flow UNION ALL SELECT -1, n, 0, d FROM (VALUES (0, 30), (5, 20)) AS s(n, d)
-UNION ALL SELECT n, -2, 0, 1000000000 FROM (VALUES (93), (97)) AS t(n)""")
+@plan(f""", {_EDGES}, {_FLOW} SELECT step, src, dst, cost, cap FROM flow UNION ALL SELECT step, -1, sat_id, 0, 10 FROM gv WHERE gid = 0
+UNION ALL SELECT step, sat_id, -2, 0, 1000000000 FROM gv WHERE gid = 4""")
 def super_node_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    flow = grid.flow_edges(grid.grid_edges(spark, C), C)
-    return grid.with_super_nodes(flow, spark.sql("SELECT * FROM VALUES (0, 30), (5, 20) AS s(node, demand)"), spark.sql("SELECT * FROM VALUES 93, 97 AS t(node)"))
+    """From the satellites of group 0 to those of group 4, at each step."""
+    members = fx.groups(spark, sf_dir)
+    sources = members.where("gid = 0").select("step", F.col("sat_id").alias("node"), F.lit(10).alias("demand"))
+    flow = grid.flow_edges(fx.topology(spark, sf_dir), C, keep=["step"])
+    return grid.with_super_nodes(flow, sources, members.where("gid = 4").select("step", F.col("sat_id").alias("node")), keep=["step"])
 
 
 _SPAN = "span AS (SELECT gid, step, CAST(min(sat_id // 10) AS INT) AS lo, CAST(max(sat_id // 10) AS INT) AS hi, row_number() OVER (PARTITION BY gid ORDER BY step) AS k FROM gv GROUP BY gid, step)"

@@ -9,6 +9,7 @@ from skylattice.operators import evolve, flow, grid, paths
 from skylattice.plans import fixtures as fx
 from skylattice.plans.registry import plan
 from skylattice.sources.shared import written
+from skylattice.sources.tables import parquet, visibility_from_events
 
 C = fx.C
 #: Fixed example: a graph of eleven nodes as (from, to, cost, capacity).
@@ -16,7 +17,6 @@ FLOW_GRAPH = (
     (0, 1, 18, 60), (0, 2, 19, 60), (0, 3, 17, 60), (1, 4, 16, 40), (1, 5, 14, 30), (2, 5, 16, 50), (2, 6, 17, 30), (3, 6, 19, 40), (4, 7, 19, 60), (5, 4, 15, 20),
     (5, 7, 16, 30), (5, 8, 15, 40), (6, 5, 15, 20), (6, 9, 13, 40), (7, 10, 18, 60), (7, 8, 17, 30), (8, 10, 19, 50), (8, 9, 14, 30), (9, 10, 17, 50),
 )
-_ROWS = ", ".join(map(str, FLOW_GRAPH))
 
 _TOPO = """, topo AS (SELECT step, src, dst FROM link UNION SELECT step, dst, src FROM link UNION SELECT step, src, dst FROM off, ring UNION SELECT step, dst, src FROM off, ring),
 pairs AS (SELECT a.step, a.sat_id AS src, b.sat_id AS dst FROM gv AS a JOIN gv AS b ON b.step = a.step AND a.gid = 0 AND b.gid = 4),
@@ -76,7 +76,7 @@ def hop_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _CAND = """, cand AS (SELECT id AS src, CAST((x + dx) * 10 + y + dy AS INT) AS dst FROM node, (VALUES (1, -1), (1, 0), (1, 1), (2, 0)) AS v(dx, dy) WHERE x + dx < 10 AND y + dy BETWEEN 0 AND 9),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY src ORDER BY dst) - 1 AS k, count(*) OVER (PARTITION BY src) AS n FROM cand),
-want AS (SELECT CAST(i AS INT) AS ind_id, src, dst FROM ranked, range(6) AS r(i) WHERE k = (7919 * src + 104729 * i) % n),
+want AS (SELECT CAST(i AS INT) AS ind_id, src, dst FROM ranked LEFT JOIN seen ON sat_id = src CROSS JOIN range(6) AS r(i) WHERE k = (7919 * src + 104729 * i + coalesce(often, 0)) % n),
 pop AS (SELECT ind_id, CAST(min(src) AS INT) AS src, dst FROM want GROUP BY ind_id, dst)"""
 _SCORES = f"""{_CAND}, pedge AS (SELECT ind_id, src, dst FROM pop UNION SELECT ind_id, dst, src FROM pop UNION SELECT CAST(i AS INT), src, dst FROM ring, range(6) AS r(i)),
 pairs AS (SELECT a.step, a.sat_id AS src, b.sat_id AS dst FROM gv AS a JOIN gv AS b ON b.step = a.step AND a.gid = 0 AND b.gid = 4),
@@ -87,7 +87,7 @@ fit AS (SELECT ind_id, sum(score) AS total FROM score WHERE step BETWEEN 2 AND 2
 
 
 def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evolve.scored(evolve.population(spark, C, 6), _pairs(spark, sf_dir), spark, C)
+    return evolve.scored(fx.population(spark, sf_dir, 6), _pairs(spark, sf_dir), spark, C)
 
 
 def fitness(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -150,20 +150,17 @@ def replenish_random_best(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(f"{_CAND} SELECT ind_id, src, dst FROM pop")
 def chromosome_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evolve.from_array(evolve.to_array(evolve.population(spark, C, 6), C.size)).select("ind_id", "src", "dst")
+    return evolve.from_array(evolve.to_array(fx.population(spark, sf_dir, 6), C.size)).select("ind_id", "src", "dst")
 
 
 @plan(f"{_CAND} SELECT ind_id, dst, count(*) AS n FROM want GROUP BY ind_id, dst HAVING count(*) > 1")
 def duplicate_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    targets = grid.candidates(spark, C).groupBy("src").agg(F.sort_array(F.collect_list("dst")).alias("to"))
-    every = targets.select("src", "to", F.explode(F.sequence(F.lit(0), F.lit(5))).alias("ind_id"))
-    wanted = every.select("ind_id", "src", F.get("to", F.pmod(F.lit(7919) * F.col("src") + F.lit(104729) * F.col("ind_id"), F.size("to"))).alias("dst"))
-    return evolve.duplicate_targets(wanted)
+    return evolve.duplicate_targets(evolve.wishes(spark, C, 6, fx.seen(spark, sf_dir)))
 
 
 @plan(f"{_CAND} SELECT CAST(ind_id AS BIGINT) AS topo, src, dst FROM pop UNION SELECT ind_id, dst, src FROM pop UNION SELECT i, src, dst FROM ring, range(6) AS r(i)")
 def decode_adjacency(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return evolve.topology_of(evolve.population(spark, C, 6), spark, C)
+    return evolve.topology_of(fx.population(spark, sf_dir, 6), spark, C)
 
 
 @plan(f"""{_CAND}, mates AS (SELECT CAST(i AS INT) AS child, CAST(i AS INT) AS a, CAST((i + 1) % 6 AS INT) AS b, CAST((3 * i) % 9 AS INT) AS point FROM range(6) AS r(i)),
@@ -171,7 +168,7 @@ u AS (SELECT child, src, dst, 0 AS side FROM mates JOIN pop ON ind_id = a AND sr
 SELECT child AS ind_id, src, dst FROM u QUALIFY row_number() OVER (PARTITION BY child, dst ORDER BY side, src) = 1""")
 def crossover_children(spark: SparkSession, sf_dir: str) -> DataFrame:
     mates = spark.range(6).selectExpr("CAST(id AS INT) AS child", "CAST(id AS INT) AS a", "CAST((id + 1) % 6 AS INT) AS b", "CAST(3 * id % 9 AS INT) AS point")
-    return evolve.crossover(mates, evolve.population(spark, C, 6), C)
+    return evolve.crossover(mates, fx.population(spark, sf_dir, 6), C)
 
 
 @plan(f"""{_CAND}, slot AS (SELECT id AS src, CAST((x + dx) * 10 + y + dy AS INT) AS dst, row_number() OVER (PARTITION BY id ORDER BY k) - 1 AS r
@@ -181,34 +178,60 @@ others AS (SELECT * FROM pop WHERE (ind_id, src) NOT IN (SELECT (ind_id, src) FR
 fresh AS (SELECT p.ind_id, p.src, s.dst FROM picks AS p JOIN slot AS s ON s.src = p.src AND s.r = p.r WHERE (p.ind_id, s.dst) NOT IN (SELECT (ind_id, dst) FROM others))
 SELECT ind_id, src, dst FROM others UNION ALL SELECT ind_id, min(src), dst FROM fresh GROUP BY ind_id, dst""")
 def mutated_individuals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pop = evolve.population(spark, C, 6)
+    pop = fx.population(spark, sf_dir, 6)
     picks = pop.where((F.col("src") * 7 + F.col("ind_id")) % 13 == 0).select("ind_id", "src", ((F.col("src") + F.col("ind_id")) % 4).alias("rank"))
     return evolve.mutate(pop, picks, spark, C)
 
 
-# Twelve graphs: the example with other costs in each.
-_GRAPHS = f"WITH RECURSIVE one(u, v, cost, cap) AS (VALUES {_ROWS}), e AS (SELECT g, u, v, cost + (u * g + v) % 4 AS cost, cap FROM one, range(12) AS r(g))"
+# A graph a step: every possible right link, which costs more the more stations see its target, from the first satellite of group 0 to the last one of group 4.
+_GRAPHS = """, cand AS (SELECT id AS u, CAST((x + dx) * 10 + y + dy AS INT) AS v FROM node, (VALUES (1, -1), (1, 0), (1, 1), (2, 0)) AS c(dx, dy) WHERE x + dx < 10 AND y + dy BETWEEN 0 AND 9),
+load_ AS (SELECT step, sat_id, count(*) AS n FROM vis GROUP BY step, sat_id),
+ends AS (SELECT a.step, min(a.sat_id) AS s, max(b.sat_id) AS t FROM gv AS a JOIN gv AS b ON b.step = a.step AND a.gid = 0 AND b.gid = 4 GROUP BY a.step),
+e AS (SELECT ends.step AS g, u, v, CAST(1 + coalesce(n, 0) AS INT) AS cost, 20 + 10 * (u % 3) AS cap FROM cand CROSS JOIN ends LEFT JOIN load_ ON load_.step = ends.step AND sat_id = v),
+p AS (SELECT step AS g, s AS node, CAST(0 AS BIGINT) AS cost, [s] AS way FROM ends
+  UNION ALL SELECT p.g, e.v, p.cost + e.cost, list_append(way, e.v) FROM p JOIN e ON e.g = p.g AND e.u = p.node JOIN ends ON ends.step = p.g AND e.v <= ends.t WHERE p.node <> ends.t),
+done AS (SELECT g, s, t, p.cost, way FROM p JOIN ends ON ends.step = p.g AND p.node = ends.t)"""
 
 
-def _graphs(spark: SparkSession) -> DataFrame:
-    return spark.sql(f"SELECT g.id AS graph, u, v, CAST(cost + (u * g.id + v) % 4 AS INT) AS cost, cap FROM VALUES {_ROWS} AS t(u, v, cost, cap), range(12) AS g")
+def _step_graphs(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """``graph, u, v, cost, cap`` and ``graph, source, sink`` of every step."""
+    members = written(fx.groups(spark, sf_dir))
+    first = members.where("gid = 0").groupBy("step").agg(F.min("sat_id").alias("source"))
+    ends = first.join(members.where("gid = 4").groupBy("step").agg(F.max("sat_id").alias("sink")), "step")
+    near = grid.candidates(spark, C).groupBy("src").agg(F.collect_list("dst").alias("to"))
+    every = ends.select("step", F.explode(F.sequence(F.lit(0), F.lit(C.size - 1))).alias("src")).join(near, "src").select("step", F.col("src").alias("u"), F.explode("to").alias("v"))
+    seen = visibility_from_events(parquet(spark, sf_dir, "events"), C).groupBy("step", F.col("sat_id").alias("v")).agg(F.count("*").alias("n"))
+    priced = every.join(seen, ["step", "v"], "left").select(F.col("step").cast("long").alias("graph"), "u", "v", (F.coalesce("n", F.lit(0)) + 1).cast("int").alias("cost"), (F.col("u") % 3 * 10 + 20).alias("cap"))
+    return priced, ends.select(F.col("step").cast("long").alias("graph"), "source", "sink")
 
 
-def _demands(spark: SparkSession, demand: int) -> DataFrame:
-    return spark.range(12).select(F.col("id").alias("graph"), F.lit(0).alias("source"), F.lit(10).alias("sink"), F.lit(demand).alias("demand"))
+@plan(f"""{_GRAPHS} SELECT CAST(g AS BIGINT) AS graph, s AS src, t AS dst, CAST(row_number() OVER (PARTITION BY g ORDER BY cost, way) AS INT) AS "rank", cost, array_to_string(way, '-') AS path FROM done
+QUALIFY row_number() OVER (PARTITION BY g ORDER BY cost, way) <= 6""")
+def k_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graphs, ends = _step_graphs(spark, sf_dir)
+    return paths.k_shortest_paths(graphs.drop("cap"), ends.toDF("graph", "src", "dst"), 6)
 
 
-@plan(
-    f"""{_GRAPHS},
-p AS (SELECT g, s AS src, s AS node, CAST(0 AS BIGINT) AS cost, [s] AS way FROM (VALUES (0), (1)) AS t(s), range(12) AS r(g)
-UNION ALL SELECT p.g, src, v, p.cost + e.cost, list_append(way, v) FROM p JOIN e ON e.g = p.g AND e.u = p.node WHERE NOT list_contains(way, v)),
-r AS (SELECT g, src, cost, way, row_number() OVER (PARTITION BY g, src ORDER BY cost, way) AS k FROM p WHERE node = 10)
-SELECT g AS graph, src, 10 AS dst, CAST(k AS INT) AS "rank", cost, array_to_string(way, '-') AS path FROM r WHERE k <= 6""",
-    prefix="",
-)
-def k_shortest_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = spark.range(24).selectExpr("id div 2 AS graph", "CAST(id % 2 AS INT) AS src", "10 AS dst")
-    return paths.k_shortest_paths(_graphs(spark), pairs, 6)
+@plan()
+def min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graphs, ends = _step_graphs(spark, sf_dir)
+    return flow.min_cost_flow(graphs, ends.withColumn("demand", F.lit(50)))
+
+
+# No edge takes less than 20, so the cheapest way carries that much alone.
+_LEAST = f"{_GRAPHS}, least AS (SELECT ends.step AS g, min(cost) AS cost FROM ends LEFT JOIN done ON done.g = ends.step GROUP BY ends.step)"
+
+
+@plan(f"{_LEAST} SELECT CAST(g AS BIGINT) AS graph, CASE WHEN cost IS NULL THEN 'Infeasible' ELSE 'Optimal' END AS status, CAST(coalesce(cost, 0) * 20 AS BIGINT) AS total_cost FROM least")
+def min_cost_flow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graphs, ends = _step_graphs(spark, sf_dir)
+    return flow.flow_summary(flow.min_cost_flow(graphs, ends.withColumn("demand", F.lit(20))))
+
+
+@plan(f"{_LEAST} SELECT CAST(g AS BIGINT) AS graph, CASE WHEN cost IS NULL THEN 'Infeasible' ELSE 'Optimal' END AS status, CAST(coalesce(cost, 0) AS BIGINT) AS total_charge FROM least")
+def fixed_charge_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    graphs, ends = _step_graphs(spark, sf_dir)
+    return flow.fixed_charge_flow(graphs, ends.withColumn("demand", F.lit(20))).select("graph", "status", "total_charge")
 
 
 # The first way by its nodes: each step goes to the smallest neighbour that is one hop nearer to the target.
@@ -229,27 +252,6 @@ def betweenness(spark: SparkSession, sf_dir: str) -> DataFrame:
     return paths.betweenness(graphs, ends.distinct())
 
 
-@plan()
-def min_cost_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.min_cost_flow(_graphs(spark), _demands(spark, 30))
-
-
-# No edge takes less than 20, so the cheapest way carries that much alone.
-_WAYS = f"""{_GRAPHS}, p AS (SELECT g, 0 AS node, CAST(0 AS BIGINT) AS cost, [0] AS way FROM range(12) AS r(g)
-UNION ALL SELECT p.g, v, p.cost + e.cost, list_append(way, v) FROM p JOIN e ON e.g = p.g AND e.u = p.node WHERE NOT list_contains(way, v)),
-least AS (SELECT g, min(cost) AS cost FROM p WHERE node = 10 GROUP BY g)"""
-
-
-@plan(f"{_WAYS} SELECT g AS graph, 'Optimal' AS status, CAST(cost * 20 AS BIGINT) AS total_cost FROM least", prefix="")
-def min_cost_flow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.flow_summary(flow.min_cost_flow(_graphs(spark), _demands(spark, 20)))
-
-
-@plan(f"{_WAYS} SELECT g AS graph, 'Optimal' AS status, cost AS total_charge FROM least", prefix="")
-def fixed_charge_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return flow.fixed_charge_flow(_graphs(spark), _demands(spark, 20)).select("graph", "status", "total_charge")
-
-
 def _step_flows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     """A graph a step with super nodes, and what goes from group 0 to group 4 over it."""
     members = written(fx.groups(spark, sf_dir))

@@ -26,6 +26,9 @@ motif AS (SELECT DISTINCT CAST(x * 10 + y AS INT) AS src, CAST(nx * 10 + ny AS I
           FROM (SELECT node.x, node.y, r.*, node.x + 1 AS nx, CASE WHEN option = 0 THEN node.y ELSE (node.y + 9) % 10 END AS ny
                 FROM node, rect AS r WHERE node.x BETWEEN xmin AND xmax AND node.y BETWEEN ymin AND ymax) AS q
           WHERE nx BETWEEN xmin AND xmax AND ny BETWEEN ymin AND ymax),
+seen AS (SELECT sat_id, count(*) AS often FROM vis GROUP BY sat_id),
+imp AS (SELECT id, coalesce(often, 0) / 40 AS importance FROM node LEFT JOIN seen ON sat_id = id),
+sn AS (SELECT DISTINCT step, sat_id AS id, CAST(sat_id // 10 AS INT) AS x, CAST(sat_id % 10 AS INT) AS y FROM gv),
 pick AS (SELECT src, max(dst) AS dst FROM motif GROUP BY src),
 link AS (SELECT step, CAST(src // 10 * 10 + (src % 10 + offs + step // 3 + 1) % 10 AS INT) AS src, CAST(dst // 10 * 10 + (dst % 10 + offs + step // 3 + 1) % 10 AS INT) AS dst
          FROM pick, off)
