@@ -63,18 +63,20 @@ def cooling_schedules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @plan(
-    """SELECT CAST(a AS INT) AS cur, CAST(b AS INT) AS new, CAST(t AS INT) AS temperature, CASE WHEN b < a THEN 1.0::DOUBLE ELSE round(exp(-(b - a) / (t + 1e-8)), 9) END AS probability
-FROM range(5) AS x(a), range(8) AS y(b), range(1, 6) AS z(t)""",
+    """WITH c AS (SELECT event_id, value AS cur, value * (1 + user_id % 5) / 3 AS new, CAST(1 + event_id % 50 AS INT) AS temperature FROM events)
+SELECT event_id, cur, new, temperature, CASE WHEN new < cur THEN 1.0::DOUBLE ELSE round(exp(-(new - cur) / (temperature + 1e-8)), 9) END AS probability FROM c""",
     prefix="",
 )
 def acceptance_probability(spark: SparkSession, sf_dir: str) -> DataFrame:
-    grid_ = spark.range(200).selectExpr("CAST(id div 40 AS INT) AS cur", "CAST(id div 5 % 8 AS INT) AS new", "CAST(id % 5 + 1 AS INT) AS temperature")
-    return grid_.withColumn("probability", F.round(annealing.acceptance(F.col("cur"), F.col("new"), F.col("temperature")), 9))
+    """An event's value is the present cost; another one is tried at a temperature."""
+    tried = parquet(spark, sf_dir, "events").selectExpr("event_id", "value AS cur", "value * (1 + user_id % 5) / 3 AS new", "CAST(1 + event_id % 50 AS INT) AS temperature")
+    return tried.withColumn("probability", F.round(annealing.acceptance(F.col("cur"), F.col("new"), F.col("temperature")), 9))
 
 
-@plan("SELECT CAST(i AS INT) AS i, i / 100 AS x, round(sin(i / 100) + sin(10 * (i / 100) / 3), 9) AS value FROM range(-100, 800) AS r(i)", prefix="")
+@plan("SELECT event_id, value AS x, round(sin(value) + sin(10 * value / 3), 9) AS value FROM events", prefix="")
 def objective_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    points = spark.range(-100, 800).select(F.col("id").cast("int").alias("i"), (F.col("id") / 100).alias("x"))
+    """The objective at every event's value."""
+    points = parquet(spark, sf_dir, "events").select("event_id", F.col("value").alias("x"))
     return points.withColumn("value", F.round(annealing.objective(F.col("x")), 9))
 
 

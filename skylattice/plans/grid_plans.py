@@ -118,9 +118,10 @@ _CELLS = """cells AS (SELECT DISTINCT gid, id FROM node, (VALUES (4, 9, 5, 1, 8)
 WHERE x BETWEEN least(xmin, xmax) AND greatest(xmin, xmax) AND y BETWEEN least(ymin, ymax) AND greatest(ymin, ymax))"""
 
 
-@plan(f", {_CELLS} SELECT gid, id FROM cells")
+@plan(f", {_BOXES} SELECT DISTINCT gid, id FROM node JOIN boxes ON xmin >= 0 AND x BETWEEN xmin AND xmax AND y BETWEEN ymin AND ymax")
 def rect_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.rect_nodes(spark.sql(f"SELECT * FROM {_SWAPPED}"), C)
+    """The satellites in the groups' boxes."""
+    return grid.rect_nodes(_boxes(spark, sf_dir).where("xmin >= 0").select("gid", "xmin", "xmax", "ymin", "ymax"), C)
 
 
 @plan(f", {_CELLS} SELECT step, sat_id AS id, min(cells.gid) AS gid FROM gv JOIN cells ON cells.id = sat_id GROUP BY step, sat_id")
@@ -277,6 +278,7 @@ def potential_grid_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     return grid.potential_grid(fx.groups(spark, sf_dir), spark, C)
 
 
-@plan("SELECT gid, xmin - 0.5::DOUBLE AS xmin, xmax + 0.5::DOUBLE AS xmax, ymin - 0.5::DOUBLE AS ymin, ymax + 0.5::DOUBLE AS ymax FROM rect")
+@plan(f", {_BOXES} SELECT a AS start_step, b AS end_step, gid, xmin - 0.5::DOUBLE AS xmin, xmax + 0.5::DOUBLE AS xmax, ymin - 0.5::DOUBLE AS ymin, ymax + 0.5::DOUBLE AS ymax FROM boxes")
 def inflated_rects(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grid.inflated(fx.rects(spark).drop("option"), 0.5)
+    """The groups' boxes, drawn larger."""
+    return grid.inflated(_boxes(spark, sf_dir), 0.5)
