@@ -7,7 +7,9 @@ and the others are revisits of it.
 All of it is DataFrame operations: one shuffle of the payloads to find equal ones (copies meet on the map side
 already). Payloads and the headers of responses are then tables with the same buckets by digest, so they are joined
 without another shuffle, one row each; revisits carry no payload and find their response by its record id in a join of
-small rows, which adaptive execution can split.
+small rows, which adaptive execution can split. Pages find the response of their payload by digest. Payloads of more
+than one in ``HEAVY`` of the pages, which are fewer than ``HEAVY``, are broadcast for that, so no task gets all copies of
+an empty page or an error page. Buckets are as many as the payloads' bytes ask for.
 """
 
 from __future__ import annotations
@@ -22,6 +24,8 @@ from .common import stored as stored_table
 #: Fixed values of the format: RFC 4648's base-32 letters against the digits of conv().
 BASE32, DIGITS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567", "0123456789ABCDEFGHIJKLMNOPQRSTUV"
 DATE = "2024-01-01T00:00:00Z"
+#: A payload is heavy if more than this part of the pages have it. Bytes of payloads in a bucket, on average.
+HEAVY, BUCKET_BYTES = 1024, 256 << 20
 NEWLINE = "\r\n"
 
 
@@ -68,16 +72,22 @@ def write_archive(pages: DataFrame, path: str, *, key: str = "page_id", url: str
     own, with ids of their own. An empty table gives an empty archive; other columns are ignored.
     """
     spark = pages.sparkSession
-    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))  # as the shuffle by digest deals them, so a bucket is one file
-    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/layout")
     payload = F.coalesce(F.col(body).cast("string"), F.lit("")).cast("binary")
     rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).cast("string").alias("url"), payload.alias("payload")).withColumn("sha256", F.sha2("payload", 256))
+    facts = rows.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1"))
+    # the copies of a repeated row are numbered
+    facts = stored_table(facts.groupBy(*facts.columns).agg(F.count("*").alias("copies")))
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    total, n_bytes = facts.agg(F.count("*"), F.sum(F.col("n"))).first()
+    buckets = dealt * max(1, -(-(n_bytes or 0) // (dealt * BUCKET_BYTES)))  # a multiple of the tasks that the shuffle by digest deals to, so a bucket is one file
+    spark.createDataFrame([(buckets,)], "buckets int").coalesce(1).write.mode("overwrite").json(f"{path}/layout")
     _write(rows.groupBy("sha256").agg(F.any_value("payload").alias("payload"), F.max(F.struct("page_id", "url")).alias("response")), path, "payloads", buckets)
 
     stored = _open(spark, path, "payloads", PAYLOADS).select("sha256", "response")
-    facts = rows.select("page_id", "url", "sha256", F.octet_length("payload").cast("long").alias("n"), base32_sha1(F.col("payload")).alias("sha1"))
-    # the copies of a repeated row are numbered
-    facts = facts.groupBy(*facts.columns).agg(F.count("*").alias("copies")).withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
+    heavy = [r.sha256 for r in facts.groupBy("sha256").count().where(F.col("count") * HEAVY > total).collect()]
+    many = F.col("sha256").isin(heavy)
+    found = facts.where(~many).join(stored.where(~many), "sha256").unionByName(facts.where(many).join(F.broadcast(stored.where(many)), "sha256")) if heavy else facts.join(stored, "sha256")
+    found = found.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
     known = F.col("response.page_id")
     revisit = (F.col("n") >= least_bytes) & F.coalesce(F.col("page_id") != known, known.isNotNull())
     http = F.concat(F.lit(f"HTTP/1.1 200 OK{NEWLINE}Content-Type: text/html; charset=utf-8{NEWLINE}Content-Length: "), F.col("n"), F.lit(NEWLINE * 2))
@@ -107,7 +117,7 @@ def write_archive(pages: DataFrame, path: str, *, key: str = "page_id", url: str
         block.cast("string"),
         F.lit(NEWLINE * 2),
     )
-    records = facts.join(stored, "sha256").withColumns({"revisit": revisit, "http_header": http}).withColumn("warc_header", header)
+    records = found.withColumns({"revisit": revisit, "http_header": http}).withColumn("warc_header", header)
     records = stored_table(records.select("page_id", "sha256", "revisit", "warc_header", "http_header"))
     _write(records.where("NOT revisit").select("sha256", "page_id", "warc_header", "http_header").repartition(buckets, "sha256"), path, "responses", buckets)
     records.where("revisit").select("page_id", "sha256", "warc_header", "http_header").write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/revisits")

@@ -4,6 +4,7 @@ import re
 
 import pytest
 
+from skylattice.llm import warc_archive
 from skylattice.llm.warc_archive import PAYLOADS, _name, _write, read_records, record_digests, write_archive
 
 
@@ -81,3 +82,32 @@ def test_null_ids_and_ties(spark, tmp_path):
     write_archive(spark.createDataFrame(rows, "page_id long, url string, html string"), str(tmp_path / "w"))
     got = [(r.page_id, bytes(r.payload), r.record_type, r.refers_to) for r in read_records(spark, str(tmp_path / "w")).collect()]
     assert sorted(got, key=str) == sorted([(None, b"x", "response", None)] * 2 + [(None, b"y", "revisit", 3)] + [(3, b"y", "response", None)] * 3, key=str)
+
+
+def test_a_third_of_the_pages_are_one_payload(spark, tmp_path, monkeypatch):
+    """No task reads all pages of the hot payload, clashing columns do no harm, and large archives have more buckets."""
+    monkeypatch.setattr(warc_archive, "HEAVY", 8)
+    monkeypatch.setattr(warc_archive, "BUCKET_BYTES", 2000)
+    rows = [(i, f"http://h/{i}", "the same error page" if i % 3 == 0 else f"page {i} " * 5) for i in range(900)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(6).selectExpr("*", "'x' AS copies", "1 AS n", "'y' AS sha1", "2 AS response", "'z' AS revisit")
+    write_archive(pages, str(tmp_path / "w"))
+    got = sorted(map(tuple, record_digests(spark, str(tmp_path / "w")).collect()))
+    want = [(i, len(h), digest(h.encode()), "revisit" if i % 3 == 0 and i != 897 else "response", 897 if i % 3 == 0 and i != 897 else None) for i, _, h in rows]
+    assert got == sorted(want)
+    assert spark.read.json(str(tmp_path / "w/layout")).first().buckets == 4 * -(-sum(len(h) for _, _, h in rows) // 8000)
+
+
+def test_where_pages_find_their_response_heavy_payloads_are_broadcast(spark, tmp_path):
+    seen = []
+    stored = warc_archive.stored_table
+
+    def spy(df):
+        seen.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return stored(df)
+
+    warc_archive.stored_table = spy
+    try:
+        write_archive(spark.createDataFrame([(i, "u", "hot" if i % 3 else str(i)) for i in range(3000)], "page_id long, url string, html string"), str(tmp_path / "w"))
+    finally:
+        warc_archive.stored_table = stored
+    assert "strategy=broadcast" in seen[-1] and "Union" in seen[-1]
