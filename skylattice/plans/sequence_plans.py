@@ -22,8 +22,13 @@ seq AS (SELECT ind_id, src, dst, t_setup, CAST(t_setup + 2 AS INT) AS t_work, CA
 UNION ALL SELECT ind_id, src, dst, CAST(t_end + 1 + src % 3 AS INT), CAST(t_end + 3 + src % 3 AS INT), 23 FROM once WHERE t_end + 3 + src % 3 <= 23)"""
 
 
-def start(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
-    pop = fx.population(spark, sf_dir, size)
+def _start(spark: SparkSession, sf_dir: str, size: int = SIZE) -> DataFrame:
+    return start(spark, size, fx.population(spark, sf_dir, size))
+
+
+def start(spark: SparkSession, size: int = SIZE, pop: DataFrame | None = None) -> DataFrame:
+    """A population of sequences from one of static individuals."""
+    pop = evolve.population(spark, C, size) if pop is None else pop
     begin = ((F.col("src") * 5 + 3 * F.col("ind_id")) % 7).cast("int")
     once = pop.select("ind_id", "src", "dst", begin.alias("t_setup"), (begin + 6 + (F.col("src") + F.col("ind_id")) % 9).cast("int").alias("t_end"))
     first = once.select("ind_id", "src", "dst", "t_setup", (F.col("t_setup") + 2).cast("int").alias("t_work"), F.least(F.lit(23), "t_end").cast("int").alias("t_end"))
@@ -38,7 +43,7 @@ def _members(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @plan(_SEQ.format(extra="") + " SELECT * FROM seq")
 def sequence_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return start(spark, sf_dir)
+    return _start(spark, sf_dir)
 
 
 _MATES = f"mates AS (SELECT CAST(i AS INT) AS child, CAST(i AS INT) AS a, CAST((i * 5 + 1) % {SIZE} AS INT) AS b, CAST((4 * i) % 9 AS INT) AS point FROM range({SIZE}) AS r(i))"
@@ -53,7 +58,7 @@ SELECT * FROM fa UNION ALL SELECT * FROM fb WHERE NOT EXISTS (SELECT 1 FROM fa W
 )
 def crossover_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     mates = spark.range(SIZE).selectExpr("CAST(id AS INT) AS child", "CAST(id AS INT) AS a", f"CAST((id * 5 + 1) % {SIZE} AS INT) AS b", "CAST(4 * id % 9 AS INT) AS point")
-    return sequences.crossover_intervals(mates, start(spark, sf_dir), C)
+    return sequences.crossover_intervals(mates, _start(spark, sf_dir), C)
 
 
 _STATE = (
@@ -70,7 +75,7 @@ def _picks(spark: SparkSession) -> DataFrame:
 
 @plan(_STATE.format(extra="") + " SELECT ind_id, src, t, state, until FROM st")
 def picked_states(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.picked_states(start(spark, sf_dir), _picks(spark), T)
+    return sequences.picked_states(_start(spark, sf_dir), _picks(spark), T)
 
 
 @plan(
@@ -78,7 +83,7 @@ def picked_states(spark: SparkSession, sf_dir: str) -> DataFrame:
     + """ SELECT pk.ind_id, pk.src, pk.t, CAST(coalesce((SELECT s.t_setup FROM seq AS s WHERE s.ind_id = pk.ind_id AND s.src = pk.src AND s.t_setup > pk.t ORDER BY s.t_setup LIMIT 1 OFFSET 1), 24) - 1 AS INT) AS until FROM pk"""
 )
 def second_setup_ahead(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.two_setups_ahead(start(spark, sf_dir), _picks(spark), T)
+    return sequences.two_setups_ahead(_start(spark, sf_dir), _picks(spark), T)
 
 
 _MUTANT = (
@@ -99,18 +104,18 @@ r2 AS (SELECT r1.ind_id, r1.src, r1.dst, t_setup, t_work, CASE WHEN st.t BETWEEN
 @plan(f"{_MUTANT} SELECT ind_id, src, dst, t_setup, CAST(t_work AS INT) AS t_work, CAST(t_end AS INT) AS t_end FROM r2")
 def mutate_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
     safe = sequences.region_ends(_members(spark, sf_dir), C)
-    return sequences.mutate_intervals(start(spark, sf_dir), _picks(spark), fx.importance(spark, sf_dir), safe, spark, C, SETUP, T)
+    return sequences.mutate_intervals(_start(spark, sf_dir), _picks(spark), fx.importance(spark, sf_dir), safe, spark, C, SETUP, T)
 
 
 @plan(f"{_MUTANT} SELECT ind_id, src, dst, t, until FROM build")
 def establish_best(spark: SparkSession, sf_dir: str) -> DataFrame:
-    places = sequences.picked_states(start(spark, sf_dir), _picks(spark), T).where("state IN (0, -1)").drop("state")
+    places = sequences.picked_states(_start(spark, sf_dir), _picks(spark), T).where("state IN (0, -1)").drop("state")
     return sequences.best_peers(places, fx.importance(spark, sf_dir), sequences.region_ends(_members(spark, sf_dir), C), spark, C, SETUP)
 
 
 @plan(f"{_MUTANT} SELECT ind_id, src, dst, t_setup, CAST(t_work AS INT) AS t_work, CAST(t_end AS INT) AS t_end FROM r1 WHERE ind_id IN (SELECT ind_id FROM st WHERE state = -1)")
 def disconnect_rebuild(spark: SparkSession, sf_dir: str) -> DataFrame:
-    whole = start(spark, sf_dir)
+    whole = _start(spark, sf_dir)
     places = sequences.picked_states(whole, _picks(spark), T).where("state = -1").drop("state")
     wanted = sequences.best_peers(places, fx.importance(spark, sf_dir), sequences.region_ends(_members(spark, sf_dir), C), spark, C, SETUP)
     return sequences.rebuilt(whole.join(places.select("ind_id"), "ind_id", "left_semi"), wanted, SETUP)
@@ -131,7 +136,7 @@ SELECT CAST(i AS INT) AS ind_id, p.step, round(sum(coalesce(h, 30)) / count(*),
 @plan(_SCORE)
 def sequence_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = paths.region_pairs(fx.groups(spark, sf_dir), 0, 4)
-    return sequences.sequence_scores(start(spark, sf_dir, 3), pairs, spark, C).withColumn("score", F.round("score", 9))
+    return sequences.sequence_scores(_start(spark, sf_dir, 3), pairs, spark, C).withColumn("score", F.round("score", 9))
 
 
 def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -141,12 +146,12 @@ def _search(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Dat
 
 @plan()
 def evolve_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.evolve_sequences(spark, start(spark, sf_dir, 4), *_search(spark, sf_dir), C, SETUP, T, 2)[0]
+    return sequences.evolve_sequences(spark, _start(spark, sf_dir, 4), *_search(spark, sf_dir), C, SETUP, T, 2)[0]
 
 
 @plan()
 def anneal_sequences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return sequences.anneal_sequences(spark, start(spark, sf_dir, 4), *_search(spark, sf_dir), C, SETUP, T, 3)[0]
+    return sequences.anneal_sequences(spark, _start(spark, sf_dir, 4), *_search(spark, sf_dir), C, SETUP, T, 3)[0]
 
 
 # The skeleton of group g is individual g.
