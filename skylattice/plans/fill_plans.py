@@ -106,7 +106,7 @@ def establish_random(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 #: The surveyed size, and generations of the registered search.
-POPULATION, GENERATIONS = 200, 3
+POPULATION, GENERATIONS = 200, 1
 
 
 def searched(spark: SparkSession, sf_dir: str, size: int, generations: int) -> tuple[DataFrame, DataFrame, list[int]]:
@@ -117,5 +117,5 @@ def searched(spark: SparkSession, sf_dir: str, size: int, generations: int) -> t
 
 @plan()
 def search_population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two hundred individuals on the regions of the events, for three generations."""
+    """Two hundred individuals on the regions of the events, for one generation; ``searched`` goes on for as many as are asked for."""
     return searched(spark, sf_dir, POPULATION, GENERATIONS)[0]
