@@ -1,4 +1,4 @@
-"""Flows on small graphs, one graph a group: cheapest flow, and fewest fixed charges.
+"""Cheapest flows on small graphs, one graph a group.
 
 The graphs come from grouped tables, so Spark spreads them; the solvers are short helpers on a single graph.
 """
@@ -140,62 +140,6 @@ def flow_summary(flows: DataFrame) -> DataFrame:
     return flows.groupBy("graph", "status").agg(F.coalesce(F.sum(F.col("flow") * F.col("cost")), F.lit(0)).cast("long").alias("total_cost"))
 
 
-def fewest_charges(edges: list[tuple[int, int, int, int]], source: int, sink: int, demand: int) -> tuple[str, int, list[int]]:
-    """Status, least sum of fixed charges, and flow, where using an edge costs its charge whatever flows on it.
-
-    Branch and bound: edges are opened or closed one at a time; a branch ends if its open and undecided edges cannot
-    carry the demand, or if its charges cannot become less than the best. The problem is NP-hard: the search is exact for
-    graphs of any size, but its time may grow exponentially with them.
-    """
-    best: list = [float("inf"), [0] * len(edges)]
-
-    def carried(closed: set[int], free: set[int]) -> tuple[str, list[int]]:
-        return cheapest_flow([(u, v, 0 if i in free else c, 0 if i in closed else cap) for i, (u, v, c, cap) in enumerate(edges)], source, sink, demand)
-
-    def bound(used: set[int], closed: set[int]) -> float:
-        """Charges paid so far, and for the rest as much of each charge as the share of its capacity that is needed."""
-        scaled = [(u, v, 0 if i in used else c * 1000 // max(1, min(cap, demand)), 0 if i in closed else cap) for i, (u, v, c, cap) in enumerate(edges)]
-        status, flows = cheapest_flow(scaled, source, sink, demand)
-        if status != "Optimal":
-            return float("inf")
-        return sum(edges[i][2] for i in used) + sum(f * x[2] for f, x in zip(flows, scaled)) / 1000
-
-    def search(used: set[int], closed: set[int]) -> None:
-        if bound(used, closed) >= best[0]:
-            return
-        _, flows = carried(closed, used)
-        running = {i for i, f in enumerate(flows) if f > 0}
-        total = sum(edges[i][2] for i in running | used)
-        exact = sum(edges[i][2] for i in running)
-        if exact < best[0]:
-            best[:] = [exact, flows]
-        open_ = [i for i in running if i not in used]
-        if not open_ or total <= 0:
-            return
-        pick = max(open_, key=lambda i: (edges[i][2], -i))
-        search(used | {pick}, closed)
-        search(used, closed | {pick})
-
-    search(set(), set())
-    if best[0] == float("inf"):
-        return "Infeasible", 0, best[1]
-    return "Optimal", int(best[0]), best[1]
-
-
-def fixed_charge_flow(edges: DataFrame, demands: DataFrame) -> DataFrame:
-    """``graph, status, total_charge, n_edges`` of the flow with the least sum of fixed charges (column ``cost``)."""
-
-    def run(key: tuple, e: pd.DataFrame, d: pd.DataFrame) -> pd.DataFrame:
-        listed = list(zip(*(e[c].tolist() for c in ("u", "v", "cost", "cap"))))
-        rows = []
-        for source, sink, demand in zip(d["source"].tolist(), d["sink"].tolist(), d["demand"].tolist()):
-            status, total, flows = fewest_charges(listed, source, sink, demand)
-            rows.append((key[0], status, total, sum(f > 0 for f in flows)))
-        return pd.DataFrame(rows, columns=["graph", "status", "total_charge", "n_edges"])
-
-    return edges.groupBy("graph").cogroup(demands.groupBy("graph")).applyInPandas(run, "graph long, status string, total_charge long, n_edges int")
-
-
 def total_demand(sources: DataFrame, by: list[str]) -> DataFrame:
     """The sum of the sources' ``demand`` of each graph."""
     return sources.groupBy(*by).agg(F.sum("demand").cast("long").alias("demand"))

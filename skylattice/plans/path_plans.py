@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from skylattice.operators import evolve, flow, grid, paths
+from skylattice.operators import evolve, fixed_charge, flow, grid, paths
 from skylattice.plans import fixtures as fx
 from skylattice.plans.registry import plan
 from skylattice.sources.shared import written
@@ -231,7 +231,7 @@ def min_cost_flow_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @plan(f"{_LEAST} SELECT CAST(g AS BIGINT) AS graph, CASE WHEN cost IS NULL THEN 'Infeasible' ELSE 'Optimal' END AS status, CAST(coalesce(cost, 0) AS BIGINT) AS total_charge FROM least")
 def fixed_charge_flow(spark: SparkSession, sf_dir: str) -> DataFrame:
     graphs, ends = _step_graphs(spark, sf_dir)
-    return flow.fixed_charge_flow(graphs, ends.withColumn("demand", F.lit(20))).select("graph", "status", "total_charge")
+    return fixed_charge.charged_flow(graphs, ends.withColumn("demand", F.lit(20))).select("graph", "status", F.coalesce("total_charge", F.lit(0)).alias("total_charge"))
 
 
 # The first way by its nodes: each step goes to the smallest neighbour that is one hop nearer to the target.
@@ -278,3 +278,16 @@ def topology_flow_certificate(spark: SparkSession, sf_dir: str) -> DataFrame:
     flows, potentials, status = flow.flow_and_potentials(graphs, wanted)
     proof = flow.certificate(flows, potentials, wanted).join(status, "graph")
     return proof.select("graph", "status", F.col("demand").cast("long").alias("demand"), "shipped", "unbalanced", F.col("over").alias("over_"), "price", "gap")
+
+
+# Edges take 20, 30 or 40, so a flow of 40 is two ways, which share no edge but those that take 40. Of two places the smaller moves on, so the ways meet wherever they share.
+@plan(f"""{_GRAPHS}, move AS (SELECT g, u, 1 AS ways, v AS v1, CAST(NULL AS INT) AS v2, cost FROM e
+  UNION ALL SELECT p1.g, p1.u, 2, p1.v, p2.v, CASE WHEN p1.v = p2.v THEN p1.cost ELSE p1.cost + p2.cost END FROM e AS p1 JOIN e AS p2 ON p2.g = p1.g AND p2.u = p1.u AND (p1.v < p2.v OR p1.v = p2.v AND p1.cap = 40)),
+two AS (SELECT step AS g, s AS a, s AS b, t, CAST(0 AS BIGINT) AS cost FROM ends
+  UNION SELECT two.g, least(v1, coalesce(v2, b)), greatest(v1, coalesce(v2, b)), t, two.cost + move.cost FROM two JOIN move ON move.g = two.g AND move.u = two.a AND ways = CASE WHEN a = b THEN 2 ELSE 1 END AND v1 <= t AND coalesce(v2, b) <= t),
+least_ AS (SELECT step AS g, min(cost) AS cost FROM ends LEFT JOIN two ON two.g = ends.step AND a = two.t AND b = two.t GROUP BY step)
+SELECT CAST(g AS BIGINT) AS graph, CASE WHEN cost IS NULL THEN 'Infeasible' ELSE 'Optimal' END AS status, CAST(cost AS BIGINT) AS total_charge, CAST(cost AS BIGINT) AS lower_bound, CAST(cost - cost AS BIGINT) AS gap FROM least_""")
+def fixed_charge_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The least charges for a flow of 40 over every step's possible links, with what bounds them from below."""
+    graphs, ends = _step_graphs(spark, sf_dir)
+    return fixed_charge.charged_flow(graphs, ends.withColumn("demand", F.lit(40))).drop("n_edges")
