@@ -193,8 +193,10 @@ def _jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
 def similar_components(docs: DataFrame, *, text: str, row: str, shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, block: int = SET_BLOCK) -> DataFrame:
     """``h, first, root``: classes of equal word sequences, their first row, and the component of similar classes.
 
-    ``row`` is a struct that orders the rows. Classes that share a band key are candidates; all members of a key and of
-    keys with the same least member are compared exactly, block by block.
+    ``row`` is a struct that orders the rows. Classes that share a band key are candidates, together with those of keys
+    that have the same least member, their star. Members are dealt to blocks, each with the star, and compared exactly
+    within them. Those that come out linked to the star need no more: only members apart from it meet the other blocks.
+    So a group of copies is sent once however large it is, and no link is lost in one that falls apart.
     """
     rows = docs.select(docs[row].alias("row"), docs[text].alias("text"))
     kind = rows.schema["row"].dataType.simpleString()
@@ -210,8 +212,10 @@ def similar_components(docs: DataFrame, *, text: str, row: str, shingle: int = T
     classes = persisted(found.groupBy("h").agg(F.min("row").alias("first"), F.first("bands").alias("bands")))
     keyed = classes.select("h", F.explode("bands").alias("key"))
     open_keys = persisted(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("star")).where("n > 1").select("key", "star"))
-    members = persisted(keyed.join(open_keys, "key").select("star", "h").distinct())
-    blocks = persisted(members.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    pairs = persisted(keyed.join(open_keys, "key").select("star", "h").distinct())
+    blocks = persisted(pairs.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
+    mine = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int")
+    members = persisted(pairs.join(blocks, "star").select("star", "h", "blocks", mine.alias("i")))
     wanted = members.select("h").distinct().join(classes.select("h", "first"), "h").select("h", F.col("first").alias("row"))
 
     def hashed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -221,23 +225,38 @@ def similar_components(docs: DataFrame, *, text: str, row: str, shingle: int = T
 
     texts = rows.join(wanted, rows["row"].eqNullSafe(wanted["row"])).select("h", "text")
     sets = persisted(texts.mapInArrow(hashed, "h string, shingles array<bigint>").dropDuplicates(["h"]))
-    mine, other = F.pmod(F.xxhash64("h"), F.col("blocks")).cast("int"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = persisted(members.join(blocks, "star").select("star", "h", mine.alias("i"), other.alias("j")))
-    cells = cells.join(sets, "h").select("star", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"), F.struct("h", "shingles").alias("member"))
-    groups = cells.groupBy("star", "i", "j").agg(F.collect_list("member").alias("members")).where("size(members) > 1").select("members")
+    every = lambda n: F.sequence(F.lit(0), n - 1)
+
+    def compared(cells: DataFrame) -> DataFrame:
+        """``star, a, b`` of the links within each cell ``star, i, j``; a member apart from the star is ``a`` without ``b``."""
+        groups = cells.join(sets, "h").groupBy("star", "i", "j").agg(F.collect_list(F.struct("h", "shingles")).alias("members"))
+        return persisted(groups.where("size(members) > 1").select("star", "members").mapInArrow(linked, "star string, a string, b string"))
 
     def linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            a, b = [], []
-            for group in batch.column(0):
+            stars, a, b = [], [], []
+            for star, group in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 names = group.values.field("h").to_pylist()
-                lists = group.values.field("shingles")
-                for x, y in _jaccard_links([np.asarray(v.values, dtype=np.int64) for v in lists], similarity):
-                    a.append(names[x])
-                    b.append(names[y])
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
-
-    roots = connected_components(groups.mapInArrow(linked, "a string, b string"))
+                links = _jaccard_links([np.asarray(v.values, dtype=np.int64) for v in group.values.field("shingles")], similarity)
+                root = list(range(len(names)))
+                for x, y in links:
+                    root[y] = x
+                apart = [n for n, r in zip(names, root) if r != root[names.index(star)]] if star in names else []
+                stars += [star] * (len(links) + len(apart))
+                a += [names[x] for x, _ in links] + apart
+                b += [names[y] for _, y in links] + [None] * len(apart)
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.string()) for x in (stars, a, b)], names=["star", "a", "b"])
+
+    first = compared(members.select("star", "h", F.explode(F.when(F.col("h") == F.col("star"), every(F.col("blocks"))).otherwise(F.array("i"))).alias("i"), F.lit(0).alias("j")))
+    # in a group of one block all have met
+    apart = persisted(first.where("b IS NULL").select("star", F.col("a").alias("h")).join(members.where("blocks > 1"), ["star", "h"]).select("star", "h", "blocks"))
+    links = first.where("b IS NOT NULL").select("a", "b")
+    if not apart.isEmpty():
+        parts = persisted(apart.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("parts")))
+        alone = apart.join(parts, "star").select("star", "h", F.pmod(F.xxhash64("h", F.lit(1)), F.col("parts")).cast("int").alias("i"), F.explode(every(F.col("blocks"))).alias("j"))
+        rest = members.join(parts, "star").select("star", "h", F.explode(every(F.col("parts"))).alias("i"), F.col("i").alias("j"))
+        links = links.unionByName(compared(alone.unionByName(rest).distinct()).where("b IS NOT NULL").select("a", "b"))
+    roots = connected_components(links)
     return classes.select("h", "first").join(roots.withColumnRenamed("node", "h"), "h", "left").select("h", "first", F.coalesce("root", "h").alias("root"))
 
 

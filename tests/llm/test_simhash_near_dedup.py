@@ -5,9 +5,10 @@ import numpy as np
 import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from skylattice.llm.components import connected_components
-from skylattice.llm.simhash_near_dedup import fingerprint_links, near_dedup, near_duplicates, simhash
+from skylattice.llm.simhash_near_dedup import fingerprint_links, near_dedup, near_duplicates, simhash, similar_components
 
 
 def brute_simhash(text):
@@ -117,3 +118,28 @@ def test_rows_with_null_or_repeated_ids_are_members_like_any_other(spark):
     rows = [(None, a), (None, b), (None, b), (5, c), (5, d), (3, d), (7, c), (None, d)]
     got = sorted((r.doc_id is None, r.doc_id or 0, r.text) for r in near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect())
     assert got == sorted([(True, 0, a), (True, 0, b), (False, 5, c), (False, 3, d)])
+
+
+def test_blocks_of_large_groups_lose_no_link(spark):
+    """Chains that drift away from their star, one template with small changes, and any size of the blocks."""
+    rng = random.Random(11)
+    words = [f"w{i}" for i in range(2000)]
+    texts = []
+    for _ in range(3):
+        text = rng.choices(words, k=150)
+        for k in range(30):
+            text = list(text)
+            text[(5 * k) % 150] = f"drift{rng.randrange(10**6)}"
+            texts.append(" ".join(text))
+    template = rng.choices(words, k=150)
+    texts += [" ".join([*template, f"end{k}"]) for k in range(80)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").select("text", F.struct("doc_id").alias("row"))
+    found = {}
+    for block in (128, 8, 3):
+        got = similar_components(docs, text="text", row="row", block=block).collect()
+        groups = {}
+        for r in got:
+            groups.setdefault(r.root, set()).add(r.first.doc_id)
+        found[block] = sorted(map(sorted, groups.values()))
+    assert found[8] == found[128] == found[3] and list(range(90, 170)) in found[3]
+    assert sum(len(g) > 10 for g in found[3]) >= 4
