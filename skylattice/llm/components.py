@@ -22,7 +22,8 @@ def connected_components(links: DataFrame) -> DataFrame:
     Alternates the large-star and small-star steps: every node hands its larger, then its smaller neighbours to the
     least one, until nothing changes, which takes about as many rounds as the logarithm of the graph's diameter. Each
     round is written to the shared folder. Least neighbours are pre-aggregated and written before the first join, so it
-    can split the rows of a node with very many links. Self-links and repeated links do no harm; no links give no rows.
+    can split the rows of a node with very many links. All joins sort, as no side has a bound that a driver could broadcast.
+    Self-links and repeated links do no harm; no links give no rows.
     """
     links = persisted(links.where("a IS NOT NULL AND b IS NOT NULL").select("a", "b").distinct())
     nodes = links
@@ -31,13 +32,13 @@ def connected_components(links: DataFrame) -> DataFrame:
     while True:
         pairs = _both_ways(links)
         least = persisted(pairs.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("m")))
-        large = pairs.join(least, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = pairs.join(least.hint("merge"), "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
         down = large.where("a > b")
         least = down.groupBy("a").agg(F.min("b").alias("m"))
-        small = down.join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
+        small = down.join(least.hint("merge"), "a").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select("a", F.col("m").alias("b")))
         links = persisted(small.where("a <> b").distinct())
         if (now := _state(links)) == state:
             break
         state = now
     everyone = _both_ways(nodes).select(F.col("a").alias("node")).distinct()
-    return everyone.join(links.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("root"))
+    return everyone.join(links.select(F.col("a").alias("node"), F.col("b").alias("root")).hint("merge"), "node", "left").select("node", F.coalesce("root", "node").alias("root"))

@@ -118,7 +118,8 @@ def fingerprint_links(distinct: DataFrame, *, block: int = BLOCK) -> DataFrame:
     open_keys = persisted(sizes.where("n > 1 AND (ones IS NULL OR ones BETWEEN 1 AND n - 1)").select("key", F.ceil(F.col("n") / block).cast("int").alias("blocks")))
     mine = F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int")
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))
-    cells = keyed.join(open_keys, "key").select("key", "fp", mine.alias("i"), other.alias("j"))
+    # both sides grow with the table, so the join sorts whatever their estimates are: none goes through the driver
+    cells = keyed.join(open_keys.hint("merge"), "key").select("key", "fp", mine.alias("i"), other.alias("j"))
     groups = cells.groupBy("key", F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j")).agg(F.collect_list("fp").alias("fps")).where("size(fps) > 1")
     return groups.select("fps").mapInArrow(_group_links, "a long, b long")
 
@@ -133,10 +134,10 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
     found = persisted(fingerprints(docs, key=key, text=text))
     distinct = found.groupBy("fp").agg(F.min("doc_id").alias("least"))
     roots = connected_components(fingerprint_links(distinct.select("fp"), block=block))
-    rooted = distinct.join(roots.withColumnRenamed("node", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    rooted = distinct.join(roots.withColumnRenamed("node", "fp").hint("merge"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     named = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = rooted.join(named, "root").select("fp", "component_id")
-    return found.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    classes = rooted.join(named.hint("merge"), "root").select("fp", "component_id")
+    return found.join(classes.hint("merge"), "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def _words(text: str | None) -> list[bytes]:

@@ -143,3 +143,23 @@ def test_blocks_of_large_groups_lose_no_link(spark):
         found[block] = sorted(map(sorted, groups.values()))
     assert found[8] == found[128] == found[3] and list(range(90, 170)) in found[3]
     assert sum(len(g) > 10 for g in found[3]) >= 4
+
+
+def test_nothing_that_grows_with_the_table_is_broadcast(spark, monkeypatch):
+    from skylattice.llm import components, simhash_near_dedup
+
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.checkpoint()
+
+    for module in (components, simhash_near_dedup):
+        monkeypatch.setattr(module, "persisted", planned)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        planned(near_duplicates(spark.range(9).selectExpr("id AS doc_id", "'t' || id % 3 AS text")))
+        planned(fingerprint_links(spark.range(9).selectExpr("id AS fp")))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("SortMergeJoin" in p for p in plans) > 2 and not any("Broadcast" in p for p in plans)
