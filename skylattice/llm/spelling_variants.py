@@ -98,10 +98,14 @@ def _keys(word: str) -> Column:
 
 
 def near_words(words: DataFrame) -> DataFrame:
-    """``word, n, other, other_n`` of all words that are near each other, both ways and each pair once."""
+    """``word, n, other, other_n`` of all words that are near each other, both ways and each pair once.
+
+    The join sorts: a word becomes as many keys as it has places, so the size of the stored words says little about theirs,
+    and a broadcast that is planned by it goes through the driver.
+    """
     keys = words.select("word", "n", F.explode(_keys("word")).alias("key"))
     others = keys.select("key", F.col("word").alias("other"), F.col("n").alias("other_n"))
-    pairs = keys.join(others, "key").where("word <> other")
+    pairs = keys.join(others.hint("merge"), "key").where("word <> other")
     one = F.when(F.length("word") == F.length("other"), F.levenshtein("word", "other", 1) == 1).otherwise(F.abs(F.length("word") - F.length("other")) == 1)
     return pairs.where(one).select("word", "n", "other", "other_n")
 
@@ -111,7 +115,7 @@ def roots(forms: DataFrame) -> DataFrame:
     at = persisted(forms.select("word", F.col("form").alias("root")))
     while True:
         further = at.select(F.col("word").alias("root"), F.col("root").alias("next"))
-        joined = persisted(at.join(further, "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
+        joined = persisted(at.join(further.hint("merge"), "root", "left").select("word", F.coalesce("next", "root").alias("root"), F.col("next").isNotNull().alias("moved")))
         if joined.where("moved").isEmpty():
             return at
         at = joined.drop("moved")
@@ -135,4 +139,4 @@ def spelling_variants(docs: DataFrame, *, key: str = "doc_id", text: str = "text
     enough = -F.col("best.n") >= ratio * F.col("n")
     near = stored(best.select("word", "n_near", F.when(enough, F.col("best.word")).alias("form"), F.when(enough, -F.col("best.n")).alias("form_n")))
     ends = roots(near.where("form IS NOT NULL"))
-    return words.join(near, "word", "left").join(ends, "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")
+    return words.join(near.hint("merge"), "word", "left").join(ends.hint("merge"), "word", "left").select("word", "form", F.coalesce("root", "word").alias("root"), "n", F.coalesce("n_near", F.lit(0).cast("long")).alias("n_near"), "form_n")

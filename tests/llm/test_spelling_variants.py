@@ -106,3 +106,24 @@ def test_query_on_a_whole_table(spark):
         while form[root]:
             root = form[root]
         assert r.root == root
+
+
+def test_nothing_that_grows_with_the_table_is_broadcast(spark, monkeypatch):
+    from skylattice.llm import spelling_variants as module
+
+    plans = []
+
+    def planned(df):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return df.checkpoint()
+
+    monkeypatch.setattr(module, "persisted", planned)
+    monkeypatch.setattr(module, "stored", planned)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "1g")
+    try:
+        docs = spark.createDataFrame([(1, "planet planet planet plane plane plane plane plane plane plane")], "doc_id long, text string")
+        found = planned(module.spelling_variants(docs))
+        assert {r.word: r.root for r in found.collect()} == {"planet": "plane", "plane": "plane"}
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert sum("SortMergeJoin" in p for p in plans) > 2 and not any("Broadcast" in p for p in plans)
