@@ -23,6 +23,7 @@ identity, without the dummy prefix, with escaping off or with user-defined piece
 from __future__ import annotations
 
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -98,7 +99,8 @@ class StreamingViterbi:
         self.unknown_score = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.alphabet = set().union(*pieces) if pieces else set()
         self.begun = {p[:k] for p in pieces for k in range(1, len(p))}
-        self.ends = {p[k:] for p in pieces for k in range(1, len(p))}
+        #: The id of each piece, and -1 for what only ends one.
+        self.known = {p[k:]: -1 for p in pieces for k in range(1, len(p))} | pieces
         self.inside = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
         self.pairs: dict[int, bool] = {}
         self.commits = self.most_pending = 0
@@ -118,8 +120,23 @@ class StreamingViterbi:
         return parts
 
     def fits(self, left: str, right: str) -> bool:
-        """Whether merging ``left + right`` gives these two pieces."""
-        return self.merged(left + right) == [left, right]
+        """Whether merging ``left + right`` gives these two pieces; a merge across the boundary, never undone, ends the search."""
+        get, none = self.scores.get, float("-inf")
+        parts, cut = list(left + right), len(left)
+        scores = [get(a + b, none) for a, b in zip(parts, parts[1:])]
+        while scores and (best := max(scores)) > none:
+            at = scores.index(best)
+            if at == cut - 1:
+                return False
+            if at < cut:
+                cut -= 1
+            parts[at] += parts.pop(at + 1)
+            del scores[at]
+            if at:
+                scores[at - 1] = get(parts[at - 1] + parts[at], none)
+            if at < len(scores):
+                scores[at] = get(parts[at] + parts[at + 1], none)
+        return len(parts) == 2 and cut == 1
 
     def last_by_sum(self, text: str, i: int, back: list[int], value: list[float]) -> tuple[int, float]:
         """Where the best piece that ends at ``i`` begins, and the value of the path with it."""
@@ -136,25 +153,22 @@ class StreamingViterbi:
         The id is -1 for a character that no piece has. It is ``DEAD`` if no segmentation with the boundaries that are
         committed has one at the position. ``ids[0]`` is the id before ``text`` (-1: none matters).
         """
-        get, pairs, ends, longest = self.pieces.get, self.pairs, self.ends, self.longest
+        get, pairs, longest = self.known.get, self.pairs, self.longest
         for i in range(len(back), len(text) + 1):
             start, found = i - 1, DEAD
             for j in range(i - 1, max(0, i - longest) - 1, -1):
-                part = text[j:i]
-                if (own := get(part)) is None:
-                    if part in ends:
-                        continue
-                    if j == i - 1 and part not in self.alphabet:
+                if (own := get(text[j:i])) is None:
+                    if j == i - 1 and text[j] not in self.alphabet:
                         found = -1
                     break
-                if (before := ids[j]) == DEAD:
+                if own < 0 or (before := ids[j]) == DEAD:
                     continue
                 if before >= 0:
                     key = before << 32 | own
                     if (fits := pairs.get(key)) is None:
                         if len(pairs) > CACHE_PAIRS:
                             pairs.clear()
-                        fits = pairs[key] = self.fits(self.names[before], part)
+                        fits = pairs[key] = self.fits(self.names[before], text[j:i])
                     if not fits:
                         continue
                 start, found = j, own
@@ -191,7 +205,12 @@ class StreamingViterbi:
     def meeting(self, text: str, back: list[int], value: list) -> int:
         """The last boundary that the paths of all alive positions share."""
         n = len(text)
-        alive = {n, *(j for j in range(max(0, n - self.longest + 1), n) if text[j:] in self.begun and value[j] != DEAD)}
+        alive = {n}
+        for j in range(n - 1, max(0, n - self.longest + 1) - 1, -1):
+            if j < n - 1 and text[j : j + 2] not in self.inside:
+                break  # no piece has these two characters, so none reaches from before them beyond the end
+            if text[j:] in self.begun and value[j] != DEAD:
+                alive.add(j)
         while len(alive) > 1:
             last = max(alive)
             alive.remove(last)
@@ -265,7 +284,7 @@ class Codec:
                 out += [self.bytes[b] for b in piece.encode("utf-8", "replace")]
             else:
                 out.append(self.unknown)
-        return np.array(out, dtype="<u4").tobytes()
+        return struct.pack(f"<{len(out)}I", *out)
 
     def step(self, state: State, chunk: str) -> tuple[bytes, State]:
         """What ``chunk`` commits, and the state after it."""

@@ -107,3 +107,11 @@ def test_rows(spark):
     got = sorted(tuple(r) for r in sentencepiece_digest(docs, MODEL).collect())
     assert got == sorted((i, len(x := LIBRARY.encode(t or "")), zlib.crc32(np.array(x, dtype="<u4").tobytes()), True) for i, t in rows)
     assert sentencepiece_digest(docs.where("false"), MODEL).count() == 0
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from(sorted(p for p in CODEC.viterbi.pieces if len(p) < 9)[::7]), min_size=2, max_size=2))
+def test_pairs_fit_as_merging_says_without_merging_to_the_end(pair):
+    use = CODEC.viterbi
+    assert use.fits(*pair) == (use.merged("".join(pair)) == pair)
+    assert not hasattr(use, "ends") and use.known[pair[0]] == use.pieces[pair[0]]
