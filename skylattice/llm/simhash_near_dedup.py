@@ -191,11 +191,20 @@ def _jaccard_links(sets: list[np.ndarray], similarity: float) -> list[tuple[int,
         label = least
 
 
+def fingerprint_candidates(classes: DataFrame) -> DataFrame:
+    """``h, key`` for rows ``h, fp``: rows whose fingerprints are equal or linked by deletion variants share a key."""
+    distinct = classes.select("fp").distinct()
+    links = persisted(fingerprint_links(distinct).distinct())
+    keys = links.select(F.col("b").alias("fp"), F.col("a").alias("key")).unionByName(distinct.select("fp", F.col("fp").alias("key")))
+    return classes.join(keys.hint("merge"), "fp").select("h", "key")
+
+
 def similar_components(docs: DataFrame, *, text: str, row: str, shingle: int = TEXT_SHINGLE, similarity: float = SIMILARITY, block: int = SET_BLOCK) -> DataFrame:
     """``h, first, root``: classes of equal word sequences, their first row, and the component of similar classes.
 
-    ``row`` is a struct that orders the rows. Classes that share a band key are candidates, together with those of keys
-    that have the same least member, their star. Members are dealt to blocks, each with the star, and compared exactly
+    ``row`` is a struct that orders the rows. Candidates are classes whose
+    SimHash fingerprints the deletion variants link, and, as these reach three bits and similar texts may differ in more,
+    classes that share a band key; those of keys with the same least member, their star, go together. Members are dealt to blocks, each with the star, and compared exactly
     within them. Those that come out linked to the star need no more: only members apart from it meet the other blocks.
     So a group of copies is sent once however large it is, and no link is lost in one that falls apart.
     """
@@ -207,11 +216,13 @@ def similar_components(docs: DataFrame, *, text: str, row: str, shingle: int = T
             words = [_words(t) for t in batch.column(1).to_pylist()]
             names = [xxhash.xxh128_hexdigest(b" ".join(w)) for w in words]
             keys = [band_keys(shingle_hashes(w, shingle)) if w else [] for w in words]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "h", "bands"])
+            # no fingerprint without words: such texts are near-duplicates of none
+            prints = [np.uint64(simhash(t)).astype(np.int64).item() if w else None for t, w in zip(batch.column(1).to_pylist(), words, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(prints, pa.int64()), pa.array(keys, pa.list_(pa.int64()))], names=["row", "h", "fp", "bands"])
 
-    found = rows.mapInArrow(sketch, f"row {kind}, h string, bands array<bigint>")
-    classes = persisted(found.groupBy("h").agg(F.min("row").alias("first"), F.first("bands").alias("bands")))
-    keyed = classes.select("h", F.explode("bands").alias("key"))
+    found = rows.mapInArrow(sketch, f"row {kind}, h string, fp bigint, bands array<bigint>")
+    classes = persisted(found.groupBy("h").agg(F.min("row").alias("first"), F.first("fp").alias("fp"), F.first("bands").alias("bands")))
+    keyed = fingerprint_candidates(classes.where("fp IS NOT NULL").select("h", "fp")).unionByName(classes.select("h", F.explode("bands").alias("key")))
     open_keys = persisted(keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("h").alias("star")).where("n > 1").select("key", "star"))
     pairs = persisted(keyed.join(open_keys, "key").select("star", "h").distinct())
     blocks = persisted(pairs.groupBy("star").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")))
@@ -267,8 +278,8 @@ def near_dedup(docs: DataFrame, *, key: str = "doc_id", text: str = "text", shin
     Texts are linked if their sets of ``shingle``-word runs have a Jaccard index of ``similarity`` or more; equal word
     sequences always are. The row with the smallest ``key`` stays (nulls last, then by a hash of the text), so rows
     with null or repeated ids are members like any other. At 0.8 fingerprints of 64 bits differ in some ten bits, which
-    no segments can select, so candidates come from bands of least hash values here (found with a chance of
-    ``1 - (1 - similarity**BAND_ROWS)**BANDS`` or more) and the verification is exact.
+    no segments can select, so what the fingerprints' deletion variants link is joined by bands of least hash values (found
+    with a chance of ``1 - (1 - similarity**BAND_ROWS)**BANDS`` or more) and the verification of both is exact.
     """
     place = F.struct(docs[key].isNull().alias("none"), docs[key].alias("id"), F.md5(F.coalesce(docs[text], F.lit(""))).alias("digest"))
     rows = docs.withColumn("__row", place)

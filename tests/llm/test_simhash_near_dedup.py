@@ -163,3 +163,19 @@ def test_nothing_that_grows_with_the_table_is_broadcast(spark, monkeypatch):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
     assert sum("SortMergeJoin" in p for p in plans) > 2 and not any("Broadcast" in p for p in plans)
+
+
+def test_stage_finds_candidates_by_fingerprints(spark, monkeypatch):
+    """Without any band, texts whose fingerprints differ by at most three bits are still found, and verified."""
+    from skylattice.llm import simhash_near_dedup
+
+    rng = random.Random(3)
+    base = [f"w{rng.randrange(900)}" for _ in range(3000)]
+    near = list(base)
+    near[700] = "changed"
+    texts = [" ".join(base), " ".join(near), " ".join(rng.choices(base, k=300)), "", "\n", None]
+    assert (simhash(texts[0]) ^ simhash(texts[1])).bit_count() <= 3
+    monkeypatch.setattr(simhash_near_dedup, "band_keys", lambda hashes: [])
+    got = near_dedup(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"))
+    want = {0, 2, 3}
+    assert {r.doc_id for r in got.collect()} == want
