@@ -14,7 +14,8 @@ Two kinds of model are read:
 * ``unigram``: a path's value is the sum of its pieces' scores, the greatest wins.
 * ``bpe``: merges by rank are no sum of scores. But a segmentation is the one that merging gives exactly if merging any
   two neighbouring pieces alone gives these two pieces back, so each position has one valid last piece, and the same
-  trellis yields the library's ids with that test in place of the sum.
+  trellis yields the library's ids with that test in place of the sum. An automaton over the beginnings of pieces
+  names the pieces that end at a position, longest first; the first that passes is the valid one.
 
 Characters that the vocabulary lacks become byte pieces, or the unknown id. Models with a normaliser other than the
 identity, without the dummy prefix, with escaping off or with user-defined pieces are refused.
@@ -33,7 +34,7 @@ from pyspark.sql import DataFrame
 
 from .common import worker_cache
 
-#: Transitions and pairs of pieces that a worker remembers; a cache starts anew when it is full.
+#: Transitions of chunks, and pairs of pieces with steps of the automaton, that a worker remembers; a cache starts anew when it is full.
 CACHE_STEPS = 800_000
 CACHE_PAIRS = 1_000_000
 #: Characters of a chunk at most.
@@ -88,6 +89,38 @@ class State(dict):
         self.rest: bytes | None = None
 
 
+class Ending(dict):
+    """What a text ends with: the longest beginning of a piece; as a dict, the one after a further character."""
+
+    __slots__ = ("search", "text", "last", "otherwise")
+
+    def __init__(self, search: StreamingViterbi, text: str, otherwise: int):
+        super().__init__()
+        self.search, self.text, self.otherwise = search, text, otherwise
+        #: Length, id and neighbours of the pieces that end here, longest first.
+        self.last = [(len(p), own, search.neighbours(p)) for k in range(len(text)) if (own := search.known.get(p := text[k:], -1)) >= 0]
+
+    def __missing__(self, char: str) -> Ending:
+        if char not in self.search.alphabet:
+            return self.search.outside
+        self.search.remembered += 1
+        return self.setdefault(char, self.search.ending(self.text + char))
+
+
+class Neighbours(dict):
+    """Whether a piece is valid behind the piece of an id, and (at -1) where none matters; nothing is behind ``DEAD``."""
+
+    __slots__ = ("search", "piece")
+
+    def __init__(self, search: StreamingViterbi, piece: str):
+        super().__init__({DEAD: False, -1: search.merged(piece) == [piece]})
+        self.search, self.piece = search, piece
+
+    def __missing__(self, before: int) -> bool:
+        self.search.remembered += 1
+        return self.setdefault(before, self.search.fits(self.search.names[before], self.piece))
+
+
 class StreamingViterbi:
     """Pieces of strings under a vocabulary ``pieces`` (piece to id) with ``scores`` (piece to score)."""
 
@@ -99,11 +132,30 @@ class StreamingViterbi:
         self.unknown_score = min(scores.values(), default=0.0) - UNKNOWN_PENALTY
         self.alphabet = set().union(*pieces) if pieces else set()
         self.begun = {p[:k] for p in pieces for k in range(1, len(p))}
-        #: The id of each piece, and -1 for what only ends one.
-        self.known = {p[k:]: -1 for p in pieces for k in range(1, len(p))} | pieces
+        #: The id of each piece, and -1 for what only begins one.
+        self.known = dict.fromkeys(self.begun, -1) | pieces
         self.inside = {p[k : k + 2] for p in pieces for k in range(len(p) - 1)}
-        self.pairs: dict[int, bool] = {}
         self.commits = self.most_pending = 0
+        self.forget()
+
+    def forget(self) -> None:
+        """Starts the automaton and the pairs anew."""
+        self.remembered = 0
+        self.pairs: dict[str, Neighbours] = {}
+        self.endings: dict[str, Ending] = {}
+        self.nothing, self.outside = self.ending(""), Ending(self, "", -1)
+
+    def neighbours(self, piece: str) -> Neighbours:
+        if (found := self.pairs.get(piece)) is None:
+            found = self.pairs[piece] = Neighbours(self, piece)
+        return found
+
+    def ending(self, text: str) -> Ending:
+        while text and text not in self.known:
+            text = text[1:]
+        if (found := self.endings.get(text)) is None:
+            found = self.endings[text] = Ending(self, text, DEAD)
+        return found
 
     def merged(self, text: str) -> list[str]:
         """Merging by rank, plainly; only for two pieces at a time."""
@@ -153,28 +205,22 @@ class StreamingViterbi:
         The id is -1 for a character that no piece has. It is ``DEAD`` if no segmentation with the boundaries that are
         committed has one at the position. ``ids[0]`` is the id before ``text`` (-1: none matters).
         """
-        get, pairs, longest = self.known.get, self.pairs, self.longest
-        for i in range(len(back), len(text) + 1):
-            start, found = i - 1, DEAD
-            for j in range(i - 1, max(0, i - longest) - 1, -1):
-                if (own := get(text[j:i])) is None:
-                    if j == i - 1 and text[j] not in self.alphabet:
-                        found = -1
+        if self.remembered > CACHE_PAIRS:
+            self.forget()
+        at = len(back) - 1
+        ending = self.nothing
+        for char in text[max(0, at - self.longest) : at]:
+            ending = ending[char]
+        for i, char in enumerate(text[at:], at + 1):
+            ending = ending[char]
+            for length, own, fits in ending.last:
+                if fits[ids[i - length]]:
+                    back.append(i - length)
+                    ids.append(own)
                     break
-                if own < 0 or (before := ids[j]) == DEAD:
-                    continue
-                if before >= 0:
-                    key = before << 32 | own
-                    if (fits := pairs.get(key)) is None:
-                        if len(pairs) > CACHE_PAIRS:
-                            pairs.clear()
-                        fits = pairs[key] = self.fits(self.names[before], text[j:i])
-                    if not fits:
-                        continue
-                start, found = j, own
-                break
-            back.append(start)
-            ids.append(found)
+            else:
+                back.append(i - 1)
+                ids.append(ending.otherwise)
 
     def extend(self, text: str, back: list[int], value: list) -> None:
         """Continues the trellis to the end of ``text``."""

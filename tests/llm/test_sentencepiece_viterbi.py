@@ -115,3 +115,49 @@ def test_pairs_fit_as_merging_says_without_merging_to_the_end(pair):
     use = CODEC.viterbi
     assert use.fits(*pair) == (use.merged("".join(pair)) == pair)
     assert not hasattr(use, "ends") and use.known[pair[0]] == use.pieces[pair[0]]
+
+
+def test_a_position_costs_a_few_lines_once_its_ending_is_known():
+    import sys
+
+    import pyarrow.parquet as pq
+
+    texts = [t for t in pq.read_table("/root/testdata/sf0.001/documents.parquet", columns=["text"])["text"].to_pylist() if t][:40]
+    words = sorted({"▁" + w for t in texts for w in t.split()})
+    use = Codec(MODEL).viterbi
+    ran = {True: 0, False: 0}
+
+    def tracer(frame, event, _):
+        ran[frame.f_code is StreamingViterbi.extend_by_pairs.__code__] += event == "line"
+        return tracer
+
+    def extend():
+        for word in words:
+            use.extend(word, [0], [-1])
+
+    extend()
+    before = sys.gettrace()
+    sys.settrace(tracer)
+    try:
+        extend()
+    finally:
+        sys.settrace(before)
+    assert len(words) > 500 and 0 < ran[True] < 10 * sum(map(len, words)), ran
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text(alphabet="abcx", max_size=30), st.lists(st.text(alphabet="abc", min_size=2, max_size=5), unique=True, max_size=12), st.integers(1, 9))
+def test_pieces_equal_merging_under_any_vocabulary(text, longer, size):
+    # pieces that no merge makes are among them, and x is in none
+    pieces = {p: i for i, p in enumerate(["a", "b", "c", *longer])}
+    search = StreamingViterbi(pieces, {p: -float(i) for p, i in pieces.items()}, "bpe")
+    assert list(search.segment(text, size)) == search.merged(text)
+
+
+def test_forgetting_makes_no_difference(monkeypatch):
+    import skylattice.llm.sentencepiece_viterbi as module
+
+    monkeypatch.setattr(module, "CACHE_PAIRS", 50)
+    fresh, text = Codec(MODEL), "Über the inghand 日本 andthe\n" * 3 + "theinghand" * 300
+    assert np.frombuffer(fresh.encode(text), dtype="<u4").tolist() == LIBRARY.encode(text)
+    assert fresh.viterbi.remembered < 1000 and len(fresh.viterbi.endings) < 1000
